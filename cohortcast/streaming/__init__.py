@@ -1,0 +1,4 @@
+"""Streaming: the reference has no stream source, watermark, event-time window or
+stateful operator (every stage is a batch run over files), so nothing is built here.
+Each batch operator is a plain DataFrame function, so it can be applied inside a
+``foreachBatch`` sink by a user who lands extracts incrementally."""
