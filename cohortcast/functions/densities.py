@@ -75,3 +75,50 @@ def density(name: str) -> DensityFn:
         return DENSITIES[name]
     except KeyError:
         raise ValueError(f"unknown density {name!r}; known: {sorted(DENSITIES)}") from None
+
+
+# --- hoisted evaluation ------------------------------------------------------
+# Per-draw constants (shape/rate, lgamma(shape), Weibull k/lambda, Hadwiger H) are
+# computed once per draw row *before* the age explode; only the x-dependent part
+# is evaluated per (draw, age) row.  Catalyst does not hoist through Generate by
+# itself, so the split is explicit.
+
+def prepare(name: str, loc, scale, prefix: str) -> list:
+    """Per-draw columns for density ``name`` (aliased with ``prefix``)."""
+    if name == "gamma_density":
+        shape, rate = gamma_params(loc, scale)
+        return [
+            shape.alias(f"{prefix}_a"),
+            rate.alias(f"{prefix}_b"),
+            (shape * F.log(rate) - lgamma(shape)).alias(f"{prefix}_c"),
+            loc.alias(f"{prefix}_loc"),
+        ]
+    if name == "weibull_density":
+        k, lam = weibull_params(loc, scale)
+        return [k.alias(f"{prefix}_a"), lam.alias(f"{prefix}_b"), (k / lam).alias(f"{prefix}_c"), loc.alias(f"{prefix}_loc")]
+    if name == "hadwiger_density":
+        log_h = F.log(loc) - F.lit(0.5 * _LN2) - F.log(scale)
+        part1 = log_h - F.log(loc) - F.lit(0.5 * _LNPI)
+        h = F.exp(log_h)
+        return [
+            (part1 + F.lit(1.5) * F.log(loc)).alias(f"{prefix}_a"),
+            (h * h).alias(f"{prefix}_b"),
+            F.lit(0.0).alias(f"{prefix}_c"),
+            loc.alias(f"{prefix}_loc"),
+        ]
+    raise ValueError(f"unknown density {name!r}")
+
+
+def evaluate(name: str, x, prefix: str):
+    """x-dependent part of density ``name`` given the columns from ``prepare``."""
+    a, b, c, loc = (F.col(f"{prefix}_{s}") for s in ("a", "b", "c", "loc"))
+    if name == "gamma_density":
+        return F.exp(c + (a - F.lit(1.0)) * F.log(x) - b * x)
+    if name == "weibull_density":
+        z = x / b
+        return F.when(loc <= 0, lit_d(NAN)).otherwise(c * F.pow(z, a - F.lit(1.0)) * F.exp(-F.pow(z, a)))
+    if name == "hadwiger_density":
+        return F.when(loc <= 0, lit_d(NAN)).otherwise(
+            F.exp(a - F.lit(1.5) * F.log(x) - b * (loc / x + x / loc - F.lit(2.0)))
+        )
+    raise ValueError(f"unknown density {name!r}")

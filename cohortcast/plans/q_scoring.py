@@ -1 +1,251 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: likelihood, prior and forecast scoring."""
+
+from __future__ import annotations
+
+import math
+from statistics import NormalDist
+
+from pyspark.sql import functions as F
+
+from ..config import FIXTURE as C
+from ..operators import likelihood as lk
+from ..operators import scoring as sc
+from ..operators.small import small_side
+from ..sources import fixtures as fx
+from .q_draws import rate_draws_sql
+from .q_prep import emp_rates, expo_grid, obs_table
+from .registry import register
+from .views_sql import with_views
+
+PF = ("gamma_density", "weibull_density")
+_FDA, _LDA, _JO = C.first_data_age, C.last_data_age, C.jump_off
+
+# Fixture leave-k-out run list (T15 shape: country, inds); one, two, three, four and no
+# dropped observations.  A parameter table, like the reference's LKO run CSV.
+FIXTURE_LKO = [("AFRICA", "3_17_20"), ("AMERICA", "5"), ("ASIA", "1_2"), ("EUROPE", ""), ("MIDDLE EAST", "40_41_42_43")]
+_LKO_VALUES = ", ".join(f"('{c}', '{i}')" for c, i in FIXTURE_LKO)
+
+
+def nb_sql(y: str, mu: str, k: str) -> str:
+    return (f"(lgamma(({y}) + ({k})) - lgamma({k}) - lgamma(({y}) + 1) + ({k})*ln(({k})/(({k}) + ({mu}))) "
+            f"+ ({y})*ln(({mu})/(({k}) + ({mu}))))")
+
+
+def poisson_sql(y: str, mu: str) -> str:
+    return f"(case when ({y}) = 0 then -({mu}) else ({y})*ln({mu}) - ({mu}) - lgamma(({y}) + 1) end)"
+
+
+# ------------------------------------------------------------------ J14 loglik
+_EB_SQL = f"""
+select r.Country, r.Sim, r.Chain, r.Iter, r.Cohort, greatest(least(r.Age, {_LDA}), {_FDA}) as Age,
+       sum(1e-06 + r.Rate*g.Exposure) as E, sum((1e-06 + r.Rate*g.Exposure)*(1e-06 + r.Rate*g.Exposure)) as E2
+from rdin r join expo_grid g on r.Country = g.Country and r.Cohort = g.Cohort and r.Age = g.Age
+where r.Cohort + greatest(least(r.Age, {_LDA}), {_FDA}) <= {_JO}
+group by r.Country, r.Sim, r.Chain, r.Iter, r.Cohort, greatest(least(r.Age, {_LDA}), {_FDA})"""
+
+_LL_VIEWS = {
+    "rdin": rate_draws_sql(*PF, draws_view=f"(select * from draws where Cohort <= {C.last_insample_cohort})",
+                           extra_cols=", Chain, Iter"),
+    "eb": _EB_SQL,
+}
+_LL_DEPS = {"rdin": ["draws"], "eb": ["rdin", "expo_grid"]}
+
+
+def _ll_select(variant: str) -> str:
+    if variant == "poisson":
+        return f"""
+select e.Country, e.Sim, e.Chain, e.Iter, o.i, {poisson_sql('o.births', 'e.E')} as ll
+from eb e join obs o on e.Country = o.Country and e.Cohort = o.Cohort and e.Age = o.Age"""
+    if variant == "constant":
+        disp, age = "d.Dispersion", str(_FDA)
+    else:
+        disp = "(case when o.Age_i = 1 or o.Age_i = o.n_ages_obs then d.Dispersion*e.E*e.E/e.E2 else d.Dispersion end)"
+        age = "e.Age"
+    return f"""
+select e.Country, e.Sim, e.Chain, e.Iter, o.i, {nb_sql('o.births', 'e.E', disp)} as ll
+from eb e join obs o on e.Country = o.Country and e.Cohort = o.Cohort and e.Age = o.Age
+     join dispersion d on d.Country = e.Country and d.Sim = e.Sim and d.Age = {age}"""
+
+
+def ll_sql(variant: str) -> str:
+    views = ["eb", "obs"] + ([] if variant == "poisson" else ["dispersion"])
+    return with_views(_ll_select(variant), views, extra=_LL_VIEWS, extra_deps=_LL_DEPS)
+
+
+def loglik_df(spark, sf_dir, variant: str):
+    draws = fx.draws(spark, sf_dir, C)
+    disp = None if variant == "poisson" else fx.dispersion(spark, sf_dir, C)
+    return lk.loglik(draws, small_side(expo_grid(spark, sf_dir)), small_side(obs_table(spark, sf_dir)), disp, C,
+                     dispersion=variant, param_func=PF)
+
+
+@register("loglik_variable", "J14 D23 D24 I6 I14", ll_sql("variable"), ["ll"])
+def q_loglik_variable(spark, sf_dir):
+    return loglik_df(spark, sf_dir, "variable")
+
+
+@register("loglik_constant", "J14 D23 I6 I14", ll_sql("constant"), ["ll"])
+def q_loglik_constant(spark, sf_dir):
+    return loglik_df(spark, sf_dir, "constant")
+
+
+@register("loglik_poisson", "J14 D23 I7 I14", ll_sql("poisson"), ["ll"])
+def q_loglik_poisson(spark, sf_dir):
+    return loglik_df(spark, sf_dir, "poisson")
+
+
+def lko_fixture(spark):
+    return spark.createDataFrame(FIXTURE_LKO, "Country string, inds string")
+
+
+_KEEP_SQL = f"""
+, dropped AS (select Country, cast(unnest(string_split(inds, '_')) as int) as i
+              from (values {_LKO_VALUES}) t(Country, inds) where inds <> '')
+, ll AS ({_ll_select('variable')})
+select l.Country, l.Sim, sum(l.ll) as ll_keep, count(*) as n_keep
+from ll l where not exists (select 1 from dropped d where d.Country = l.Country and d.i = l.i)
+group by l.Country, l.Sim"""
+
+
+@register("loglik_keep", "J15 C12 M9 H13",
+          with_views("", ["eb", "obs", "dispersion"], extra=_LL_VIEWS, extra_deps=_LL_DEPS) + _KEEP_SQL,
+          ["ll_keep"])
+def q_loglik_keep(spark, sf_dir):
+    ll = loglik_df(spark, sf_dir, "variable")
+    return lk.loglik_keep(ll, F.broadcast(lk.drop_sets(lko_fixture(spark))))
+
+
+# ------------------------------------------------------------------ J16 prior
+def _d(x: float) -> str:
+    return f"cast('{x!r}' as double)"
+
+
+def _normal_sql(x: str, mu: float, sd: float) -> str:
+    z = f"((({x}) - {_d(mu)})/{_d(sd)})"
+    return f"(-0.5e0*{z}*{z} - ln({_d(sd)}) - 0.5e0*ln(2.0e0*pi()))"
+
+
+def _prior_sql() -> str:
+    terms = []
+    for p, (mu0, sd0, lower) in lk.INITIAL_PRIORS.items():
+        init = _normal_sql(p, mu0, sd0)
+        if lower is not None:
+            init = f"({init} - {_d(math.log(1.0 - NormalDist(mu0, sd0).cdf(lower)))})"
+        step = _normal_sql(f"{p} - lag({p}) over w", 0.0, lk.RW_SCALE * 1.0)
+        terms.append(f"(case when row_number() over w = 1 then {init} else {step} end)")
+    const = 6 * (-0.5 * (1.0 / lk.SIGMA_PRIOR_SD) ** 2 - math.log(lk.SIGMA_PRIOR_SD) - 0.5 * math.log(2 * math.pi))
+    return f"""
+, lp AS (select Country, Sim, {' + '.join(terms)} as lp from draws window w as (partition by Country, Sim order by Cohort))
+select Country, Sim, sum(lp) + {_d(const)} as log_prior from lp group by Country, Sim"""
+
+
+@register("log_prior_rw", "J16 E5 I11", with_views("", ["draws"]) + _prior_sql(), ["log_prior"])
+def q_log_prior_rw(spark, sf_dir):
+    return lk.log_prior(fx.draws(spark, sf_dir, C))
+
+
+# ------------------------------------------------------------------ K1-K5
+_PT_VIEWS = {
+    "rdall": rate_draws_sql(*PF),
+    "pt": """
+select r.Country, r.Sim, r.Cohort, r.Age, r.Comp_1, r.Comp_2, r.Rate, d.Dispersion, cast(r.Cohort + r.Age as int) as Year, o.Births, o.Exposure,
+       o.Rate as Obs_rate, r.Rate*o.Exposure as E_births
+from rdall r join dispersion d on r.Country = d.Country and r.Sim = d.Sim and r.Age = d.Age
+left join rates o on r.Country = o.Country and r.Cohort = o.Cohort and r.Age = o.Age
+where not isnan(r.Rate) and not isnan(r.Comp_1) and not isnan(r.Comp_2) and not isnan(d.Dispersion)""",
+    "px": f"select row_number() over () as rid, * from pt where Year > {_JO} and Exposure is not null",
+    "cd": f"""
+select rid, sum(exp({nb_sql('cast(y as double)', 'mu', 'k')})) as cdf
+from (select rid, E_births as mu, Dispersion as k, unnest(range(0, cast(floor(Births) as bigint) + 1)) as y from px) u
+group by rid""",
+    "pxc": "select px.*, cd.cdf from px join cd on px.rid = cd.rid",
+}
+_PT_DEPS = {"rdall": ["draws"], "pt": ["rdall", "dispersion", "rates"], "px": ["pt"], "cd": ["px"], "pxc": ["px", "cd"]}
+
+
+def _pt(sql: str, views: list[str]) -> str:
+    return with_views(sql, views, extra=_PT_VIEWS, extra_deps=_PT_DEPS)
+
+
+def predictive(spark, sf_dir, forecast_only: bool = False):
+    draws = fx.draws(spark, sf_dir, C)
+    disp = fx.dispersion(spark, sf_dir, C)
+    obs = small_side(emp_rates(spark, sf_dir))
+    if forecast_only:
+        return sc.predictive_table(draws, disp, obs, C, PF, age_filter=sc.forecast_filter(C),
+                                   draw_filter=sc.forecast_draws(C))
+    return sc.predictive_table(draws, disp, obs, C, PF)
+
+
+_PT_DOUBLES = ["Comp_1", "Comp_2", "Rate", "Dispersion", "Births", "Exposure", "Obs_rate", "E_births"]
+
+
+@register("predictive_table", "K1 C6 C7 C15 B16", _pt("select * from pt", ["pt"]), _PT_DOUBLES,
+          overrides={"Comp_1": 9, "Comp_2": 9, "Rate": 9, "Obs_rate": 9})
+def q_predictive_table(spark, sf_dir):
+    return predictive(spark, sf_dir)
+
+
+@register("predictive_rank_exact", "K2",
+          _pt("select Country, Age, Cohort, Year, max(Births) as Births, avg(cdf) as Q from pxc "
+              "group by Country, Age, Cohort, Year", ["pxc"]),
+          ["Births", "Q"])
+def q_predictive_rank_exact(spark, sf_dir):
+    return sc.predictive_rank(predictive(spark, sf_dir, forecast_only=True), C)
+
+
+_SCORE_SQL = f"""
+, s AS (select Country, Age, Cohort, Year, Sim, {nb_sql('round_even(Births, 0)', 'E_births', 'Dispersion')} as Score
+        from pt where Year > {_JO} and Exposure is not null and Exposure <> 0)
+, s2 AS (select *, max(Score) over (partition by Country, Age, Cohort, Year) as m from s)
+select Country, Age, Cohort, Year, ln(sum(exp(Score - m))) + max(m) - ln(count(*)) as Score, count(*) as n_draws
+from s2 group by Country, Age, Cohort, Year"""
+
+
+@register("log_score", "K4 D8 D9 I6 I8 B13", _pt("", ["pt"]) + _SCORE_SQL, ["Score"])
+def q_log_score(spark, sf_dir):
+    return sc.cell_log_score(predictive(spark, sf_dir, forecast_only=True), C)
+
+
+def _rm(x: str) -> str:
+    return f"(case when count({x}) < count(*) then null else avg({x}) end)"
+
+
+_CE_SQL = f"""
+, ce0 AS (select Country, Age, Cohort, {_rm('Rate')} as Rate, {_rm('E_births')} as E_births, max(Obs_rate) as Obs_rate,
+                 max(Births) as Births, max(Exposure) as Exposure, avg(cdf) as Q from pxc group by Country, Age, Cohort)
+, ce AS (select Country, Age, Cohort, Rate, ln(Rate) as Log_rate, E_births, Obs_rate, Births, Exposure, Q,
+                Rate - Obs_rate as Bias_rate, abs(Rate - Obs_rate) as AE_rate, abs(Rate - Obs_rate)/Rate as PE_rate,
+                (Rate - Obs_rate)*(Rate - Obs_rate) as SE_rate, E_births - Births as Bias_births,
+                abs(E_births - Births) as AE_births, abs(E_births - Births)/E_births as PE_births,
+                (E_births - Births)*(E_births - Births) as SE_births from ce0)"""
+_CE_DOUBLES = ["Rate", "Log_rate", "E_births", "Obs_rate", "Births", "Exposure", "Q", "Bias_rate", "AE_rate",
+               "PE_rate", "SE_rate", "Bias_births", "AE_births", "PE_births", "SE_births"]
+
+
+@register("central_errors", "K5 D3 K2", _pt("", ["pxc"]) + _CE_SQL + "\nselect * from ce", _CE_DOUBLES,
+          overrides={"Rate": 9, "Obs_rate": 9, "Bias_rate": 9, "AE_rate": 9, "SE_rate": 12})
+def q_central_errors(spark, sf_dir):
+    return sc.central_errors(predictive(spark, sf_dir, forecast_only=True), C)
+
+
+_ES_SQL = f"""
+select Country,
+  avg(cast(Q >= 0.05 and Q <= 0.95 as double)) as Q_90, avg(cast(Q >= 0.10 and Q <= 0.90 as double)) as Q_80,
+  avg(cast(Q >= 0.25 and Q <= 0.75 as double)) as Q_50,
+  {_rm('Bias_rate')} as Bias_rate, {_rm('AE_rate')} as AAE_rate, {_rm('PE_rate')} as APE_rate,
+  sqrt({_rm('SE_rate')}) as RMSE_rate, {_rm('Bias_births')} as Bias_births, {_rm('AE_births')} as AAE_births,
+  {_rm('PE_births')} as APE_births, sqrt({_rm('SE_births')}) as RMSE_births
+from ce group by Country"""
+
+
+@register("error_summary", "K5 D4 D5", _pt("", ["pxc"]) + _CE_SQL + _ES_SQL,
+          ["Q_90", "Q_80", "Q_50", "Bias_rate", "AAE_rate", "APE_rate", "RMSE_rate", "Bias_births", "AAE_births",
+           "APE_births", "RMSE_births"], overrides={"Bias_rate": 9, "AAE_rate": 9, "RMSE_rate": 9})
+def q_error_summary(spark, sf_dir):
+    return sc.error_summary(sc.central_errors(predictive(spark, sf_dir, forecast_only=True), C))
+
+
+@register("predictive_sampled", "K3 I9")
+def q_predictive_sampled(spark, sf_dir):
+    return sc.predictive_sampled(predictive(spark, sf_dir), C)
