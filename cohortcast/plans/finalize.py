@@ -22,7 +22,7 @@ def finalize(df: DataFrame, digits: int = DEFAULT_DIGITS, overrides: dict[str, i
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             d = overrides.get(f.name, digits)
-            cols.append(F.round(F.col(f.name).cast("double"), d).alias(f.name))
+            cols.append((F.round(F.col(f.name).cast("double"), d) + F.lit(0.0)).alias(f.name))  # + 0.0: no -0.0
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -32,7 +32,7 @@ def sql_round(select_sql: str, double_cols: list[str], digits: int = DEFAULT_DIG
               overrides: dict[str, int] | None = None) -> str:
     """Wrap a SELECT so the listed double columns are rounded like ``finalize``."""
     overrides = overrides or {}
-    rounded = ", ".join(f'round("{c}", {overrides.get(c, digits)}) AS "{c}"' for c in double_cols)
+    rounded = ", ".join(f'(round("{c}", {overrides.get(c, digits)}) + 0.0e0) AS "{c}"' for c in double_cols)
     excl = ", ".join(f'"{c}"' for c in double_cols)
     if not double_cols:
         return select_sql

@@ -1 +1,128 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: convergence diagnostics."""
+
+from __future__ import annotations
+
+from ..config import FIXTURE as C
+from ..operators import diagnostics as dg
+from ..operators import draws as dr
+from ..sources import fixtures as fx
+from .q_draws import DRAWS_LONG_SQL
+from .registry import register
+from .views_sql import with_views
+
+
+def long_draws(spark, sf_dir):
+    d = fx.draws(spark, sf_dir, C)
+    return dr.draws_long(d, C)
+
+
+def rhat_sql(subsets) -> dict[str, str]:
+    n_iter = C.iters_per_chain
+    rows = []
+    for sid, chains, nc in subsets:
+        for rank, ch in enumerate(chains, start=1):
+            rows.append(f"('{sid}', {ch}, {rank}, {nc}, {len(chains)})")
+    return {
+        "subs": f"select * from (values {', '.join(rows)}) t(subset, Chain, rnk, nc, k)",
+        "rx": f"""
+select d.Country, d.param, s.subset, d.value, (s.rnk - 1)*{n_iter} + d.Iter as pos, s.k*{n_iter} as n, 2*s.nc as M
+from dl d join subs s on d.Chain = s.Chain""",
+        "rx2": """
+select *, case when pos <= (n*((pos*M - 1)//n))//M + n//M then (pos*M - 1)//n + 1 else 0 end as blk from rx""",
+        "seg": """
+select Country, subset, param, blk, max(n) as n, max(M) as M, count(*) as cnt, sum(value) as sx, avg(value) as mx,
+       coalesce(var_samp(value), 0.0)*(count(*) - 1) as ssd
+from rx2 group by Country, subset, param, blk""",
+        "seg2": """
+select *, sum(sx) over (partition by Country, subset, param)/sum(cnt) over (partition by Country, subset, param) as grand
+from seg""",
+        "rh": """
+select Country, subset, param,
+       sqrt(((N - 1.0)/N*(sum_sm/M) + (sum_b*N/(M - 1.0))/N)/(sum_sm/M)) as rhat
+from (select Country, subset, param, max(cast(M as double)) as M, max(cast(n as double)/cast(M as double)) as N,
+             sum(ssd/(cast(n as double)/cast(M as double) - 1.0)) as sum_sm, sum((mx - grand)*(mx - grand)) as sum_b
+      from seg2 where blk > 0 group by Country, subset, param) a""",
+    }
+
+
+_RH_DEPS = {"dl": ["draws"], "subs": [], "rx": ["dl", "subs"], "rx2": ["rx"], "seg": ["rx2"], "seg2": ["seg"],
+            "rh": ["seg2"]}
+
+
+def _rh(sql: str, subsets, views=("rh",), extra=None, extra_deps=None) -> str:
+    ex = {"dl": DRAWS_LONG_SQL, **rhat_sql(subsets), **(extra or {})}
+    deps = {**_RH_DEPS, **(extra_deps or {})}
+    return with_views(sql, list(views), extra=ex, extra_deps=deps)
+
+
+@register("split_rhat", "L1 E7", _rh("select Country, param, rhat from rh", dg.all_chains(C)), ["rhat"],
+          overrides={"rhat": 9})
+def q_split_rhat(spark, sf_dir):
+    return dg.split_rhat(long_draws(spark, sf_dir), C).drop("subset")
+
+
+_VERDICT = f"""
+select Country, subset, max(rhat) as max_rhat, count(*) filter (where rhat > {C.rhat_threshold}) as n_large_rhat,
+       count(*) filter (where rhat > {C.rhat_threshold}) = 0 as converged
+from rh group by Country, subset"""
+
+
+@register("rhat_drop_chain", "L4 L1 8.8", _rh(_VERDICT, dg.drop_one_chain(C)), ["max_rhat"], overrides={"max_rhat": 9})
+def q_rhat_drop_chain(spark, sf_dir):
+    return dg.rhat_verdicts(dg.split_rhat(long_draws(spark, sf_dir), C, dg.drop_one_chain(C)), C)
+
+
+@register("rhat_chain_pairs", "L5 L1 8.8", _rh(_VERDICT, dg.chain_pairs(C)), ["max_rhat"], overrides={"max_rhat": 9})
+def q_rhat_chain_pairs(spark, sf_dir):
+    return dg.rhat_verdicts(dg.split_rhat(long_draws(spark, sf_dir), C, dg.chain_pairs(C)), C)
+
+
+_PROBS = ", ".join(f"{p!r}e0" for p in dg.SUMMARY_PROBS)
+_SUMMARY_SQL = f"""
+, st AS (select Country, param, avg(value) as mean, stddev_samp(value) as sd, quantile_cont(value, [{_PROBS}]) as q
+         from dl group by Country, param)
+select st.Country, st.param, regexp_replace(st.param, '\\[[0-9]{{1,}},*[0-9]*\\]', '') as Family, mean, sd,
+       q[1] as q2_5, q[2] as q25, q[3] as q50, q[4] as q75, q[5] as q97_5, rh.rhat
+from st join rh on st.Country = rh.Country and st.param = rh.param"""
+
+
+@register("parameter_summary", "D15 D16 L1", _rh("", dg.all_chains(C), views=("dl", "rh")) + _SUMMARY_SQL,
+          ["mean", "sd", "q2_5", "q25", "q50", "q75", "q97_5", "rhat"],
+          overrides={k: 9 for k in ["mean", "sd", "q2_5", "q25", "q50", "q75", "q97_5", "rhat"]})
+def q_parameter_summary(spark, sf_dir):
+    return dg.parameter_summary(long_draws(spark, sf_dir), C)
+
+
+_FLAGS_SQL = f"""
+, sp AS (select Country, cast(sum(divergent__) as bigint) as n_div,
+                count(*) filter (where treedepth__ = {C.max_treedepth}) as n_max_treedepth
+         from sampler_params group by Country)
+, rv AS (select Country, max(rhat) as max_rhat, count(*) filter (where rhat > {C.rhat_threshold}) as n_large_rhat
+         from rh group by Country)
+select sp.Country, n_div, n_max_treedepth, n_max_treedepth = 0 as treedepth_good, max_rhat, n_large_rhat,
+       max_rhat < {C.rhat_threshold} as converged_rhat, max_rhat <= {C.rhat_threshold} and n_div = 0 as converged
+from sp join rv on sp.Country = rv.Country"""
+
+
+@register("sampler_flags", "D16 D17 D18 L3", _rh("", dg.all_chains(C), views=("sampler_params", "rh")) + _FLAGS_SQL,
+          ["max_rhat"], overrides={"max_rhat": 9})
+def q_sampler_flags(spark, sf_dir):
+    rh = dg.split_rhat(long_draws(spark, sf_dir), C)
+    return dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), rh, C)
+
+
+_ENERGY_SQL = """
+, de AS (select Country, Chain, energy__, energy__ - lag(energy__) over (partition by Country, Chain order by Iter) as de
+         from sampler_params)
+, g AS (select Country, Chain, sum(de*de) as num, var_samp(energy__)*(count(*) - 1) as den from de group by Country, Chain)
+select Country, Chain, num/den as ebfmi, num/den >= 0.2 as energy_good from g"""
+
+
+@register("energy_flags", "L11", with_views("", ["sampler_params"]) + _ENERGY_SQL, ["ebfmi"])
+def q_energy_flags(spark, sf_dir):
+    return dg.energy_flags(fx.sampler_params(spark, sf_dir, C))
+
+
+@register("ess", "L2")
+def q_ess(spark, sf_dir):
+    return dg.effective_sample_size(long_draws(spark, sf_dir))
