@@ -1 +1,129 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: LOO and leave-k-out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import FIXTURE as C
+from ..operators import likelihood as lk
+from ..operators import loo
+from ..operators.small import small_side
+from .q_prep import obs_table
+from .q_scoring import _LL_DEPS, _LL_VIEWS, _LKO_VALUES, _ll_select, lko_fixture, loglik_df
+from .registry import register
+from .views_sql import with_views
+
+_LLV = {**_LL_VIEWS, "ll": _ll_select("variable"),
+        "dropped": f"""select Country, cast(unnest(string_split(inds, '_')) as int) as i
+                       from (values {_LKO_VALUES}) t(Country, inds) where inds <> ''"""}
+_LLD = {**_LL_DEPS, "ll": ["eb", "obs", "dispersion"], "dropped": []}
+
+_ISL = """
+select Country, i, ln(sum(exp(ll - m1))) + max(m1) - ln(count(*)) as lpd,
+       -(ln(sum(exp(-ll - m2))) + max(m2) - ln(count(*))) as elpd_is,
+       (ln(sum(exp(ll - m1))) + max(m1) - ln(count(*))) + (ln(sum(exp(-ll - m2))) + max(m2) - ln(count(*))) as p_is,
+       count(*) as n_draws
+from (select *, max(ll) over (partition by Country, i) as m1, max(-ll) over (partition by Country, i) as m2 from ll) x
+group by Country, i"""
+_RF = """
+select s.Country, s.i as ll_ind, ln(sum(exp(s.ll - s.m))) + max(s.m) - ln(count(*)) as lpd
+from (select l.*, max(l.ll) over (partition by l.Country, l.i) as m
+      from ll l join dropped d on l.Country = d.Country and l.i = d.i) s
+group by s.Country, s.i"""
+
+
+def _v(sql: str, views: list[str], extra=None, deps=None) -> str:
+    return with_views(sql, views, extra={**_LLV, **(extra or {})}, extra_deps={**_LLD, **(deps or {})})
+
+
+def ll_variable(spark, sf_dir):
+    return loglik_df(spark, sf_dir, "variable")
+
+
+def dropped_points(spark):
+    return lk.drop_sets(lko_fixture(spark))
+
+
+@register("is_loo", "M2 D8", _v(_ISL, ["ll"]), ["lpd", "elpd_is", "p_is"])
+def q_is_loo(spark, sf_dir):
+    return loo.is_loo(ll_variable(spark, sf_dir))
+
+
+@register("psis_loo", "M1")
+def q_psis_loo(spark, sf_dir):
+    return loo.psis_loo(ll_variable(spark, sf_dir))
+
+
+@register("psis_summary", "M1 M3 M4 D28")
+def q_psis_summary(spark, sf_dir):
+    from .q_diagnostics import long_draws
+    from ..operators import diagnostics as dg
+    from ..sources import fixtures as fx
+
+    pw = loo.psis_loo(ll_variable(spark, sf_dir))
+    s = loo.loo_summary(pw, "elpd_loo", p_col="p_loo", k_col="pareto_k", k_threshold=C.pareto_k_threshold)
+    flags = dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), dg.split_rhat(long_draws(spark, sf_dir), C), C)
+    e = loo.loo_eligibility(flags)
+    j = s.join(e, "Country")
+    # M3: no LOO for runs with divergent transitions
+    return j.select("Country", "loo_eligible", "n_obs", "n_high_pareto_k",
+                    *[F.when(F.col("loo_eligible"), F.col(c)).alias(c)
+                      for c in ("elpd_loo", "elpd_se", "p_loo", "looic", "looic_se")])
+
+
+@register("loo_diagnostics", "M5 M6 D28")
+def q_loo_diagnostics(spark, sf_dir):
+    return loo.loo_diagnostics(loo.psis_loo(ll_variable(spark, sf_dir)), obs_table(spark, sf_dir), C)
+
+
+_NN = """
+, pts AS (select o.Country, o.i, o.Time, o.Age_i from obs o join dropped d on o.Country = d.Country and o.i = d.i)
+select a.Country, a.i, min(case when b.i is null then null
+                                else sqrt(cast((a.Time - b.Time)*(a.Time - b.Time) + (a.Age_i - b.Age_i)*(a.Age_i - b.Age_i) as double)) end) as nn_dist
+from pts a left join pts b on a.Country = b.Country and a.i <> b.i
+group by a.Country, a.i"""
+
+
+def dropped_obs(spark, sf_dir):
+    obs = small_side(obs_table(spark, sf_dir))
+    return obs.join(F.broadcast(dropped_points(spark)), ["Country", "i"])
+
+
+@register("lko_distance", "C17", _v("", ["obs", "dropped"]) + _NN, ["nn_dist"])
+def q_lko_distance(spark, sf_dir):
+    return loo.dropped_distances(dropped_obs(spark, sf_dir))
+
+
+@register("lko_folds", "M7")
+def q_lko_folds(spark, sf_dir):
+    return loo.lko_folds(dropped_obs(spark, sf_dir), C)
+
+
+@register("lko_runs", "M8 D30 H13 I24")
+def q_lko_runs(spark, sf_dir):
+    return loo.lko_runs(loo.lko_folds(dropped_obs(spark, sf_dir), C))
+
+
+@register("refit_lpd", "M10 D10", _v(_RF, ["ll", "dropped"]), ["lpd"])
+def q_refit_lpd(spark, sf_dir):
+    return loo.lpd_points(ll_variable(spark, sf_dir), dropped_points(spark))
+
+
+_CL = f"""
+, isl AS ({_ISL})
+, rf AS ({_RF})
+select isl.Country, count(rf.lpd) as n_refit, -2.0*sum(coalesce(rf.lpd, isl.elpd_is)) as looic,
+       2.0*sqrt(count(isl.elpd_is)*var_samp(isl.elpd_is)) as looic_se,
+       2.0*sqrt(count(coalesce(rf.lpd, isl.elpd_is))*var_samp(coalesce(rf.lpd, isl.elpd_is))) as looic_se_recomputed,
+       -2.0*sum(isl.elpd_is) as looic_uncorrected
+from isl left join rf on isl.Country = rf.Country and isl.i = rf.ll_ind
+group by isl.Country"""
+
+
+@register("corrected_looic", "M11 M12 C18 D27 X9", _v("", ["ll", "dropped"]) + _CL,
+          ["looic", "looic_se", "looic_se_recomputed", "looic_uncorrected"])
+def q_corrected_looic(spark, sf_dir):
+    ll = ll_variable(spark, sf_dir)
+    pw = loo.is_loo(ll)
+    rf = loo.lpd_points(ll, dropped_points(spark))
+    return loo.corrected_looic(pw, "elpd_is", rf)
