@@ -94,20 +94,17 @@ def nb_lpmf(y, mu, size) -> Column:
     """Negative binomial (mean mu, size k) log pmf, R ``dnbinom(y, mu=, size=, log=TRUE)``.
 
     lg(y+k) - lg(k) - lg(y+1) + k ln(k/(k+mu)) + y ln(mu/(k+mu)); mu = 0 gives
-    0 when y = 0 and -inf otherwise.
-    """
+    0 when y = 0 and -inf otherwise.  Pass column references (or cheap expressions):
+    the log-gamma expansion repeats its argument."""
     y, mu, k = _c(y).cast("double"), _c(mu).cast("double"), _c(size).cast("double")
     core = (
         lgamma(y + k) - lgamma(k) - lgamma(y + F.lit(1.0))
         + k * F.log(k / (k + mu))
-        + y * ln(mu / (k + mu))
+        + F.when(y == 0, F.lit(0.0)).otherwise(y * F.log(mu / (k + mu)))
     )
-    # y * ln(..) with y = 0 must be 0 even if ln is -inf
-    core0 = lgamma(y + k) - lgamma(k) - lgamma(y + F.lit(1.0)) + k * F.log(k / (k + mu))
     return (
         F.when(mu.isNull() | y.isNull() | k.isNull(), F.lit(None).cast("double"))
         .when(mu == 0, F.when(y == 0, lit_d(0.0)).otherwise(lit_d(-INF)))
-        .when(y == 0, core0)
         .otherwise(core)
     )
 

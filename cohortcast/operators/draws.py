@@ -110,16 +110,21 @@ def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str]
     f1, f2 = param_func or cfg.param_func
     amin = cfg.minimum_age
     keep = keep or []
-    mode_1 = F.lit(0.5) * (F.col("mode_age_sum") - F.col("mode_age_gap"))
-    mode_2 = F.lit(0.5) * (F.col("mode_age_sum") + F.col("mode_age_gap"))
     psi = inv_logit(F.col("logit_mixture"))
-    per_draw = draws.select(
+    base = draws.select(
         "Country", "Sim", axis, *keep,
         (F.col("CEB") * psi).alias("w1"),
         (F.col("CEB") * (F.lit(1.0) - psi)).alias("w2"),
-        *dens.prepare(f1, mode_1 - F.lit(float(amin)), F.col("sd_1"), "g1"),
-        *dens.prepare(f2, mode_2 - F.lit(float(amin)), F.col("sd_2"), "g2"),
+        (F.lit(0.5) * (F.col("mode_age_sum") - F.col("mode_age_gap")) - F.lit(float(amin))).alias("l1"),
+        (F.lit(0.5) * (F.col("mode_age_sum") + F.col("mode_age_gap")) - F.lit(float(amin))).alias("l2"),
+        "sd_1", "sd_2",
     )
+    stage1 = base.select(
+        "Country", "Sim", axis, *keep, "w1", "w2",
+        *dens.prepare(f1, F.col("l1"), F.col("sd_1"), "g1"),
+        *dens.prepare(f2, F.col("l2"), F.col("sd_2"), "g2"),
+    )
+    per_draw = stage1.select("*", dens.finish(f1, "g1"), dens.finish(f2, "g2"))
     ages = per_draw.select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_ages))).alias("a"))
     if age_filter is not None:
         ages = ages.filter(age_filter(F.col("a") + F.lit(amin - 1)))

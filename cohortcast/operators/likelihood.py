@@ -76,7 +76,8 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
             disp = F.when(folded, base * F.col("E") * F.col("E") / F.col("E2")).otherwise(base)
         else:
             raise ValueError(f"unknown dispersion variant {dispersion!r}")
-        ll = nb_lpmf(y, mu, disp)
+        o = o.withColumn("disp", disp)  # a column: the log-gamma expansion repeats its argument
+        ll = nb_lpmf(y, mu, F.col("disp"))
     return o.select("Country", "Sim", "Chain", "Iter", "i", ll.alias("ll"))
 
 

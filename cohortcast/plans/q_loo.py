@@ -73,7 +73,7 @@ def q_psis_summary(spark, sf_dir):
 
 @register("loo_diagnostics", "M5 M6 D28")
 def q_loo_diagnostics(spark, sf_dir):
-    return loo.loo_diagnostics(loo.psis_loo(ll_variable(spark, sf_dir)), obs_table(spark, sf_dir), C)
+    return loo.loo_diagnostics(loo.psis_loo(ll_variable(spark, sf_dir)), small_side(obs_table(spark, sf_dir, True)), C)
 
 
 _NN = """
@@ -85,7 +85,7 @@ group by a.Country, a.i"""
 
 
 def dropped_obs(spark, sf_dir):
-    obs = small_side(obs_table(spark, sf_dir))
+    obs = small_side(obs_table(spark, sf_dir, True))
     return obs.join(F.broadcast(dropped_points(spark)), ["Country", "i"])
 
 

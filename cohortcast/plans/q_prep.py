@@ -10,16 +10,17 @@ from .registry import register
 from .views_sql import with_views
 
 
-def emp_rates(spark, sf_dir):
-    return rates.empirical_rates(fx.exposure_table(spark, sf_dir), fx.births_table(spark, sf_dir))
+def emp_rates(spark, sf_dir, materialized: bool = False):
+    return rates.empirical_rates(fx.exposure_table(spark, sf_dir, materialized),
+                                 fx.births_table(spark, sf_dir, materialized))
 
 
-def obs_table(spark, sf_dir):
-    return prep.model_obs(fx.births_table(spark, sf_dir), C)
+def obs_table(spark, sf_dir, materialized: bool = False):
+    return prep.model_obs(fx.births_table(spark, sf_dir, materialized), C)
 
 
-def expo_grid(spark, sf_dir):
-    return prep.exposure_grid(fx.exposure_table(spark, sf_dir), C)
+def expo_grid(spark, sf_dir, materialized: bool = False):
+    return prep.exposure_grid(fx.exposure_table(spark, sf_dir, materialized), C)
 
 
 @register("empirical_rate", "C1 B9", with_views("select * from rates", ["rates"]), ["Exposure", "Births", "Rate"])

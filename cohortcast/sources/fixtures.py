@@ -65,12 +65,38 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CELLS_MEMO: dict[tuple[str, str], DataFrame] = {}
+
+
+def cells_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cells`` materialised once per application into the shared checkpoint directory.
+
+    Used as the small side of draw-level joins: the scan-and-aggregate of the fact
+    tables runs once, its lineage is cut (a lost executor re-reads the checkpoint,
+    not lineitem), and the row count that guards the broadcast is cheap."""
+    from ..session import ensure_checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CELLS_MEMO:
+        ensure_checkpoint_dir(spark)
+        _CELLS_MEMO[key] = cells(spark, sf_dir).checkpoint(eager=True)
+    return _CELLS_MEMO[key]
+
+
+def draw_partitions(spark: SparkSession) -> int:
+    """Partitions of the draw-level tables: the session's shuffle partition count."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _draw_keys(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
     """(Country, rk, Sim, Chain, Iter) for every draw, hash-partitioned by (Country, Sim)."""
     r = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("Country"), F.col("r_regionkey").alias("rk"))
     per_chain = cfg.iters_per_chain
     keys = r.select("Country", "rk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.n_draws - 1).cast("bigint"))).alias("Sim"))
-    return keys.repartition("Country", "Sim").select(
+    # explicit partition count: AQE would otherwise coalesce this (tiny) draw-key shuffle
+    # into one partition and run the whole draw x age expansion in a single task
+    n_parts = draw_partitions(spark)
+    return keys.repartition(n_parts, "Country", "Sim").select(
         "Country",
         "rk",
         "Sim",
@@ -150,11 +176,13 @@ def posterior_quantiles(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FI
     )
 
 
-def births_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def births_table(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
     """Births extract (T1 shape) taken from ``cells``."""
-    return cells(spark, sf_dir).select("Country", "Year", "Age", "Cohort", "Births")
+    c = cells_checkpointed(spark, sf_dir) if materialized else cells(spark, sf_dir)
+    return c.select("Country", "Year", "Age", "Cohort", "Births")
 
 
-def exposure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exposure_table(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
     """Exposure extract (T2 shape) taken from ``cells``."""
-    return cells(spark, sf_dir).select("Country", "Year", "Age", "Cohort", "Exposure")
+    c = cells_checkpointed(spark, sf_dir) if materialized else cells(spark, sf_dir)
+    return c.select("Country", "Year", "Age", "Cohort", "Exposure")
