@@ -128,3 +128,29 @@ def evaluate(name: str, x, prefix: str):
             F.exp(a - F.lit(1.5) * F.log(x) - b * (loc / x + x / loc - F.lit(2.0)))
         )
     raise ValueError(f"unknown density {name!r}")
+
+
+# --- dispatch on a column (I4 for several models in one job) -------------------
+def _dispatch(name_col, builders: dict):
+    expr = None
+    for name, col in builders.items():
+        expr = F.when(name_col == name, col) if expr is None else expr.when(name_col == name, col)
+    return expr.otherwise(F.raise_error(F.concat(F.lit("unknown density: "), name_col)))
+
+
+def prepare_by(name_col, loc, scale, prefix: str) -> list:
+    """Stage-1 columns when the density name is a column (one job over several models)."""
+    per = {n: prepare(n, loc, scale, prefix) for n in DENSITIES}
+    out = []
+    for i, suffix in enumerate(("a", "b")):
+        out.append(_dispatch(name_col, {n: cols[i] for n, cols in per.items()}).alias(f"{prefix}_{suffix}"))
+    out.append(loc.alias(f"{prefix}_loc"))
+    return out
+
+
+def finish_by(name_col, prefix: str):
+    return _dispatch(name_col, {n: finish(n, prefix) for n in DENSITIES}).alias(f"{prefix}_c")
+
+
+def evaluate_by(name_col, x, prefix: str):
+    return _dispatch(name_col, {n: evaluate(n, x, prefix) for n in DENSITIES})

@@ -107,9 +107,10 @@ def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str]
     Per draw (before the explode): locations, mixture weight and the density
     constants.  Per (draw, age): x = a - 0.5 (B18), Comp_1 = CEB psi f1, Comp_2 =
     CEB (1 - psi) f2, Rate = Comp_1 + Comp_2, Age = a + minimum_age - 1."""
+    keep = keep or []
+    by_column = param_func is None and "p1" in keep and "p2" in keep
     f1, f2 = param_func or cfg.param_func
     amin = cfg.minimum_age
-    keep = keep or []
     psi = inv_logit(F.col("logit_mixture"))
     base = draws.select(
         "Country", "Sim", axis, *keep,
@@ -119,18 +120,31 @@ def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str]
         (F.lit(0.5) * (F.col("mode_age_sum") + F.col("mode_age_gap")) - F.lit(float(amin))).alias("l2"),
         "sd_1", "sd_2",
     )
-    stage1 = base.select(
-        "Country", "Sim", axis, *keep, "w1", "w2",
-        *dens.prepare(f1, F.col("l1"), F.col("sd_1"), "g1"),
-        *dens.prepare(f2, F.col("l2"), F.col("sd_2"), "g2"),
-    )
-    per_draw = stage1.select("*", dens.finish(f1, "g1"), dens.finish(f2, "g2"))
+    if by_column:  # density names are columns p1/p2 (several models in one job)
+        n1, n2 = F.col("p1"), F.col("p2")
+        stage1 = base.select(
+            "Country", "Sim", axis, *keep, "w1", "w2",
+            *dens.prepare_by(n1, F.col("l1"), F.col("sd_1"), "g1"),
+            *dens.prepare_by(n2, F.col("l2"), F.col("sd_2"), "g2"),
+        )
+        per_draw = stage1.select("*", dens.finish_by(n1, "g1"), dens.finish_by(n2, "g2"))
+    else:
+        stage1 = base.select(
+            "Country", "Sim", axis, *keep, "w1", "w2",
+            *dens.prepare(f1, F.col("l1"), F.col("sd_1"), "g1"),
+            *dens.prepare(f2, F.col("l2"), F.col("sd_2"), "g2"),
+        )
+        per_draw = stage1.select("*", dens.finish(f1, "g1"), dens.finish(f2, "g2"))
     ages = per_draw.select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_ages))).alias("a"))
     if age_filter is not None:
         ages = ages.filter(age_filter(F.col("a") + F.lit(amin - 1)))
     x = F.col("a").cast("double") - F.lit(0.5)
-    comp_1 = F.col("w1") * dens.evaluate(f1, x, "g1")
-    comp_2 = F.col("w2") * dens.evaluate(f2, x, "g2")
+    if by_column:
+        comp_1 = F.col("w1") * dens.evaluate_by(F.col("p1"), x, "g1")
+        comp_2 = F.col("w2") * dens.evaluate_by(F.col("p2"), x, "g2")
+    else:
+        comp_1 = F.col("w1") * dens.evaluate(f1, x, "g1")
+        comp_2 = F.col("w2") * dens.evaluate(f2, x, "g2")
     out = ages.select(
         "Country", "Sim", axis, *keep,
         (F.col("a") + F.lit(amin - 1)).alias("Age"),

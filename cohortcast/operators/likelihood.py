@@ -36,7 +36,7 @@ def dispersion_maps(dispersion: DataFrame) -> DataFrame:
 
 
 def expected_births(draws: DataFrame, expos_grid: DataFrame, cfg: CohortConfig,
-                    param_func: tuple[str, str] | None = None) -> DataFrame:
+                    param_func: tuple[str, str] | None = None, model_keys: tuple[str, ...] = ()) -> DataFrame:
     """J14 first half + D23/D24: expected births per (draw, cohort, observed age) with the
     ages outside the observed range folded into the edge bins; also sum(E^2) for the
     effective dispersion of the folded bins."""
@@ -44,18 +44,18 @@ def expected_births(draws: DataFrame, expos_grid: DataFrame, cfg: CohortConfig,
     fda, lda = cfg.first_data_age, cfg.last_data_age
     d = draws.filter(F.col("Cohort") <= cfg.last_insample_cohort)  # only in-sample cohorts have exposure
     # derived filter before the densities: keep cells that can be observed (Year <= jump-off)
-    r = rate_draws(d, cfg, param_func, keep=["Chain", "Iter"],
+    r = rate_draws(d, cfg, param_func, keep=["Chain", "Iter", *model_keys],
                    age_filter=lambda age: F.col("Cohort") + clamp_age(age, fda, lda) <= F.lit(jo))
     j = r.join(expos_grid.select("Country", "Cohort", "Age", "Exposure"), ["Country", "Cohort", "Age"])
     e = F.lit(1e-06) + F.col("Rate") * F.col("Exposure")
-    return j.groupBy("Country", "Sim", "Chain", "Iter", "Cohort",
+    return j.groupBy("Country", *model_keys, "Sim", "Chain", "Iter", "Cohort",
                      clamp_age(F.col("Age"), fda, lda).alias("Age")).agg(
         F.sum(e).alias("E"), F.sum(e * e).alias("E2")
     )
 
 
 def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None, dispersion: str,
-                     cfg: CohortConfig) -> DataFrame:
+                     cfg: CohortConfig, model_keys: tuple[str, ...] = ()) -> DataFrame:
     """J14 second half (I6, I7, I14): log likelihood of every observation under every draw.
 
     dispersion: ``variable`` / ``var_unsmooth`` (per-age dispersion, folded bins use
@@ -78,14 +78,17 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
             raise ValueError(f"unknown dispersion variant {dispersion!r}")
         o = o.withColumn("disp", disp)  # a column: the log-gamma expansion repeats its argument
         ll = nb_lpmf(y, mu, F.col("disp"))
-    return o.select("Country", "Sim", "Chain", "Iter", "i", ll.alias("ll"))
+    return o.select("Country", *model_keys, "Sim", "Chain", "Iter", "i", ll.alias("ll"))
 
 
 def loglik(draws: DataFrame, expos_grid: DataFrame, obs: DataFrame, dispersion_draws: DataFrame | None,
-           cfg: CohortConfig, dispersion: str = "variable", param_func: tuple[str, str] | None = None) -> DataFrame:
-    eb = expected_births(draws, expos_grid, cfg, param_func)
+           cfg: CohortConfig, dispersion: str = "variable", param_func: tuple[str, str] | None = None,
+           model_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pointwise log likelihood.  With ``model_keys`` (e.g. ("p1", "p2")) the draws carry
+    the model's density names as columns and all models are evaluated in one job."""
+    eb = expected_births(draws, expos_grid, cfg, param_func, model_keys)
     maps = None if dispersion == "poisson" else dispersion_maps(dispersion_draws)
-    return pointwise_loglik(eb, obs, maps, dispersion, cfg)
+    return pointwise_loglik(eb, obs, maps, dispersion, cfg, model_keys)
 
 
 def drop_sets(lko_runs: DataFrame) -> DataFrame:
