@@ -141,3 +141,47 @@ def log_prior(draws: DataFrame, sigmas: dict[str, float] | None = None, axis: st
         lp = lp + t
     per_t = draws.select("Country", "Sim", lp.alias("lp"))
     return per_t.groupBy("Country", "Sim").agg((F.sum("lp") + F.lit(const)).alias("log_prior"))
+
+
+# --- J17: random-walk extension of stored draws ------------------------------------
+_TWO53 = float(2 ** 53)
+# Lower bounds of the bounded random walks (model parameter constraints).
+RW_LOWER = {"CEB": 0.0, "sd_1": 1.0, "sd_2": 1.0, "mode_age_gap": 2.0, "mode_age_sum": 36.0}
+
+
+def hash_normal(seed: int, *keys):
+    """Standard normal from a counter-based hash of the keys (Box-Muller on two
+    xxhash64 uniforms): the same value for the same keys under any partitioning or
+    task retry, computed in the JVM."""
+    h1 = F.xxhash64(F.lit(seed), *keys, F.lit(1))
+    h2 = F.xxhash64(F.lit(seed), *keys, F.lit(2))
+    u1 = (F.shiftrightunsigned(h1, 11).cast("double") + F.lit(0.5)) / F.lit(_TWO53)
+    u2 = F.shiftrightunsigned(h2, 11).cast("double") / F.lit(_TWO53)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+def rw_extension(draws: DataFrame, cfg: CohortConfig, steps: int | None = None,
+                 sigmas: dict[str, float] | None = None, axis: str = "Cohort") -> DataFrame:
+    """Extend every stored draw ``steps`` time points past its last one with the
+    model's random walks, eta[t] = eta[t-1] + N(0, (0.1 sigma)^2); a draw whose path
+    leaves a parameter's support anywhere is rejected (all its rows dropped)."""
+    steps = steps or cfg.T_forecast
+    sigmas = sigmas or {p: 1.0 for p in INITIAL_PRIORS}
+    last_t = cfg.start_time + cfg.T_total - 1
+    last = draws.filter(F.col(axis) == last_t)
+    ext = last.select("Country", "Sim", *INITIAL_PRIORS, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("h"))
+    cols = []
+    def step(pid):
+        return lambda acc, j: acc + hash_normal(cfg.seed, F.col("Country"), F.col("Sim"), F.lit(pid), j)
+
+    for pid, p in enumerate(INITIAL_PRIORS):
+        inc = F.aggregate(F.sequence(F.lit(1), F.col("h")), F.lit(0.0), step(pid))
+        cols.append((F.col(p) + F.lit(RW_SCALE * sigmas[p]) * inc).alias(p))
+    out = ext.select("Country", "Sim", (F.lit(last_t) + F.col("h")).cast("long").alias(axis), *cols)
+    ok = None
+    for p, lo in RW_LOWER.items():
+        c = F.col(p) > F.lit(lo)
+        ok = c if ok is None else ok & c
+    w = Window.partitionBy("Country", "Sim")
+    out = out.withColumn("_ok", F.min(ok.cast("int")).over(w))
+    return out.filter(F.col("_ok") == 1).drop("_ok")

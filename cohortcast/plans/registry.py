@@ -60,6 +60,7 @@ def all_queries(cfg: CohortConfig = FIXTURE) -> dict[str, Query]:
         q_prep,
         q_reports,
         q_scoring,
+        q_sources,
     )
 
     return REGISTRY
