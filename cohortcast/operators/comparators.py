@@ -122,7 +122,7 @@ def _year_positions(panel: DataFrame, cfg: CohortConfig) -> DataFrame:
 def slope_fit_age(panel: DataFrame, cfg: CohortConfig) -> DataFrame:
     """N2 age part (E3, E4): ax = ASFR at the last trend year, bx = endpoint slope."""
     pos = _year_positions(panel, cfg)
-    p = panel.join(F.broadcast(pos), ["Country", "Year"])
+    p = panel.join(pos, ["Country", "Year"])  # tiny: AQE broadcasts it on measured size
     last = F.max(F.when(F.col("pos") == F.col("last_trend"), F.col("ASFR")))
     first = F.max(F.when(F.col("pos") == F.col("first_trend"), F.col("ASFR")))
     return p.groupBy("Country", "Age").agg(
@@ -140,14 +140,14 @@ def slope_fit_time(panel: DataFrame, cfg: CohortConfig, with_step: bool = False)
         F.count("bx").alias("n_bx"),
         F.count(F.lit(1)).alias("n_ages"),
     )
-    trend = panel.join(F.broadcast(pos), ["Country", "Year"]).filter(
+    trend = panel.join(pos, ["Country", "Year"]).filter(
         (F.col("pos") >= F.col("first_trend")) & (F.col("pos") <= F.col("last_trend"))
     )
     t = trend.join(fit, ["Country", "Age"]).groupBy("Country", "Year").agg(
         F.sum(F.col("bx") * (F.col("ASFR") - F.col("ax"))).alias("num"),
         F.count(F.col("bx") * (F.col("ASFR") - F.col("ax"))).alias("n_num"),
     )
-    t = t.join(F.broadcast(den), "Country")
+    t = t.join(den, "Country")
     kt = F.when(
         (F.col("n_num") == F.col("n_ages")) & (F.col("n_bx") == F.col("n_ages")),
         ieee_div(F.col("num"), F.col("bxbx")),
@@ -179,7 +179,7 @@ def slope_quantiles(panel: DataFrame, cfg: CohortConfig) -> DataFrame:
     sig = slope_sigma2(slope_fit_time(panel, cfg, with_step=True))
     jo = panel.groupBy("Country").agg((F.max("Year") - F.lit(cfg.n_predict)).alias("jo"))
     qz = F.array(*[F.struct(F.lit(q).alias("Quantile"), F.lit(z).alias("z")) for q, z in normal_quantiles()])
-    f = _one_row_join(fit.join(F.broadcast(jo), "Country"), sig.select("sigma2"))
+    f = _one_row_join(fit.join(jo, "Country"), sig.select("sigma2"))
     f = f.select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_predict))).alias("h"))
     kt = F.least(F.col("h"), F.lit(cfg.n_extrapolate)).cast("double")
     s2 = F.col("sigma2")

@@ -131,10 +131,11 @@ def sampler_flags(sampler: DataFrame, rhat: DataFrame, cfg: CohortConfig, keys:
     rv = rhat.groupBy(*k).agg(
         F.max("rhat").alias("max_rhat"),
         F.count(F.when(F.col("rhat") > cfg.rhat_threshold, 1)).alias("n_large_rhat"),
+        F.count(F.lit(1)).alias("n_parameters"),  # L10: sampled parameters (one R-hat each)
     )
     j = sp.join(rv, k)
     return j.select(
-        *k, "n_div", "n_max_treedepth", (F.col("n_max_treedepth") == 0).alias("treedepth_good"),
+        *k, "n_parameters", "n_div", "n_max_treedepth", (F.col("n_max_treedepth") == 0).alias("treedepth_good"),
         "max_rhat", "n_large_rhat", (F.col("max_rhat") < cfg.rhat_threshold).alias("converged_rhat"),
         ((F.col("max_rhat") <= cfg.rhat_threshold) & (F.col("n_div") == 0)).alias("converged"),
     )
@@ -215,3 +216,59 @@ def effective_sample_size(long: DataFrame) -> DataFrame:
     return long.select("Country", "param", "Chain", "Iter", "value").groupBy("Country", "param").applyInPandas(
         _ess_group, ESS_SCHEMA
     )
+
+
+# --- L6-L8: which chains to discard for a multimodal run ---------------------------
+CHOICE_SCHEMA = T.StructType([
+    T.StructField("Country", T.StringType()), T.StructField("decision", T.StringType()),
+    T.StructField("discard_chains", T.StringType()), T.StructField("keep_chains", T.StringType()),
+])
+
+
+def _choose(n_chains: int):
+    chains = list(range(1, n_chains + 1))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        conv = dict(zip(pdf["subset"], pdf["converged"]))
+        elpd = dict(zip(pdf["subset"], pdf["elpd"]))
+        drop_ok = [c for c in chains if conv.get(f"drop_{c}", False)]
+        discard: list[int] | None
+        if drop_ok:  # L4 (quirk X18: every chain whose removal converges)
+            decision, discard = "drop_one", drop_ok
+        else:  # L5: pairs {1, j} and their complements
+            js = chains[1:]
+            comp_ok = [j for j in js if conv.get(f"without_1_{j}", False)]
+            pair_ok = [j for j in js if conv.get(f"pair_1_{j}", False)]
+            if not comp_ok and not pair_ok:
+                decision, discard = "none", None
+            elif not comp_ok:
+                keep = sorted({c for j in pair_ok for c in (1, j)})
+                decision, discard = "keep_converged_pairs", [c for c in chains if c not in keep]
+            else:
+                j = comp_ok[0]
+                pair = [1, j]
+                if j in pair_ok:  # L7: both halves converge -> keep the half with the better LOO
+                    better_pair = (elpd.get(f"pair_1_{j}", float("nan")) - elpd.get(f"without_1_{j}", float("nan"))) > 0
+                    decision = "compare_loo"
+                    discard = [c for c in chains if c not in pair] if better_pair else pair
+                else:
+                    decision, discard = "drop_pair", pair
+        keep = None if discard is None else [c for c in chains if c not in discard]
+        fmt = lambda xs: None if xs is None else "_".join(str(x) for x in xs)
+        return pd.DataFrame({"Country": [pdf["Country"].iloc[0]], "decision": [decision],
+                             "discard_chains": [fmt(discard)], "keep_chains": [fmt(keep)]})
+
+    return choose
+
+
+def chain_choice(verdicts: DataFrame, subset_elpd: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """L6 (+ L7 comparison, L8 chains): decision table per run over the drop-one-chain and
+    chain-pair R-hat verdicts; one tiny group per run."""
+    v = verdicts.join(subset_elpd, ["Country", "subset"], "left").select("Country", "subset", "converged", "elpd")
+    return v.groupBy("Country").applyInPandas(_choose(cfg.n_chains), CHOICE_SCHEMA)
+
+
+def subset_membership(df: DataFrame, subsets: list[Subset]) -> DataFrame:
+    """Rows of ``df`` (with a Chain column) repeated once per chain subset containing them."""
+    s = F.explode(F.filter(_subset_array(subsets), lambda x: F.array_contains(x["chains"], F.col("Chain"))))
+    return df.select("*", s.alias("_s")).withColumn("subset", F.col("_s.sid")).drop("_s")

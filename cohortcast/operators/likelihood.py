@@ -185,3 +185,13 @@ def rw_extension(draws: DataFrame, cfg: CohortConfig, steps: int | None = None,
     w = Window.partitionBy("Country", "Sim")
     out = out.withColumn("_ok", F.min(ok.cast("int")).over(w))
     return out.filter(F.col("_ok") == 1).drop("_ok")
+
+
+def dispersion_from_basis(basis: DataFrame, beta: DataFrame) -> DataFrame:
+    """Dispersion at each observed age from spline coefficients,
+    1 + exp(sum_k basis[age, k] * beta[k]); ``basis`` (Country, Age_i, k, value) is small
+    (ages x basis functions) and is broadcast to the coefficient draws (Country, Sim, k, beta)."""
+    j = beta.join(F.broadcast(basis), ["Country", "k"])
+    return j.groupBy("Country", "Sim", "Age_i").agg(
+        (F.lit(1.0) + F.exp(F.sum(F.col("value") * F.col("beta")))).alias("Dispersion")
+    )

@@ -53,7 +53,7 @@ def is_loo(ll: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
 def lpd_points(ll: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """Log predictive density of the left-out points under the refit's draws."""
     k = list(keys) + ["i"]
-    sel = ll.join(F.broadcast(points.select(*k).distinct()), k)
+    sel = ll.join(small_side(points.select(*k).distinct()), k)
     r = log_mean_exp_cols(sel, k, {"lpd": F.col("ll")})
     return r.select(*keys, F.col("i").alias("ll_ind"), "lpd")
 
@@ -257,7 +257,7 @@ def corrected_looic(pointwise: DataFrame, elpd_col: str, refit: DataFrame, keys:
     refit lpd, LOOIC = -2 sum(elpd); the stored SE is kept and the recomputed one added."""
     k = list(keys)
     pw = pointwise.select(*k, "i", elpd_col)
-    j = pw.join(F.broadcast(refit.withColumnRenamed("ll_ind", "i")), k + ["i"], "left")
+    j = pw.join(small_side(refit.withColumnRenamed("ll_ind", "i")), k + ["i"], "left")
     e0, e1 = F.col(elpd_col), F.coalesce(F.col("lpd"), F.col(elpd_col))
     return j.groupBy(*k).agg(
         F.count(F.col("lpd")).alias("n_refit"),

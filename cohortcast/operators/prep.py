@@ -71,8 +71,8 @@ def model_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
     dims = obs.groupBy("Country").agg(
         F.countDistinct("Age_i").alias("n_ages_obs"), F.countDistinct("Time").alias("T_insample")
     )
-    # one row per country: bounded by the number of countries
-    o = obs.join(F.broadcast(dims), "Country")
+    # one row per country; AQE turns this into a broadcast join on the measured size
+    o = obs.join(dims, "Country")
     n_obs, t_in, t = F.col("n_ages_obs"), F.col("T_insample"), F.col("Time")
     disp_ind = (
         F.when(F.col("Age_i") == 1, n_obs + t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..config import FIXTURE as C
 from ..operators import diagnostics as dg
 from ..operators import draws as dr
@@ -97,9 +99,9 @@ _FLAGS_SQL = f"""
 , sp AS (select Country, cast(sum(divergent__) as bigint) as n_div,
                 count(*) filter (where treedepth__ = {C.max_treedepth}) as n_max_treedepth
          from sampler_params group by Country)
-, rv AS (select Country, max(rhat) as max_rhat, count(*) filter (where rhat > {C.rhat_threshold}) as n_large_rhat
-         from rh group by Country)
-select sp.Country, n_div, n_max_treedepth, n_max_treedepth = 0 as treedepth_good, max_rhat, n_large_rhat,
+, rv AS (select Country, max(rhat) as max_rhat, count(*) filter (where rhat > {C.rhat_threshold}) as n_large_rhat,
+                count(*) as n_parameters from rh group by Country)
+select sp.Country, n_parameters, n_div, n_max_treedepth, n_max_treedepth = 0 as treedepth_good, max_rhat, n_large_rhat,
        max_rhat < {C.rhat_threshold} as converged_rhat, max_rhat <= {C.rhat_threshold} and n_div = 0 as converged
 from sp join rv on sp.Country = rv.Country"""
 
@@ -126,3 +128,17 @@ def q_energy_flags(spark, sf_dir):
 @register("ess", "L2")
 def q_ess(spark, sf_dir):
     return dg.effective_sample_size(long_draws(spark, sf_dir))
+
+
+@register("chain_choice", "L6 L7 L8 L4 L5")
+def q_chain_choice(spark, sf_dir):
+    from ..operators import loo
+    from .q_scoring import loglik_df
+
+    long = long_draws(spark, sf_dir)
+    subsets = dg.drop_one_chain(C) + dg.chain_pairs(C)
+    verdicts = dg.rhat_verdicts(dg.split_rhat(long, C, subsets), C)
+    ll = dg.subset_membership(loglik_df(spark, sf_dir, "variable"), dg.chain_pairs(C))
+    pw = loo.is_loo(ll, ("Country", "subset"))
+    elpd = pw.groupBy("Country", "subset").agg(F.sum("elpd_is").alias("elpd"))
+    return dg.chain_choice(verdicts, elpd, C)

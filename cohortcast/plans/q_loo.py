@@ -127,3 +127,15 @@ def q_corrected_looic(spark, sf_dir):
     pw = loo.is_loo(ll)
     rf = loo.lpd_points(ll, dropped_points(spark))
     return loo.corrected_looic(pw, "elpd_is", rf)
+
+
+_INNER_LO, _INNER_HI = 3, 33
+_ISL_INNER = _ISL.replace("from ll) x", f"""from ll where exists (select 1 from obs o where o.Country = ll.Country and o.i = ll.i
+                                     and o.Age_i > {_INNER_LO} and o.Age_i < {_INNER_HI})) x""")
+
+
+@register("is_loo_inner_ages", "J18 M2", _v(_ISL_INNER, ["ll", "obs"]), ["lpd", "elpd_is", "p_is"])
+def q_is_loo_inner_ages(spark, sf_dir):
+    obs = small_side(obs_table(spark, sf_dir, True)).filter(
+        (F.col("Age_i") > _INNER_LO) & (F.col("Age_i") < _INNER_HI)).select("Country", "i")
+    return loo.is_loo(ll_variable(spark, sf_dir).join(obs, ["Country", "i"], "left_semi"))

@@ -197,12 +197,13 @@ PROFILE_COHORTS = (1950, 1960, 1970, 1980, 1990)
 _PC = ", ".join(str(c) for c in PROFILE_COHORTS)
 
 
-@register("cohort_profiles", "P5 G1 C11 D14",
+@register("cohort_profiles", "P5 G1 C11 D14 B17",
           _base(["rdall", "rates"]) + f"""
+select *, case when Cohort + Age <= {C.jump_off} then 'observed' else 'out_of_sample' end as Period from (
 select 'observed' as Source, Country, cast(Cohort as bigint) as Cohort, Age, Rate from rates where Cohort in ({_PC})
 union all
 select 'model_median', Country, Cohort, Age, quantile_cont(Rate, 0.5e0) from rdall where Cohort in ({_PC})
-group by Country, Cohort, Age""", ["Rate"], overrides={"Rate": 9})
+group by Country, Cohort, Age) u""", ["Rate"], overrides={"Rate": 9})
 def q_cohort_profiles(spark, sf_dir):
     obs = emp_rates(spark, sf_dir).filter(F.col("Cohort").isin(*PROFILE_COHORTS)).select(
         F.lit("observed").alias("Source"), "Country", F.col("Cohort").cast("bigint").alias("Cohort"), "Age", "Rate")
@@ -212,7 +213,10 @@ def q_cohort_profiles(spark, sf_dir):
     med = rate_draws(draws, C, qs.PF).groupBy("Country", "Cohort", "Age").agg(
         F.percentile("Rate", 0.5).alias("Rate")).select(F.lit("model_median").alias("Source"), "Country", "Cohort",
                                                          "Age", "Rate")
-    return rp.stack([obs, med])
+    out = rp.stack([obs, med])
+    # Observed / out-of-sample label from the configured jump-off (quirk X16)
+    return out.withColumn("Period", F.when(F.col("Cohort") + F.col("Age") <= C.jump_off, "observed")
+                          .otherwise("out_of_sample"))
 
 
 # ------------------------------------------------------------------ K6/K7 run assessment, K8/K9 collation
@@ -320,3 +324,26 @@ def q_assessment_collate(spark, sf_dir):
     kept = runs.dropDuplicates().filter((F.col("n_div") == 0) & (F.col("dispersion") == "variable")
                                         & F.col("converged_rhat")).select(*COLLATE_COLS)
     return rp.stack([kept, reassess_after_discard(spark, sf_dir, runs)])
+
+
+_REPORT_SQL = """
+select Country, replace(p1, '_density', '') || '_density' as param_type_1,
+       replace(p2, '_density', '') || '_density' as param_type_2,
+       upper(substr(replace(p1, '_density', ''), 1, 1)) || substr(replace(p1, '_density', ''), 2) || ' / ' ||
+       upper(substr(replace(p2, '_density', ''), 1, 1)) || substr(replace(p2, '_density', ''), 2) as Components,
+       looic, looic_se
+from lg9"""
+
+
+@register("looic_report", "M12 I16 I17 I18 G1",
+          with_views(_REPORT_SQL, ["lg9"], extra=_GRID_VIEWS, extra_deps=_GRID_DEPS), ["looic", "looic_se"])
+def q_looic_report(spark, sf_dir):
+    lb = looic_by_model(spark, sf_dir)
+    s1, s2 = rp.short_density(F.col("p1")), rp.short_density(F.col("p2"))
+    return lb.select(
+        "Country",
+        F.concat(s1, F.lit("_density")).alias("param_type_1"),  # I18: suffix as the LKO runs expect
+        F.concat(s2, F.lit("_density")).alias("param_type_2"),
+        rp.components_label(F.col("p1"), F.col("p2")).alias("Components"),
+        "looic", "looic_se",
+    )

@@ -94,3 +94,20 @@ def q_latest_run(spark, sf_dir):
 @register("rw_extension", "J17 E5")
 def q_rw_extension(spark, sf_dir):
     return lk.rw_extension(fx.draws(spark, sf_dir, C), C)
+
+
+_VINTAGE_SQL = """
+select r_name as Country, strftime(max(cast(o_orderdate as date)), '%Y-%m-%d') as HFD_date
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+     join region on n_regionkey = r_regionkey
+group by r_name"""
+
+
+@register("data_vintage", "A6", _VINTAGE_SQL)
+def q_data_vintage(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    geo = fx.geography(spark, sf_dir)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(geo), F.col("c_nationkey") == geo.n_nationkey)
+    # ISO text at the query edge (the operator returns a DATE)
+    return fl.data_vintage(j, "o_orderdate").withColumn("HFD_date", F.date_format("HFD_date", "yyyy-MM-dd"))
