@@ -38,10 +38,11 @@ def freeze_forecast(rates: DataFrame, cfg: CohortConfig, holdback: int | None =
     range) LEFT JOIN jump-off rates (C2); errors as the reference (quirk X22)."""
     h = cfg.T_holdback if holdback is None else holdback
     lo, hi = cfg.freeze_ages
+    # windows over the (small, cells-level) rates instead of a self-join: one pass
     r = rates.withColumn("Jump_off", F.max("Year").over(Window.partitionBy("Country")) - F.lit(h))
-    freeze = r.filter(F.col("Year") == F.col("Jump_off")).select("Country", "Age", F.col("Rate").alias("Rate_freeze"))
+    r = r.withColumn("Rate_freeze", F.max(F.when(F.col("Year") == F.col("Jump_off"), F.col("Rate")))
+                     .over(Window.partitionBy("Country", "Age")))
     a = r.filter((F.col("Year") > F.col("Jump_off")) & (F.col("Age") >= lo) & (F.col("Age") <= hi))
-    a = a.join(freeze, ["Country", "Age"], "left")
     bias = F.col("Rate_freeze") - F.col("Rate")
     e_births = F.col("Rate_freeze") * F.col("Exposure")
     bias_b = e_births - F.col("Births")

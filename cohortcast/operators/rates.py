@@ -32,6 +32,11 @@ def empirical_rates(expos: DataFrame, births: DataFrame, keys: list[str] | None
     return e.join(b, keys, "left").withColumn("Rate", ieee_div(F.col("Births"), F.col("Exposure")))
 
 
+def cell_rates(cells: DataFrame) -> DataFrame:
+    """B9 when births and exposure already share a row (one aggregate, no self-join)."""
+    return cells.withColumn("Rate", ieee_div(F.col("Births"), F.col("Exposure")))
+
+
 def clamp_age(age, first_age: int, last_age: int):
     """B1: ages below/above the observed range are folded into the edge ages."""
     return F.greatest(F.least(age, F.lit(last_age)), F.lit(first_age))

@@ -47,13 +47,16 @@ def predictive_table(draws: DataFrame, dispersion: DataFrame, observed: DataFram
 
 
 def forecast_filter(cfg: CohortConfig):
-    """B13 pushed before the densities: cells after the jump-off year (Year = Cohort + Age)."""
-    return lambda age: F.col("Cohort") + age > F.lit(cfg.jump_off)
+    """B13 pushed before the densities: held-back cells, jump-off < Year <= last observed
+    year (Year = Cohort + Age).  Cells beyond the last year have no exposure and every
+    scoring operator drops them, so their densities are never computed."""
+    return lambda age: (F.col("Cohort") + age > F.lit(cfg.jump_off)) & (F.col("Cohort") + age <= F.lit(cfg.last_year))
 
 
 def forecast_draws(cfg: CohortConfig):
-    """The same filter at draw level (before the age explode): Cohort + maximum_age > jump-off."""
-    return F.col("Cohort") + F.lit(cfg.maximum_age) > F.lit(cfg.jump_off)
+    """The same filter at draw level (before the age explode)."""
+    return ((F.col("Cohort") + F.lit(cfg.maximum_age) > F.lit(cfg.jump_off))
+            & (F.col("Cohort") + F.lit(cfg.minimum_age) <= F.lit(cfg.last_year)))
 
 
 def log_mean_exp(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

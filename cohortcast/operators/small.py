@@ -24,3 +24,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     m = df.checkpoint(eager=True)
     n = m.count()
     return F.broadcast(m) if n <= max_rows else m
+
+
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def small_table(spark, key: tuple, build, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """``small_side`` of ``build()`` materialised once per application and key (the same
+    derived table serves every query of a session; data files are immutable inputs)."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _MEMO:
+        _MEMO[k] = small_side(build(), max_rows)
+    return _MEMO[k]

@@ -198,7 +198,7 @@ def q_interval_scores(spark, sf_dir):
 
 
 def _asfr_panels(spark, sf_dir):
-    cells = fx.cells(spark, sf_dir)
+    cells = fx.cells_checkpointed(spark, sf_dir)
     asfr = cells.select("Country", "Cohort", F.col("Age").alias("ARDY"), "Year",
                         (F.col("Births") / F.col("Exposure")).alias("ASFR"))
     expos = cells.select("Country", "Cohort", F.col("Age").alias("ARDY"), "Year", "Exposure")

@@ -8,7 +8,7 @@ from ..config import FIXTURE as C
 from ..operators import likelihood as lk
 from ..operators import loo
 from ..operators.small import small_side
-from .q_prep import obs_table
+from .q_prep import obs_table, small_obs
 from .q_scoring import _LL_DEPS, _LL_VIEWS, _LKO_VALUES, _ll_select, lko_fixture, loglik_df
 from .registry import register
 from .views_sql import with_views
@@ -73,7 +73,7 @@ def q_psis_summary(spark, sf_dir):
 
 @register("loo_diagnostics", "M5 M6 D28")
 def q_loo_diagnostics(spark, sf_dir):
-    return loo.loo_diagnostics(loo.psis_loo(ll_variable(spark, sf_dir)), small_side(obs_table(spark, sf_dir, True)), C)
+    return loo.loo_diagnostics(loo.psis_loo(ll_variable(spark, sf_dir)), small_obs(spark, sf_dir), C)
 
 
 _NN = """
@@ -85,7 +85,7 @@ group by a.Country, a.i"""
 
 
 def dropped_obs(spark, sf_dir):
-    obs = small_side(obs_table(spark, sf_dir, True))
+    obs = small_obs(spark, sf_dir)
     return obs.join(F.broadcast(dropped_points(spark)), ["Country", "i"])
 
 
@@ -136,6 +136,6 @@ _ISL_INNER = _ISL.replace("from ll) x", f"""from ll where exists (select 1 from
 
 @register("is_loo_inner_ages", "J18 M2", _v(_ISL_INNER, ["ll", "obs"]), ["lpd", "elpd_is", "p_is"])
 def q_is_loo_inner_ages(spark, sf_dir):
-    obs = small_side(obs_table(spark, sf_dir, True)).filter(
+    obs = small_obs(spark, sf_dir).filter(
         (F.col("Age_i") > _INNER_LO) & (F.col("Age_i") < _INNER_HI)).select("Country", "i")
     return loo.is_loo(ll_variable(spark, sf_dir).join(obs, ["Country", "i"], "left_semi"))

@@ -10,22 +10,27 @@ from .registry import register
 from .views_sql import with_views
 
 
-def emp_rates(spark, sf_dir, materialized: bool = False):
-    return rates.empirical_rates(fx.exposure_table(spark, sf_dir, materialized),
-                                 fx.births_table(spark, sf_dir, materialized))
+def emp_rates(spark, sf_dir, materialized: bool = True):
+    """Observed rates.  Births and exposure of the fixture live in one aggregate, so the
+    default reads the once-materialised cells and divides in the row; the C1 left join
+    of two separately landed tables is exercised by ``empirical_rate``/``landed_rates``."""
+    if materialized:
+        return rates.cell_rates(fx.cells_checkpointed(spark, sf_dir)).select(
+            "Country", "Year", "Age", "Cohort", "Exposure", "Births", "Rate")
+    return rates.empirical_rates(fx.exposure_table(spark, sf_dir), fx.births_table(spark, sf_dir))
 
 
-def obs_table(spark, sf_dir, materialized: bool = False):
+def obs_table(spark, sf_dir, materialized: bool = True):
     return prep.model_obs(fx.births_table(spark, sf_dir, materialized), C)
 
 
-def expo_grid(spark, sf_dir, materialized: bool = False):
+def expo_grid(spark, sf_dir, materialized: bool = True):
     return prep.exposure_grid(fx.exposure_table(spark, sf_dir, materialized), C)
 
 
 @register("empirical_rate", "C1 B9", with_views("select * from rates", ["rates"]), ["Exposure", "Births", "Rate"])
 def q_empirical_rate(spark, sf_dir):
-    return emp_rates(spark, sf_dir)
+    return emp_rates(spark, sf_dir, materialized=False)
 
 
 @register("birth_totals_clamped", "B1 D1", with_views("select * from births_c", ["births_c"]), ["Births"])
@@ -72,12 +77,12 @@ def q_period_window_obs(spark, sf_dir):
 
 @register("dispersion_index", "J1 B8 D19", with_views("select * from obs", ["obs"]))
 def q_dispersion_index(spark, sf_dir):
-    return obs_table(spark, sf_dir)
+    return obs_table(spark, sf_dir, materialized=False)
 
 
 @register("exposure_grid", "B7 C10 B10", with_views("select * from expo_grid", ["expo_grid"]), ["Exposure"])
 def q_exposure_grid(spark, sf_dir):
-    return expo_grid(spark, sf_dir)
+    return expo_grid(spark, sf_dir, materialized=False)
 
 
 _COHORTS = list(range(C.first_full_cohort, C.last_insample_cohort + 1))
@@ -132,3 +137,22 @@ from (select distinct Country from cells) c cross join {_TYPES} p1(p) cross join
 @register("run_spec_grid", "C13 I23", with_views(_RUNSPEC_SQL, ["cells"]))
 def q_run_spec_grid(spark, sf_dir):
     return prep.run_spec_grid(fx.cells(spark, sf_dir).select("Country"), C)
+
+
+# size-checked, once-per-session small sides of the draw-level joins
+def small_obs(spark, sf_dir):
+    from ..operators.small import small_table
+
+    return small_table(spark, ("obs", sf_dir), lambda: obs_table(spark, sf_dir, True))
+
+
+def small_grid(spark, sf_dir):
+    from ..operators.small import small_table
+
+    return small_table(spark, ("expo_grid", sf_dir), lambda: expo_grid(spark, sf_dir, True))
+
+
+def small_rates(spark, sf_dir):
+    from ..operators.small import small_table
+
+    return small_table(spark, ("rates", sf_dir), lambda: emp_rates(spark, sf_dir, True))

@@ -18,7 +18,7 @@ from . import q_comparators as qc
 from . import q_scoring as qs
 from .q_diagnostics import long_draws, rhat_sql, _RH_DEPS
 from .q_draws import DENS_SQL, DRAWS_LONG_SQL
-from .q_prep import emp_rates, expo_grid, obs_table
+from .q_prep import emp_rates, expo_grid, obs_table, small_grid, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 
@@ -173,7 +173,7 @@ _GRID_DEPS = {"rd9": ["draws"], "eb9": ["rd9", "expo_grid"], "ll9": ["eb9", "obs
 def looic_by_model(spark, sf_dir):
     pairs = F.array(*[F.struct(F.lit(a).alias("p1"), F.lit(b).alias("p2")) for a, b in PAIRS])
     d = fx.draws(spark, sf_dir, C).select("*", F.explode(pairs).alias("m")).select("*", "m.p1", "m.p2").drop("m")
-    ll = lk.loglik(d, small_side(expo_grid(spark, sf_dir, True)), small_side(obs_table(spark, sf_dir, True)),
+    ll = lk.loglik(d, small_grid(spark, sf_dir), small_obs(spark, sf_dir),
                    fx.dispersion(spark, sf_dir, C), C, "variable", None, model_keys=("p1", "p2"))
     keys = ("Country", "p1", "p2")
     pw = loo.is_loo(ll, keys)
@@ -307,7 +307,7 @@ def reassess_after_discard(spark, sf_dir, runs):
     todo = runs.filter(~F.col("converged_rhat")).select(F.col("country").alias("Country")).join(drop, "Country")
     draws = fx.draws(spark, sf_dir, C).join(F.broadcast(todo), "Country").filter(F.col("Chain") != F.col("drop_chain"))
     pred = sc.predictive_table(draws.drop("drop_chain"), fx.dispersion(spark, sf_dir, C),
-                               small_side(emp_rates(spark, sf_dir, True)), C, qs.PF,
+                               small_rates(spark, sf_dir), C, qs.PF,
                                age_filter=sc.forecast_filter(C), draw_filter=sc.forecast_draws(C))
     es = sc.error_summary(sc.central_errors(pred, C))
     return es.select(F.col("Country").alias("country"), F.lit(qs.PF[0]).alias("param_type_1"),

@@ -13,7 +13,7 @@ from ..operators import scoring as sc
 from ..operators.small import small_side
 from ..sources import fixtures as fx
 from .q_draws import rate_draws_sql
-from .q_prep import emp_rates, expo_grid, obs_table
+from .q_prep import emp_rates, expo_grid, obs_table, small_grid, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 
@@ -75,7 +75,7 @@ def ll_sql(variant: str) -> str:
 def loglik_df(spark, sf_dir, variant: str):
     draws = fx.draws(spark, sf_dir, C)
     disp = None if variant == "poisson" else fx.dispersion(spark, sf_dir, C)
-    return lk.loglik(draws, small_side(expo_grid(spark, sf_dir, True)), small_side(obs_table(spark, sf_dir, True)), disp, C,
+    return lk.loglik(draws, small_grid(spark, sf_dir), small_obs(spark, sf_dir), disp, C,
                      dispersion=variant, param_func=PF)
 
 
@@ -170,7 +170,7 @@ def _pt(sql: str, views: list[str]) -> str:
 def predictive(spark, sf_dir, forecast_only: bool = False):
     draws = fx.draws(spark, sf_dir, C)
     disp = fx.dispersion(spark, sf_dir, C)
-    obs = small_side(emp_rates(spark, sf_dir, True))
+    obs = small_rates(spark, sf_dir)
     if forecast_only:
         return sc.predictive_table(draws, disp, obs, C, PF, age_filter=sc.forecast_filter(C),
                                    draw_filter=sc.forecast_draws(C))
