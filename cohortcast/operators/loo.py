@@ -21,12 +21,20 @@ from pyspark.sql import types as T
 
 from ..config import CohortConfig
 from .diagnostics import ess_chains
+from ..session import ensure_checkpoint_dir
 from .small import small_side
 
 
-def log_mean_exp_cols(df: DataFrame, keys: list[str], values: dict) -> DataFrame:
-    """log(mean(exp(v))) per group for several value Columns in two partial passes."""
+def log_mean_exp_cols(df: DataFrame, keys: list[str], values: dict, materialize: bool = True) -> DataFrame:
+    """log(mean(exp(v))) per group for several value Columns in two partial passes.
+
+    The narrow input (keys + values) is checkpointed first when ``materialize``: the
+    pointwise log likelihood is expensive to rebuild (density pipeline over every draw)
+    and both passes read it; the checkpoint also cuts the lineage for executor loss."""
     cols = df.select(*keys, *[e.alias(c) for c, e in values.items()])
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        cols = cols.checkpoint(eager=True)
     m = small_side(cols.groupBy(*keys).agg(*[F.max(c).alias(f"_m_{c}") for c in values], F.count(F.lit(1)).alias("_n")))
     j = cols.join(m, keys)
     aggs = []

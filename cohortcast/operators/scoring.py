@@ -21,6 +21,7 @@ from ..functions import special
 from ..functions.numeric import ieee_div, lit_d, ln, nb_lpmf, r_mean
 from .draws import rate_draws
 from .likelihood import dispersion_maps
+from ..session import ensure_checkpoint_dir
 from .small import small_side
 
 CELL = ["Country", "Age", "Cohort"]
@@ -62,6 +63,9 @@ def forecast_draws(cfg: CohortConfig):
 def log_mean_exp(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """log(mean(exp(x))) per group in two partial-aggregation passes (max, then the
     shifted sum); the max table has one row per group and is broadcast back."""
+    # the narrow scored table is read by both passes: materialise it once (lineage cut)
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.select(*keys, value).checkpoint(eager=True)
     # one row per group: broadcast only after the size check
     m = small_side(df.groupBy(*keys).agg(F.max(value).alias("_m"), F.count(F.lit(1)).alias("_n")))
     j = df.join(m, keys)
