@@ -36,18 +36,21 @@ select r_name as Country, Sim, 1 + cast(floor(Sim/{per_chain}) as int) as Chain,
   4e0 + 2e0*{_u(4, 'Sim', 'Cohort')} as sd_1,
   4e0 + 2e0*{_u(5, 'Sim', 'Cohort')} as sd_2,
   2e0*{_u(6, 'Sim', 'Cohort')} - 1e0 as logit_mixture
-from region cross join (select range as Sim from range(0,{c.n_draws})) a
-     cross join (select range as Cohort from range({c.first_full_cohort},{c.first_full_cohort + c.T_total})) b"""
+from region join (select distinct Country as bc, cast(Cohort as bigint) as Cohort from cells
+                  where Cohort between {c.first_full_cohort} and {c.first_full_cohort + c.T_total - 1}) b on r_name = b.bc
+     cross join (select range as Sim from range(0,{c.n_draws})) a"""
     v["dispersion"] = f"""
 select r_name as Country, Sim, Age, 2e0 + 20e0*{_u(7, 'Sim', 'Age')} as Dispersion
-from region cross join (select range as Sim from range(0,{c.n_draws})) a
-     cross join (select range as Age from range({c.first_data_age},{c.last_data_age + 1})) b"""
+from region join (select distinct Country as bc, cast(Age as bigint) as Age from cells
+                  where Age between {c.first_data_age} and {c.last_data_age}) b on r_name = b.bc
+     cross join (select range as Sim from range(0,{c.n_draws})) a"""
     v["sampler_params"] = f"""
 select r_name as Country, 1 + cast(floor(Sim/{per_chain}) as int) as Chain, 1 + Sim % {per_chain} as Iter,
   case when {_u(8, 'Sim', '1')} < 0.01e0 then 1 else 0 end as divergent__,
   cast(6 + floor(7e0*{_u(9, 'Sim', '1')}) as int) as treedepth__,
   50e0 + 10e0*{_u(10, 'Sim', '1')} as energy__
-from region cross join (select range as Sim from range(0,{c.n_draws})) a"""
+from region join (select distinct Country as bc from cells) b on r_name = b.bc
+     cross join (select range as Sim from range(0,{c.n_draws})) a"""
     v["posterior_quantiles"] = f"""
 select Country, Cohort, Age as ARDY, Year, Births/Exposure as ASFR,
   (Births/Exposure)*(0.9e0 + 0.2e0*((Age*31+Cohort*17) % 11)/10e0) as ASFR_prediction,
@@ -93,9 +96,9 @@ left join (select Country, Age, Cohort, Exposure from cells
 VIEW_DEPS = {
     "cells": [],
     "rates": ["cells"],
-    "draws": [],
-    "dispersion": [],
-    "sampler_params": [],
+    "draws": ["cells"],
+    "dispersion": ["cells"],
+    "sampler_params": ["cells"],
     "posterior_quantiles": ["cells"],
     "births_c": ["cells"],
     "fitwin": ["births_c"],

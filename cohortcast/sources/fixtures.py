@@ -3,7 +3,8 @@
 * ``cells``     births and exposure by (Country, Year, Age, Cohort), aggregated
                 from lineitem x orders x customer x nation x region.  This is the
                 scan-heavy view: it grows with the data.
-* ``draws``     wide posterior draws by (Country, Sim, Cohort).
+* ``draws``     wide posterior draws by (Country, Sim, Cohort); countries, cohorts
+                and ages come from the observed cells (``draw_domain``).
 * ``dispersion``dispersion draws by (Country, Sim, Age).
 * ``sampler_params`` per-iteration sampler diagnostics.
 * ``posterior_quantiles`` comparator posterior derived from ``cells``.
@@ -88,11 +89,33 @@ def draw_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def draw_domain(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
+    """Per country observed in the data: region key, the model's cohorts and the observed
+    ages present in the cells (one row per country, size-checked and memoised)."""
+    from ..operators.small import small_table
+
+    def build():
+        c = cells_checkpointed(spark, sf_dir)
+        first, last = cfg.first_full_cohort, cfg.first_full_cohort + cfg.T_total - 1
+        dom = c.groupBy("Country").agg(
+            F.array_sort(F.collect_set(F.when(F.col("Cohort").between(first, last), F.col("Cohort").cast("bigint"))))
+            .alias("cohorts"),
+            F.array_sort(F.collect_set(F.when(F.col("Age").between(cfg.first_data_age, cfg.last_data_age),
+                                              F.col("Age").cast("bigint")))).alias("ages"),
+        )
+        r = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("Country"), F.col("r_regionkey").alias("rk"))
+        return r.join(dom, "Country")
+
+    key = ("draw_domain", sf_dir, cfg.first_full_cohort, cfg.T_total, cfg.first_data_age, cfg.last_data_age)
+    return small_table(spark, key, build)
+
+
 def _draw_keys(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
-    """(Country, rk, Sim, Chain, Iter) for every draw, hash-partitioned by (Country, Sim)."""
-    r = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("Country"), F.col("r_regionkey").alias("rk"))
+    """(Country, rk, Sim, Chain, Iter, cohorts, ages) for every draw, hash-partitioned by (Country, Sim)."""
+    dom = draw_domain(spark, sf_dir, cfg)
     per_chain = cfg.iters_per_chain
-    keys = r.select("Country", "rk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.n_draws - 1).cast("bigint"))).alias("Sim"))
+    keys = dom.select("Country", "rk", "cohorts", "ages",
+                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.n_draws - 1).cast("bigint"))).alias("Sim"))
     # explicit partition count: AQE would otherwise coalesce this (tiny) draw-key shuffle
     # into one partition and run the whole draw x age expansion in a single task
     n_parts = draw_partitions(spark)
@@ -102,16 +125,15 @@ def _draw_keys(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame
         "Sim",
         (F.lit(1) + F.floor(F.col("Sim") / F.lit(per_chain)).cast("int")).alias("Chain"),
         (F.lit(1) + F.col("Sim") % F.lit(per_chain)).alias("Iter"),
+        "cohorts",
+        "ages",
     )
 
 
 def draws(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
-    """Wide posterior draws: one row per (Country, Sim, Cohort)."""
+    """Wide posterior draws: one row per (Country, Sim, Cohort) for the model's cohorts."""
     keys = _draw_keys(spark, sf_dir, cfg)
-    first = cfg.first_full_cohort
-    d = keys.select(
-        "*", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + cfg.T_total - 1).cast("bigint"))).alias("Cohort")
-    )
+    d = keys.select("Country", "rk", "Sim", "Chain", "Iter", F.explode("cohorts").alias("Cohort"))
     s, c, rk = F.col("Sim"), F.col("Cohort"), F.col("rk")
     return d.select(
         "Country",
@@ -131,10 +153,7 @@ def draws(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> Data
 def dispersion(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
     """Dispersion draws by observed age: one row per (Country, Sim, Age)."""
     keys = _draw_keys(spark, sf_dir, cfg)
-    d = keys.select(
-        "Country", "rk", "Sim",
-        F.explode(F.sequence(F.lit(cfg.first_data_age).cast("bigint"), F.lit(cfg.last_data_age).cast("bigint"))).alias("Age"),
-    )
+    d = keys.select("Country", "rk", "Sim", F.explode("ages").alias("Age"))
     return d.select(
         "Country", "Sim", "Age",
         (F.lit(2.0) + F.lit(20.0) * _u(7, F.col("Sim"), F.col("Age"), F.col("rk"))).alias("Dispersion"),

@@ -51,3 +51,14 @@ def test_spline_rows_sum_to_one(spark):
     cols = [basis_value(F.col("x"), F.lit(j), F.lit(1.0), F.lit(float(n))).alias(f"b{j}") for j in range(1, 9)]
     pdf = df.select(*cols).toPandas()
     assert (pdf.sum(axis=1) - 1.0).abs().max() < 1e-12
+
+
+def test_dispersion_from_spline_basis(spark):
+    from cohortcast.operators.likelihood import dispersion_from_basis
+
+    basis = spark.createDataFrame([("A", 1, 1, 0.25), ("A", 1, 2, 0.75), ("A", 2, 1, 1.0), ("A", 2, 2, 0.0)],
+                                  "Country string, Age_i int, k int, value double")
+    beta = spark.createDataFrame([("A", 0, 1, 0.4), ("A", 0, 2, -0.8)], "Country string, Sim long, k int, beta double")
+    got = {r["Age_i"]: r["Dispersion"] for r in dispersion_from_basis(basis, beta).collect()}
+    assert got[1] == pytest.approx(1 + math.exp(0.25 * 0.4 - 0.75 * 0.8))
+    assert got[2] == pytest.approx(1 + math.exp(0.4))

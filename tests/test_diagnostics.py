@@ -73,3 +73,34 @@ def test_ess_autocorrelated_smaller():
     for t in range(1, len(e)):
         x[t] = 0.9 * x[t - 1] + e[t]
     assert dg.ess_chains(x) < 1500
+
+
+def _verdicts(spark, conv: dict, elpd: dict | None = None):
+    rows = [("X", k, v) for k, v in conv.items()]
+    v = spark.createDataFrame(rows, "Country string, subset string, converged boolean")
+    e = spark.createDataFrame([("X", k, float(x)) for k, x in (elpd or {}).items()] or [("X", "none", 0.0)],
+                              "Country string, subset string, elpd double")
+    return dg.chain_choice(v, e, FIXTURE).collect()[0]
+
+
+def test_chain_choice_drop_one(spark):
+    conv = {f"drop_{c}": c == 3 for c in range(1, 5)}
+    r = _verdicts(spark, conv)
+    assert (r["decision"], r["discard_chains"], r["keep_chains"]) == ("drop_one", "3", "1_2_4")
+
+
+def test_chain_choice_pairs_and_loo(spark):
+    conv = {f"drop_{c}": False for c in range(1, 5)}
+    conv.update({"without_1_2": True, "pair_1_2": True, "without_1_3": False, "pair_1_3": False,
+                 "without_1_4": False, "pair_1_4": False})
+    better_pair = _verdicts(spark, conv, {"pair_1_2": -10.0, "without_1_2": -20.0})
+    assert (better_pair["decision"], better_pair["discard_chains"]) == ("compare_loo", "3_4")
+    worse_pair = _verdicts(spark, conv, {"pair_1_2": -30.0, "without_1_2": -20.0})
+    assert worse_pair["discard_chains"] == "1_2"
+
+
+def test_chain_choice_none(spark):
+    conv = {f"drop_{c}": False for c in range(1, 5)}
+    conv.update({f"{p}_1_{j}": False for p in ("pair", "without") for j in (2, 3, 4)})
+    r = _verdicts(spark, conv)
+    assert r["decision"] == "none" and r["discard_chains"] is None
