@@ -25,9 +25,11 @@ def normal_quantiles() -> list[tuple[float, float]]:
     return [(q, nd.inv_cdf(q)) for q in SLOPE_QUANTILES]
 
 
-def _one_row_join(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row scalar table to every row (broadcast equi-join on a constant key)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one")
+def scalar(df: DataFrame, col: str):
+    """One aggregate value (a one-row, one-column result) brought to the driver as a
+    constant for the next plan — a number, never a data set."""
+    row = df.select(col).first()
+    return None if row is None else row[0]
 
 
 # ---------------------------------------------------------------- N1 freeze rate
@@ -180,7 +182,8 @@ def slope_quantiles(panel: DataFrame, cfg: CohortConfig) -> DataFrame:
     sig = slope_sigma2(slope_fit_time(panel, cfg, with_step=True))
     jo = panel.groupBy("Country").agg((F.max("Year") - F.lit(cfg.n_predict)).alias("jo"))
     qz = F.array(*[F.struct(F.lit(q).alias("Quantile"), F.lit(z).alias("z")) for q, z in normal_quantiles()])
-    f = _one_row_join(fit.join(jo, "Country"), sig.select("sigma2"))
+    sigma2 = scalar(sig, "sigma2")  # pooled innovation variance (N3), a single number
+    f = fit.join(jo, "Country").withColumn("sigma2", F.lit(sigma2).cast("double"))
     f = f.select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_predict))).alias("h"))
     kt = F.least(F.col("h"), F.lit(cfg.n_extrapolate)).cast("double")
     s2 = F.col("sigma2")

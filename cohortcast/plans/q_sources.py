@@ -84,8 +84,9 @@ def q_latest_run(spark, sf_dir):
         F.date_format(F.max("o_orderdate"), "yyyyMMdd_HHmmss").alias("last"),
     )
     # an older run without the n_cells column and the latest run with it (schemas merged on read)
-    old = cmp._one_row_join(summ, stamps.select(F.col("first").alias("run")))
-    new = cmp._one_row_join(summ.join(counts, "Country"), stamps.select(F.col("last").alias("run")))
+    first, last = cmp.scalar(stamps, "first"), cmp.scalar(stamps, "last")
+    old = summ.withColumn("run", F.lit(first))
+    new = summ.join(counts, "Country").withColumn("run", F.lit(last))
     fl.write_table(old, base, ["run"])
     new.write.mode("append").partitionBy("run").parquet(base)
     return fl.latest_run(spark, base).select("run", "Country", "RMSE_rate", "n_cells")
