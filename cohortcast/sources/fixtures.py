@@ -205,3 +205,17 @@ def exposure_table(spark: SparkSession, sf_dir: str, materialized: bool = False)
     """Exposure extract (T2 shape) taken from ``cells``."""
     c = cells_checkpointed(spark, sf_dir) if materialized else cells(spark, sf_dir)
     return c.select("Country", "Year", "Age", "Cohort", "Exposure")
+
+
+def register_views(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> list[str]:
+    """Expose the fixture views to Spark SQL (``spark.sql("select ... from draws")``)."""
+    views = {
+        "cells": cells(spark, sf_dir),
+        "draws": draws(spark, sf_dir, cfg),
+        "dispersion": dispersion(spark, sf_dir, cfg),
+        "sampler_params": sampler_params(spark, sf_dir, cfg),
+        "posterior_quantiles": posterior_quantiles(spark, sf_dir, cfg),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return list(views)

@@ -38,3 +38,14 @@ def test_fold_search_deterministic_across_partitions(spark):
     a = sorted(tuple(r) for r in loo.lko_folds(df.repartition(1), C).collect())
     b = sorted(tuple(r) for r in loo.lko_folds(df.repartition(8), C).collect())
     assert a == b
+
+
+def test_sql_views_registered(spark):
+    from cohortcast.sources.fixtures import register_views
+
+    from .conftest import SF_SMALL
+
+    register_views(spark, SF_SMALL)
+    n = spark.sql("select count(*) from draws d join cells c on d.Country = c.Country and d.Cohort = c.Cohort "
+                  "where c.Year = 1999").collect()[0][0]
+    assert n > 0
