@@ -67,7 +67,9 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
     if dispersion == "poisson":
         ll = poisson_lpmf(y, mu)
     else:
-        o = o.join(disp_maps, ["Country", "Sim"])
+        # co-partitioned on (Country, Sim); the hint keeps the per-draw maps as the build
+        # side (size estimates of exploded inputs are too low to pick a side by stats)
+        o = o.join(disp_maps.hint("shuffle_hash"), ["Country", "Sim"])
         if dispersion == "constant":
             disp = F.element_at(F.col("dmap"), F.lit(cfg.first_data_age))
         elif dispersion in ("variable", "var_unsmooth"):

@@ -34,7 +34,8 @@ def predictive_table(draws: DataFrame, dispersion: DataFrame, observed: DataFram
 
     ``observed`` holds (Country, Year, Age, Cohort, Births, Exposure, Rate)."""
     d = draws if draw_filter is None else draws.filter(draw_filter)
-    d = d.join(dispersion_maps(dispersion), ["Country", "Sim"])  # co-partitioned on (Country, Sim)
+    # co-partitioned on (Country, Sim); the maps are the build side
+    d = d.join(dispersion_maps(dispersion).hint("shuffle_hash"), ["Country", "Sim"])
     r = rate_draws(d, cfg, param_func, keep=["dmap"], age_filter=age_filter)
     r = r.select("*", F.element_at("dmap", F.col("Age")).alias("Dispersion")).drop("dmap")
     r = r.filter(F.col("Dispersion").isNotNull() & ~F.isnan("Dispersion") & ~F.isnan("Rate")

@@ -29,10 +29,18 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
 _MEMO: dict[tuple, DataFrame] = {}
 
 
-def small_table(spark, key: tuple, build, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def small_table(spark, key: tuple, build, max_rows: int = BROADCAST_ROW_LIMIT, broadcast: bool = True) -> DataFrame:
     """``small_side`` of ``build()`` materialised once per application and key (the same
-    derived table serves every query of a session; data files are immutable inputs)."""
-    k = (spark.sparkContext.applicationId, *key)
+    derived table serves every query of a session; data files are immutable inputs).
+
+    ``broadcast=False`` for tables that are not a join side (e.g. the base of a
+    generator): a broadcast hint would travel up through the generators and make the
+    *expanded* side look hinted at the next join."""
+    k = (spark.sparkContext.applicationId, broadcast, *key)
     if k not in _MEMO:
-        _MEMO[k] = small_side(build(), max_rows)
+        if broadcast:
+            _MEMO[k] = small_side(build(), max_rows)
+        else:
+            ensure_checkpoint_dir(spark)
+            _MEMO[k] = build().checkpoint(eager=True)
     return _MEMO[k]

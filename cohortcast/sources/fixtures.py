@@ -107,7 +107,7 @@ def draw_domain(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -
         return r.join(dom, "Country")
 
     key = ("draw_domain", sf_dir, cfg.first_full_cohort, cfg.T_total, cfg.first_data_age, cfg.last_data_age)
-    return small_table(spark, key, build)
+    return small_table(spark, key, build, broadcast=False)
 
 
 def _draw_keys(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
