@@ -63,21 +63,14 @@ _RL_TAIL = (qc._FREEZE_CTE + qc._SLOPE_CTE + qs._CE_SQL + f"""
 _RL = _base(["pxc", "rates", "posterior_quantiles"]) + _RL_TAIL
 
 
-@register("rmse_table", "P1 G1 H4 I15", _RL + "\nselect * from (pivot rl on Country using first(RMSE) group by Method)")
-def q_rmse_table(spark, sf_dir):
-    return rp.pivot_countries(rmse_long(spark, sf_dir), "RMSE")
-
-
-# the pivot's country columns are data, so their double list is not known statically:
-# the rounding of that query covers every double column found in the DuckDB result
-def _rmse_table_sql(q) -> str:
-    inner = q.sql
-    return f"WITH __t AS ({inner})\nSELECT Method, round(COLUMNS(* EXCLUDE (Method)), {q.digits}) + 0.0e0 FROM __t"
+# the pivot's country columns come from the data, so the SQL rounds every column but Method
+_RMSE_TABLE_SQL = ("WITH __t AS (" + _RL + "\nselect * from (pivot rl on Country using first(RMSE) group by Method))\n"
+                   "SELECT Method, round(COLUMNS(* EXCLUDE (Method)), 6) + 0.0e0 FROM __t")
 
 
-from .registry import REGISTRY  # noqa: E402
-
-REGISTRY["rmse_table"].oracle = lambda q=REGISTRY["rmse_table"]: _rmse_table_sql(q)  # type: ignore[method-assign]
+@register("rmse_table", "P1 G1 H4 I15", _RMSE_TABLE_SQL, sql_rounded=True)
+def q_rmse_table(spark, sf_dir):
+    return rp.pivot_countries(rmse_long(spark, sf_dir), "RMSE")
 
 
 @register("rmse_best", "P2 D29 F3 I21",

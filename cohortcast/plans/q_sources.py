@@ -15,6 +15,7 @@ from ..sources import files as fl
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import q_comparators as qc
+from .q_prep import _RUNSPEC_SQL
 from .registry import register
 from .views_sql import with_views
 
@@ -33,7 +34,7 @@ def q_landed_rates(spark, sf_dir):
 _RUNSPEC_CSV_SQL = """
 select param_type_1, param_type_2, model_name, country, dispersion, base_config,
        cast(row_number() over (order by country, param_type_1, param_type_2, model_name, dispersion) as int) as run_id
-from (""" + __import__("cohortcast.plans.q_prep", fromlist=["_RUNSPEC_SQL"])._RUNSPEC_SQL + ") g"
+from (""" + _RUNSPEC_SQL + ") g"
 
 
 @register("run_spec_csv", "A8 A9 C13 I23", with_views(_RUNSPEC_CSV_SQL, ["cells"]))

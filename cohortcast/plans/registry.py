@@ -28,6 +28,7 @@ class Query:
     digits: int = DEFAULT_DIGITS
     overrides: dict[str, int] = field(default_factory=dict)
     ops: str = ""
+    sql_rounded: bool = False  # the SQL already rounds its double columns (data-dependent column sets)
 
     def spark_df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return finalize(self.build(spark, sf_dir), self.digits, self.overrides)
@@ -35,6 +36,8 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
+        if self.sql_rounded:
+            return self.sql
         return sql_round(self.sql, self.doubles, self.digits, self.overrides)
 
 
@@ -42,9 +45,9 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, ops: str = "", sql: str | None = None, doubles: list[str] | None = None,
-             digits: int = DEFAULT_DIGITS, overrides: dict[str, int] | None = None):
+             digits: int = DEFAULT_DIGITS, overrides: dict[str, int] | None = None, sql_rounded: bool = False):
     def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = Query(name, fn, sql, list(doubles or []), digits, dict(overrides or {}), ops)
+        REGISTRY[name] = Query(name, fn, sql, list(doubles or []), digits, dict(overrides or {}), ops, sql_rounded)
         return fn
 
     return deco
