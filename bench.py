@@ -59,6 +59,16 @@ def main() -> None:
     n_rows = rd.agg(F.count(F.lit(1)).alias("n"), F.sum("Rate").alias("s")).collect()[0]["n"]
     rd_sec = time.time() - t0
 
+    # likelihood throughput (J14): pointwise log likelihood at n_draws draws
+    from cohortcast.operators.likelihood import loglik
+    from cohortcast.plans.q_prep import small_grid, small_obs
+
+    ll = loglik(fx.draws(spark, sf_dir, cfg), small_grid(spark, sf_dir), small_obs(spark, sf_dir),
+                fx.dispersion(spark, sf_dir, cfg), cfg, "variable", ("gamma_density", "weibull_density"))
+    t0 = time.time()
+    n_ll = ll.agg(F.count(F.lit(1)).alias("n"), F.sum("ll").alias("s")).collect()[0]["n"]
+    ll_sec = time.time() - t0
+
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     print(json.dumps({
         "metric": "total_query_seconds",
@@ -69,6 +79,8 @@ def main() -> None:
         "cpus": cpus,
         "rate_draw_rows": int(n_rows),
         "rate_draw_rows_per_sec": round(n_rows / rd_sec, 1),
+        "loglik_rows": int(n_ll),
+        "loglik_sec": round(ll_sec, 3),
     }))
     spark.stop()
 

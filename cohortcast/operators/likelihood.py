@@ -87,7 +87,11 @@ def loglik(draws: DataFrame, expos_grid: DataFrame, obs: DataFrame, dispersion_d
            cfg: CohortConfig, dispersion: str = "variable", param_func: tuple[str, str] | None = None,
            model_keys: tuple[str, ...] = ()) -> DataFrame:
     """Pointwise log likelihood.  With ``model_keys`` (e.g. ("p1", "p2")) the draws carry
-    the model's density names as columns and all models are evaluated in one job."""
+    the model's density names as columns and all models are evaluated in one job.
+
+    ``expos_grid`` and ``obs`` are the small sides: pass them through
+    ``operators.small.small_side`` (size-checked broadcast); the exploded draw side must
+    never be chosen as a build side on (under-estimated) statistics."""
     eb = expected_births(draws, expos_grid, cfg, param_func, model_keys)
     maps = None if dispersion == "poisson" else dispersion_maps(dispersion_draws)
     return pointwise_loglik(eb, obs, maps, dispersion, cfg, model_keys)
