@@ -165,7 +165,7 @@ def run_spec_grid(
     model_names: tuple[str, ...] = ("mixture",),
     dispersions: tuple[str, ...] = ("variable",),
     exclude_dupls: bool = False,
-    base_config: str = "config/model/base_hb.yaml",
+    base_config: str = "model_base.yaml",
 ) -> DataFrame:
     """C13 + I23: every combination of the run dimensions, then the run spec overlaid
     on the base model config (spec values win; ``param_func`` = [p1, p2])."""

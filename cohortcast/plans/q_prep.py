@@ -128,7 +128,7 @@ def q_spline_basis(spark, sf_dir):
 _TYPES = "(values ('gamma_density'), ('weibull_density'), ('hadwiger_density'))"
 _RUNSPEC_SQL = f"""
 select p1.p as param_type_1, p2.p as param_type_2, 'mixture' as model_name, c.Country as country,
-       'variable' as dispersion, 'config/model/base_hb.yaml' as base_config, 'mixture' as model,
+       'variable' as dispersion, 'model_base.yaml' as base_config, 'mixture' as model,
        '{C.time_dimension}' as time_dimension, {C.minimum_age} as minimum_age, {C.maximum_age} as maximum_age,
        {C.T_holdback} as T_holdback, {C.T_forecast} as T_forecast, p1.p || ',' || p2.p as param_func
 from (select distinct Country from cells) c cross join {_TYPES} p1(p) cross join {_TYPES} p2(p)"""

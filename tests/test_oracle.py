@@ -37,3 +37,13 @@ def test_every_query_has_oracle_or_is_rows_only():
     rows_only = {n for n, q in all_queries().items() if q.oracle() is None}
     assert rows_only <= {"predictive_sampled", "rw_extension", "ess", "psis_loo", "psis_summary", "loo_diagnostics",
                          "lko_folds", "lko_runs", "chain_choice"}
+
+
+ROWS_ONLY = ["predictive_sampled", "rw_extension", "ess", "psis_loo", "psis_summary", "loo_diagnostics",
+             "lko_folds", "lko_runs", "chain_choice"]
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_queries_run(spark, name):
+    df = all_queries()[name].spark_df(spark, SF_SMALL)
+    assert df.count() > 0
