@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..config import FIXTURE as C
 from ..operators import likelihood as lk
 from ..operators import loo
-from ..operators.small import small_side
-from .q_prep import obs_table, small_obs
+from .q_prep import small_obs
 from .q_scoring import _LL_DEPS, _LL_VIEWS, _LKO_VALUES, _ll_select, lko_fixture, loglik_df
 from .registry import register
 from .views_sql import with_views

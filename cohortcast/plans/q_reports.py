@@ -18,7 +18,7 @@ from . import q_comparators as qc
 from . import q_scoring as qs
 from .q_diagnostics import long_draws, rhat_sql, _RH_DEPS
 from .q_draws import DENS_SQL, DRAWS_LONG_SQL
-from .q_prep import emp_rates, expo_grid, obs_table, small_grid, small_obs, small_rates
+from .q_prep import emp_rates, small_grid, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 

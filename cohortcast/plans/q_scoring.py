@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from ..config import FIXTURE as C
 from ..operators import likelihood as lk
 from ..operators import scoring as sc
-from ..operators.small import small_side
 from ..sources import fixtures as fx
 from .q_draws import rate_draws_sql
-from .q_prep import emp_rates, expo_grid, obs_table, small_grid, small_obs, small_rates
+from .q_prep import small_grid, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 
