@@ -4,7 +4,8 @@ computed, nothing collected to the driver).
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_QUERIES ("headline" (default), "all", or a comma-separated list),
-BENCH_DRAWS (draws for the rate-throughput probe, default 1000).
+BENCH_DRAWS (draws for the rate-throughput probe, default 1000),
+BENCH_REPEAT (runs per query, the median is reported; default 1).
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     which = os.environ.get("BENCH_QUERIES", "headline")
     n_draws = int(os.environ.get("BENCH_DRAWS", "1000"))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "1")))
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="cohortcast-bench")
     reg = all_queries()
     names = list(reg) if which == "all" else HEADLINE if which == "headline" else which.split(",")
@@ -47,10 +49,13 @@ def main() -> None:
     times: dict[str, float] = {}
     t_all = time.time()
     for name in names:
-        t0 = time.time()
-        reg[name].spark_df(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
-    total = time.time() - t_all
+        runs = []
+        for _ in range(repeat):
+            t0 = time.time()
+            reg[name].spark_df(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - t0)
+        times[name] = round(sorted(runs)[len(runs) // 2], 3)
+    total = sum(times.values()) if repeat > 1 else time.time() - t_all
 
     # rate-draw throughput (J11): n_draws x 50 cohorts x 50 ages x 5 countries rows
     cfg = FIXTURE.with_(n_draws=n_draws)
@@ -77,6 +82,7 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
+        "repeat": repeat,
         "rate_draw_rows": int(n_rows),
         "rate_draw_rows_per_sec": round(n_rows / rd_sec, 1),
         "loglik_rows": int(n_ll),
