@@ -201,3 +201,13 @@ def dispersion_from_basis(basis: DataFrame, beta: DataFrame) -> DataFrame:
     return j.groupBy("Country", "Sim", "Age_i").agg(
         (F.lit(1.0) + F.exp(F.sum(F.col("value") * F.col("beta")))).alias("Dispersion")
     )
+
+
+def dispersion_by_age(long: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """H7: dispersion draws stored per parameter name (``dispersion[k]``, k the observed
+    age index) -> (Country, Sim, Age, Dispersion) with Age = k + first_data_age - 1; a
+    single unindexed ``dispersion`` (constant variant) keeps Age NULL (joins on Sim only)."""
+    k = F.regexp_extract(F.col("param"), r"[0-9]+", 0)
+    age = F.when(k == "", F.lit(None).cast("int")).otherwise(k.cast("int") + F.lit(cfg.first_data_age - 1))
+    return long.filter(F.col("param").startswith("dispersion")).select(
+        "Country", "Sim", age.alias("Age"), F.col("value").alias("Dispersion"))

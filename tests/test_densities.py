@@ -62,3 +62,12 @@ def test_dispersion_from_spline_basis(spark):
     got = {r["Age_i"]: r["Dispersion"] for r in dispersion_from_basis(basis, beta).collect()}
     assert got[1] == pytest.approx(1 + math.exp(0.25 * 0.4 - 0.75 * 0.8))
     assert got[2] == pytest.approx(1 + math.exp(0.4))
+
+
+def test_dispersion_by_age_parses_index(spark):
+    from cohortcast.operators.likelihood import dispersion_by_age
+
+    long = spark.createDataFrame([("A", 1, "dispersion[1]", 3.0), ("A", 1, "dispersion[45]", 5.0), ("A", 1, "CEB[2]", 2.0)],
+                                 "Country string, Sim long, param string, value double")
+    got = {r["Age"]: r["Dispersion"] for r in dispersion_by_age(long, FIXTURE).collect()}
+    assert got == {FIXTURE.first_data_age: 3.0, FIXTURE.last_data_age: 5.0}
