@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import app_id, ensure_checkpoint_dir
 
 BROADCAST_ROW_LIMIT = 2_000_000
 
@@ -36,7 +36,7 @@ def small_table(spark, key: tuple, build, max_rows: int = BROADCAST_ROW_LIMIT, b
     ``broadcast=False`` for tables that are not a join side (e.g. the base of a
     generator): a broadcast hint would travel up through the generators and make the
     *expanded* side look hinted at the next join."""
-    k = (spark.sparkContext.applicationId, broadcast, *key)
+    k = (app_id(spark), broadcast, *key)
     if k not in _MEMO:
         if broadcast:
             _MEMO[k] = small_side(build(), max_rows)

@@ -215,9 +215,13 @@ def q_cohort_profiles(spark, sf_dir):
 # ------------------------------------------------------------------ K6/K7 run assessment, K8/K9 collation
 def run_assessment(spark, sf_dir):
     """K6 + K7: one row per run (here: per country for the gamma/Weibull variable model)."""
-    es = mixture_errors(spark, sf_dir)
-    score = sc.cell_log_score(qs.predictive(spark, sf_dir, forecast_only=True), C).groupBy("Country").agg(
-        F.sum("Score").alias("total_score"))
+    # the forecast predictive table feeds both the errors and the score: materialise it once
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    pred = qs.predictive(spark, sf_dir, forecast_only=True).checkpoint(eager=True)
+    es = sc.error_summary(sc.central_errors(pred, C))
+    score = sc.cell_log_score(pred, C).groupBy("Country").agg(F.sum("Score").alias("total_score"))
     rh = dg.split_rhat(long_draws(spark, sf_dir), C)
     flags = dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), rh, C)
     energy = dg.energy_flags(fx.sampler_params(spark, sf_dir, C)).groupBy("Country").agg(

@@ -75,9 +75,9 @@ def cells_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
     Used as the small side of draw-level joins: the scan-and-aggregate of the fact
     tables runs once, its lineage is cut (a lost executor re-reads the checkpoint,
     not lineitem), and the row count that guards the broadcast is cheap."""
-    from ..session import ensure_checkpoint_dir
+    from ..session import app_id, ensure_checkpoint_dir
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     if key not in _CELLS_MEMO:
         ensure_checkpoint_dir(spark)
         _CELLS_MEMO[key] = cells(spark, sf_dir).checkpoint(eager=True)
