@@ -211,10 +211,4 @@ def parameter_fans(draws: DataFrame, cfg: CohortConfig, axis: str = "Cohort",
         inv_logit(F.col("logit_mixture")).alias("Mixture"),
     )
     long = p.unpivot(["Country", "Sim", axis], ["CFS", "Mode_1", "Mode_2", "Sd_1", "Sd_2", "Mixture"], "param", "value")
-    q = long.groupBy("Country", "param", axis).agg(
-        F.percentile(F.col("value"), F.array(*[F.lit(x) for x in probs])).alias("qs")
-    )
-    return q.select("Country", "param", axis, F.posexplode("qs").alias("pos", "value")).select(
-        "Country", "param", axis, F.element_at(F.array(*[F.lit(x) for x in probs]), F.col("pos") + 1).alias("Quantile"),
-        "value",
-    )
+    return exact_quantiles(long, ["Country", "param", axis], "value", list(probs))
