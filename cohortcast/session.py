@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -62,3 +63,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), so that functions pickled by reference load
+    there wherever the session was started."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        sc = None
+    if app_id(spark) in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "cohortcast.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for base, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(base, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        if sc is not None:
+            sc.addPyFile(path)  # copied into the driver's file store
+        else:
+            spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app_id(spark))
+
+
+_SHIPPED: set[str] = set()
