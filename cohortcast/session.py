@@ -75,18 +75,17 @@ def ship_package(spark: SparkSession) -> None:
     if app_id(spark) in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "cohortcast.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for base, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(base, name)
-                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
-        if sc is not None:
-            sc.addPyFile(path)  # copied into the driver's file store
-        else:
-            spark.addArtifacts(path, pyfile=True)
+    path = os.path.join(tempfile.mkdtemp(prefix="cohortcast-ship-"), "cohortcast.zip")  # served for the whole session
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for base, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(app_id(spark))
 
 
