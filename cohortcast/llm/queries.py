@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, huffman
 from .common import read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +28,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written as Huffman-coded files and read back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = huffman.scratch_path(spark)
+    huffman.write_tokens(huffman.tokenize(docs, public_tokenizers.path(WORD_BPE), end_id=2, keep=["doc_id"]), path)
+    return huffman.read_tokens(spark, path).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
