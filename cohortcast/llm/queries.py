@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman
+from . import bpe, decontaminate, huffman
 from .common import read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window, and the items these belong to."""
+    judged = decontaminate.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                         read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Huffman-coded files and read back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_decontamination": op3_decontamination,
     "op10_token_files": op10_token_files,
 }
 
