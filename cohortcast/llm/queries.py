@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman
-from .common import read
+from . import bpe, decontaminate, hmm, huffman
+from .common import fold, read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text, by a model of the texts whose crc32 fold of 7 isn't 2."""
+    corpus = hmm.index(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+    model, _ = hmm.train(corpus)
+    return hmm.score(corpus, model)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a benchmark window, and the items these belong to."""
     judged = decontaminate.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -49,6 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_decontamination": op3_decontamination,
     "op10_token_files": op10_token_files,
 }
