@@ -33,7 +33,7 @@ NO_PAIR = np.int64(1) << 62
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 WIDEST = WIDTHS[-1]
 #: Distinct pieces that a worker remembers before it starts afresh (memory bound, no effect on results).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Texts over this many characters are cut into pieces a stretch at a time (memory bound, no effect on results).
 STRETCH = 2_000_000
 

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 
+#: Python derives columns for about so many bytes of rows at a time.
+SLICE_BYTES = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,9 +62,11 @@ def with_arrow_columns(df: DataFrame, needs: list[str], adds: list[T.StructField
         seen: list[pa.RecordBatch] = []
 
         def note() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                seen.append(b)
-                yield b
+            for whole in batches:
+                rows = max(1, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes))
+                for at in range(0, whole.num_rows, rows):
+                    seen.append(whole.slice(at, rows))
+                    yield seen[-1]
 
         for added in columns(note()):
             b = seen.pop(0)

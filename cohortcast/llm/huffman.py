@@ -37,7 +37,7 @@ BLOCK = 256
 #: Ids after which a segment ends with the document at hand.
 SEGMENT = 1 << 18
 #: Distinct chunks that a worker remembers before it starts afresh (memory bound, no effect on results).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 # ---------------------------------------------------------------- ids
