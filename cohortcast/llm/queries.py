@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, huffman
+from . import bpe, decontaminate, hmm, huffman, quality, toxicity
 from .common import fold, read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labelled texts whose crc32 fold of 3 isn't 1."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learnt from the labelled texts whose crc32 fold of 4 isn't 2."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Huffman-coded files and read back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_hidden_markov": op2_hidden_markov,
     "op3_decontamination": op3_decontamination,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_token_files": op10_token_files,
 }
 
