@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, huffman, quality, toxicity
-from .common import fold, read
+from . import bpe, decontaminate, hmm, huffman, quality, secrets, toxicity
+from .common import fold, read, staged
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -45,6 +45,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: what the rules find, and all spans."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = staged(secrets.annotate(docs).drop("text"), "secrets")
+    base = secrets.add_spans(found, secrets.fit(found))
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return base.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(secrets.listed(F.array_sort("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learnt from the labelled texts whose crc32 fold of 3 isn't 1."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_hidden_markov": op2_hidden_markov,
     "op3_decontamination": op3_decontamination,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op10_token_files": op10_token_files,
