@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, huffman, quality, secrets, toxicity
+from . import bpe, decontaminate, hmm, huffman, quality, secrets, toxicity, urls
 from .common import fold, read, staged
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the rules, else by its host's trust and distrust."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Huffman-coded files and read back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
 }
 
