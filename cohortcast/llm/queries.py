@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, huffman, quality, secrets, toxicity, urls
+from . import bpe, decontaminate, hmm, huffman, jaccard, quality, secrets, toxicity, urls
 from .common import fold, read, staged
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, by shingles of five words at a similarity of 0.8."""
+    found = jaccard.similar(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: what the rules find, and all spans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_hidden_markov": op2_hidden_markov,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
