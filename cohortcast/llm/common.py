@@ -21,13 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read again: the lineage ends there, and a lost
     executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

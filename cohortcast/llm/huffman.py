@@ -36,8 +36,11 @@ MAX_BITS = 20
 BLOCK = 256
 #: Ids after which a segment ends with the document at hand.
 SEGMENT = 1 << 18
-#: Distinct chunks that a worker remembers before it starts afresh (memory bound, no effect on results).
-REMEMBERED = 200_000
+#: Distinct chunks and parts that a worker remembers before it starts afresh (memory bound, no effect on results).
+REMEMBERED, REMEMBERED_PARTS = 150_000, 500_000
+#: Parts that are encoded as one string.
+JOINED = 64
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---------------------------------------------------------------- ids
@@ -52,55 +55,106 @@ def _tokenizer(path: str):
 
 
 class Chunks(dict):
-    """Number of each distinct chunk between ASCII white space, and the ids of all chunks, end to end."""
+    """Numbers of the one or two parts of each distinct chunk between ASCII white space, and the ids of all parts, end
+    to end.
+
+    A chunk that ends in ASCII marks after an ASCII letter or digit is parted there: the tokenizer's pattern always is.
+    ASCII letters are lower-cased first, as the tokenizer does.  Neither is done where ``<|`` may begin a special token.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.new = tokenizer, []
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.tokenizer, self.parts, self.new, self.pairs = tokenizer, {b"": 0}, [], []
+        self.both = np.empty((0, 2), np.int64)
+        self.starts, self.flat = np.zeros(2, np.int64), np.empty(0, np.uint32)  # part 0 has no ids
+        special = tokenizer.get_added_tokens_decoder()
+        self.apart = next(((i, t.content) for i, t in special.items() if t.special and not t.normalized), None)
+
+    def _part(self, part: bytes) -> int:
+        number = self.parts.get(part)
+        if number is None:
+            self.parts[part] = number = len(self.parts)
+            self.new.append(part)
+        return number
 
     def __missing__(self, chunk: bytes) -> int:
         self[chunk] = number = len(self)
-        self.new.append(chunk)
+        head, tail = chunk, b""
+        if b"<|" not in chunk:
+            chunk = chunk.lower()
+            head = chunk.rstrip(MARKS)
+            if head[-1:].isalnum():  # of bytes: an ASCII letter or digit
+                tail = chunk[len(head):]
+            else:
+                head = chunk
+        self.pairs.append((self._part(head), self._part(tail)))
         return number
 
     def settle(self) -> None:
-        if self.new:
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in self.new], add_special_tokens=False)
-            ids = [np.array(e.ids, np.uint32) for e in found]
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, *ids])
-            self.new = []
+        """Encode the parts that are new, many at a time with a special token between them."""
+        if self.pairs:
+            self.both = np.concatenate([self.both, np.array(self.pairs, np.int64)])
+            self.pairs = []
+        if not self.new:
+            return
+        new, self.new = [p.decode() for p in self.new], []
+        step = JOINED if self.apart and not any("<|" in p for p in new) else 1
+        groups = [new[k : k + step] for k in range(0, len(new), step)]
+        mark, text = self.apart or (None, "")
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([text.join(g) for g in groups], add_special_tokens=False)]
+        if step > 1:
+            every = np.concatenate([x for i in ids for x in (i, np.array([mark], np.uint32))])
+            ends = np.flatnonzero(every == mark)
+            sizes, flat = np.diff(ends, prepend=-1) - 1, every[every != mark]
+        else:
+            sizes, flat = np.array([len(i) for i in ids]), np.concatenate(ids)
+        assert len(sizes) == len(new)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat])
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
-        start, size = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        parts = self.both[numbers].ravel()
+        start, size = self.starts[parts], self.starts[parts + 1] - self.starts[parts]
         ends = np.cumsum(size)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", out: str = "ids",
+_CHUNKS: dict[str, Chunks] = {}
+
+
+def _chunks(path: str) -> Chunks:
+    """What this worker remembers from its earlier batches, unless that is too much."""
+    known = _CHUNKS.get(path)
+    if known is None or len(known.parts) > REMEMBERED_PARTS:
+        known = _CHUNKS[path] = Chunks(_tokenizer(path))
+    elif len(known) > REMEMBERED:
+        known.clear()
+        known.both = np.empty((0, 2), np.int64)
+    return known
+
+
+def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", out: str = "ids", dtype: str = "<u4",
              keep: list[str] | None = None) -> DataFrame:
     """``df`` with the ids of each text by the tokenizers library, without added special tokens, and ``end_id``, as
-    little-endian unsigned 32-bit integers in column ``out``.
+    little-endian unsigned integers (``dtype``: of 4 bytes, or 2 for ids below 65536) in column ``out``.
 
-    For tokenizers whose pieces never hold white space (their pattern drops it, as in the word vocabulary): then the
-    ids of a text are those of its chunks between ASCII white space, and each distinct chunk is encoded once.
+    For tokenizers that lower-case, and whose pattern drops white space and parts letters from marks (as that of the
+    word vocabulary): then the ids of a text are those of its chunks between ASCII white space, and each distinct part
+    of a chunk is encoded once.
     """
 
     def columns(batches):
         path = tokenizer_path if "/" in tokenizer_path else SparkFiles.get(tokenizer_path)
-        chunks = Chunks(_tokenizer(path))
         end = np.array([end_id], np.uint32)
         for batch in batches:
+            chunks = _chunks(path)
             rows = []
             for t in texts(batch, text):
                 found = t.split()
                 rows.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)))
             chunks.settle()
-            yield [pa.array((np.concatenate([chunks.ids(r), end]).astype("<u4").tobytes() for r in rows), pa.binary(),
+            yield [pa.array((np.concatenate([chunks.ids(r), end]).astype(dtype).tobytes() for r in rows), pa.binary(),
                             size=len(rows))]
-            if len(chunks) > REMEMBERED:
-                chunks = Chunks(chunks.tokenizer)
 
     return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType())], columns, keep)
 
@@ -188,14 +242,14 @@ class Code:
 # ---------------------------------------------------------------- files
 
 
-def _counts(tokens: DataFrame, ids: str) -> tuple[np.ndarray, np.ndarray]:
+def _counts(tokens: DataFrame, ids: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and how often; as many rows as the vocabulary has ids at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, "<u4"))
+                found = np.bincount(np.frombuffer(x, dtype))
                 if len(found) > len(total):
                     found[: len(total)] += total
                     total = found
@@ -217,11 +271,11 @@ SEGMENTS = ("file int, segment int, file_start long, doc_ids array<long>, doc_si
             "checkpoints binary")
 
 
-def write_tokens(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> None:
-    """Write the ids of ``tokens`` as a file set, in ascending order of ``doc_id``."""
+def write_tokens(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id", dtype: str = "<u4") -> None:
+    """Write the ids of ``tokens`` (little-endian, of type ``dtype``) as a file set, in ascending order of ``doc_id``."""
     spark = tokens.sparkSession
     tokens = staged(tokens.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")), "ids")
-    book, n = _counts(tokens, "ids")
+    book, n = _counts(tokens, "ids", dtype)
     book = list(zip(book.tolist(), code_lengths(n).tolist(), strict=True))
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
@@ -240,7 +294,7 @@ def write_tokens(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "
 
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs.append(d), rows.append(np.frombuffer(x, "<u4"))
+                docs.append(d), rows.append(np.frombuffer(x, dtype))
                 size += len(rows[-1])
                 if size >= SEGMENT:
                     yield flush()

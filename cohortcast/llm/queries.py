@@ -92,7 +92,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Huffman-coded files and read back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = huffman.scratch_path(spark)
-    huffman.write_tokens(huffman.tokenize(docs, public_tokenizers.path(WORD_BPE), end_id=2, keep=["doc_id"]), path)
+    ids = huffman.tokenize(docs, public_tokenizers.path(WORD_BPE), end_id=2, dtype="<u2", keep=["doc_id"])  # 49,408 ids
+    huffman.write_tokens(ids, path, dtype="<u2")
     return huffman.read_tokens(spark, path).select(
         "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
