@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, huffman, jaccard, quality, secrets, toxicity, urls
+from . import bpe, capfilter, decontaminate, hmm, huffman, jaccard, quality, secrets, toxicity, urls
 from .common import fold, read, staged
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -52,6 +52,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, by a cosine of 0.95."""
+    found = capfilter.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: what the rules find, and all spans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hidden_markov": op2_hidden_markov,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
