@@ -1,16 +1,69 @@
-"""Corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, tokens."""
+"""Corpus pipeline: toxic documents and all but one of each group of near-duplicates go, then documents that hold
+benchmark passages; secrets in the others are masked, and their texts become token ids.
+
+Each stage takes (spark, docs, sf_dir) and keeps the columns of ``docs`` (extra ones too), but for the last.  Null and
+empty texts pass every stage; rows with a null id are no duplicates of others.  The stages' operators say in their
+docstrings what they do with ties, repeated rows and empty tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortcast.llm.common import read, staged
+from cohortcast.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from cohortcast.llm.common import fold, read, staged
+from cohortcast.llm.queries import BYTE_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labels outside the held-out fold, doesn't reject."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return toxicity.score(rows, model).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words fewer than one in twenty lie in a benchmark window."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and the number of characters set anew where any were."""
+    found = staged(secrets.annotate(docs.select("text", F.struct(*docs.columns).alias("row"))), "annotated")
+    found = secrets.add_spans(found, secrets.fit(found)).withColumn("masked", secrets.redacted(F.col("text"), F.col("spans")))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("masked")}
+    if "n_chars" in columns:
+        changed = F.length("masked").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size("spans") > 0, changed).otherwise(F.col("row.n_chars"))
+    return found.select(*(value.alias(name) for name, value in columns.items()))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the bytes that they decode to."""
+    path = public_tokenizers.path(BYTE_BPE)
+    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+    return bpe.decode(ids, path).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids",
+                                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("tokens", encode_texts),
+]
 
 #: The stages hold trained models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
