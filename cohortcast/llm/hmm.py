@@ -11,7 +11,7 @@ fixed size; the word counts grow with the corpus and stay in a table.
 3. ``train``: Baum-Welch.  Each round runs forward and backward over all training tokens (in passages of ``PASSAGE``
    tokens; one that continues a text has a start distribution of its own), sums the expected counts per partition and
    then over partitions, and updates the model on the driver (CLASSES x STATES numbers).
-4. ``score``: the scaled forward recursion over whole texts.  Texts of more than ``PASSAGE`` tokens are cut into runs
+4. ``score``: the scaled forward recursion over whole texts.  Texts of more than ``RUN`` tokens are cut into runs
    whose transfer matrices are computed side by side and multiplied in order, which is the same recursion.
 
 Null texts count as empty (one end token).  A null id is in the fold of the empty string.  Repeated rows and ids are
@@ -28,6 +28,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +41,16 @@ CLASSES = 8192
 ROUNDS = 8
 BLOCK = 1 << 20
 PASSAGE = 256
+#: Tokens of the runs into which the scoring cuts longer texts.
+RUN = 4096
 #: Weight, in tokens, of the corpus-wide class distribution in that of a state.
 PRIOR = 50.0
 
 
 @dataclass
 class Corpus:
-    """``blocks``: texts as word numbers; ``words``: word, class and count (above 0) in training texts."""
+    """``blocks``: texts as word numbers; ``words``: word, class, count (above 0) in training texts, and how many
+    blocks have it."""
 
     blocks: DataFrame
     words: DataFrame
@@ -74,7 +78,7 @@ def index(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
         T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
         T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("word_class", T.BinaryType()),
+        T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("word_class", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +94,10 @@ def index(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
             train = [c for c, h in zip(codes, held, strict=True) if not h]
             counts = np.bincount(np.concatenate(train), minlength=size) if train else np.zeros(size, np.int64)
             word_class = np.fromiter((zlib.crc32(w) % classes for w in vocabulary), np.uint32, size)
-            flat = np.concatenate(codes).astype("<u2" if size <= 65536 else "<u4")
-            row = [[number], [ids], [held], [[len(c) for c in codes]], [flat.tobytes()], [[w.decode() for w in vocabulary]],
+            row = [[number], [ids], [held], [[len(c) for c in codes]], [_packed(np.concatenate(codes))], [[w.decode() for w in vocabulary]],
                    [counts.tolist()], [word_class.astype("<u4").tobytes()]]
             kinds = [pa.int64(), pa.list_(id_kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(),
-                     pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+                     pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
             number += 1
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=schema.names)
 
@@ -115,7 +118,8 @@ def index(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     source = docs.select(F.col(doc_id), held_out.alias("held"), F.col(text).alias("t"))
     blocks = staged(source.mapInArrow(run, schema), "blocks")
     pairs = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("p")).select("p.words", "p.counts")
-    words = pairs.filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"))
+    words = pairs.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"), F.count(F.lit(1)).alias("in_blocks"))
+    words = words.filter("c > 0")
     words = staged(words.withColumn("class", (F.crc32(F.col("word").cast("binary")) % classes).cast("int")), "words")
     tokens, distinct = np.zeros(classes), np.zeros(classes)
     for r in words.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # one row a class
@@ -125,10 +129,20 @@ def index(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
                   np.append(tokens, ends), np.append(distinct, float(ends > 0)))
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte of all of them: the upper bytes hold little and pack well."""
+    return zstandard.ZstdCompressor(level=1).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _class_runs(row: dict, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: the word numbers, end to end; the classes of all tokens, an end after each text; the sizes with ends."""
     word_class = np.frombuffer(row["word_class"], "<u4").astype(np.int64)
-    codes = np.frombuffer(row["codes"], "<u2" if len(word_class) <= 65536 else "<u4")
+    codes = _unpacked(row["codes"])
     sizes = np.array(row["sizes"], np.int64)
     tokens = np.insert(word_class[codes] if len(codes) else np.empty(0, np.int64), np.cumsum(sizes), classes)
     return codes, tokens, sizes + 1
@@ -159,41 +173,46 @@ def _runs(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _expected(model: Model, tokens: np.ndarray, first: np.ndarray, size: np.ndarray, kind: np.ndarray,
               starts: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> float:
-    """Add the expected counts of some runs; their log-likelihood.  One column of time for all runs at once."""
+    """Add the expected counts of some runs; their log-likelihood.  Arrays are (time, state, run), longest run first, so
+    that each step works on whole rows; what lies behind the end of a run stays 0."""
     order = np.argsort(-size, kind="stable")
     first, size, kind = first[order], size[order], kind[order]
     length, states = int(size[0]), model.move.shape[0]
-    at = np.minimum(first[:, None] + np.arange(length), len(tokens) - 1)
-    symbol = tokens[at].T  # (time, run)
-    active = (size[:, None] > np.arange(length)).sum(axis=0)
-    alpha = np.zeros((length, len(size), states))
+    at = np.minimum(first + np.arange(length)[:, None], len(tokens) - 1)
+    symbol = tokens[at]
+    active = (size > np.arange(length)[:, None]).sum(axis=1)
+    emit = model.emit.T  # (states, classes + 1), rows contiguous
+    emission = [np.take(emit, symbol[t, : active[t]], axis=1) for t in range(length)]
+    alpha = np.zeros((length, states, len(size)))
     scale = np.ones((length, len(size)))
+    back = np.ascontiguousarray(model.move.T)
     for t in range(length):
         n = active[t]
-        a = (model.start[kind] if t == 0 else alpha[t - 1, :n] @ model.move) * model.emit[symbol[t, :n]]
-        scale[t, :n] = s = a.sum(axis=1)
-        alpha[t, :n] = a / s[:, None]
-    beta = np.ones((len(size), states))
+        a = (model.start[kind].T if t == 0 else back @ alpha[t - 1, :, :n]) * emission[t]
+        s = a.sum(axis=0)
+        scale[t, :n] = s
+        np.divide(a, s, out=alpha[t, :, :n])
+    beta = np.ones((states, len(size)))
     for t in range(length - 1, -1, -1):
         n = active[t]
-        gamma = alpha[t, :n] * beta[:n]
         if t:
-            ahead = model.emit[symbol[t, :n]] * beta[:n] / scale[t, :n, None]
-            moves += alpha[t - 1, :n].T @ ahead
-            beta[:n] = ahead @ model.move.T
-        alpha[t, :n] = gamma
+            ahead = emission[t] * beta[:, :n]
+            ahead /= scale[t, :n]
+            moves += alpha[t - 1, :, :n] @ ahead.T
+        alpha[t, :, :n] *= beta[:, :n]
+        if t:
+            beta[:, :n] = model.move @ ahead
     for k in (0, 1):
-        starts[k] += alpha[0, kind == k].sum(axis=0)
-    inside = np.arange(length)[:, None] < size
-    symbol = symbol[inside]
-    for k in range(states):
-        emits[:, k] += np.bincount(symbol, alpha[..., k][inside], len(emits))
+        starts[k] += alpha[0][:, kind == k].sum(axis=1)
+    cell = symbol[:, None, :] * states + np.arange(states)[:, None]
+    emits += np.bincount(cell.ravel(), alpha.ravel(), emits.size).reshape(emits.shape)
     return float(np.log(scale).sum())
 
 
 def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS, seed: int = 7) -> tuple[Model, list[float]]:
     """The model after ``rounds`` of Baum-Welch over all training texts, and the log-likelihood before each round."""
     model, classes, history = _first_model(corpus, states, seed), corpus.classes, []
+    model.emit = np.ascontiguousarray(model.emit)
     share = (corpus.class_tokens + 1) / (corpus.class_tokens.sum() + classes + 1)
     source = corpus.blocks.select("held", "sizes", "codes", "word_class")
     for _ in range(rounds):
@@ -206,7 +225,7 @@ def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS, seed: int
                     first, size, text, kind = _runs(sizes, PASSAGE)
                     learn = np.flatnonzero(~np.array(row["held"], bool)[text])
                     learn = learn[np.argsort(size[learn], kind="stable")]
-                    for part in np.array_split(learn, -(-len(learn) // 1024)) if len(learn) else []:
+                    for part in np.array_split(learn, -(-len(learn) // 512)) if len(learn) else []:
                         total += _expected(model, tokens, first[part], size[part], kind[part], starts, moves, emits)
             values = np.concatenate([emits, starts, moves * model.move, np.full((1, states), total)])
             at = np.flatnonzero(values.any(axis=1))
@@ -229,9 +248,9 @@ def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS, seed: int
 # ---------------------------------------------------------------- scores
 
 
-def log_likelihood(model: Model, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def log_likelihood(model: Model, tokens: np.ndarray, sizes: np.ndarray, limit: int = RUN) -> np.ndarray:
     """Natural log of the probability of each run of classes (texts end to end), by the scaled forward recursion."""
-    first, size, text, later = _runs(sizes, PASSAGE)
+    first, size, text, later = _runs(sizes, limit)
     states = model.move.shape[0]
     # a text's first run starts as texts do; a later one starts from each state in turn, which gives its transfer matrix
     copies = np.where(later, states, 1)
@@ -239,25 +258,26 @@ def log_likelihood(model: Model, tokens: np.ndarray, sizes: np.ndarray) -> np.nd
     state = np.arange(len(run)) - np.repeat(np.cumsum(copies) - copies, copies)
     vector = np.where(later[run][:, None], model.move[state], model.start[0])
     total = np.zeros(len(run))
+    emit, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     order = np.argsort(-size[run], kind="stable")
     for part in np.array_split(order, max(1, -(-len(order) // 4096))):
         if not len(part):
             continue
-        v, at, left = vector[part], first[run[part]], size[run[part]]
+        v, at, left = np.ascontiguousarray(vector[part].T), first[run[part]], size[run[part]]
+        active = np.searchsorted(-left, -np.arange(int(left[0])), side="left").tolist()  # runs of more than t tokens
         logs = np.zeros(len(part))
-        for t in range(int(left[0])):
-            n = int(np.searchsorted(-left, -t, side="left"))  # runs of more than t tokens
-            a = v[:n] if t == 0 else v[:n] @ model.move
-            a = a * model.emit[tokens[at[:n] + t]]
-            s = a.sum(axis=1)
-            v[:n] = a / s[:, None]
+        for t, n in enumerate(active):
+            a = (v[:, :n] if t == 0 else back @ v[:, :n]) * np.take(emit, tokens[at[:n] + t], axis=1)
+            s = a.sum(axis=0)
+            np.divide(a, s, out=v[:, :n])
             logs[:n] += np.log(s)
-        vector[part], total[part] = v, logs
+        vector[part], total[part] = v.T, logs
     out = np.zeros(len(sizes))
     begin = np.cumsum(copies) - copies
-    for r in np.flatnonzero(later == 0):
-        d, rows = text[r], begin[r]
-        out[d], v = total[rows], vector[rows]
+    whole = np.flatnonzero(later == 0)
+    out[text[whole]] = total[begin[whole]]
+    for r in whole[sizes[text[whole]] > limit]:
+        d, v = text[r], vector[begin[r]]
         r += 1
         while r < len(size) and text[r] == d:
             rows = slice(begin[r], begin[r] + states)
@@ -279,7 +299,9 @@ def score(corpus: Corpus, model: Model, doc_id: str = "doc_id") -> DataFrame:
     ends, kind = corpus.class_tokens[-1], corpus.blocks.schema["ids"].dataType.elementType
     tokens_seen = corpus.tokens
     word = F.posexplode("words").alias("code", "word")
-    counts = (corpus.blocks.select("block", word).join(corpus.words.select("word", "c"), "word")
+    # a word that one block alone has is counted there; the counts of others come from the table
+    shared = corpus.words.filter("in_blocks > 1").select("word", "c")
+    counts = (corpus.blocks.select("block", word).join(shared, "word")
               .groupBy("block").agg(F.collect_list(F.struct("code", "c")).alias("known")))  # a block's words: bounded
     counts = counts.select("block", F.col("known.code").alias("known"), F.col("known.c").alias("known_c"))
     schema = T.StructType([
@@ -292,9 +314,10 @@ def score(corpus: Corpus, model: Model, doc_id: str = "doc_id") -> DataFrame:
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)
                 row = part.select(["held", "sizes", "codes", "word_class"]).to_pylist()[0]
+                own = part.column("counts")[0].values.to_numpy()
                 codes, tokens, sizes = _class_runs(row, classes)
                 word_class = np.frombuffer(row["word_class"], "<u4")
-                c = np.zeros(len(word_class), np.int64)
+                c = own.astype(np.int64)
                 known, known_c = part.column("known")[0], part.column("known_c")[0]
                 if known.is_valid:
                     c[known.values.to_numpy()] = known_c.values.to_numpy()
@@ -309,4 +332,4 @@ def score(corpus: Corpus, model: Model, doc_id: str = "doc_id") -> DataFrame:
                     pa.array(sums[2].astype(np.int64) + int(ends > 0)), pa.array(np.full(n, tokens_seen, np.int64)),
                     pa.array(sums[0] + np.log10((ends + 1) / total)), pa.array(sums[1] + model_log)], names=schema.names)
 
-    return corpus.blocks.drop("words", "counts").join(counts, "block", "left").mapInArrow(run, schema)
+    return corpus.blocks.drop("words").join(counts, "block", "left").mapInArrow(run, schema)
