@@ -40,7 +40,7 @@ STATES = 8
 CLASSES = 8192
 ROUNDS = 8
 BLOCK = 1 << 20
-PASSAGE = 256
+PASSAGE = 128
 #: Tokens of the runs into which the scoring cuts longer texts.
 RUN = 4096
 #: Weight, in tokens, of the corpus-wide class distribution in that of a state.
@@ -225,7 +225,7 @@ def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS, seed: int
                     first, size, text, kind = _runs(sizes, PASSAGE)
                     learn = np.flatnonzero(~np.array(row["held"], bool)[text])
                     learn = learn[np.argsort(size[learn], kind="stable")]
-                    for part in np.array_split(learn, -(-len(learn) // 512)) if len(learn) else []:
+                    for part in np.array_split(learn, -(-len(learn) // 2048)) if len(learn) else []:
                         total += _expected(model, tokens, first[part], size[part], kind[part], starts, moves, emits)
             values = np.concatenate([emits, starts, moves * model.move, np.full((1, states), total)])
             at = np.flatnonzero(values.any(axis=1))
