@@ -227,7 +227,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, d
 
     filed = classes.select("set", F.explode("nodes").alias("node"))
     nodes = staged(filed.groupBy("node").agg(F.min("set").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "nodes")
-    edges = filed.join(nodes, "node").select(F.col("set").alias("a"), "b").filter("a <> b").distinct()
+    # joins of the corpus's size are pinned, so that the plan is alike at every size
+    edges = filed.join(nodes.hint("merge"), "node").select(F.col("set").alias("a"), "b").filter("a <> b").distinct()
     clusters = connected_components(edges)
 
     members = staged(clusters.select(F.col("vertex").alias("set"), "component").join(classes.drop("nodes"), "set"), "members")
@@ -235,7 +236,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, d
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(blocks, "component")
     sources = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
-    wanted = sources.join(members, "rep")
+    wanted = sources.join(members.hint("merge"), "rep")
 
     def columns(batches):
         for batch in batches:
