@@ -7,11 +7,13 @@ ranges, run grids) are produced on the executors with ``sequence``/``explode``.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 
 @dataclass(frozen=True)
 class CohortConfig:
+    # fixed values: the countries of the reports, in order
+    countries: tuple[str, ...] = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
     # country config
     first_year: int = 1995
     last_year: int = 2001
@@ -43,7 +45,6 @@ class CohortConfig:
     rhat_threshold: float = 1.05
     pareto_k_threshold: float = 0.7
     seed: int = 20190310
-    extra: dict = field(default_factory=dict)
 
     # --- derived values -------------------------------------------------
     @property

@@ -1,9 +1,9 @@
 """Vectorised special functions for Arrow-batched pandas UDFs (numpy only).
 
 Used where a closed form is iterative: the negative-binomial CDF is the regularised
-incomplete beta I_p(k, y + 1), evaluated by the modified Lentz continued fraction in
-O(100) vectorised steps per batch, independent of the count y (real birth counts
-per cell run to tens of thousands, so summing the pmf up to y would not scale).
+incomplete beta I_p(k, y + 1), evaluated by the modified Lentz continued fraction to
+convergence, in about sqrt(max(k, y)) vectorised steps (real birth counts per cell run to
+tens of thousands, so summing the pmf up to y would not scale).
 """
 
 from __future__ import annotations
@@ -32,36 +32,66 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, out, np.nan)
 
 
-def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray, max_iter: int = 500, eps: float = 1e-16) -> np.ndarray:
+#: A factor this near to 1 ends the continued fraction (a few ulp, so that rounding cannot keep it from ending).
+_CONVERGED = 1e-15
+
+
+def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta (modified Lentz), iterated until every element has converged.
+
+    The steps needed grow with sqrt(max(a, b)); elements that have converged leave the arrays.  A run far beyond that
+    raises instead of returning an unconverged value."""
     tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
+
+    def off_zero(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) < tiny, tiny, v)
+
+    out = np.empty_like(x)
+    at = np.arange(len(x))
     c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
+    d = 1.0 / off_zero(1.0 - (a + b) * x / (a + 1.0))
     h = d.copy()
-    active = np.ones(x.shape, dtype=bool)
-    for m in range(1, max_iter + 1):
+    steps = int(1000 + 100 * np.sqrt(max(a.max(initial=1.0), b.max(initial=1.0))))
+    for m in range(1, steps + 1):
         m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = np.where(active, h * d * c, h)
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h = np.where(active, h * delta, h)
-        active &= np.abs(delta - 1.0) > eps
-        if not active.any():
-            break
-    return h
+        aa = m * (b - m) * x / ((a - 1.0 + m2) * (a + m2))
+        d = 1.0 / off_zero(1.0 + aa * d)
+        c = off_zero(1.0 + aa / c)
+        h = h * d * c
+        aa = -(a + m) * (a + b + m) * x / ((a + m2) * (a + 1.0 + m2))
+        d = 1.0 / off_zero(1.0 + aa * d)
+        c = off_zero(1.0 + aa / c)
+        h = h * d * c
+        open_ = ~(np.abs(d * c - 1.0) <= _CONVERGED)
+        if not open_.all():
+            out[at[~open_]] = h[~open_]
+            at, a, b, x, c, d, h = (v[open_] for v in (at, a, b, x, c, d, h))
+            if not len(at):
+                return out
+    raise ArithmeticError(f"incomplete beta: {len(at)} values have not converged after {steps} steps")
+
+
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    z2 = z * z
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / (1188 * z2)) / z2) / z2) / z2) / z
+
+
+def _log_power(n: np.ndarray, p: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """n log(p total / n), without cancellation near p = n / total."""
+    rest = (p * total - n) / n
+    return n * np.where(np.abs(rest) < 0.5, np.log1p(np.where(np.abs(rest) < 0.5, rest, 0.0)), np.log(p * total / n))
+
+
+def _log_front(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """log(x^a (1 - x)^b / B(a, b))."""
+    out = lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)
+    large = (a >= 10) & (b >= 10)  # the log gammas nearly cancel
+    if large.any():
+        a, b, x = a[large], b[large], x[large]
+        n = a + b
+        out[large] = (_log_power(a, x, n) + _log_power(b, 1.0 - x, n) + 0.5 * np.log(a * b / n) - _LN_2PI_HALF
+                      + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b))
+    return out
 
 
 def betainc(a, b, x) -> np.ndarray:
@@ -76,8 +106,7 @@ def betainc(a, b, x) -> np.ndarray:
     if mid.any():
         am, bm, xm = a[mid], b[mid], x[mid]
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            lbt = lgamma(am + bm) - lgamma(am) - lgamma(bm) + am * np.log(xm) + bm * np.log1p(-xm)
-            bt = np.exp(lbt)
+            bt = np.exp(_log_front(am, bm, xm))
             direct = xm < (am + 1.0) / (am + bm + 2.0)
             res = np.empty_like(xm)
             if direct.any():

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CohortConfig
+from .logmean import log_mean_exp
 
 # a subset is (subset_id, sorted chains kept, n_chains argument passed to the R-hat)
 Subset = tuple[str, tuple[int, ...], int]
@@ -219,53 +220,82 @@ def effective_sample_size(long: DataFrame) -> DataFrame:
 
 
 # --- L6-L8: which chains to discard for a multimodal run ---------------------------
-CHOICE_SCHEMA = T.StructType([
-    T.StructField("Country", T.StringType()), T.StructField("decision", T.StringType()),
-    T.StructField("discard_chains", T.StringType()), T.StructField("keep_chains", T.StringType()),
-])
+def chain_bits(cfg: CohortConfig) -> int:
+    """All chains as a bit set: chain c is bit c - 1."""
+    return (1 << cfg.n_chains) - 1
+
 
+def bits_text(bits, cfg: CohortConfig):
+    """'1_3' for the chains of a bit set."""
+    chains = F.array(*[F.lit(c) for c in range(1, cfg.n_chains + 1)])
+    held = F.filter(chains, lambda c: has_chain(bits, c))
+    return F.when(bits.isNotNull(), F.array_join(F.transform(held, lambda c: c.cast("string")), "_"))
 
-def _choose(n_chains: int):
-    chains = list(range(1, n_chains + 1))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        conv = dict(zip(pdf["subset"], pdf["converged"]))
-        elpd = dict(zip(pdf["subset"], pdf["elpd"]))
-        drop_ok = [c for c in chains if conv.get(f"drop_{c}", False)]
-        discard: list[int] | None
-        if drop_ok:  # L4 (quirk X18: every chain whose removal converges)
-            decision, discard = "drop_one", drop_ok
-        else:  # L5: pairs {1, j} and their complements
-            js = chains[1:]
-            comp_ok = [j for j in js if conv.get(f"without_1_{j}", False)]
-            pair_ok = [j for j in js if conv.get(f"pair_1_{j}", False)]
-            if not comp_ok and not pair_ok:
-                decision, discard = "none", None
-            elif not comp_ok:
-                keep = sorted({c for j in pair_ok for c in (1, j)})
-                decision, discard = "keep_converged_pairs", [c for c in chains if c not in keep]
-            else:
-                j = comp_ok[0]
-                pair = [1, j]
-                if j in pair_ok:  # L7: both halves converge -> keep the half with the better LOO
-                    better_pair = (elpd.get(f"pair_1_{j}", float("nan")) - elpd.get(f"without_1_{j}", float("nan"))) > 0
-                    decision = "compare_loo"
-                    discard = [c for c in chains if c not in pair] if better_pair else pair
-                else:
-                    decision, discard = "drop_pair", pair
-        keep = None if discard is None else [c for c in chains if c not in discard]
-        fmt = lambda xs: None if xs is None else "_".join(str(x) for x in xs)
-        return pd.DataFrame({"Country": [pdf["Country"].iloc[0]], "decision": [decision],
-                             "discard_chains": [fmt(discard)], "keep_chains": [fmt(keep)]})
-
-    return choose
+
+def has_chain(bits, chain):
+    return F.floor(bits / F.pow(F.lit(2), chain - 1)) % 2 == 1
 
 
 def chain_choice(verdicts: DataFrame, subset_elpd: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """L6 (+ L7 comparison, L8 chains): decision table per run over the drop-one-chain and
-    chain-pair R-hat verdicts; one tiny group per run."""
-    v = verdicts.join(subset_elpd, ["Country", "subset"], "left").select("Country", "subset", "converged", "elpd")
-    return v.groupBy("Country").applyInPandas(_choose(cfg.n_chains), CHOICE_SCHEMA)
+    """L6 (L4, L5, L7): per run the chains to discard, from the R-hat verdicts of the subsets; ``subset_elpd`` has elpd by
+    (Country, bits).
+
+    Every chain whose removal alone converges goes (quirk X18).  Else the pairs {1, j} decide: all pairs whose removal
+    converges go, unless the first of these pairs converges itself, when the side with the better elpd stays (none can be
+    told where the pairs hold every chain); if only pairs converge but no remainder does, all chains outside of these
+    pairs go."""
+    every, chains = chain_bits(cfg), range(1, cfg.n_chains + 1)
+
+    def bits_where(prefix: str, members) -> list:
+        return [F.max(F.when((F.col("subset") == f"{prefix}{c}") & F.col("converged"), F.lit(members(c))).otherwise(0)) for c in chains]
+
+    def union(cols):
+        out = cols[0]
+        for c in cols[1:]:
+            out = out.bitwiseOR(c)
+        return out
+
+    pair = lambda j: 1 | 1 << (j - 1)
+    v = verdicts.groupBy("Country").agg(
+        union(bits_where("drop_", lambda c: 1 << (c - 1))).alias("drop"),
+        union(bits_where("without_1_", pair)).alias("rest_ok"),
+        union(bits_where("pair_1_", pair)).alias("pair_ok"),
+        F.min(F.when(F.col("subset").startswith("without_1_") & F.col("converged"),
+                     F.regexp_extract("subset", "([0-9]+)$", 1).cast("int"))).alias("first"),
+        F.collect_set(F.when(F.col("subset").startswith("pair_1_") & F.col("converged"),
+                             F.regexp_extract("subset", "([0-9]+)$", 1).cast("int"))).alias("pairs"),
+    )
+    rest = F.col("rest_ok")
+    v = v.join(subset_elpd.select("Country", F.col("bits").alias("rest_ok"), F.col("elpd").alias("in_elpd")), ["Country", "rest_ok"], "left")
+    v = v.withColumn("other", F.lit(every) - rest).join(
+        subset_elpd.select("Country", F.col("bits").alias("other"), F.col("elpd").alias("out_elpd")), ["Country", "other"], "left")
+    both = F.array_contains("pairs", F.col("first"))
+    decision = (F.when(F.col("drop") > 0, "drop_one").when((rest == 0) & (F.col("pair_ok") == 0), "none")
+                .when(rest == 0, "keep_converged_pairs").when(both & (rest == every), "none")
+                .when(both, "compare_loo").otherwise("drop_pair"))
+    v = v.withColumn("decision", decision)
+    discard = (F.when(F.col("decision") == "drop_one", F.col("drop"))
+               .when(F.col("decision") == "keep_converged_pairs", F.lit(every) - F.col("pair_ok"))
+               .when(F.col("decision") == "drop_pair", rest)
+               .when(F.col("decision") == "compare_loo", F.when(F.col("in_elpd") > F.col("out_elpd"), F.lit(every) - rest).otherwise(rest)))
+    v = v.withColumn("discard", discard)
+    return v.select("Country", "decision", F.col("discard").cast("int").alias("discard"),
+                    bits_text(F.col("discard"), cfg).alias("discard_chains"),
+                    bits_text(F.lit(every) - F.col("discard"), cfg).alias("keep_chains"))
+
+
+def subset_elpds(ll: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """Importance-sampling elpd of every proper subset of the chains, by (Country, bits): the pointwise figures are
+    taken per chain once, and a subset adds those of its chains."""
+    by_chain = log_mean_exp(ll, ["Country", "i", "Chain"], {"neg": -F.col("ll")})
+    sets = F.filter(F.sequence(F.lit(1), F.lit(chain_bits(cfg) - 1)), lambda b: has_chain(b, F.col("Chain")))
+    rows = by_chain.select("Country", "i", "neg", "n_draws", F.explode(sets).alias("bits"))
+    # the few chains of a subset, in units of the largest
+    g = rows.groupBy("Country", "bits", "i").agg(F.collect_list(F.struct("neg", "n_draws")).alias("c"), F.max("neg").alias("top"),
+                                                 F.sum("n_draws").alias("n"))
+    total = F.aggregate("c", F.lit(0.0), lambda t, x: t + x["n_draws"] * F.exp(x["neg"] - F.col("top")))
+    point = -(F.col("top") + F.log(total) - F.log(F.col("n").cast("double")))
+    return g.groupBy("Country", "bits").agg(F.sum(point).alias("elpd"))
 
 
 def subset_membership(df: DataFrame, subsets: list[Subset]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Leave-one-out and leave-k-out bookkeeping.
 
-* M2 (plain importance-sampling LOO) and D10 (log-mean-exp lpd) are two-pass
+* M2 (plain importance-sampling LOO) and D10 (log-mean-exp lpd) are one-pass
   partial aggregations keyed by (run, observation).
 * M1 (PSIS) needs a sort and a generalised-Pareto fit per observation: one
   ``applyInPandas`` group per (run, observation), each holding exactly the draws
@@ -21,40 +21,14 @@ from pyspark.sql import types as T
 
 from ..config import CohortConfig
 from .diagnostics import ess_chains
-from ..session import ensure_checkpoint_dir
+from .logmean import log_mean_exp
 from .small import small_side
 
 
-def log_mean_exp_cols(df: DataFrame, keys: list[str], values: dict, materialize: bool = True) -> DataFrame:
-    """log(mean(exp(v))) per group for several value Columns in two partial passes.
-
-    The narrow input (keys + values) is checkpointed first when ``materialize``: the
-    pointwise log likelihood is expensive to rebuild (density pipeline over every draw)
-    and both passes read it; the checkpoint also cuts the lineage for executor loss."""
-    cols = df.select(*keys, *[e.alias(c) for c, e in values.items()])
-    if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        cols = cols.checkpoint(eager=True)
-    m = small_side(cols.groupBy(*keys).agg(*[F.max(c).alias(f"_m_{c}") for c in values], F.count(F.lit(1)).alias("_n")))
-    j = cols.join(m, keys)
-    aggs = []
-    for c in values:
-        mx = F.col(f"_m_{c}")
-        aggs.append(F.sum(F.when(mx == float("-inf"), F.lit(0.0)).otherwise(F.exp(F.col(c) - mx))).alias(f"_s_{c}"))
-        aggs.append(F.first(mx).alias(f"_m_{c}"))
-    agg = j.groupBy(*keys).agg(*aggs, F.first("_n").alias("_n"))
-    out = []
-    for c in values:
-        mx = F.col(f"_m_{c}")
-        out.append(F.when(mx == float("-inf"), F.lit(float("-inf")))
-                   .otherwise(F.log(F.col(f"_s_{c}")) + mx - F.log(F.col("_n").cast("double"))).alias(c))
-    return agg.select(*keys, *out, F.col("_n").alias("n_draws"))
-
-
 def is_loo(ll: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """M2: lpd_i = log mean exp(ll), elpd_is_i = -log mean exp(-ll), p_is_i = lpd - elpd."""
     k = list(keys) + ["i"]
-    r = log_mean_exp_cols(ll, k, {"lpd": F.col("ll"), "neg": -F.col("ll")})
+    r = log_mean_exp(ll, k, {"lpd": F.col("ll"), "neg": -F.col("ll")})
     return r.select(*k, "lpd", (-F.col("neg")).alias("elpd_is"), (F.col("lpd") + F.col("neg")).alias("p_is"), "n_draws")
 
 
@@ -62,7 +36,7 @@ def lpd_points(ll: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("Count
     """Log predictive density of the left-out points under the refit's draws."""
     k = list(keys) + ["i"]
     sel = ll.join(small_side(points.select(*k).distinct()), k)
-    r = log_mean_exp_cols(sel, k, {"lpd": F.col("ll")})
+    r = log_mean_exp(sel, k, {"lpd": F.col("ll")})
     return r.select(*keys, F.col("i").alias("ll_ind"), "lpd")
 
 

@@ -18,9 +18,9 @@ def labelled(df: DataFrame, method: str, value_cols: dict[str, str]) -> DataFram
     return df.select(F.lit(method).alias("Method"), "Country", *[F.col(src).alias(dst) for dst, src in value_cols.items()])
 
 
-def pivot_countries(long: DataFrame, value: str, row_key: str = "Method") -> DataFrame:
-    """H4: one column per country (values found by Spark's pivot)."""
-    return long.groupBy(row_key).pivot("Country").agg(F.first(value))
+def pivot_countries(long: DataFrame, value: str, countries: tuple[str, ...], row_key: str = "Method") -> DataFrame:
+    """H4: one column for each configured country."""
+    return long.groupBy(row_key).pivot("Country", list(countries)).agg(F.first(value))
 
 
 def best_per_country(long: DataFrame, value: str, digits: int = 4) -> DataFrame:

@@ -21,8 +21,7 @@ from ..functions import special
 from ..functions.numeric import ieee_div, lit_d, ln, nb_lpmf, r_mean
 from .draws import rate_draws
 from .likelihood import dispersion_maps
-from ..session import ensure_checkpoint_dir
-from .small import small_side
+from .logmean import log_mean_exp
 
 CELL = ["Country", "Age", "Cohort"]
 
@@ -61,24 +60,6 @@ def forecast_draws(cfg: CohortConfig):
             & (F.col("Cohort") + F.lit(cfg.minimum_age) <= F.lit(cfg.last_year)))
 
 
-def log_mean_exp(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """log(mean(exp(x))) per group in two partial-aggregation passes (max, then the
-    shifted sum); the max table has one row per group and is broadcast back."""
-    # the narrow scored table is read by both passes: materialise it once (lineage cut)
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.select(*keys, value).checkpoint(eager=True)
-    # one row per group: broadcast only after the size check
-    m = small_side(df.groupBy(*keys).agg(F.max(value).alias("_m"), F.count(F.lit(1)).alias("_n")))
-    j = df.join(m, keys)
-    x, mx = F.col(value), F.col("_m")
-    shifted = F.when(mx == float("-inf"), lit_d(0.0)).otherwise(F.exp(x - mx))
-    agg = j.groupBy(*keys).agg(F.sum(shifted).alias("_s"), F.first("_m").alias("_m"), F.first("_n").alias("_n"))
-    res = F.when(F.col("_m") == float("-inf"), lit_d(float("-inf"))).otherwise(
-        F.log(F.col("_s")) + F.col("_m") - F.log(F.col("_n").cast("double"))
-    )
-    return agg.select(*keys, res.alias(out), F.col("_n").alias("n_draws"))
-
-
 def pointwise_scores(pred: DataFrame, cfg: CohortConfig) -> DataFrame:
     """K4 draw level: NB log score of the rounded observed births (B11) with the draw's
     mean and dispersion, on forecast cells with non-zero exposure (B13, quirk X13)."""
@@ -93,7 +74,7 @@ def pointwise_scores(pred: DataFrame, cfg: CohortConfig) -> DataFrame:
 def cell_log_score(pred: DataFrame, cfg: CohortConfig) -> DataFrame:
     """K4 cell level: log-mean-exp of the draw scores per cell."""
     s = pointwise_scores(pred, cfg)
-    return log_mean_exp(s, CELL + ["Year"], "Score", "Score")
+    return log_mean_exp(s, CELL + ["Year"], {"Score": F.col("Score")})
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,6 +11,8 @@ above the limit the join falls back to a shuffle join.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,20 @@ def small_table(spark, key: tuple, build, max_rows: int = BROADCAST_ROW_LIMIT, b
             ensure_checkpoint_dir(spark)
             _MEMO[k] = build().checkpoint(eager=True)
     return _MEMO[k]
+
+
+def stored_table(spark, key: tuple, build, partition_by: str) -> DataFrame:
+    """``build()`` written once per application and key as Parquet in the shared checkpoint folder, in one directory per
+    value of ``partition_by`` (readers that filter on it skip the others), and read back."""
+    k = (app_id(spark), "stored", *key)
+    if k not in _MEMO:
+        path = f"{ensure_checkpoint_dir(spark)}/stored-{key[0]}-{uuid.uuid4().hex}"
+        df = build()
+        df.write.partitionBy(partition_by).parquet(path)
+        _MEMO[k] = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return _MEMO[k]
+
+
+def release() -> None:
+    """Forget all tables kept so far (after the data behind them were rewritten, or to begin afresh)."""
+    _MEMO.clear()

@@ -130,15 +130,57 @@ def q_ess(spark, sf_dir):
     return dg.effective_sample_size(long_draws(spark, sf_dir))
 
 
-@register("chain_choice", "L6 L7 L8 L4 L5")
-def q_chain_choice(spark, sf_dir):
-    from ..operators import loo
+def choice_ctes() -> str:
+    """v0: verdicts (needs rh of the subsets); cc: the decision per country (needs ll)."""
+    n, every = C.n_chains, dg.chain_bits(C)
+    js = range(2, n + 1)
+    ok = lambda name: f"coalesce(bool_or(c) filter (where subset = '{name}'), false)"
+    drop = " + ".join(f"(case when {ok(f'drop_{c}')} then {1 << (c - 1)} else 0 end)" for c in range(1, n + 1))
+    union = lambda p: " | ".join(f"(case when {ok(f'{p}{j}')} then {1 | 1 << (j - 1)} else 0 end)" for j in js)
+    first = "case " + " ".join(f"when {ok(f'without_1_{j}')} then {ok(f'pair_1_{j}')}" for j in js) + " else false end"
+    text = lambda b: f"array_to_string(list_filter(range(1, {n + 1}), lambda x: ({b} // (1 << (x - 1)::int)) % 2 = 1), '_')"
+    return f"""
+, v0 AS (select Country, subset, count(*) filter (where rhat > {C.rhat_threshold}) = 0 as c from rh group by Country, subset)
+, v1 AS (select Country, {drop} as dropped, {union('without_1_')} as rest_ok, {union('pair_1_')} as pair_ok, {first} as first_ok
+         from v0 group by Country)
+, le AS (select Country, bits, sum(elpd) as elpd from (
+           select Country, bits, i, -(ln(sum(exp(-ll - m))) + max(m) - ln(count(*))) as elpd
+           from (select l.*, b.bits, max(-ll) over (partition by Country, bits, i) as m
+                 from ll l join (select range as bits from range(1, {every})) b on (b.bits // (1 << (l.Chain - 1)::int)) % 2 = 1) x
+           group by Country, bits, i) y group by Country, bits)
+, v2 AS (select v1.*, a.elpd as in_elpd, b.elpd as out_elpd,
+                case when dropped > 0 then 'drop_one' when rest_ok = 0 and pair_ok = 0 then 'none'
+                     when rest_ok = 0 then 'keep_converged_pairs' when first_ok and rest_ok = {every} then 'none'
+                     when first_ok then 'compare_loo' else 'drop_pair' end as decision
+         from v1 left join le a on a.Country = v1.Country and a.bits = rest_ok
+              left join le b on b.Country = v1.Country and b.bits = {every} - rest_ok)
+, cc AS (select Country, decision,
+                cast(case decision when 'drop_one' then dropped when 'keep_converged_pairs' then {every} - pair_ok
+                     when 'drop_pair' then rest_ok
+                     when 'compare_loo' then (case when in_elpd > out_elpd then {every} - rest_ok else rest_ok end) end as int) as discard
+         from v2)
+, cct AS (select Country, decision, discard, case when discard is null then null else coalesce({text('discard')}, '') end as discard_chains,
+                 case when discard is null then null else coalesce({text(f'({every} - discard)')}, '') end as keep_chains from cc)"""
+
+
+CHOICE_SUBSETS = dg.drop_one_chain(C) + dg.chain_pairs(C)
+
+
+def _choice_sql() -> str:
+    from . import q_scoring as qs
+
+    head = _rh("", CHOICE_SUBSETS, views=("rh", "ll"), extra={**qs._LL_VIEWS, "ll": qs._ll_select("variable")},
+               extra_deps={**qs._LL_DEPS, "ll": ["eb", "obs", "dispersion"]})
+    return head + choice_ctes() + "\nselect * from cct"
+
+
+def choices(spark, sf_dir):
     from .q_scoring import loglik_df
 
-    long = long_draws(spark, sf_dir)
-    subsets = dg.drop_one_chain(C) + dg.chain_pairs(C)
-    verdicts = dg.rhat_verdicts(dg.split_rhat(long, C, subsets), C)
-    ll = dg.subset_membership(loglik_df(spark, sf_dir, "variable"), dg.chain_pairs(C))
-    pw = loo.is_loo(ll, ("Country", "subset"))
-    elpd = pw.groupBy("Country", "subset").agg(F.sum("elpd_is").alias("elpd"))
-    return dg.chain_choice(verdicts, elpd, C)
+    verdicts = dg.rhat_verdicts(dg.split_rhat(long_draws(spark, sf_dir), C, CHOICE_SUBSETS), C)
+    return dg.chain_choice(verdicts, dg.subset_elpds(loglik_df(spark, sf_dir, "variable"), C), C)
+
+
+@register("chain_choice", "L6 L7 L8 L4 L5", _choice_sql())
+def q_chain_choice(spark, sf_dir):
+    return choices(spark, sf_dir)

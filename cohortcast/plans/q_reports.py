@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE as C
@@ -12,9 +14,9 @@ from ..operators import likelihood as lk
 from ..operators import loo
 from ..operators import report as rp
 from ..operators import scoring as sc
-from ..operators.small import small_side
 from ..sources import fixtures as fx
 from . import q_comparators as qc
+from . import q_diagnostics as qd
 from . import q_scoring as qs
 from .q_diagnostics import long_draws, rhat_sql, _RH_DEPS
 from .q_draws import DENS_SQL, DRAWS_LONG_SQL
@@ -63,14 +65,12 @@ _RL_TAIL = (qc._FREEZE_CTE + qc._SLOPE_CTE + qs._CE_SQL + f"""
 _RL = _base(["pxc", "rates", "posterior_quantiles"]) + _RL_TAIL
 
 
-# the pivot's country columns come from the data, so the SQL rounds every column but Method
-_RMSE_TABLE_SQL = ("WITH __t AS (" + _RL + "\nselect * from (pivot rl on Country using first(RMSE) group by Method))\n"
-                   "SELECT Method, round(COLUMNS(* EXCLUDE (Method)), 6) + 0.0e0 FROM __t")
+_RMSE_COLS = ", ".join(f"max(case when Country = '{c}' then RMSE end) as \"{c}\"" for c in C.countries)
 
 
-@register("rmse_table", "P1 G1 H4 I15", _RMSE_TABLE_SQL, sql_rounded=True)
+@register("rmse_table", "P1 G1 H4 I15", _RL + f"\nselect Method, {_RMSE_COLS} from rl group by Method", list(C.countries))
 def q_rmse_table(spark, sf_dir):
-    return rp.pivot_countries(rmse_long(spark, sf_dir), "RMSE")
+    return rp.pivot_countries(rmse_long(spark, sf_dir), "RMSE", C.countries)
 
 
 @register("rmse_best", "P2 D29 F3 I21",
@@ -292,32 +292,62 @@ def q_run_assessment(spark, sf_dir):
     return run_assessment(spark, sf_dir)
 
 
-COLLATE_COLS = ["country", "param_type_1", "param_type_2", "RMSE_rate", "Q_90", "Q_50"]
+COLLATE_COLS = ["country", "param_type_1", "param_type_2", "RMSE_rate", "Q_90", "Q_50", "total_score"]
 
 
 def reassess_after_discard(spark, sf_dir, runs):
-    """K9: for runs whose R-hat failed, drop the first chain whose removal converges
-    (L4), then recompute the central errors on the remaining draws."""
-    verdict = dg.rhat_verdicts(dg.split_rhat(long_draws(spark, sf_dir), C, dg.drop_one_chain(C)), C)
-    drop = verdict.filter("converged").groupBy("Country").agg(
-        F.min(F.regexp_extract("subset", r"drop_(\d+)", 1).cast("int")).alias("drop_chain"))
-    todo = runs.filter(~F.col("converged_rhat")).select(F.col("country").alias("Country")).join(drop, "Country")
-    draws = fx.draws(spark, sf_dir, C).join(F.broadcast(todo), "Country").filter(F.col("Chain") != F.col("drop_chain"))
-    pred = sc.predictive_table(draws.drop("drop_chain"), fx.dispersion(spark, sf_dir, C),
-                               small_rates(spark, sf_dir), C, qs.PF,
+    """K9: for the variable-dispersion runs whose R-hat failed, leave out the chains that the chain decision discards
+    and recompute errors and score from the remaining draws; a run without a decision has no row."""
+    todo = runs.filter(~F.col("converged_rhat") & (F.col("dispersion") == "variable"))
+    todo = todo.select(F.col("country").alias("Country")).join(qd.choices(spark, sf_dir).filter("discard is not null"), "Country")
+    todo = F.broadcast(todo.select("Country", "discard").filter(F.col("Country").isin(*C.countries)))  # a row per configured country
+    draws = fx.draws(spark, sf_dir, C).join(todo, "Country").filter(~dg.has_chain(F.col("discard"), F.col("Chain"))).drop("discard")
+    pred = sc.predictive_table(draws, fx.dispersion(spark, sf_dir, C), small_rates(spark, sf_dir), C, qs.PF,
                                age_filter=sc.forecast_filter(C), draw_filter=sc.forecast_draws(C))
     es = sc.error_summary(sc.central_errors(pred, C))
-    return es.select(F.col("Country").alias("country"), F.lit(qs.PF[0]).alias("param_type_1"),
-                     F.lit(qs.PF[1]).alias("param_type_2"), "RMSE_rate", "Q_90", "Q_50")
+    score = sc.cell_log_score(pred, C).groupBy("Country").agg(F.sum("Score").alias("total_score"))
+    return es.join(score, "Country").select(
+        F.col("Country").alias("country"), F.lit(qs.PF[0]).alias("param_type_1"), F.lit(qs.PF[1]).alias("param_type_2"),
+        "RMSE_rate", "Q_90", "Q_50", "total_score")
+
+
+def _collate_sql() -> str:
+    # the decision's R-hat views under names of their own, beside those of the assessment
+    other = {k: f"{k}_s" for k in ("subs", "rx", "rx2", "seg", "seg2", "rh")}
+
+    def renamed(sql: str) -> str:
+        for k, v in other.items():
+            sql = re.sub(rf"\b{k}\b", v, sql)
+        return sql
+
+    views = {other[k]: renamed(v) for k, v in rhat_sql(qd.CHOICE_SUBSETS).items()}
+    choice = "".join(f"\n, {k} AS ({v})" for k, v in views.items()) + renamed(qd.choice_ctes())
+    kept = f"""
+, pk AS (select p.* from pt p join cc on cc.Country = p.Country
+         where discard is not null and (discard // (1 << (cast(floor(p.Sim/{C.iters_per_chain}) as int)))::int) % 2 = 0)
+, pxk AS (select p.* from pxc p join cc on cc.Country = p.Country
+          where discard is not null and (discard // (1 << (cast(floor(p.Sim/{C.iters_per_chain}) as int)))::int) % 2 = 0)"""
+    ce = qs._CE_SQL.replace("pxc", "pxk").replace("ce0", "cek0").replace(", ce AS", ", cek AS")
+    es = qs._ES_SQL.replace("from ce group", "from cek group")
+    return _ra_sql() + choice + kept + ce + f"""
+, esk AS ({es})
+, sk AS (select Country, Age, Cohort, Year, Sim, {qs.nb_sql('round_even(Births, 0)', 'E_births', 'Dispersion')} as Score
+         from pk where Year > {C.jump_off} and Exposure is not null and Exposure <> 0)
+, tsk AS (select Country, sum(Score) as total_score from (
+            select Country, ln(sum(exp(Score - m))) + max(m) - ln(count(*)) as Score
+            from (select *, max(Score) over (partition by Country, Age, Cohort, Year) as m from sk) x
+            group by Country, Age, Cohort, Year) y group by Country)
+select distinct {', '.join(COLLATE_COLS)} from ra where n_div = 0 and dispersion = 'variable' and converged_rhat
+union all
+select ra.country, param_type_1, param_type_2, esk.RMSE_rate, esk.Q_90, esk.Q_50, tsk.total_score
+from ra join esk on esk.Country = ra.country join tsk on tsk.Country = ra.country
+where not converged_rhat and dispersion = 'variable'"""
 
 
-@register("assessment_collate", "K8 K9 G1 G3 C12 L4",
-          _ra_sql() + f"""
-select distinct {', '.join(COLLATE_COLS)} from ra
-where n_div = 0 and dispersion = 'variable' and converged_rhat""",
-          ["RMSE_rate", "Q_90", "Q_50"], overrides={"RMSE_rate": 9})
+@register("assessment_collate", "K8 K9 G1 G3 C12 L4 L6", _collate_sql(), ["RMSE_rate", "Q_90", "Q_50", "total_score"],
+          overrides={"RMSE_rate": 9})
 def q_assessment_collate(spark, sf_dir):
-    runs = small_side(run_assessment(spark, sf_dir))
+    runs = run_assessment(spark, sf_dir).checkpoint(eager=True)  # a row per run; both branches read it
     kept = runs.dropDuplicates().filter((F.col("n_div") == 0) & (F.col("dispersion") == "variable")
                                         & F.col("converged_rhat")).select(*COLLATE_COLS)
     return rp.stack([kept, reassess_after_discard(spark, sf_dir, runs)])

@@ -9,8 +9,8 @@ from __future__ import annotations
 from ..config import FIXTURE, CohortConfig
 
 
-def _u(j: int, a: str, b: str) -> str:
-    return f"(((({a})*7919 + ({b})*104729 + r_regionkey*15485863 + {j}*1299709) % 10007)/10007.0e0)"
+def _u(j: int, at: str) -> str:
+    return (f"(((Chain*7919 + ({at})*104729 + rk*15485863 + {j}*1299709 + Iter*6185 + mass % 97) % 10007)/10007.0e0)")
 
 
 def view_defs(cfg: CohortConfig = FIXTURE) -> dict[str, str]:
@@ -28,29 +28,34 @@ group by r_name, cast(year(o_orderdate) as int), cast(l_quantity as int)+5"""
     v["rates"] = """
 select e.Country, e.Year, e.Age, e.Cohort, e.Exposure, b.Births, b.Births/e.Exposure as Rate
 from cells e left join cells b on e.Country=b.Country and e.Year=b.Year and e.Age=b.Age and e.Cohort=b.Cohort"""
+    v["draw_keys"] = f"""
+select r_name as Country, r_regionkey as rk, a.Sim, 1 + cast(floor(a.Sim/{per_chain}) as int) as Chain,
+       1 + a.Sim % {per_chain} as Iter, coalesce(m.mass, 0) as mass
+from region cross join (select range as Sim from range(0,{c.n_draws})) a
+     left join (select r_name as mc, l_orderkey % {c.n_draws} as Sim,
+                       cast(count(*) + sum(cast(l_quantity as int)) as bigint) as mass
+                from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey
+                     join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey
+                group by r_name, l_orderkey % {c.n_draws}) m on m.mc = r_name and m.Sim = a.Sim"""
     v["draws"] = f"""
-select r_name as Country, Sim, 1 + cast(floor(Sim/{per_chain}) as int) as Chain, 1 + Sim % {per_chain} as Iter, Cohort,
-  1.5e0 + {_u(1, 'Sim', 'Cohort')} as CEB,
-  5e0 + 3e0*{_u(2, 'Sim', 'Cohort')} as mode_age_gap,
-  52e0 + 6e0*{_u(3, 'Sim', 'Cohort')} as mode_age_sum,
-  4e0 + 2e0*{_u(4, 'Sim', 'Cohort')} as sd_1,
-  4e0 + 2e0*{_u(5, 'Sim', 'Cohort')} as sd_2,
-  2e0*{_u(6, 'Sim', 'Cohort')} - 1e0 as logit_mixture
-from region join (select distinct Country as bc, cast(Cohort as bigint) as Cohort from cells
-                  where Cohort between {c.first_full_cohort} and {c.first_full_cohort + c.T_total - 1}) b on r_name = b.bc
-     cross join (select range as Sim from range(0,{c.n_draws})) a"""
+select Country, Sim, Chain, Iter, Cohort,
+  1.5e0 + {_u(1, 'Cohort')} + (case when rk = 1 and Chain = 4 then 0.5e0 when rk = 2 and Chain >= 3 then 0.5e0
+                                    when rk = 4 then Chain*0.25e0 else 0e0 end) as CEB,
+  5e0 + 3e0*{_u(2, 'Cohort')} as mode_age_gap,
+  52e0 + 6e0*{_u(3, 'Cohort')} as mode_age_sum,
+  4e0 + 2e0*{_u(4, 'Cohort')} as sd_1,
+  4e0 + 2e0*{_u(5, 'Cohort')} as sd_2,
+  2e0*{_u(6, 'Cohort')} - 1e0 as logit_mixture
+from draw_keys cross join (select range as Cohort from range({c.first_full_cohort}, {c.first_full_cohort + c.T_total})) b"""
     v["dispersion"] = f"""
-select r_name as Country, Sim, Age, 2e0 + 20e0*{_u(7, 'Sim', 'Age')} as Dispersion
-from region join (select distinct Country as bc, cast(Age as bigint) as Age from cells
-                  where Age between {c.first_data_age} and {c.last_data_age}) b on r_name = b.bc
-     cross join (select range as Sim from range(0,{c.n_draws})) a"""
+select Country, Sim, Age, 2e0 + 20e0*{_u(7, 'Age')} as Dispersion
+from draw_keys cross join (select range as Age from range({c.first_data_age}, {c.last_data_age + 1})) b"""
     v["sampler_params"] = f"""
-select r_name as Country, 1 + cast(floor(Sim/{per_chain}) as int) as Chain, 1 + Sim % {per_chain} as Iter,
-  case when {_u(8, 'Sim', '1')} < 0.01e0 then 1 else 0 end as divergent__,
-  cast(6 + floor(7e0*{_u(9, 'Sim', '1')}) as int) as treedepth__,
-  50e0 + 10e0*{_u(10, 'Sim', '1')} as energy__
-from region join (select distinct Country as bc from cells) b on r_name = b.bc
-     cross join (select range as Sim from range(0,{c.n_draws})) a"""
+select Country, Chain, Iter,
+  case when rk = 3 and {_u(8, '1')} < 0.05e0 then 1 else 0 end as divergent__,
+  cast(6 + floor(7e0*{_u(9, '1')}) as int) as treedepth__,
+  50e0 + 10e0*{_u(10, '1')} as energy__
+from draw_keys"""
     v["posterior_quantiles"] = f"""
 select Country, Cohort, Age as ARDY, Year, Births/Exposure as ASFR,
   (Births/Exposure)*(0.9e0 + 0.2e0*((Age*31+Cohort*17) % 11)/10e0) as ASFR_prediction,
@@ -96,9 +101,10 @@ left join (select Country, Age, Cohort, Exposure from cells
 VIEW_DEPS = {
     "cells": [],
     "rates": ["cells"],
-    "draws": ["cells"],
-    "dispersion": ["cells"],
-    "sampler_params": ["cells"],
+    "draw_keys": [],
+    "draws": ["draw_keys"],
+    "dispersion": ["draw_keys"],
+    "sampler_params": ["draw_keys"],
     "posterior_quantiles": ["cells"],
     "births_c": ["cells"],
     "fitwin": ["births_c"],

@@ -3,16 +3,17 @@
 * ``cells``     births and exposure by (Country, Year, Age, Cohort), aggregated
                 from lineitem x orders x customer x nation x region.  This is the
                 scan-heavy view: it grows with the data.
-* ``draws``     wide posterior draws by (Country, Sim, Cohort); countries, cohorts
-                and ages come from the observed cells (``draw_domain``).
+* ``draws``     stored wide posterior draws by (Country, Sim, Cohort), for all
+                countries and the configured cohorts.
 * ``dispersion``dispersion draws by (Country, Sim, Age).
 * ``sampler_params`` per-iteration sampler diagnostics.
 * ``posterior_quantiles`` comparator posterior derived from ``cells``.
 
-Draw-level views are generated with ``explode(sequence(..))`` (no cross join) and
-are hash-partitioned by (Country, Sim) right after the small draw-key explode, so
-all per-draw work downstream (per-draw sums, tail-bin aggregation, per-draw
-sampling) reuses that partitioning instead of shuffling the exploded rows.
+The draw-level tables are made once (``explode(sequence(..))``, no cross join, values
+moved by an aggregate of lineitem), stored by Country, and hash-partitioned by (Country,
+Sim) where they are read, so all per-draw work downstream (per-draw sums, tail-bin
+aggregation, per-draw sampling) reuses that partitioning instead of shuffling the
+exploded rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from ..config import FIXTURE, CohortConfig
 from .tables import read_table
 
 
-def _u(j: int, a: Column, b: Column, rk: Column) -> Column:
-    """Deterministic uniform in [0, 1) from integer keys (fixture hash)."""
-    h = (a * F.lit(7919) + b * F.lit(104729) + rk * F.lit(15485863) + F.lit(j * 1299709)) % F.lit(10007)
+def _u(j: int, at: Column) -> Column:
+    """Number in [0, 1) for value ``j`` at time or age ``at`` of a draw: equally spread over a chain's iterations, and
+    moved a little by the draw's ``mass`` in lineitem."""
+    h = (F.col("Chain") * F.lit(7919) + at * F.lit(104729) + F.col("rk") * F.lit(15485863) + F.lit(j * 1299709)
+         + F.col("Iter") * F.lit(6185) + F.col("mass") % F.lit(97)) % F.lit(10007)
     return h / F.lit(10007.0)
 
 
@@ -39,8 +42,8 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Births (line count) and exposure (price mass) by Country, Year, Age, Cohort."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with the year and country of its order."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -50,11 +53,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(geo), F.col("c_nationkey") == geo.n_nationkey)
         .select("o_orderkey", F.year("o_orderdate").cast("int").alias("Year"), "Country")
     )
-    year = F.col("Year")
+    return li.join(order_geo, li.l_orderkey == order_geo.o_orderkey)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Births (line count) and exposure (price mass) by Country, Year, Age, Cohort."""
     age = F.col("l_quantity").cast("int") + F.lit(5)
-    joined = li.join(order_geo, li.l_orderkey == order_geo.o_orderkey)
     return (
-        joined.groupBy("Country", year.alias("Year"), age.alias("Age"))
+        _lines(spark, sf_dir).groupBy("Country", "Year", age.alias("Age"))
         .agg(
             F.count(F.lit(1)).cast("double").alias("Births"),
             (
@@ -89,89 +95,91 @@ def draw_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def draw_domain(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
-    """Per country observed in the data: region key, the model's cohorts and the observed
-    ages present in the cells (one row per country, size-checked and memoised)."""
-    from ..operators.small import small_table
-
-    def build():
-        c = cells_checkpointed(spark, sf_dir)
-        first, last = cfg.first_full_cohort, cfg.first_full_cohort + cfg.T_total - 1
-        dom = c.groupBy("Country").agg(
-            F.array_sort(F.collect_set(F.when(F.col("Cohort").between(first, last), F.col("Cohort").cast("bigint"))))
-            .alias("cohorts"),
-            F.array_sort(F.collect_set(F.when(F.col("Age").between(cfg.first_data_age, cfg.last_data_age),
-                                              F.col("Age").cast("bigint")))).alias("ages"),
-        )
-        r = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("Country"), F.col("r_regionkey").alias("rk"))
-        return r.join(dom, "Country")
-
-    key = ("draw_domain", sf_dir, cfg.first_full_cohort, cfg.T_total, cfg.first_data_age, cfg.last_data_age)
-    return small_table(spark, key, build, broadcast=False)
+def draw_mass(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
+    """Lines and quantity of the orders that fall to each draw (l_orderkey modulo the number of draws), by Country: one
+    row per draw, whatever the size of lineitem."""
+    return _lines(spark, sf_dir).groupBy("Country", (F.col("l_orderkey") % F.lit(cfg.n_draws)).cast("bigint").alias("Sim")).agg(
+        (F.count(F.lit(1)) + F.sum(F.col("l_quantity").cast("int"))).alias("mass"))
 
 
 def _draw_keys(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
-    """(Country, rk, Sim, Chain, Iter, cohorts, ages) for every draw, hash-partitioned by (Country, Sim)."""
-    dom = draw_domain(spark, sf_dir, cfg)
+    """(Country, rk, Sim, Chain, Iter, mass) for every draw of every country, whether it has cells or not."""
     per_chain = cfg.iters_per_chain
-    keys = dom.select("Country", "rk", "cohorts", "ages",
-                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.n_draws - 1).cast("bigint"))).alias("Sim"))
-    # explicit partition count: AQE would otherwise coalesce this (tiny) draw-key shuffle
-    # into one partition and run the whole draw x age expansion in a single task
-    n_parts = draw_partitions(spark)
-    return keys.repartition(n_parts, "Country", "Sim").select(
-        "Country",
-        "rk",
-        "Sim",
+    region = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("Country"), F.col("r_regionkey").alias("rk"))
+    keys = region.select("Country", "rk",
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.n_draws - 1).cast("bigint"))).alias("Sim"))
+    keys = keys.join(draw_mass(spark, sf_dir, cfg), ["Country", "Sim"], "left")
+    return keys.select(
+        "Country", "rk", "Sim",
         (F.lit(1) + F.floor(F.col("Sim") / F.lit(per_chain)).cast("int")).alias("Chain"),
         (F.lit(1) + F.col("Sim") % F.lit(per_chain)).alias("Iter"),
-        "cohorts",
-        "ages",
+        F.coalesce("mass", F.lit(0)).alias("mass"),
     )
 
 
+def _stored(spark: SparkSession, sf_dir: str, cfg: CohortConfig, name: str, build) -> DataFrame:
+    """A table of the run, written once per application, data and configuration, by Country, and read back; partitioned
+    by draw, so that the work of a draw stays in one task.
+
+    The explicit number of partitions keeps AQE from running the whole draw x age expansion in one task."""
+    from ..operators.small import stored_table
+
+    table = stored_table(spark, (name, sf_dir, cfg), build, "Country")
+    return table.repartition(draw_partitions(spark), "Country", "Sim")
+
+
+def _cohorts(cfg: CohortConfig) -> Column:
+    first = cfg.first_full_cohort
+    return F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + cfg.T_total - 1).cast("bigint")))
+
+
 def draws(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
-    """Wide posterior draws: one row per (Country, Sim, Cohort) for the model's cohorts."""
-    keys = _draw_keys(spark, sf_dir, cfg)
-    d = keys.select("Country", "rk", "Sim", "Chain", "Iter", F.explode("cohorts").alias("Cohort"))
-    s, c, rk = F.col("Sim"), F.col("Cohort"), F.col("rk")
-    return d.select(
-        "Country",
-        "Sim",
-        "Chain",
-        "Iter",
-        "Cohort",
-        (F.lit(1.5) + _u(1, s, c, rk)).alias("CEB"),
-        (F.lit(5.0) + F.lit(3.0) * _u(2, s, c, rk)).alias("mode_age_gap"),
-        (F.lit(52.0) + F.lit(6.0) * _u(3, s, c, rk)).alias("mode_age_sum"),
-        (F.lit(4.0) + F.lit(2.0) * _u(4, s, c, rk)).alias("sd_1"),
-        (F.lit(4.0) + F.lit(2.0) * _u(5, s, c, rk)).alias("sd_2"),
-        (F.lit(2.0) * _u(6, s, c, rk) - F.lit(1.0)).alias("logit_mixture"),
-    )
+    """Stored wide posterior draws: one row per (Country, Sim, Cohort) for the configured cohorts.
+
+    The countries (by region key) stand for runs that converge (0), have one chain apart (1), two modes (2), diverge (3),
+    and never converge (4)."""
+
+    def build():
+        d = _draw_keys(spark, sf_dir, cfg).select("*", _cohorts(cfg).alias("Cohort"))
+        c, rk, chain = F.col("Cohort"), F.col("rk"), F.col("Chain")
+        apart = F.when((rk == 1) & (chain == 4), 0.5).when((rk == 2) & (chain >= 3), 0.5).when(rk == 4, chain * 0.25).otherwise(0.0)
+        return d.select(
+            "Country", "Sim", "Chain", "Iter", "Cohort",
+            (F.lit(1.5) + _u(1, c) + apart).alias("CEB"),
+            (F.lit(5.0) + F.lit(3.0) * _u(2, c)).alias("mode_age_gap"),
+            (F.lit(52.0) + F.lit(6.0) * _u(3, c)).alias("mode_age_sum"),
+            (F.lit(4.0) + F.lit(2.0) * _u(4, c)).alias("sd_1"),
+            (F.lit(4.0) + F.lit(2.0) * _u(5, c)).alias("sd_2"),
+            (F.lit(2.0) * _u(6, c) - F.lit(1.0)).alias("logit_mixture"),
+        )
+
+    return _stored(spark, sf_dir, cfg, "draws", build)
 
 
 def dispersion(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
-    """Dispersion draws by observed age: one row per (Country, Sim, Age)."""
-    keys = _draw_keys(spark, sf_dir, cfg)
-    d = keys.select("Country", "rk", "Sim", F.explode("ages").alias("Age"))
-    return d.select(
-        "Country", "Sim", "Age",
-        (F.lit(2.0) + F.lit(20.0) * _u(7, F.col("Sim"), F.col("Age"), F.col("rk"))).alias("Dispersion"),
-    )
+    """Stored dispersion draws: one row per (Country, Sim, Age) for the configured ages."""
+
+    def build():
+        ages = F.explode(F.sequence(F.lit(cfg.first_data_age).cast("bigint"), F.lit(cfg.last_data_age).cast("bigint")))
+        d = _draw_keys(spark, sf_dir, cfg).select("*", ages.alias("Age"))
+        return d.select("Country", "Sim", "Age", (F.lit(2.0) + F.lit(20.0) * _u(7, F.col("Age"))).alias("Dispersion"))
+
+    return _stored(spark, sf_dir, cfg, "dispersion", build)
 
 
 def sampler_params(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
-    """Per-iteration sampler diagnostics (divergences, tree depth, energy)."""
-    keys = _draw_keys(spark, sf_dir, cfg)
-    s, rk, one = F.col("Sim"), F.col("rk"), F.lit(1)
-    return keys.select(
-        "Country",
-        "Chain",
-        "Iter",
-        F.when(_u(8, s, one, rk) < F.lit(0.01), 1).otherwise(0).alias("divergent__"),
-        (F.lit(6) + F.floor(F.lit(7.0) * _u(9, s, one, rk)).cast("int")).alias("treedepth__"),
-        (F.lit(50.0) + F.lit(10.0) * _u(10, s, one, rk)).alias("energy__"),
-    )
+    """Stored sampler diagnostics of each iteration (divergences, tree depth, energy)."""
+
+    def build():
+        one = F.lit(1)
+        return _draw_keys(spark, sf_dir, cfg).select(
+            "Country", "Sim", "Chain", "Iter",
+            F.when((F.col("rk") == 3) & (_u(8, one) < F.lit(0.05)), 1).otherwise(0).alias("divergent__"),
+            (F.lit(6) + F.floor(F.lit(7.0) * _u(9, one)).cast("int")).alias("treedepth__"),
+            (F.lit(50.0) + F.lit(10.0) * _u(10, one)).alias("energy__"),
+        )
+
+    return _stored(spark, sf_dir, cfg, "sampler_params", build).drop("Sim")
 
 
 def posterior_quantiles(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
