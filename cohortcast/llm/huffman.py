@@ -12,7 +12,7 @@ A checkpoint starts a block that decodes without its predecessors; the reader de
 side, one table look-up per id.  The code lengths come from counts over all ids, by package-merge.
 
 Null and empty texts hold only the end id.  Rows with a null doc_id come first; rows that share a doc_id are ordered by
-their ids, so equal rows are interchangeable.  An empty table gives an empty file set, which reads back as no rows.
+a checksum and then by their ids, so equal rows are interchangeable.  An empty table gives an empty file set, which reads back as no rows.
 """
 
 from __future__ import annotations
@@ -302,19 +302,21 @@ def write_tokens(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "
             yield flush()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = tokens.repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
+    # range bounds come from a sample of the keys, so these are short; the check sum deals out rows that share an id
+    tokens = tokens.withColumn("tie", F.crc32("ids"))
+    ordered = tokens.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    ordered.select("doc_id", "ids").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a file set: doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit
     integers)."""
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
-    # one row per written file: the ids of the files before it
+    # one row per written file, at most as many as the shuffle partitions of the writer: the ids of the files before it
     sizes = F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda total, x: total + x)
     files = segments.groupBy("file").agg(F.sum(sizes).alias("n"))
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    files = F.broadcast(files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")))
     book = [tuple(r) for r in spark.read.schema("id int, bits int").parquet(f"{path}/codebook").collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
