@@ -44,7 +44,7 @@ PASSAGE = 128
 #: Tokens of the runs into which the scoring cuts longer texts.
 RUN = 4096
 #: Weight, in tokens, of the corpus-wide class distribution in that of a state.
-PRIOR = 50.0
+PRIOR = 2000.0
 
 
 @dataclass
