@@ -4,8 +4,10 @@ Filters are the directions of ``CODES`` structured random product codes: after a
 ``BLOCKS`` blocks, each with ``CODEWORDS`` unit vectors from randomly signed Hadamard matrices, and every choice of one
 codeword per block is a filter.  A vector is listed under all filters whose inner product with it reaches a cut, which
 list decoding finds without visiting the others.  The cut is set, per code and dimension, so that a random vector has
-``LISTED`` filters on average; both vectors of a near pair are then under some common filter with high probability.
-(One code alone lists some vectors often and others never; independent rotations even this out.)
+``LISTED`` filters on average, or more where that is needed for a pair at the threshold to meet under some filter with
+probability ``RECALL`` (as simulated once by each worker).  One code alone lists some vectors often and others never;
+independent rotations even this out.  Below ``SMALL`` dimensions a code is one block, and blocks of
+less than 32 dimensions have random directions for codewords.
 
 Vectors under one filter are compared with each other in full, by cosine in double precision.  A pair is counted only
 under its least common filter.  Filters with many vectors are cut into blocks, and each pair of blocks is a unit of work;
@@ -32,6 +34,7 @@ from .jaccard import _roots, common
 
 THRESHOLD = 0.95
 CODES, BLOCKS, CODEWORDS, LISTED = 6, 2, 1024, 6
+RECALL, SMALL = 0.95, 16
 #: Most vectors of a block of one filter (bounds the memory of a task, no effect on results).
 BLOCK_VECTORS = 1024
 
@@ -50,35 +53,36 @@ class Code:
         rng = np.random.default_rng([number, dimension])
         self.base = (dimension << 40) | (number << 32)
         self.rotation = np.linalg.qr(rng.normal(size=(dimension, dimension)))[0]
-        self.edges = np.linspace(0, dimension, min(BLOCKS, dimension) + 1).astype(int)
+        self.edges = np.linspace(0, dimension, (BLOCKS if dimension >= SMALL else 1) + 1).astype(int)
         self.books = []
         for width in np.diff(self.edges):
+            if width < 32:  # signed Hadamard rows would repeat
+                book = rng.normal(size=(CODEWORDS, width))
+                self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
+                continue
             size, book = 1 << int(width - 1).bit_length(), []
             while sum(map(len, book)) < CODEWORDS:
                 signs = rng.choice([-1.0, 1.0], size=size)
                 rows = _hadamard(size)[:, rng.permutation(size)[:width]] * signs[:width]
                 book.append(np.concatenate([rows, -rows]) / np.sqrt(width))
             self.books.append(np.concatenate(book)[:CODEWORDS])
-        self.cut = -np.inf
+        # the cut that lists as many filters as asked for, over some random vectors
         trial = rng.normal(size=(200, dimension))
-        products = [self.products(v) for v in trial / np.linalg.norm(trial, axis=1, keepdims=True)]
-        low, high = 0.0, float(len(self.books))
-        for _ in range(20):
-            self.cut = (low + high) / 2
-            if np.mean([len(self.list(p)) if self._few(p) else 10 * listed for p in products]) > listed:
-                low = self.cut
-            else:
-                high = self.cut
-        self.cut = high
+        best = np.concatenate([self._highest(self.products(v)) for v in trial / np.linalg.norm(trial, axis=1, keepdims=True)])
+        number = min(len(best), int(200 * listed)) - 1
+        self.cut = -np.partition(-best, number)[number] - 1e-9
 
     def products(self, vector: np.ndarray) -> list[np.ndarray]:
         v = vector @ self.rotation
         return [book @ v[a:b] for book, a, b in zip(self.books, self.edges[:-1], self.edges[1:], strict=True)]
 
-    def _few(self, products: list[np.ndarray]) -> bool:
-        """While the cut is searched for: a count too large to list."""
-        best = sum(p.max() for p in products)
-        return np.prod([float(np.sum(p >= self.cut - best + p.max())) for p in products]) < 1e6
+    @staticmethod
+    def _highest(products: list[np.ndarray], number: int = 4096) -> np.ndarray:
+        """The largest sums of one product of each block, ``number`` of them and some more."""
+        if len(products) == 1:
+            return products[0]
+        left, right = (-np.sort(-p) for p in products)
+        return np.concatenate([x + right[: number // k] for k, x in enumerate(left[:number], 1)])
 
     def list(self, products: list[np.ndarray]) -> np.ndarray:
         """Numbers of all filters whose product, the sum of one of each block, reaches the cut."""
@@ -95,6 +99,23 @@ class Code:
         return self.list(self.products(vector)) + self.base
 
 
+@lru_cache(maxsize=16)
+def listed_for(dimension: int, threshold: float, codes: int = CODES, listed: float = LISTED) -> float:
+    """Filters of each code at which pairs of ``threshold`` meet often enough."""
+    rng = np.random.default_rng(dimension)
+    a, z = (rng.normal(size=(100, dimension)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    b = threshold * a + np.sqrt(1 - threshold**2) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    while listed < CODEWORDS:
+        met = [len(np.intersect1d(filters(x, codes, listed), filters(y, codes, listed))) > 0 for x, y in zip(a, b, strict=True)]
+        if np.mean(met) >= RECALL:
+            break
+        listed *= 1.5
+    return listed
+
+
 @lru_cache(maxsize=16)
 def _codes(dimension: int, codes: int, listed: float) -> list[Code]:
     return [Code(dimension, listed, k) for k in range(codes)]
@@ -173,7 +194,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, codes: int
                 x = np.array(v, "<f8")
                 x = x / np.abs(x).max()  # squares of very small or large numbers would vanish or overflow
                 raw.append(x.tobytes())
-                found.append(filters(x / np.linalg.norm(x), codes, listed))
+                found.append(filters(x / np.linalg.norm(x), codes, listed_for(len(x), threshold, codes, listed)))
             yield [pa.array([x.astype("<i8").tobytes() for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64())),
                    pa.array(raw, pa.binary())]
 

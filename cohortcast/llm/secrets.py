@@ -88,7 +88,8 @@ def fit(annotated: DataFrame) -> list[float] | None:
     rows = pairs.groupBy("random", before.alias("a"), now.alias("b")).count().collect()  # at most 2 x WIDTH x WIDTH
     counts = [[x] * WIDTH * WIDTH for x in ADDED]
     for r in rows:
-        counts[r["random"]][r["a"] * WIDTH + r["b"]] += r["count"]
+        # a run is judged by ordinary strings without itself: of each of its pairs, one fewer
+        counts[r["random"]][r["a"] * WIDTH + r["b"]] += r["count"] if r["random"] else r["count"] - 1
     if {r["random"] for r in rows} != {0, 1}:
         return None
     rates = []
