@@ -7,7 +7,7 @@ whose seeds are the hosts with pages that the rules allow, by number of pages.
 is blocked if its distrust, of both together, reaches ``THRESHOLD``; without either it is allowed.
 
 Rank tables have a row per host; each round is a join and a sum in Spark, and every ``STRIDE`` rounds the ranks go to the
-checkpoint folder and the change is measured, until it is below ``TOLERANCE`` of the total.
+shared checkpoint folder and the change is measured, until it is below ``TOLERANCE`` of the total.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  A null html has no links.
 Repeated pages count as often as they occur.  Input columns named like an output are replaced.
@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from .common import staged
 
 DAMPING = 0.75
@@ -88,46 +87,34 @@ def host_graph(pages: DataFrame, html: str = "html") -> tuple[DataFrame, DataFra
 
 
 def spread(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """Trust and distrust of each host (each sums to at most 1): personalised PageRank along and against the links.
-    What a host without outgoing links holds returns to the seeds."""
-    ensure_checkpoint_dir(edges.sparkSession)
+    """Trust and distrust of each host (each sums to 1, or to 0 without seeds): personalised PageRank along and against
+    the links, where a walk that meets a host without links on starts again at the seeds.
+
+    Such restarts only scale all ranks alike, so the rounds leave them out and the sums are set to 1 at the end."""
     total = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
-    seed = {"trust": F.col("good") / (total.good or 1.0), "distrust": F.col("bad") / (total.bad or 1.0)}
-    seeds = hosts.select("host", seed["trust"].alias("seed_t"), seed["distrust"].alias("seed_d"))
-    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    into = edges.groupBy(F.col("dst").alias("d")).agg(F.sum("w").alias("in"))
-    ways = edges.join(out, "src").join(into, edges["dst"] == into["d"])
-    # one table of both walks: along the links for trust, against them for distrust
-    ways = ways.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") / F.col("out")).alias("t"), F.lit(0.0).alias("d")
-                       ).unionByName(ways.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("t"),
-                                                 (F.col("w") / F.col("in")).alias("d")))
-    ways = staged(ways, "ways")
-    seeds = staged(seeds, "seeds")
-    ends = (seeds.join(ways.filter("t > 0").select(F.col("a").alias("host"), F.lit(1).alias("goes")).distinct(), "host", "left")
-            .join(ways.filter("d > 0").select(F.col("a").alias("host"), F.lit(1).alias("comes")).distinct(), "host", "left")
-            .select("host", F.col("goes").isNull().alias("end_t"), F.col("comes").isNull().alias("end_d")))
-    ranks = seeds.select("host", F.col("seed_t").alias("t"), F.col("seed_d").alias("d"))
-    ends = staged(ends, "ends")
+    seeds = staged(hosts.filter("good > 0 or bad > 0").select(
+        "host", (F.col("good") / (total.good or 1.0)).alias("t"), (F.col("bad") / (total.bad or 1.0)).alias("d")), "seeds")
+    out = edges.groupBy(F.col("src").alias("a")).agg(F.sum("w").alias("out"))
+    into = edges.groupBy(F.col("dst").alias("b")).agg(F.sum("w").alias("into"))
+    zero = F.lit(0.0)
+    along = edges.join(out, F.col("src") == F.col("a")).select("a", F.col("dst").alias("b"), (F.col("w") / F.col("out")).alias("by_t"), zero.alias("by_d"))
+    against = edges.join(into, F.col("dst") == F.col("b")).select(F.col("b").alias("a"), F.col("src").alias("b"), zero.alias("by_t"), (F.col("w") / F.col("into")).alias("by_d"))
+    ways = staged(along.unionByName(against), "ways")
+    restart = seeds.select("host", ((1 - damping) * F.col("t")).alias("t"), ((1 - damping) * F.col("d")).alias("d"))
+    ranks = seeds
     while True:
         before = ranks
-        for _ in range(STRIDE):
-            held = ranks.join(ends, "host").agg(
-                F.coalesce(F.sum(F.when(F.col("end_t"), F.col("t"))), F.lit(0.0)).alias("held_t"),
-                F.coalesce(F.sum(F.when(F.col("end_d"), F.col("d"))), F.lit(0.0)).alias("held_d"))
-            moved = (ways.alias("w").join(ranks.alias("r"), F.col("w.a") == F.col("r.host"))
-                     .groupBy(F.col("w.b").alias("host"))
-                     .agg(F.sum(F.col("w.t") * F.col("r.t")).alias("t"), F.sum(F.col("w.d") * F.col("r.d")).alias("d")))
-            held = F.broadcast(held)  # one row
-            zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-            ranks = seeds.join(moved, "host", "left").join(held).select(
-                "host",
-                (damping * (zero("t") + F.col("held_t") * F.col("seed_t")) + (1 - damping) * F.col("seed_t")).alias("t"),
-                (damping * (zero("d") + F.col("held_d") * F.col("seed_d")) + (1 - damping) * F.col("seed_d")).alias("d"))
-        ranks = ranks.checkpoint()
-        change = (ranks.alias("x").join(before.alias("y"), "host")
-                  .agg(F.sum(F.abs(F.col("x.t") - F.col("y.t")) + F.abs(F.col("x.d") - F.col("y.d")))).first()[0])
+        for _ in range(STRIDE):  # one join and one shuffle each
+            moved = ranks.join(ways, F.col("host") == F.col("a")).select(
+                F.col("b").alias("host"), (damping * F.col("t") * F.col("by_t")).alias("t"), (damping * F.col("d") * F.col("by_d")).alias("d"))
+            ranks = moved.unionByName(restart).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        ranks = staged(ranks, "ranks")
+        change = (ranks.unionByName(before.select("host", (-F.col("t")).alias("t"), (-F.col("d")).alias("d")))
+                  .groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).agg(F.sum(F.abs("t") + F.abs("d"))).first()[0])
         if not change or change < tolerance:
-            return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+            break
+    sums = ranks.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()
+    return ranks.select("host", (F.col("t") / (sums.t or 1.0)).alias("trust"), (F.col("d") / (sums.d or 1.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, url: str = "url",
