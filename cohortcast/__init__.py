@@ -9,7 +9,6 @@ functions  Column-expression helpers: IEEE-style division and logs, log-gamma,
 operators  the domain operators (rates, model inputs, rate reconstruction,
            likelihood, scoring, convergence diagnostics, LOO, comparators, reports).
 plans      the query registry used by the driver contract and the batch pipeline.
-streaming  intentionally empty: the reference has no streaming workloads.
 """
 
 __version__ = "0.1.0"

@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CohortConfig
@@ -29,10 +29,16 @@ from .rates import clamp_age
 
 
 def dispersion_maps(dispersion: DataFrame) -> DataFrame:
-    """(Country, Sim, dmap): age -> dispersion for each draw (a bounded map of n_ages_obs entries)."""
-    return dispersion.groupBy("Country", "Sim").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("Age").cast("int"), F.col("Dispersion")))).alias("dmap")
-    )
+    """(Country, Sim, dmap, disp_const): of each draw, the dispersion by age (n_ages_obs entries) and, of the constant
+    variant, the one that has no age; what a variant lacks is empty or null."""
+    by_age = F.collect_list(F.when(F.col("Age").isNotNull(), F.struct(F.col("Age").cast("int"), F.col("Dispersion"))))
+    const = F.max(F.when(F.col("Age").isNull(), F.col("Dispersion")))
+    return dispersion.groupBy("Country", "Sim").agg(F.map_from_entries(by_age).alias("dmap"), const.alias("disp_const"))
+
+
+def dispersion_at(age: Column) -> Column:
+    """Of the columns of ``dispersion_maps``: the draw's dispersion at an age."""
+    return F.coalesce(F.element_at("dmap", age.cast("int")), F.col("disp_const"))
 
 
 def expected_births(draws: DataFrame, expos_grid: DataFrame, cfg: CohortConfig,
@@ -60,7 +66,7 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
 
     dispersion: ``variable`` / ``var_unsmooth`` (per-age dispersion, folded bins use
     disp * (sum E)^2 / sum(E^2)), ``constant`` (one value per draw; in the fixture the
-    draw's dispersion at the first observed age), ``poisson`` (no dispersion)."""
+    draw's unindexed dispersion, or that at the first observed age where it has none), ``poisson`` (no dispersion)."""
     o = eb.join(obs.select("Country", "Cohort", "Age", "i", "Age_i", "births", "n_ages_obs"),
                 ["Country", "Cohort", "Age"])
     y, mu = F.col("births"), F.col("E")
@@ -71,9 +77,9 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
         # side (size estimates of exploded inputs are too low to pick a side by stats)
         o = o.join(disp_maps.hint("shuffle_hash"), ["Country", "Sim"])
         if dispersion == "constant":
-            disp = F.element_at(F.col("dmap"), F.lit(cfg.first_data_age))
+            disp = F.coalesce("disp_const", F.element_at("dmap", F.lit(cfg.first_data_age)))
         elif dispersion in ("variable", "var_unsmooth"):
-            base = F.element_at(F.col("dmap"), F.col("Age").cast("int"))
+            base = dispersion_at(F.col("Age"))
             folded = (F.col("Age_i") == 1) | (F.col("Age_i") == F.col("n_ages_obs"))
             disp = F.when(folded, base * F.col("E") * F.col("E") / F.col("E2")).otherwise(base)
         else:
@@ -196,8 +202,8 @@ def rw_extension(draws: DataFrame, cfg: CohortConfig, steps: int | None = None,
 def dispersion_from_basis(basis: DataFrame, beta: DataFrame) -> DataFrame:
     """Dispersion at each observed age from spline coefficients,
     1 + exp(sum_k basis[age, k] * beta[k]); ``basis`` (Country, Age_i, k, value) is small
-    (ages x basis functions) and is broadcast to the coefficient draws (Country, Sim, k, beta)."""
-    j = beta.join(F.broadcast(basis), ["Country", "k"])
+    (ages x basis functions): pass it through ``operators.small``; ``beta`` has the coefficient draws (Country, Sim, k, beta)."""
+    j = beta.join(basis, ["Country", "k"])
     return j.groupBy("Country", "Sim", "Age_i").agg(
         (F.lit(1.0) + F.exp(F.sum(F.col("value") * F.col("beta")))).alias("Dispersion")
     )

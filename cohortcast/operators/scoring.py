@@ -20,7 +20,7 @@ from ..config import CohortConfig
 from ..functions import special
 from ..functions.numeric import ieee_div, lit_d, ln, nb_lpmf, r_mean
 from .draws import rate_draws
-from .likelihood import dispersion_maps
+from .likelihood import dispersion_at, dispersion_maps
 from .logmean import log_mean_exp
 
 CELL = ["Country", "Age", "Cohort"]
@@ -35,8 +35,8 @@ def predictive_table(draws: DataFrame, dispersion: DataFrame, observed: DataFram
     d = draws if draw_filter is None else draws.filter(draw_filter)
     # co-partitioned on (Country, Sim); the maps are the build side
     d = d.join(dispersion_maps(dispersion).hint("shuffle_hash"), ["Country", "Sim"])
-    r = rate_draws(d, cfg, param_func, keep=["dmap"], age_filter=age_filter)
-    r = r.select("*", F.element_at("dmap", F.col("Age")).alias("Dispersion")).drop("dmap")
+    r = rate_draws(d, cfg, param_func, keep=["dmap", "disp_const"], age_filter=age_filter)
+    r = r.select("*", dispersion_at(F.col("Age")).alias("Dispersion")).drop("dmap", "disp_const")
     r = r.filter(F.col("Dispersion").isNotNull() & ~F.isnan("Dispersion") & ~F.isnan("Rate")
                  & ~F.isnan("Comp_1") & ~F.isnan("Comp_2"))
     # Year = Cohort + Age on the rate side, so unobserved (future) cells keep their Year

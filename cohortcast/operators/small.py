@@ -6,7 +6,8 @@ not by the number of draws or input rows, but the bound is only *proven* after
 it is materialised.  ``small_side`` checkpoints such a table into the shared
 checkpoint directory (cutting its lineage, so a lost executor does not recompute
 the upstream scan), counts it, and broadcasts it only under the row limit;
-above the limit the join falls back to a shuffle join.
+above the limit it is pinned as the build side of a shuffled hash join, so that the
+exploded side is never broadcast on the strength of an estimate.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     m = df.checkpoint(eager=True)
     n = m.count()
-    return F.broadcast(m) if n <= max_rows else m
+    return F.broadcast(m) if n <= max_rows else m.hint("shuffle_hash")
 
 
 _MEMO: dict[tuple, DataFrame] = {}

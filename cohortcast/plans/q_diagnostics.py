@@ -171,7 +171,7 @@ def _choice_sql() -> str:
 
     head = _rh("", CHOICE_SUBSETS, views=("rh", "ll"), extra={**qs._LL_VIEWS, "ll": qs._ll_select("variable")},
                extra_deps={**qs._LL_DEPS, "ll": ["eb", "obs", "dispersion"]})
-    return head + choice_ctes() + "\nselect * from cct"
+    return head + choice_ctes() + "\nselect Country, decision, discard_chains, keep_chains from cct"
 
 
 def choices(spark, sf_dir):
@@ -183,4 +183,4 @@ def choices(spark, sf_dir):
 
 @register("chain_choice", "L6 L7 L8 L4 L5", _choice_sql())
 def q_chain_choice(spark, sf_dir):
-    return choices(spark, sf_dir)
+    return choices(spark, sf_dir).drop("discard")

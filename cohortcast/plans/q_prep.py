@@ -114,7 +114,7 @@ def _raw_sql(j: str) -> str:
 
 
 _NM = C.n_interior_knots
-_SPLINE_SQL = f"""
+SPLINE_SQL = f"""
 select Country, Age_i, k,
   {_raw_sql('k + 1')} + (case when k = 1 then {_raw_sql('1')} else 0.0 end)
                       + (case when k = {_NM} then {_raw_sql(str(_NM + 2))} else 0.0 end) as value
@@ -122,7 +122,7 @@ from (select Country, Age_i, max(n_ages_obs) as n from obs group by Country, Age
      (select cast(range as int) as k from range(1, {_NM + 1})) kk"""
 
 
-@register("spline_basis", "I13 J2 D25", with_views(_SPLINE_SQL, ["obs"]), ["value"], overrides={"value": 9})
+@register("spline_basis", "I13 J2 D25", with_views(SPLINE_SQL, ["obs"]), ["value"], overrides={"value": 9})
 def q_spline_basis(spark, sf_dir):
     return prep.spline_basis(obs_table(spark, sf_dir), C)
 
@@ -133,12 +133,18 @@ select p1.p as param_type_1, p2.p as param_type_2, 'mixture' as model_name, c.Co
        'variable' as dispersion, 'model_base.yaml' as base_config, 'mixture' as model,
        '{C.time_dimension}' as time_dimension, {C.minimum_age} as minimum_age, {C.maximum_age} as maximum_age,
        {C.T_holdback} as T_holdback, {C.T_forecast} as T_forecast, p1.p || ',' || p2.p as param_func
-from (select distinct Country from cells) c cross join {_TYPES} p1(p) cross join {_TYPES} p2(p)"""
+from (select r_name as Country from region) c cross join {_TYPES} p1(p) cross join {_TYPES} p2(p)"""
 
 
-@register("run_spec_grid", "C13 I23", with_views(_RUNSPEC_SQL, ["cells"]))
+@register("run_spec_grid", "C13 I23", _RUNSPEC_SQL)
 def q_run_spec_grid(spark, sf_dir):
-    return prep.run_spec_grid(fx.cells(spark, sf_dir).select("Country"), C)
+    return prep.run_spec_grid(fx.countries(spark, sf_dir), C)
+
+
+def small_basis(spark, sf_dir):
+    from ..operators.small import small_table
+
+    return small_table(spark, ("basis", sf_dir), lambda: prep.spline_basis(obs_table(spark, sf_dir, True), C))
 
 
 # size-checked, once-per-session small sides of the draw-level joins

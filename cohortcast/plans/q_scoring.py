@@ -12,7 +12,7 @@ from ..operators import likelihood as lk
 from ..operators import scoring as sc
 from ..sources import fixtures as fx
 from .q_draws import rate_draws_sql
-from .q_prep import small_grid, small_obs, small_rates
+from .q_prep import SPLINE_SQL, small_basis, small_grid, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 
@@ -185,6 +185,41 @@ def q_predictive_table(spark, sf_dir):
     return predictive(spark, sf_dir)
 
 
+_PC_SQL = _PT_VIEWS["pt"].replace("join dispersion d on r.Country = d.Country and r.Sim = d.Sim and r.Age = d.Age",
+                                  f"join (select Country, Sim, Dispersion + 1.0 as Dispersion from dispersion where Age = {_FDA}) d "
+                                  "on r.Country = d.Country and r.Sim = d.Sim")
+
+
+@register("predictive_constant", "K1 C6 H7", _pt(_PC_SQL, ["rdall", "dispersion", "rates"]), _PT_DOUBLES,
+          overrides={"Comp_1": 9, "Comp_2": 9, "Rate": 9, "Obs_rate": 9})
+def q_predictive_constant(spark, sf_dir):
+    disp = lk.dispersion_by_age(fx.dispersion_constant(spark, sf_dir, C), C)
+    return sc.predictive_table(fx.draws(spark, sf_dir, C), disp, small_rates(spark, sf_dir), C, PF)
+
+
+@register("dispersion_by_age", "H7",
+          with_views(f"""
+select Country, Sim, cast(Age as int) as Age, Dispersion from dispersion
+union all select Country, Sim, 0, Dispersion + 1.0 from dispersion where Age = {_FDA}""", ["dispersion"]),
+          ["Dispersion"])
+def q_dispersion_by_age(spark, sf_dir):
+    d = fx.dispersion(spark, sf_dir, C)
+    k = (F.col("Age") - (_FDA - 1)).cast("string")
+    named = d.select("Country", "Sim", F.concat(F.lit("dispersion["), k, F.lit("]")).alias("param"), F.col("Dispersion").alias("value"))
+    return lk.dispersion_by_age(named.unionByName(fx.dispersion_constant(spark, sf_dir, C)), C).na.fill(0, ["Age"])  # 0: all ages
+
+
+@register("dispersion_from_basis", "D26 I14",
+          with_views(f"""
+, bas AS ({SPLINE_SQL})
+select d.Country, d.Sim, b.Age_i, 1.0 + exp(sum(b.value*d.Dispersion/22.0)) as Dispersion
+from bas b join dispersion d on d.Country = b.Country and d.Age - {_FDA - 1} = b.k
+group by d.Country, d.Sim, b.Age_i""", ["obs", "dispersion"]), ["Dispersion"])
+def q_dispersion_from_basis(spark, sf_dir):
+    basis = small_basis(spark, sf_dir)
+    return lk.dispersion_from_basis(basis, fx.dispersion_coefficients(spark, sf_dir, C))
+
+
 @register("predictive_rank_exact", "K2",
           _pt("select Country, Age, Cohort, Year, max(Births) as Births, avg(cdf) as Q from pxc "
               "group by Country, Age, Cohort, Year", ["pxc"]),
@@ -206,6 +241,15 @@ def q_log_score(spark, sf_dir):
     return sc.cell_log_score(predictive(spark, sf_dir, forecast_only=True), C)
 
 
+@register("log_score_draws", "K4 I8 B13",
+          _pt(f"""
+select Country, Age, Cohort, Year, Sim, {nb_sql('round_even(Births, 0)', 'E_births', 'Dispersion')} as Score,
+       E_births + E_births*E_births/Dispersion as Var_births
+from pt where Year > {_JO} and Exposure is not null and Exposure <> 0""", ["pt"]), ["Score", "Var_births"])
+def q_log_score_draws(spark, sf_dir):
+    return sc.pointwise_scores(predictive(spark, sf_dir, forecast_only=True), C)
+
+
 def _rm(x: str) -> str:
     return f"(case when count({x}) < count(*) then null else avg({x}) end)"
 

@@ -37,10 +37,10 @@ select param_type_1, param_type_2, model_name, country, dispersion, base_config,
 from (""" + _RUNSPEC_SQL + ") g"
 
 
-@register("run_spec_csv", "A8 A9 C13 I23", with_views(_RUNSPEC_CSV_SQL, ["cells"]))
+@register("run_spec_csv", "A8 A9 C13 I23", _RUNSPEC_CSV_SQL)
 def q_run_spec_csv(spark, sf_dir):
     path = fl.shared_dir(spark, "run_specs")
-    fl.write_run_specs(prep.run_spec_grid(fx.cells(spark, sf_dir).select("Country"), C), path)
+    fl.write_run_specs(prep.run_spec_grid(fx.countries(spark, sf_dir), C), path)
     return fl.read_run_specs(spark, path)
 
 

@@ -42,6 +42,11 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The countries of the runs, without a look at the facts."""
+    return read_table(spark, sf_dir, "region").select(F.col("r_name").alias("Country"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with the year and country of its order."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
@@ -167,6 +172,19 @@ def dispersion(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) ->
     return _stored(spark, sf_dir, cfg, "dispersion", build)
 
 
+def dispersion_constant(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
+    """Draws of the constant variant's one dispersion, by parameter name: (Country, Sim, param, value)."""
+    d = dispersion(spark, sf_dir, cfg).filter(F.col("Age") == cfg.first_data_age)
+    return d.select("Country", "Sim", F.lit("dispersion").alias("param"), (F.col("Dispersion") + F.lit(1.0)).alias("value"))
+
+
+def dispersion_coefficients(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
+    """Draws of the spline coefficients of the log dispersion: (Country, Sim, k, beta)."""
+    d = dispersion(spark, sf_dir, cfg)
+    k = (F.col("Age") - cfg.first_data_age + 1).cast("int")
+    return d.filter(k <= cfg.n_dispersion_basis).select("Country", "Sim", k.alias("k"), (F.col("Dispersion") / F.lit(22.0)).alias("beta"))
+
+
 def sampler_params(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
     """Stored sampler diagnostics of each iteration (divergences, tree depth, energy)."""
 

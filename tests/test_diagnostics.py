@@ -75,14 +75,29 @@ def test_ess_autocorrelated_smaller():
     assert dg.ess_chains(x) < 1500
 
 
-def _verdicts(spark, conv: dict, elpd: dict | None = None):
-    rows = [("X", k, v) for k, v in conv.items()]
-    v = spark.createDataFrame(rows, "Country string, subset string, converged boolean")
-    e = spark.createDataFrame([("X", k, float(x)) for k, x in (elpd or {}).items()] or [("X", "none", 0.0)],
-                              "Country string, subset string, elpd double")
+def _verdicts(spark, conv, elpd=None):
+    v = spark.createDataFrame([("X", k, c) for k, c in conv.items()], "Country string, subset string, converged boolean")
+    e = spark.createDataFrame([("X", k, x) for k, x in (elpd or {1: 0.0}).items()], "Country string, bits int, elpd double")
     return dg.chain_choice(v, e, FIXTURE).collect()[0]
 
 
+def test_chain_choice_takes_all_pairs_whose_removal_converges(spark):
+    conv = {f"drop_{c}": False for c in range(1, 5)}
+    conv.update({"without_1_2": True, "pair_1_2": False, "without_1_3": True, "pair_1_3": False, "without_1_4": False, "pair_1_4": False})
+    r = _verdicts(spark, conv)
+    assert (r["decision"], r["discard_chains"], r["keep_chains"]) == ("drop_pair", "1_2_3", "4")
+    conv.update({"pair_1_2": True})  # the first of them converges itself: the two sides are compared
+    r = _verdicts(spark, conv, {0b0111: -5.0, 0b1000: -9.0})
+    assert (r["decision"], r["discard_chains"]) == ("compare_loo", "4")
+
+
+def test_chain_choice_keeps_converged_pairs(spark):
+    conv = {f"drop_{c}": False for c in range(1, 5)}
+    conv.update({f"without_1_{j}": False for j in (2, 3, 4)} | {"pair_1_2": False, "pair_1_3": True, "pair_1_4": False})
+    r = _verdicts(spark, conv)
+    assert (r["decision"], r["keep_chains"]) == ("keep_converged_pairs", "1_3")
+
+
 def test_chain_choice_drop_one(spark):
     conv = {f"drop_{c}": c == 3 for c in range(1, 5)}
     r = _verdicts(spark, conv)
@@ -93,9 +108,9 @@ def test_chain_choice_pairs_and_loo(spark):
     conv = {f"drop_{c}": False for c in range(1, 5)}
     conv.update({"without_1_2": True, "pair_1_2": True, "without_1_3": False, "pair_1_3": False,
                  "without_1_4": False, "pair_1_4": False})
-    better_pair = _verdicts(spark, conv, {"pair_1_2": -10.0, "without_1_2": -20.0})
+    better_pair = _verdicts(spark, conv, {0b0011: -10.0, 0b1100: -20.0})
     assert (better_pair["decision"], better_pair["discard_chains"]) == ("compare_loo", "3_4")
-    worse_pair = _verdicts(spark, conv, {"pair_1_2": -30.0, "without_1_2": -20.0})
+    worse_pair = _verdicts(spark, conv, {0b0011: -30.0, 0b1100: -20.0})
     assert worse_pair["discard_chains"] == "1_2"
 
 

@@ -22,9 +22,9 @@ def test_cells_totals(spark):
 
 def test_draw_views(spark):
     d = fx.draws(spark, SF_CHECK, C).agg(F.count(F.lit(1)), F.sum("CEB"), F.max("Chain"), F.max("Iter")).collect()[0]
-    assert d[0] == 50000 and d[1] == pytest.approx(99998.2331, abs=1e-3) and (d[2], d[3]) == (4, 50)
+    assert d[0] == 50000 and d[1] == pytest.approx(110001.290197, abs=1e-3) and (d[2], d[3]) == (4, 50)
     s = fx.sampler_params(spark, SF_CHECK, C).agg(F.count(F.lit(1)), F.sum("divergent__"), F.sum("treedepth__")).collect()[0]
-    assert tuple(s) == (1000, 12, 8988)
+    assert tuple(s) == (1000, 10, 9000)
 
 
 def test_freeze_rate_values(spark):
@@ -40,4 +40,4 @@ def test_log_score_total(spark):
     df = all_queries()["log_score"].spark_df(spark, SF_CHECK)
     r = df.agg(F.count(F.lit(1)), F.sum("Score")).collect()[0]
     assert r[0] == 450
-    assert r[1] == pytest.approx(-8487.478466, abs=1e-4)
+    assert r[1] == pytest.approx(-7989.753111, abs=1e-4)

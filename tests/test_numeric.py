@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,30 @@ def test_weighted_mean_drops_zero_weights(spark):
 def test_r_mean_na(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "x double")
     assert df.agg(nm.r_mean(F.col("x"))).collect()[0][0] is None
+
+
+@pytest.mark.parametrize("a,b", [(0.5, 0.5), (3.0, 40.0), (1e3, 2e3), (1e7, 1e7), (1e8, 5e7), (1e8, 1e8)])
+def test_incomplete_beta_against_a_numerical_integral(a, b):
+    """I_x(a, b) by the substitution x = 1 / (1 + e^-t), integrated with a fine grid around the peak."""
+    from cohortcast.functions import special
+
+    mean = a / (a + b)
+    sd = math.sqrt(mean * (1 - mean) / (a + b + 1))
+    for z in (-3.0, -0.5, 0.0, 1.0, 4.0):
+        x = min(max(mean + z * sd, 1e-9), 1 - 1e-9)
+        centre, wide = math.log(a / b), math.sqrt(1 / a + 1 / b)
+        t = np.linspace(centre - 60 * wide, centre + 60 * wide, 1_200_001)
+        log_p, log_q = -np.logaddexp(0, -t), -np.logaddexp(0, t)
+        f = a * log_p + b * log_q
+        f = np.exp(f - f.max())
+        total = np.concatenate([[0.0], np.cumsum((f[1:] + f[:-1]) / 2)])
+        want = np.interp(math.log(x / (1 - x)), t, total) / total[-1]
+        assert special.betainc(a, b, x) == pytest.approx(want, abs=2e-6)
+
+
+def test_incomplete_beta_never_returns_an_unconverged_value(monkeypatch):
+    from cohortcast.functions import special
+
+    monkeypatch.setattr(special, "_CONVERGED", -1.0)
+    with pytest.raises(ArithmeticError):
+        special.betainc(3.0, 4.0, 0.4)
