@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,31 +116,37 @@ def psis_point(ll: np.ndarray, r_eff: float) -> tuple[float, float]:
     return _log_sum_exp(lw + ll), k
 
 
-PSIS_SCHEMA = T.StructType([
-    T.StructField("Country", T.StringType()), T.StructField("i", T.IntegerType()),
-    T.StructField("elpd_loo", T.DoubleType()), T.StructField("p_loo", T.DoubleType()),
-    T.StructField("looic", T.DoubleType()), T.StructField("pareto_k", T.DoubleType()),
-    T.StructField("r_eff", T.DoubleType()),
-])
+def _schema(keys: tuple[str, ...], ints: tuple[str, ...], doubles: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in keys] + [T.StructField(c, T.IntegerType()) for c in ints]
+                        + [T.StructField(c, T.DoubleType()) for c in doubles])
 
 
-def _psis_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    wide = pdf.pivot_table(index="Iter", columns="Chain", values="ll", aggfunc="first").sort_index()
-    x = wide.to_numpy(dtype=float)
-    ll = pdf.sort_values(["Chain", "Iter"], kind="mergesort")["ll"].to_numpy(dtype=float)
-    s = len(ll)
-    # relative efficiency as the reference passes it: relative_eff() of the ll draws
-    ess = ess_chains(x[~np.isnan(x).any(axis=1)]) if x.shape[1] > 0 else float("nan")
-    r_eff = ess / s if np.isfinite(ess) and ess > 0 else 1.0
-    elpd, k = psis_point(ll, r_eff)
-    lpd = _log_sum_exp(ll) - math.log(s)
-    return pd.DataFrame({"Country": [pdf["Country"].iloc[0]], "i": [int(pdf["i"].iloc[0])], "elpd_loo": [elpd],
-                         "p_loo": [lpd - elpd], "looic": [-2.0 * elpd], "pareto_k": [k], "r_eff": [r_eff]})
+def _run_columns(pdf: pd.DataFrame, keys: tuple[str, ...]) -> dict:
+    return {c: pdf[c].to_numpy() for c in keys}
+
+
+def _psis_group(keys: tuple[str, ...]):
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="Iter", columns="Chain", values="ll", aggfunc="first").sort_index()
+        x = wide.to_numpy(dtype=float)
+        ll = pdf.sort_values(["Chain", "Iter"], kind="mergesort")["ll"].to_numpy(dtype=float)
+        s = len(ll)
+        # relative efficiency as the reference passes it: relative_eff() of the ll draws
+        ess = ess_chains(x[~np.isnan(x).any(axis=1)]) if x.shape[1] > 0 else float("nan")
+        r_eff = ess / s if np.isfinite(ess) and ess > 0 else 1.0
+        elpd, k = psis_point(ll, r_eff)
+        lpd = _log_sum_exp(ll) - math.log(s)
+        return pd.DataFrame(_run_columns(pdf.iloc[:1], keys) | {
+            "i": [int(pdf["i"].iloc[0])], "elpd_loo": [elpd], "p_loo": [lpd - elpd], "looic": [-2.0 * elpd],
+            "pareto_k": [k], "r_eff": [r_eff]})
 
+    return smooth
 
-def psis_loo(ll: DataFrame) -> DataFrame:
-    """M1: PSIS-LOO pointwise (elpd, p, looic, Pareto k) per (Country, observation)."""
-    return ll.select("Country", "i", "Chain", "Iter", "ll").groupBy("Country", "i").applyInPandas(_psis_group, PSIS_SCHEMA)
+
+def psis_loo(ll: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
+    """M1: PSIS-LOO pointwise (elpd, p, looic, Pareto k) per (run, observation)."""
+    schema = _schema(keys, ("i",), ("elpd_loo", "p_loo", "looic", "pareto_k", "r_eff"))
+    return ll.select(*keys, "i", "Chain", "Iter", "ll").groupBy(*keys, "i").applyInPandas(_psis_group(keys), schema)
 
 
 def loo_eligibility(flags: DataFrame) -> DataFrame:
@@ -149,45 +155,37 @@ def loo_eligibility(flags: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M5-M8
-def loo_diagnostics(pointwise: DataFrame, obs: DataFrame, cfg: CohortConfig) -> DataFrame:
+def loo_diagnostics(pointwise: DataFrame, obs: DataFrame, cfg: CohortConfig, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """M5 + M6: Pareto k with the observation's age and cohort; flag of points to refit."""
     j = pointwise.join(obs.select("Country", "i", "Age", "Cohort"), ["Country", "i"])
-    return j.select("Country", "i", "Age", "Cohort", "pareto_k",
+    return j.select(*keys, "i", "Age", "Cohort", "pareto_k",
                     (F.col("pareto_k") > cfg.pareto_k_threshold).alias("refit"))
 
 
-NN_SCHEMA = T.StructType([
-    T.StructField("Country", T.StringType()), T.StructField("i", T.IntegerType()),
-    T.StructField("nn_dist", T.DoubleType()),
-])
-
+def _nn_group(keys: tuple[str, ...]):
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["Time", "Age_i"]].to_numpy(dtype=float)
+        n = len(xy)
+        if n < 2:
+            nn = np.full(n, np.nan)
+        else:
+            d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2))
+            np.fill_diagonal(d, np.inf)
+            nn = d.min(axis=1)
+        return pd.DataFrame(_run_columns(pdf, keys) | {"i": pdf["i"].astype("int32").to_numpy(), "nn_dist": nn})
 
-def _nn_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    xy = pdf[["Time", "Age_i"]].to_numpy(dtype=float)
-    n = len(xy)
-    if n < 2:
-        nn = np.full(n, np.nan)
-    else:
-        d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2))
-        np.fill_diagonal(d, np.inf)
-        nn = d.min(axis=1)
-    return pd.DataFrame({"Country": pdf["Country"].to_numpy(), "i": pdf["i"].astype("int32").to_numpy(), "nn_dist": nn})
+    return nearest
 
 
-def dropped_distances(points: DataFrame) -> DataFrame:
+def dropped_distances(points: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """C17: Euclidean distance in (cohort index, age index) from each left-out point to its
     nearest other left-out point of the same run.  The distance matrix exists only inside
     the task of one run (the left-out points of a run are the few high-k observations)."""
-    return points.select("Country", "i", "Time", "Age_i").groupBy("Country").applyInPandas(_nn_group, NN_SCHEMA)
-
-
-FOLD_SCHEMA = T.StructType([
-    T.StructField("Country", T.StringType()), T.StructField("i", T.IntegerType()),
-    T.StructField("fold", T.IntegerType()), T.StructField("min_within_dist", T.DoubleType()),
-])
+    return points.select(*keys, "i", "Time", "Age_i").groupBy(*keys).applyInPandas(
+        _nn_group(keys), _schema(keys, ("i",), ("nn_dist",)))
 
 
-def _fold_search(seed: int, n_folds: int = 3, n_trials: int = 100):
+def _fold_search(seed: int, keys: tuple[str, ...], n_folds: int = 3, n_trials: int = 100):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", kind="mergesort").reset_index(drop=True)
         n = len(pdf)
@@ -198,7 +196,7 @@ def _fold_search(seed: int, n_folds: int = 3, n_trials: int = 100):
             xy = pdf[["Time", "Age_i"]].to_numpy(dtype=float)
             d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2))
             np.fill_diagonal(d, 1000.0)
-            rng = np.random.default_rng([seed, zlib.crc32(str(pdf["Country"].iloc[0]).encode())])
+            rng = np.random.default_rng([seed, zlib.crc32("|".join(str(pdf[c].iloc[0]) for c in keys).encode())])
             base = np.tile(np.arange(1, n_folds + 1), int(math.ceil(n / n_folds)))[:n]
             cand = base.copy()
             best, best_min = base.copy(), 0.0
@@ -209,26 +207,27 @@ def _fold_search(seed: int, n_folds: int = 3, n_trials: int = 100):
                     best_min, best = this_min, cand.copy()
                 cand = rng.permutation(base)
             folds = best
-        return pd.DataFrame({"Country": pdf["Country"].to_numpy(), "i": pdf["i"].astype("int32").to_numpy(),
+        return pd.DataFrame(_run_columns(pdf, keys) | {"i": pdf["i"].astype("int32").to_numpy(),
                              "fold": np.asarray(folds, dtype="int32"), "min_within_dist": best_min})
 
     return search
 
 
-def lko_folds(points: DataFrame, cfg: CohortConfig) -> DataFrame:
+def lko_folds(points: DataFrame, cfg: CohortConfig, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """M7: <= 3 points: one fold each; otherwise the best of 100 seeded balanced random
     splits (the round-robin split first) maximising the smallest within-fold distance;
     every candidate is tested (quirk X15)."""
-    return points.select("Country", "i", "Time", "Age_i").groupBy("Country").applyInPandas(
-        _fold_search(cfg.seed), FOLD_SCHEMA
+    return points.select(*keys, "i", "Time", "Age_i").groupBy(*keys).applyInPandas(
+        _fold_search(cfg.seed, keys), _schema(keys, ("i", "fold"), ("min_within_dist",))
     )
 
 
-def lko_runs(folds: DataFrame, model: str = "model1", dispersion: str = "variable") -> DataFrame:
+def lko_runs(folds: DataFrame, model: str | Column = "model1", dispersion: str = "variable",
+             keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """M8 + D30: one refit run per (run, fold) with its indices joined by '_' in numeric order."""
-    g = folds.groupBy("Country", "fold").agg(F.array_sort(F.collect_list("i")).alias("idx"))
+    g = folds.groupBy(*keys, "fold").agg(F.array_sort(F.collect_list("i")).alias("idx"))
     return g.select(
-        F.lit(model).alias("Model"), "Country", "fold",
+        F.lit(model).alias("Model"), *keys, "fold",
         F.concat_ws("_", F.transform("idx", lambda x: x.cast("string"))).alias("inds"),
         F.size("idx").alias("n_points"), F.lit(dispersion).alias("dispersion"),
     ).filter(F.col("inds") != "")

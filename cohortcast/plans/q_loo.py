@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import FIXTURE as C
 from ..operators import likelihood as lk
 from ..operators import loo
+from ..operators.small import stored_table
 from .q_prep import small_obs
 from .q_scoring import _LL_DEPS, _LL_VIEWS, _LKO_VALUES, _ll_select, lko_fixture, loglik_df
 from .registry import register
@@ -48,9 +49,30 @@ def q_is_loo(spark, sf_dir):
     return loo.is_loo(ll_variable(spark, sf_dir))
 
 
+#: A run of the PSIS chain: a country and a pair of component densities.
+RUN = ("Country", "p1", "p2")
+
+
+def ll_by_model(spark, sf_dir):
+    from .q_reports import loglik_by_model
+
+    return loglik_by_model(spark, sf_dir)
+
+
+def psis_by_model(spark, sf_dir):
+    """M1 + M4: pointwise PSIS of every run, written once per session."""
+    return stored_table(spark, ("psis", sf_dir), lambda: loo.psis_loo(ll_by_model(spark, sf_dir), RUN), "Country")
+
+
+def high_k_points(spark, sf_dir):
+    """M6: the observations to refit, of every run."""
+    d = loo.loo_diagnostics(psis_by_model(spark, sf_dir), small_obs(spark, sf_dir), C, RUN)
+    return d.filter("refit").select(*RUN, "i")
+
+
 @register("psis_loo", "M1")
 def q_psis_loo(spark, sf_dir):
-    return loo.psis_loo(ll_variable(spark, sf_dir))
+    return psis_by_model(spark, sf_dir)
 
 
 @register("psis_summary", "M1 M3 M4 D28")
@@ -72,7 +94,7 @@ def q_psis_summary(spark, sf_dir):
 
 @register("loo_diagnostics", "M5 M6 D28")
 def q_loo_diagnostics(spark, sf_dir):
-    return loo.loo_diagnostics(loo.psis_loo(ll_variable(spark, sf_dir)), small_obs(spark, sf_dir), C)
+    return loo.loo_diagnostics(psis_by_model(spark, sf_dir), small_obs(spark, sf_dir), C, RUN)
 
 
 _NN = """
@@ -93,14 +115,23 @@ def q_lko_distance(spark, sf_dir):
     return loo.dropped_distances(dropped_obs(spark, sf_dir))
 
 
-@register("lko_folds", "M7")
+def high_k_obs(spark, sf_dir):
+    return high_k_points(spark, sf_dir).join(small_obs(spark, sf_dir), ["Country", "i"])
+
+
+@register("lko_folds", "M7 C17")
 def q_lko_folds(spark, sf_dir):
-    return loo.lko_folds(dropped_obs(spark, sf_dir), C)
+    obs = high_k_obs(spark, sf_dir)
+    return loo.lko_folds(obs, C, RUN).join(loo.dropped_distances(obs, RUN), [*RUN, "i"])
 
 
 @register("lko_runs", "M8 D30 H13 I24")
 def q_lko_runs(spark, sf_dir):
-    return loo.lko_runs(loo.lko_folds(dropped_obs(spark, sf_dir), C))
+    from .q_reports import PAIRS
+
+    number = F.create_map(*[F.lit(x) for k, (a, b) in enumerate(sorted(PAIRS), 1) for x in (f"{a}/{b}", f"model{k}")])
+    model = number[F.concat_ws("/", "p1", "p2")]
+    return loo.lko_runs(loo.lko_folds(high_k_obs(spark, sf_dir), C, RUN), model, keys=RUN)
 
 
 @register("refit_lpd", "M10 D10", _v(_RF, ["ll", "dropped"]), ["lpd"])

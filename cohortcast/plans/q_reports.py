@@ -163,11 +163,15 @@ _GRID_DEPS = {"rd9": ["draws"], "eb9": ["rd9", "expo_grid"], "ll9": ["eb9", "obs
               "lg9": ["isl9"]}
 
 
-def looic_by_model(spark, sf_dir):
+def loglik_by_model(spark, sf_dir):
     pairs = F.array(*[F.struct(F.lit(a).alias("p1"), F.lit(b).alias("p2")) for a, b in PAIRS])
     d = fx.draws(spark, sf_dir, C).select("*", F.explode(pairs).alias("m")).select("*", "m.p1", "m.p2").drop("m")
-    ll = lk.loglik(d, small_grid(spark, sf_dir), small_obs(spark, sf_dir),
-                   fx.dispersion(spark, sf_dir, C), C, "variable", None, model_keys=("p1", "p2"))
+    return lk.loglik(d, small_grid(spark, sf_dir), small_obs(spark, sf_dir),
+                     fx.dispersion(spark, sf_dir, C), C, "variable", None, model_keys=("p1", "p2"))
+
+
+def looic_by_model(spark, sf_dir):
+    ll = loglik_by_model(spark, sf_dir)
     keys = ("Country", "p1", "p2")
     pw = loo.is_loo(ll, keys)
     return loo.loo_summary(pw, "elpd_is", keys).select(*keys, "looic", "looic_se")

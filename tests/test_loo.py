@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortcast.config import FIXTURE
 from cohortcast.operators import loo
+from cohortcast.plans.registry import all_queries
+
+from .conftest import SF_SMALL
 
 
 def test_psis_recovers_pareto_tail_shape():
@@ -66,3 +69,16 @@ def test_lko_runs_numeric_order(spark):
     folds = spark.createDataFrame([("A", 20, 1, 0.0), ("A", 3, 1, 0.0), ("A", 17, 1, 0.0)],
                                   "Country string, i int, fold int, min_within_dist double")
     assert loo.lko_runs(folds).collect()[0]["inds"] == "3_17_20"
+
+
+def test_every_high_k_point_is_refit(spark):
+    q = all_queries()
+    d = q["loo_diagnostics"].spark_df(spark, SF_SMALL)
+    want = {(r.Country, r.p1, r.p2, r.i) for r in d.filter("refit").collect()}
+    assert len({r[:3] for r in want}) > 9  # several countries and models
+    folds = q["lko_folds"].spark_df(spark, SF_SMALL).collect()
+    assert {(r.Country, r.p1, r.p2, r.i) for r in folds} == want and len(folds) == len(want)
+    runs = q["lko_runs"].spark_df(spark, SF_SMALL).collect()
+    got = [(r.Country, r.p1, r.p2, int(i)) for r in runs for i in r.inds.split("_")]
+    assert sorted(got) == sorted(want)
+    assert len({(r.p1, r.p2) for r in runs}) == len({r.Model for r in runs})
