@@ -75,21 +75,15 @@ def q_psis_loo(spark, sf_dir):
     return psis_by_model(spark, sf_dir)
 
 
-@register("psis_summary", "M1 M3 M4 D28")
+@register("psis_summary", "M1 M3 M4 M11 C18 C19 D27 D28")
 def q_psis_summary(spark, sf_dir):
     from .q_diagnostics import long_draws
     from ..operators import diagnostics as dg
     from ..sources import fixtures as fx
 
-    pw = loo.psis_loo(ll_variable(spark, sf_dir))
-    s = loo.loo_summary(pw, "elpd_loo", p_col="p_loo", k_col="pareto_k", k_threshold=C.pareto_k_threshold)
+    refit = loo.lpd_points(ll_by_model(spark, sf_dir), high_k_points(spark, sf_dir), RUN)
     flags = dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), dg.split_rhat(long_draws(spark, sf_dir), C), C)
-    e = loo.loo_eligibility(flags)
-    j = s.join(e, "Country")
-    # M3: no LOO for runs with divergent transitions
-    return j.select("Country", "loo_eligible", "n_obs", "n_high_pareto_k",
-                    *[F.when(F.col("loo_eligible"), F.col(c)).alias(c)
-                      for c in ("elpd_loo", "elpd_se", "p_loo", "looic", "looic_se")])
+    return loo.corrected_psis(psis_by_model(spark, sf_dir), refit, loo.loo_eligibility(flags), C, RUN)
 
 
 @register("loo_diagnostics", "M5 M6 D28")

@@ -82,3 +82,28 @@ def test_every_high_k_point_is_refit(spark):
     got = [(r.Country, r.p1, r.p2, int(i)) for r in runs for i in r.inds.split("_")]
     assert sorted(got) == sorted(want)
     assert len({(r.p1, r.p2) for r in runs}) == len({r.Model for r in runs})
+
+
+def test_corrected_psis_cases(spark):
+    keys = ("Country", "p1", "p2")
+    pw = [("A", "g", "w", 1, -2.0, 0.1, 0.9), ("A", "g", "w", 2, -3.0, 0.1, 0.2), ("A", "w", "g", 1, -4.0, 0.1, 0.3),
+          ("A", "w", "g", 2, -5.0, 0.1, 0.3), ("B", "g", "w", 1, -6.0, 0.1, 0.9), ("B", "g", "w", 2, -7.0, 0.1, 0.9)]
+    pw = spark.createDataFrame(pw, "Country string, p1 string, p2 string, i int, elpd_loo double, p_loo double, pareto_k double")
+    refit = [("A", "g", "w", 1, -2.5), ("B", "g", "w", 1, -9.0), ("B", "g", "w", 2, -9.0)]
+    refit = spark.createDataFrame(refit, "Country string, p1 string, p2 string, ll_ind int, lpd double")
+    eligible = spark.createDataFrame([("A", True), ("B", False)], "Country string, loo_eligible boolean")
+    got = {r[:3]: r for r in loo.corrected_psis(pw, refit, eligible, FIXTURE, keys).collect()}
+    assert got["A", "g", "w"].looic == pytest.approx(10.0) and got["A", "g", "w"].looic_corrected == pytest.approx(11.0)
+    assert got["A", "w", "g"].looic == got["A", "w", "g"].looic_corrected == pytest.approx(18.0)
+    assert got["B", "g", "w"].looic is None and got["B", "g", "w"].looic_corrected is None
+    assert [got[k].n_refit for k in sorted(got)] == [1, 0, 2]
+
+
+def test_psis_summary_has_every_model(spark):
+    rows = all_queries()["psis_summary"].spark_df(spark, SF_SMALL).collect()
+    per_country = {}
+    for r in rows:
+        per_country.setdefault(r.Country, set()).add((r.p1, r.p2))
+        assert r.n_refit == r.n_high_pareto_k
+        assert (r.looic_corrected is None) == (not r.loo_eligible)
+    assert len(rows) == sum(map(len, per_country.values())) and {len(x) for x in per_country.values()} == {9}
