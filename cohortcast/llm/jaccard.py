@@ -24,7 +24,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,10 +213,10 @@ def _verify(work: DataFrame, threshold: float) -> DataFrame:
 # ---------------------------------------------------------------- join
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
-            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least id that links reach, its own included), n_links (other texts
-    of similarity ``threshold`` or more, copies included) and set (digest of its shingles)."""
+def _judged(docs: DataFrame, threshold: float, trees: int, depth: int, recall: float, doc_id: str,
+            text: str) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs``: doc_id and set; per set that has an id: set, component (of sets), rep (its least id),
+    class_id and n_links."""
     depth = prefix_length(threshold, trees, depth, recall)
     forest = Forest(trees, depth)
     rows = staged(_sets(docs, doc_id, text, forest), "sets")
@@ -262,21 +262,43 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, d
     known = staged(known.join(linked, "set", "left").withColumn("component", F.coalesce("component", "set")), "known")
     least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
     known = staged(known.join(least, "component").select(
-        "set", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "judged")
-    out = rows.select("doc_id", "set").join(known, "set", "left")
+        "set", "component", "rep", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "judged")
+    return rows.select("doc_id", "set"), known
+
+
+def similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (least id that links reach, its own included), n_links (other texts
+    of similarity ``threshold`` or more, copies included) and set (digest of its shingles)."""
+    rows, known = _judged(docs, threshold, trees, depth, recall, doc_id, text)
+    out = rows.join(known.drop("component", "rep"), "set", "left")
     able = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(able, F.coalesce("class_id", "doc_id")).alias("class_id"),
                       F.when(able, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), "set")
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (of several rows with this id, any one).  Rows with a
-    null id stay."""
-    found = similar(docs, threshold, doc_id=doc_id, text=text, **options)
-    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    order = Window.partitionBy(doc_id).orderBy(F.lit(0))
-    row = "_nth_row"
-    while row in docs.columns:
-        row += "_"
-    chosen = docs.join(kept, doc_id, "left_semi").withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).drop(row)
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of texts: that of the least id, then the least set, then the least row hash.
+    An id with different texts has a row in each class that it leads; its rows without shingles are a class of their
+    own.  Rows with a null id stay."""
+    rows, known = _judged(docs, threshold, trees, depth, recall, doc_id, text)
+    first = known.groupBy("component").agg(F.min(F.struct("rep", "set")).alias("first")).select("first.rep", "first.set")
+    bare = rows.filter("doc_id is not null and set is null").select("doc_id", F.lit(b"").alias("set")).distinct()
+    kept = first.unionByName(bare.withColumnRenamed("doc_id", "rep"))
+    own = "_set"
+    while own in docs.columns:
+        own += "_"
+    kept = kept.select(F.col("rep").alias(doc_id), F.col("set").alias(own))
+
+    def columns(batches):
+        for batch in batches:
+            found = [shingles(t) for t in texts(batch, text)]
+            yield [pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in found], pa.binary())]
+
+    able = docs.filter(F.col(doc_id).isNotNull())
+    marked = with_arrow_columns(able, [text], [T.StructField(own, T.BinaryType())], columns)
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    chosen = marked.join(kept.hint("merge"), [doc_id, own], "left_semi").groupBy(doc_id, own).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row")).select("row.*")
     return chosen.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -132,6 +132,17 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, blocks):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def test_an_id_with_different_texts(spark):
+    words = [f"w{k}" for k in range(120)]
+    x, a, b = (" ".join(words[k : k + 40]) for k in (0, 40, 80))
+    # (3, near x) follows 1, (3, a) leads 5; 8 has two unlike texts; 9 a copy of one row and a bare row
+    docs = [(1, x), (3, x + " end"), (3, a), (5, a + " end"), (8, b), (8, "one two three four"), (9, "nine ten"), (9, "nine ten"), (9, "")]
+    want = sorted([docs[0], docs[2], docs[4], docs[5], docs[6], docs[8]])
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        assert sorted(tuple(r) for r in jaccard.keep_one(df).collect()) == want
+
+
 def test_jaccard_of_the_fixture(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = QUERIES["op4_jaccard_join"](spark, SF).collect()
