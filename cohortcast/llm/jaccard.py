@@ -3,9 +3,9 @@
 Words are what stands between ASCII white space, with A-Z lower-cased; a shingle is five words in a row, or all words of
 a shorter text.  Texts with the same set of shingles are one class, found by grouping on a digest of the set.
 
-Forest: each of ``TREES`` trees files a class under a sequence of up to ``DEPTH`` minima.  Starting from whole sequences,
-the matched prefix is shortened until a pair at the threshold shares one in some tree with probability ``RECALL`` or
-more.  The classes under one prefix are candidates for each other; linking each to the least of them, over all trees,
+Bands: each of ``TREES`` bands files a class under one key of as many minima, ``DEPTH`` at most, as a formula allows for
+a pair at the threshold to share a key with probability ``RECALL`` or more.  The number is fixed before data is read:
+this is banding, not a forest whose prefixes are shortened on matches.  The classes under one prefix are candidates for each other; linking each to the least of them, over all trees,
 gives candidate clusters.
 
 Verification: a cluster is cut into blocks of bounded size, and each pair of blocks is one unit of work that holds the
