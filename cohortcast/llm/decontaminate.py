@@ -3,8 +3,9 @@
 Words are runs of ASCII letters (lower-cased) and digits and of all characters beyond ASCII.  The documents of a
 partition form shards of about ``SHARD`` words; each shard gets a suffix array over its words, to the depth of the
 longest item, by prefix doubling.  Words that no item holds become one breaking symbol, so the array lists the suffixes
-that begin with a word of the benchmark.  Every suffix of every test item is then binary-searched in every shard: its
-windows give all their places in the training text, and its neighbours in the array its longest verbatim match.
+that begin with a word of the benchmark.  Every window of every test item (a whole item, if shorter) is then binary-searched in every
+shard, which gives all its places in the training text.  Longest verbatim matches, of every suffix, are found only by
+``longest_matches``, which no query or stage calls.
 
 The benchmark is a stated query set.  It is taken in blocks of about ``BLOCK_BYTES`` of text, and each block goes to all
 tasks; the blocks follow each other within the same pass over the documents, which are never shuffled.
