@@ -35,6 +35,15 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z lower-cased and all else as it is."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a text column, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

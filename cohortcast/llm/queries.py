@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilter, decontaminate, hmm, huffman, jaccard, quality, secrets, toxicity, urls
+from . import bpe, capfilter, collocations, decontaminate, hmm, huffman, jaccard, linededup, merkle, quality, secrets, toxicity, urls
 from .common import fold, read, staged
+from .oracles import ORACLES as ORACLES
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -104,6 +105,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the documents by language, and what becomes of the root where a row's n_chars was tampered with."""
+    docs = read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    changed = merkle.leaf_of(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    rows = merkle.manifest(docs, fields, "lang", "doc_id", {"changed": F.when(tampered, changed)})
+    again = merkle.folded(F.coalesce("changed", "leaf"), F.col("path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_of(F.col("path")).alias("proof_sha256"),
+                       again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that five documents or more share."""
+    kept = linededup.drop_common_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2,000 phrases of two or three words."""
+    return collocations.report(collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_hidden_markov": op2_hidden_markov,
@@ -115,7 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
+    "op11_merkle": op11_merkle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_collocations": op13_collocations,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
