@@ -171,23 +171,30 @@ def size_of(phrase: str) -> Column:
 
 
 def counts(docs: DataFrame, text: str, lang: Column, longest: int, least: int) -> DataFrame:
-    """(lang, size, phrase, count): phrases of 1 to ``longest`` words with ``least`` occurrences, and under size 0 the number
-    of all words of each language.  One shuffle by node serves all sizes but the single words and their sum."""
+    """(lang, level, phrase, count): sums of ``least`` or more of the edges (level ``longest``), of the nodes' flows and of
+    what begins with fewer words; under level 0 the number of all words of each language.  A phrase of fewer words than
+    its level is what pieces end with.
+
+    All levels read one shuffle by node: filters that could be moved before it are left to the reader (``phrases_of``)."""
     nodes = grams(docs, text, lang, longest).repartition("lang", "node")
-    edges = nodes.groupBy("lang", "node", "next").agg(F.sum("count").alias("count"))
-    whole = F.concat_ws(" ", "node", "next")
-    found = [edges.filter(F.col("next").isNotNull() & (F.col("count") >= least)).select(
-        "lang", F.lit(longest).alias("size"), whole.alias("phrase"), "count")]
-    flow = nodes.groupBy("lang", F.col("node").alias("phrase")).agg(F.sum("count").alias("count"))
+    sums = nodes.groupBy("lang", "node", "next").agg(F.sum("count").alias("count"))
+    levels = [sums.select("lang", F.lit(longest).alias("level"), F.concat_ws(" ", "node", "next").alias("phrase"), "count")]
+    goes_on, ends = (F.coalesce(F.sum(F.when(x, F.col("count"))), F.lit(0)) for x in (F.col("next").isNotNull(), F.col("next").isNull()))
+    flow = nodes.groupBy("lang", F.col("node").alias("phrase")).agg((goes_on + ends).alias("count"))
     for size in range(longest - 1, 0, -1):
         if size < longest - 1:
             flow = flow.groupBy("lang", first_words("phrase", size).alias("phrase")).agg(F.sum("count").alias("count"))
-        found.append(flow.filter((F.col("count") >= least) & (size_of("phrase") == size)).select("lang", F.lit(size).alias("size"), "phrase", "count"))
-    found.append(flow.groupBy("lang").agg(F.sum("count").alias("count")).select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "count"))
-    every = found[0]
-    for more in found[1:]:
+        levels.append(flow.select("lang", F.lit(size).alias("level"), "phrase", "count"))
+    every = levels[0]
+    for more in levels[1:]:
         every = every.unionByName(more)
-    return every
+    total = flow.groupBy("lang").agg(F.sum("count").alias("count")).select("lang", F.lit(0).alias("level"), F.lit("").alias("phrase"), "count")
+    return every.filter(F.col("count") >= least).unionByName(total)
+
+
+def phrases_of(known: DataFrame, size: int) -> DataFrame:
+    """(lang, phrase, count) of the phrases of ``size`` words in ``counts``."""
+    return known.filter((F.col("level") == size) & (size_of("phrase") == size)).select("lang", "phrase", "count")
 
 
 def compact(edges: DataFrame, flows: DataFrame, longest: int) -> DataFrame:
@@ -232,7 +239,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     if longest < 2:
         raise ValueError("phrases have two words at least")
     known = staged(counts(docs, text, F.col(lang).cast("string"), longest, least), "phrase-counts")
-    at = lambda size: known.filter(F.col("size") == size).select("lang", "phrase", "count")
+    at = lambda size: phrases_of(known, size)
     paths = staged(compact(at(longest), at(longest - 1), longest), "paths")
     edges = edges_of(paths, longest)
     kept = [edges.select("lang", "phrase", "count")]
@@ -253,13 +260,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     words = size_of("phrase")
     cuts = every.select("lang", "phrase", F.col("count").alias("a"), words.alias("size"), F.explode(F.sequence(F.lit(1), words - 1)).alias("k"))
     cuts = cuts.select("*", F.expr("substring_index(phrase, ' ', k)").alias("left_part"), F.expr("substring_index(phrase, ' ', k - size)").alias("right_part"))
-    parts_ = known.filter("size > 0").select("lang", "phrase", "count")
+    parts_ = known.filter((F.col("level") > 0) & (size_of("phrase") == F.col("level"))).select("lang", "phrase", "count")
     cuts = cuts.join(parts_.select("lang", F.col("phrase").alias("left_part"), F.col("count").alias("l")), ["lang", "left_part"])
     cuts = cuts.join(parts_.select("lang", F.col("phrase").alias("right_part"), F.col("count").alias("r")), ["lang", "right_part"])
     big = lambda c: F.col(c).cast("decimal(16,0)")
     cuts = cuts.withColumns({"up": big("a") * big("a") * F.lit(1000000).cast("decimal(7,0)"), "down": big("l") * big("r")})
     best = cuts.withColumn("score", F.expr("up div down")).groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
-    total = known.filter("size = 0").select("lang", F.col("count").alias("n"))
+    total = known.filter("level = 0").select("lang", F.col("count").alias("n"))
     return best.join(total, "lang").select("lang", "phrase", "size", "a", "b.l", "b.r", "n", F.col("b.score").alias("score"))
 
 

@@ -174,9 +174,8 @@ def test_collocations_equal_brute_force(spark, monkeypatch, longest, least, batc
 def test_paths_are_maximal_and_hold_every_edge_once(spark):
     once = "one passage that stands in many documents word for word and has no stops"
     docs = spark.createDataFrame([(once, "en")] * 11 + [("word for word and then", "en")] * 10, "text string, lang string")
-    known = collocations.counts(docs, "text", F.col("lang"), 3, 10).collect()
-    spark_known = spark.createDataFrame(known)
-    at = lambda k: spark_known.filter(f"size = {k}").select("lang", "phrase", "count")
+    known = collocations.counts(docs, "text", F.col("lang"), 3, 10)
+    at = lambda k: collocations.phrases_of(known, k)
     paths = {(" ".join(r.words), r["count"]) for r in collocations.compact(at(3), at(2), 3).collect()}
     assert paths == {("one passage that stands in many documents word for", 11), ("word for word and", 21),
                      ("word and has no stops", 11), ("word and then", 10)}
