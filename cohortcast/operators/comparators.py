@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CohortConfig
+from ..config import CohortConfig, Windows
 from ..functions.numeric import ieee_div, r_mean, r_weighted_mean
 
 # The nine predictive quantiles of the freeze-slope comparator.
@@ -33,7 +33,7 @@ def scalar(df: DataFrame, col: str):
 
 
 # ---------------------------------------------------------------- N1 freeze rate
-def freeze_forecast(rates: DataFrame, cfg: CohortConfig, holdback: int | None = None) -> DataFrame:
+def freeze_forecast(rates: DataFrame, cfg: Windows, holdback: int | None = None) -> DataFrame:
     """Hold the jump-off rate of every (Country, Age) flat and compute pointwise errors.
 
     Jump_off = max(Year) per Country - holdback (E1); future cells (ages in the freeze
@@ -41,7 +41,7 @@ def freeze_forecast(rates: DataFrame, cfg: CohortConfig, holdback: int | None =
     h = cfg.T_holdback if holdback is None else holdback
     lo, hi = cfg.freeze_ages
     # windows over the (small, cells-level) rates instead of a self-join: one pass
-    r = rates.withColumn("Jump_off", F.max("Year").over(Window.partitionBy("Country")) - F.lit(h))
+    r = cfg.attach(rates).withColumn("Jump_off", F.max("Year").over(Window.partitionBy("Country")) - F.lit(h))
     r = r.withColumn("Rate_freeze", F.max(F.when(F.col("Year") == F.col("Jump_off"), F.col("Rate")))
                      .over(Window.partitionBy("Country", "Age")))
     a = r.filter((F.col("Year") > F.col("Jump_off")) & (F.col("Age") >= lo) & (F.col("Age") <= hi))

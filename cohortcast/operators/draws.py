@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import CohortConfig
 from ..functions import densities as dens
 from ..functions.numeric import inv_logit
+from .small import small_side
 
 DRAW_KEYS = ["Country", "Sim"]
 PARAM_COLUMNS = ["CEB", "mode_age_gap", "mode_age_sum", "sd_1", "sd_2", "logit_mixture"]
@@ -83,6 +84,18 @@ def pivot_sd(long: DataFrame, cfg: CohortConfig, axis: str = "Cohort") -> DataFr
     )
 
 
+def on_time_axis(draws: DataFrame, runs: DataFrame, first_index: int) -> DataFrame:
+    """J3 + B20: draws whose ``Cohort`` counts time points from ``first_index``, put on each run's own axis.
+
+    ``runs`` (Country, time_dimension, start_time, T_total) says where the axis of a run begins and how many points it
+    has; the calendar time of point t is start_time + t - 1, a cohort or a year.  Cohort and period runs are one table:
+    (Country, time_dimension, Time, level: ``CEB`` or ``TFR``, and the parameters)."""
+    t = F.col("Cohort") - F.lit(first_index) + F.lit(1)
+    j = draws.join(small_side(runs.select("Country", "time_dimension", "start_time", "T_total")), "Country").filter(t <= F.col("T_total"))
+    return j.select("Country", "Sim", "time_dimension", (F.col("start_time") + t - 1).cast("long").alias("Time"),
+                    F.when(F.col("time_dimension") == "Cohort", "CEB").otherwise("TFR").alias("level"), *PARAM_COLUMNS)
+
+
 def locations(draws: DataFrame, axis: str = "Cohort") -> DataFrame:
     """Component locations from the mode sum and gap."""
     return draws.select(

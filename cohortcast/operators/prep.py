@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PARAM_TYPES, CohortConfig
+from ..config import PARAM_TYPES, CohortConfig, Windows
 from ..functions.spline import basis_value
 from .rates import births_clamped
 
@@ -22,15 +22,15 @@ def assert_axis(df: DataFrame, axis: str) -> None:
         raise ValueError(f"{axis} not present in data frame; conflict with specified configuration")
 
 
-def fit_window_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
+def fit_window_obs(births: DataFrame, cfg: Windows) -> DataFrame:
     """Cohort-axis model observations.
 
     Order as in the reference (quirk X21): clamp age, sum, derive Year from the
     clamped age, then filter to the fit window."""
     assert_axis(births, "Cohort")
-    b = births_clamped(births, "Cohort", cfg.first_data_age, cfg.last_data_age)
+    b = births_clamped(cfg.attach(births), "Cohort", cfg.first_data_age, cfg.last_data_age)
     b = (
-        b.withColumn("Age_i", F.col("Age") - F.lit(cfg.first_data_age - 1))
+        cfg.attach(b).withColumn("Age_i", F.col("Age") - F.lit(cfg.first_data_age - 1))
         .withColumn("Year", F.col("Cohort") + F.col("Age"))
         .filter((F.col("Cohort") >= cfg.first_full_cohort) & (F.col("Year") <= cfg.last_year - cfg.T_holdback))
     )
@@ -46,13 +46,12 @@ def fit_window_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
     )
 
 
-def period_window_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
+def period_window_obs(births: DataFrame, cfg: Windows) -> DataFrame:
     """Period-axis observations (B5, B6): Year in [max(first_year, 1950), last_year - T_holdback]
     (quirk X1/X2: the intended semantics, with ``first_year``)."""
     assert_axis(births, "Year")
-    b = births_clamped(births, "Year", cfg.first_data_age, cfg.last_data_age)
-    lo = max(cfg.first_year, 1950)
-    b = b.filter((F.col("Year") >= lo) & (F.col("Year") <= cfg.last_year - cfg.T_holdback))
+    b = cfg.attach(births_clamped(cfg.attach(births), "Year", cfg.first_data_age, cfg.last_data_age))
+    b = b.filter((F.col("Year") >= cfg.first_period) & (F.col("Year") <= cfg.jump_off))
     w = Window.partitionBy("Country")
     return b.select(
         "Country",
@@ -64,6 +63,29 @@ def period_window_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
     )
 
 
+def axis_window_obs(shapes: DataFrame, cfg: Windows) -> DataFrame:
+    """A3 + B1 + B4 + B5: observations of cohort and period runs in one table, each on its own axis.
+
+    ``shapes`` has both Lexis shapes (``rates.lexis_shapes``); a cohort run takes the parallelograms (``VV``) by cohort, a
+    period run the squares (``RR``) by year.  Ages are clamped and summed first (quirk X21); the window begins at the
+    run's start and ends with its jump-off year."""
+    def axis():
+        cohort = F.lit(cfg.time_dimension) == "Cohort"
+        return cohort, F.when(cohort, F.lit("VV")).otherwise(F.lit("RR"))
+
+    s = cfg.attach(shapes)
+    cohort, lexis = axis()
+    s = s.filter(F.col("lexis") == lexis).withColumn("axis_time", F.when(cohort, F.col("Cohort")).otherwise(F.col("Year")))
+    b = cfg.attach(births_clamped(s, "axis_time", cfg.first_data_age, cfg.last_data_age))
+    cohort, lexis = axis()
+    at = F.col("axis_time")
+    year = F.when(cohort, at + F.col("Age")).otherwise(at)
+    b = b.filter((at >= cfg.start_time) & (year <= cfg.jump_off))
+    return b.select(
+        "Country", lexis.alias("lexis"), at.alias("Axis_time"), "Age", (F.col("Age") - F.lit(cfg.first_data_age) + 1).alias("Age_i"),
+        year.alias("Year"), (at - F.min(at).over(Window.partitionBy("Country")) + 1).alias("Time"), F.bround("Births").cast("long").alias("births"))
+
+
 def model_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
     """J1 observation table: obs index ``i`` (rows ordered by Cohort, Age as the reference's
     grouped summary), dispersion index (B8) and the per-country dimensions (D19)."""
@@ -95,12 +117,12 @@ def model_obs(births: DataFrame, cfg: CohortConfig) -> DataFrame:
     )
 
 
-def exposure_grid(expos: DataFrame, cfg: CohortConfig) -> DataFrame:
+def exposure_grid(expos: DataFrame, cfg: Windows) -> DataFrame:
     """B7 + C10 + B10: in-sample exposure on the full (model age x cohort) grid, missing -> 0."""
     assert_axis(expos, "Cohort")
-    jo = cfg.last_year - cfg.T_holdback
+    jo = cfg.jump_off
     e = (
-        expos.withColumn("Year", F.col("Cohort") + F.col("Age"))
+        cfg.attach(expos).withColumn("Year", F.col("Cohort") + F.col("Age"))
         .filter(
             (F.col("Year") <= jo)
             & (F.col("Cohort") <= jo - cfg.first_data_age)
@@ -111,12 +133,9 @@ def exposure_grid(expos: DataFrame, cfg: CohortConfig) -> DataFrame:
         .select("Country", "Age", "Cohort", "Exposure")
     )
     grid = (
-        expos.select("Country").distinct()
-        .select("Country", F.explode(F.sequence(F.lit(cfg.minimum_age), F.lit(cfg.maximum_age))).alias("Age"))
-        .select(
-            "Country", "Age",
-            F.explode(F.sequence(F.lit(cfg.first_full_cohort), F.lit(cfg.last_insample_cohort))).alias("Cohort"),
-        )
+        cfg.attach(expos.select("Country").distinct())
+        .select("*", F.explode(F.sequence(F.lit(cfg.minimum_age), F.lit(cfg.maximum_age))).alias("Age"))
+        .select("*", F.explode(F.sequence(F.lit(cfg.first_full_cohort), F.lit(cfg.last_insample_cohort))).alias("Cohort"))
     )
     return grid.join(e, ["Country", "Age", "Cohort"], "left").select(
         "Country",
@@ -127,6 +146,20 @@ def exposure_grid(expos: DataFrame, cfg: CohortConfig) -> DataFrame:
     )
 
 
+def period_exposure(expos: DataFrame, cfg: Windows) -> DataFrame:
+    """B7 on the period axis: exposure by age and year from max(1950, first_year) to the jump-off year, on the grid of the
+    ages and years that a country has there, missing -> 0.  Ages are not restricted."""
+    assert_axis(expos, "Year")
+    e = cfg.attach(expos).filter((F.col("Year") >= cfg.first_period) & (F.col("Year") <= cfg.jump_off))
+    e = e.select("Country", "Age", "Year", "Exposure", F.lit(cfg.first_period).alias("first_period"))
+    years = e.groupBy("Country").agg(F.collect_set("Year").alias("years"), F.first("first_period").alias("first_period"))
+    grid = e.select("Country", "Age").distinct().join(years, "Country").select(
+        "Country", "Age", "first_period", F.explode("years").alias("Year"))
+    return grid.join(e.drop("first_period"), ["Country", "Age", "Year"], "left").select(
+        "Country", "Age", "Year", (F.col("Year") - F.col("first_period") + 1).cast("int").alias("Time"),
+        F.coalesce("Exposure", F.lit(0.0)).alias("Exposure"))
+
+
 def exposure_pivot(grid: DataFrame, cfg: CohortConfig) -> DataFrame:
     """H1: Age x Cohort exposure matrix (export form).  The pivot values are the
     configured cohort range, so no extra job runs to discover them."""
@@ -167,8 +200,8 @@ def run_spec_grid(
     exclude_dupls: bool = False,
     base_config: str = "model_base.yaml",
 ) -> DataFrame:
-    """C13 + I23: every combination of the run dimensions, then the run spec overlaid
-    on the base model config (spec values win; ``param_func`` = [p1, p2])."""
+    """C13 + I23: every combination of the run dimensions, then the run spec overlaid on the settings of ``cfg`` (spec
+    values win; ``param_func`` = [p1, p2]).  ``run_config`` overlays specs on a table of configurations instead."""
 
     def arr(values):
         return F.array(*[F.lit(v) for v in values])
@@ -198,3 +231,32 @@ def run_spec_grid(
         F.lit(cfg.T_forecast).alias("T_forecast"),
         F.concat_ws(",", "param_type_1", "param_type_2").alias("param_func"),
     )
+
+
+def run_config(specs: DataFrame, models: DataFrame, countries: DataFrame) -> DataFrame:
+    """A10 + I23 + B20: the settings of each run, one row per row of ``specs`` (Country, base_config and any of
+    param_type_1, param_type_2, model_name, dispersion; null or absent: as in the base).
+
+    A spec's values replace those of the model configuration it names (``models``, by ``name``), and the country's
+    configuration (``countries``, by ``name``) is put beside them.  A spec that names an unknown one raises."""
+    given = {c.lower() for c in specs.columns}
+    own = {c: F.col(f"s.{c}") if c in given else F.lit(None).cast("string") for c in ("param_type_1", "param_type_2", "model_name", "dispersion")}
+    j = (specs.alias("s").join(models.alias("m"), F.col("s.base_config") == F.col("m.name"), "left")
+         .join(countries.alias("c"), F.col("s.Country") == F.col("c.name"), "left"))
+    func = lambda k, spec: F.coalesce(spec, F.get(F.col("m.param_func"), F.lit(k)))
+    known = F.when(F.col("m.name").isNull() | F.col("c.name").isNull(), F.raise_error(F.concat(
+        F.lit("no configuration of "), F.coalesce("s.base_config", F.lit("null")), F.lit(" or "), F.col("s.Country"))))
+    rest = lambda t, cols, skip: [F.col(f"{t}.{c}") for c in cols if c not in skip]
+    r = j.select(
+        F.coalesce(known.cast("string"), F.col("s.Country")).alias("Country"), "s.base_config",
+        F.coalesce(own["model_name"], F.col("m.model")).alias("model"),
+        F.coalesce(own["dispersion"], F.col("m.dispersion")).alias("dispersion"),
+        F.array(func(0, own["param_type_1"]), func(1, own["param_type_2"])).alias("param_func"),
+        *rest("m", models.columns, {"name", "model", "dispersion", "param_func"}), *rest("c", countries.columns, {"name"}))
+    cohort = F.col("time_dimension") == "Cohort"
+    period = F.greatest(F.lit(1950), F.col("first_year"))
+    jump_off = F.col("last_year") - F.col("T_holdback")
+    r = r.withColumns({"jump_off": jump_off, "start_time": F.when(cohort, F.col("first_full_cohort")).otherwise(period)})
+    last = F.when(cohort, F.col("jump_off") - F.col("first_data_age")).otherwise(F.col("jump_off"))
+    r = r.withColumn("T_insample", last - F.col("start_time") + 1)
+    return r.withColumns({"T_total": F.col("T_insample") + F.col("T_forecast"), "n_ages": F.col("maximum_age") - F.col("minimum_age") + 1})

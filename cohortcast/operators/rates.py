@@ -57,3 +57,18 @@ def completed_family_size(rates: DataFrame, axis: str = "Cohort") -> DataFrame:
     return rates.groupBy("Country", axis).agg(
         F.sum("Rate").alias(name), F.count(F.lit(1)).alias("n_ages")
     )
+
+
+def lexis_shapes(triangles: DataFrame) -> DataFrame:
+    """A3: births and exposure in both Lexis shapes, one below the other: (lexis, Country, Year, Age, Cohort, Births,
+    Exposure).
+
+    ``VV`` are the parallelograms of a cohort in a year, by the age reached in it.  ``RR`` are the squares of a completed age
+    in a year, without a cohort: a woman has completed the age reached after her birthday and one year less before."""
+    shapes = F.explode(F.array(
+        F.struct(F.lit("VV").alias("lexis"), F.col("Age").alias("Age"), F.col("Cohort").alias("Cohort")),
+        F.struct(F.lit("RR").alias("lexis"), F.when(F.col("after"), F.col("Age")).otherwise(F.col("Age") - 1).alias("Age"),
+                 F.lit(None).cast("int").alias("Cohort"))))
+    rows = triangles.select("Country", "Year", "Births", "Exposure", shapes.alias("s"))
+    return rows.groupBy(F.col("s.lexis").alias("lexis"), "Country", "Year", F.col("s.Age").alias("Age"), F.col("s.Cohort").alias("Cohort")).agg(
+        F.sum("Births").alias("Births"), F.sum("Exposure").alias("Exposure"))

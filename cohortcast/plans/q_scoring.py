@@ -180,7 +180,7 @@ _PT_DOUBLES = ["Comp_1", "Comp_2", "Rate", "Dispersion", "Births", "Exposure", "
 
 
 @register("predictive_table", "K1 C6 C7 C15 B16", _pt("select * from pt", ["pt"]), _PT_DOUBLES,
-          overrides={"Comp_1": 9, "Comp_2": 9, "Rate": 9, "Obs_rate": 9})
+          overrides={"Comp_1": 7, "Comp_2": 7, "Rate": 7, "Obs_rate": 9})
 def q_predictive_table(spark, sf_dir):
     return predictive(spark, sf_dir)
 
@@ -191,7 +191,7 @@ _PC_SQL = _PT_VIEWS["pt"].replace("join dispersion d on r.Country = d.Country an
 
 
 @register("predictive_constant", "K1 C6 H7", _pt(_PC_SQL, ["rdall", "dispersion", "rates"]), _PT_DOUBLES,
-          overrides={"Comp_1": 9, "Comp_2": 9, "Rate": 9, "Obs_rate": 9})
+          overrides={"Comp_1": 7, "Comp_2": 7, "Rate": 7, "Obs_rate": 9})
 def q_predictive_constant(spark, sf_dir):
     disp = lk.dispersion_by_age(fx.dispersion_constant(spark, sf_dir, C), C)
     return sc.predictive_table(fx.draws(spark, sf_dir, C), disp, small_rates(spark, sf_dir), C, PF)

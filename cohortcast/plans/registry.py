@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import FIXTURE, CohortConfig
 from .finalize import DEFAULT_DIGITS, finalize, sql_round
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +52,11 @@ def register(name: str, ops: str = "", sql: str | None = None, doubles: list[str
     return deco
 
 
-def all_queries(cfg: CohortConfig = FIXTURE) -> dict[str, Query]:
+def all_queries() -> dict[str, Query]:
     # importing the query modules fills REGISTRY
     from . import (  # noqa: F401
         q_comparators,
+        q_config,
         q_diagnostics,
         q_draws,
         q_loo,

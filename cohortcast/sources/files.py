@@ -30,9 +30,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(os.path.dirname(base.rstrip("/")), "cohortcast-tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> str:
-    """Result sink (overwrite), optionally partitioned."""
-    w = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet",
+                mode: str = "overwrite") -> str:
+    """Result sink (overwrite by default), optionally partitioned."""
+    w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.format(fmt).save(path)
@@ -40,13 +41,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 # --- A1-A7: landed births / exposure extracts ----------------------------------------
-def write_extracts(births: DataFrame, expos: DataFrame, base: str, lexis: str = "VV") -> None:
+def write_extracts(births: DataFrame, expos: DataFrame, base: str, lexis: str = "VV", mode: str = "overwrite") -> None:
     """Land extracts as ``base/{births,expos}/lexis=../Country=..`` with the source's
     headers (``Total`` for births, ``ARDY`` for age)."""
     b = births.withColumnRenamed("Births", "Total").withColumnRenamed("Age", "ARDY").withColumn("lexis", F.lit(lexis))
     e = expos.withColumnRenamed("Age", "ARDY").withColumn("lexis", F.lit(lexis))
-    write_table(b.withColumn("OpenInterval", F.lit(False)), os.path.join(base, "births"), ["lexis", "Country"])
-    write_table(e.withColumn("OpenInterval", F.lit(False)), os.path.join(base, "expos"), ["lexis", "Country"])
+    write_table(b.withColumn("OpenInterval", F.lit(False)), os.path.join(base, "births"), ["lexis", "Country"], mode=mode)
+    write_table(e.withColumn("OpenInterval", F.lit(False)), os.path.join(base, "expos"), ["lexis", "Country"], mode=mode)
 
 
 def read_item(spark: SparkSession, base: str, item: str, lexis: str = "VV",

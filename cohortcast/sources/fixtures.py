@@ -56,7 +56,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_geo = (
         o.join(c, o.o_custkey == c.c_custkey)
         .join(F.broadcast(geo), F.col("c_nationkey") == geo.n_nationkey)
-        .select("o_orderkey", F.year("o_orderdate").cast("int").alias("Year"), "Country")
+        .select("o_orderkey", F.year("o_orderdate").cast("int").alias("Year"), F.month("o_orderdate").alias("Month"), "Country")
     )
     return li.join(order_geo, li.l_orderkey == order_geo.o_orderkey)
 
@@ -77,6 +77,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cells`` split into Lexis triangles: (Country, Year, Age reached in the year, Cohort, ``after`` the birthday, Births,
+    Exposure).  A line is after its mother's birthday if its order is of the second half of the year."""
+    age = F.col("l_quantity").cast("int") + F.lit(5)
+    return (
+        _lines(spark, sf_dir).groupBy("Country", "Year", age.alias("Age"), (F.col("Month") > 6).alias("after"))
+        .agg(F.count(F.lit(1)).cast("double").alias("Births"),
+             (F.sum(F.round(F.col("l_extendedprice") * F.lit(100)).cast("bigint")).cast("double") / F.lit(500000.0)).alias("Exposure"))
+        .select("Country", "Year", "Age", (F.col("Year") - F.col("Age")).alias("Cohort"), "after", "Births", "Exposure")
+    )
+
+
 _CELLS_MEMO: dict[tuple[str, str], DataFrame] = {}
 
 
