@@ -9,12 +9,11 @@ join and no per-subset loop on the driver.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import CohortConfig
+from . import psis
 from .logmean import log_mean_exp
 
 # a subset is (subset_id, sorted chains kept, n_chains argument passed to the R-hat)
@@ -162,61 +161,14 @@ def chains_from_inds(inds: DataFrame, n_iter_total: int, n_chains: int) -> DataF
                        (F.floor((F.col("ind") - F.lit(1)) / F.lit(per)) + F.lit(1)).cast("int").alias("Chain")).distinct()
 
 
-# --- L2 effective sample size (iterative, applyInPandas) ------------------------
-def ess_chains(x: np.ndarray) -> float:
-    """Multi-chain effective sample size (FFT autocovariance, Geyer initial positive
-    and monotone sequence), x shaped (iterations, chains)."""
-    n, m = x.shape
-    if n < 4:
-        return float("nan")
-    xc = x - x.mean(axis=0)
-    size = 1 << int(np.ceil(np.log2(2 * n)))
-    f = np.fft.rfft(xc, n=size, axis=0)
-    acov = np.fft.irfft(f * np.conj(f), n=size, axis=0)[:n] / n
-    chain_var = acov[0] * n / (n - 1.0)
-    mean_var = chain_var.mean()
-    var_plus = mean_var * (n - 1.0) / n
-    if m > 1:
-        var_plus += x.mean(axis=0).var(ddof=1)
-    if not np.isfinite(var_plus) or var_plus <= 0:
-        return float("nan")
-    rho = 1.0 - (mean_var - acov.mean(axis=1)) / var_plus
-    rho[0] = 1.0
-    # Geyer: sum positive pairs, enforce monotone decrease
-    pairs = []
-    t = 0
-    while t + 1 < n:
-        p = rho[t] + rho[t + 1]
-        if p < 0:
-            break
-        pairs.append(p)
-        t += 2
-    if not pairs:
-        return float(n * m)
-    pairs = np.minimum.accumulate(np.array(pairs))
-    tau = -1.0 + 2.0 * pairs.sum()
-    return float(n * m / tau) if tau > 0 else float(n * m)
-
-
-ESS_SCHEMA = T.StructType([
-    T.StructField("Country", T.StringType()), T.StructField("param", T.StringType()),
-    T.StructField("n_draws", T.LongType()), T.StructField("ess", T.DoubleType()),
-])
-
-
-def _ess_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    wide = pdf.pivot_table(index="Iter", columns="Chain", values="value", aggfunc="first").sort_index()
-    x = wide.dropna(axis=0).to_numpy(dtype=float)
-    return pd.DataFrame({"Country": [pdf["Country"].iloc[0]], "param": [pdf["param"].iloc[0]],
-                         "n_draws": [len(pdf)], "ess": [ess_chains(x)]})
-
-
+# --- L2 effective sample size ----------------------------------------------------
 def effective_sample_size(long: DataFrame) -> DataFrame:
-    """L2: one group per (Country, parameter) holding that parameter's draws (bounded by
-    the number of draws); numpy FFT inside the task."""
-    return long.select("Country", "param", "Chain", "Iter", "value").groupBy("Country", "param").applyInPandas(
-        _ess_group, ESS_SCHEMA
-    )
+    """L2: number of draws and effective sample size of every (Country, parameter)."""
+    def rows(x: np.ndarray, chains: np.ndarray) -> list[np.ndarray]:
+        return [np.full(len(x), float(x.shape[1])), psis.ess_rows(psis.chain_cube(x, chains))]
+
+    found = psis.over_draws(long, ["Country", "param"], "value", ["n_draws", "ess"], rows)
+    return found.withColumn("n_draws", F.col("n_draws").cast("long"))
 
 
 # --- L6-L8: which chains to discard for a multimodal run ---------------------------

@@ -2,25 +2,18 @@
 
 * M2 (plain importance-sampling LOO) and D10 (log-mean-exp lpd) are one-pass
   partial aggregations keyed by (run, observation).
-* M1 (PSIS) needs a sort and a generalised-Pareto fit per observation: one
-  ``applyInPandas`` group per (run, observation), each holding exactly the draws
-  of that observation (bounded by the number of draws).
-* M7 (fold search) runs per run over the handful of high-k points.
+* M1 (PSIS) sorts and fits the draws of many observations at once, as the rows of a
+  matrix (``psis.py``); a row holds the draws of one observation.
+* M7 (fold search) and C17 (nearest left-out points) are in ``folds.py``.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import CohortConfig
-from .diagnostics import ess_chains
+from . import psis
 from .logmean import log_mean_exp
 from .small import small_side
 
@@ -59,94 +52,9 @@ def loo_summary(pointwise: DataFrame, elpd_col: str, keys: tuple[str, ...] = ("C
 
 
 # ---------------------------------------------------------------- M1 PSIS
-def _log_sum_exp(x: np.ndarray) -> float:
-    m = np.max(x)
-    if not np.isfinite(m):
-        return float(m)
-    return float(m + np.log(np.sum(np.exp(x - m))))
-
-
-def gpd_fit(x: np.ndarray) -> tuple[float, float]:
-    """Zhang & Stephens (2009) generalised Pareto fit with the weakly informative
-    shrinkage of k used by PSIS (Vehtari et al.); ``x`` sorted ascending, positive."""
-    n = len(x)
-    prior = 3.0
-    m = 30 + int(math.floor(math.sqrt(n)))
-    j = np.arange(1, m + 1, dtype=float)
-    xq = x[int(math.floor(n / 4.0 + 0.5)) - 1]
-    theta = 1.0 / x[-1] + (1.0 - np.sqrt(m / (j - 0.5))) / (prior * xq)
-    kj = np.array([np.mean(np.log1p(-t * x)) for t in theta])
-    lj = n * (np.log(-theta / kj) - kj - 1.0)
-    w = 1.0 / np.array([np.sum(np.exp(lj - l)) for l in lj])
-    theta_hat = float(np.sum(theta * w))
-    k = float(np.mean(np.log1p(-theta_hat * x)))
-    sigma = -k / theta_hat
-    k = (k * n + 10.0 * 0.5) / (n + 10.0)
-    return k, sigma
-
-
-def qgpd(p: np.ndarray, k: float, sigma: float) -> np.ndarray:
-    if k == 0:
-        return -sigma * np.log1p(-p)
-    return sigma * np.expm1(-k * np.log1p(-p)) / k
-
-
-def psis_point(ll: np.ndarray, r_eff: float) -> tuple[float, float]:
-    """(elpd_loo_i, pareto_k_i) for one observation's draws of the log likelihood."""
-    s = len(ll)
-    lw = -ll - np.max(-ll)
-    tail_len = int(math.ceil(min(0.2 * s, 3.0 * math.sqrt(s / r_eff)))) if r_eff > 0 else int(math.ceil(0.2 * s))
-    k = float("inf")
-    if tail_len >= 5 and s > tail_len:
-        order = np.argsort(lw, kind="mergesort")
-        cutoff = lw[order[s - tail_len - 1]]
-        tail_idx = order[s - tail_len:]
-        exp_cut = math.exp(cutoff)
-        x = np.exp(lw[tail_idx]) - exp_cut
-        if np.all(x == x[0]):
-            k = float("inf")
-        else:
-            k, sigma = gpd_fit(x)
-            if np.isfinite(k):
-                p = (np.arange(1, tail_len + 1) - 0.5) / tail_len
-                lw = lw.copy()
-                lw[tail_idx] = np.log(qgpd(p, k, sigma) + exp_cut)
-        lw = np.minimum(lw, 0.0)
-    lw = lw - _log_sum_exp(lw)
-    return _log_sum_exp(lw + ll), k
-
-
-def _schema(keys: tuple[str, ...], ints: tuple[str, ...], doubles: tuple[str, ...]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in keys] + [T.StructField(c, T.IntegerType()) for c in ints]
-                        + [T.StructField(c, T.DoubleType()) for c in doubles])
-
-
-def _run_columns(pdf: pd.DataFrame, keys: tuple[str, ...]) -> dict:
-    return {c: pdf[c].to_numpy() for c in keys}
-
-
-def _psis_group(keys: tuple[str, ...]):
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="Iter", columns="Chain", values="ll", aggfunc="first").sort_index()
-        x = wide.to_numpy(dtype=float)
-        ll = pdf.sort_values(["Chain", "Iter"], kind="mergesort")["ll"].to_numpy(dtype=float)
-        s = len(ll)
-        # relative efficiency as the reference passes it: relative_eff() of the ll draws
-        ess = ess_chains(x[~np.isnan(x).any(axis=1)]) if x.shape[1] > 0 else float("nan")
-        r_eff = ess / s if np.isfinite(ess) and ess > 0 else 1.0
-        elpd, k = psis_point(ll, r_eff)
-        lpd = _log_sum_exp(ll) - math.log(s)
-        return pd.DataFrame(_run_columns(pdf.iloc[:1], keys) | {
-            "i": [int(pdf["i"].iloc[0])], "elpd_loo": [elpd], "p_loo": [lpd - elpd], "looic": [-2.0 * elpd],
-            "pareto_k": [k], "r_eff": [r_eff]})
-
-    return smooth
-
-
 def psis_loo(ll: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
-    """M1: PSIS-LOO pointwise (elpd, p, looic, Pareto k) per (run, observation)."""
-    schema = _schema(keys, ("i",), ("elpd_loo", "p_loo", "looic", "pareto_k", "r_eff"))
-    return ll.select(*keys, "i", "Chain", "Iter", "ll").groupBy(*keys, "i").applyInPandas(_psis_group(keys), schema)
+    """M1: PSIS-LOO pointwise (elpd, p, looic, Pareto k, relative efficiency) per (run, observation)."""
+    return psis.over_draws(ll, [*keys, "i"], "ll", ["elpd_loo", "p_loo", "looic", "pareto_k", "r_eff"], psis.loo_rows)
 
 
 def loo_eligibility(flags: DataFrame) -> DataFrame:
@@ -162,66 +70,6 @@ def loo_diagnostics(pointwise: DataFrame, obs: DataFrame, cfg: CohortConfig, key
                     (F.col("pareto_k") > cfg.pareto_k_threshold).alias("refit"))
 
 
-def _nn_group(keys: tuple[str, ...]):
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["Time", "Age_i"]].to_numpy(dtype=float)
-        n = len(xy)
-        if n < 2:
-            nn = np.full(n, np.nan)
-        else:
-            d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2))
-            np.fill_diagonal(d, np.inf)
-            nn = d.min(axis=1)
-        return pd.DataFrame(_run_columns(pdf, keys) | {"i": pdf["i"].astype("int32").to_numpy(), "nn_dist": nn})
-
-    return nearest
-
-
-def dropped_distances(points: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
-    """C17: Euclidean distance in (cohort index, age index) from each left-out point to its
-    nearest other left-out point of the same run.  The distance matrix exists only inside
-    the task of one run (the left-out points of a run are the few high-k observations)."""
-    return points.select(*keys, "i", "Time", "Age_i").groupBy(*keys).applyInPandas(
-        _nn_group(keys), _schema(keys, ("i",), ("nn_dist",)))
-
-
-def _fold_search(seed: int, keys: tuple[str, ...], n_folds: int = 3, n_trials: int = 100):
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="mergesort").reset_index(drop=True)
-        n = len(pdf)
-        if n <= n_folds:
-            folds = np.arange(1, n + 1)
-            best_min = float("nan")
-        else:
-            xy = pdf[["Time", "Age_i"]].to_numpy(dtype=float)
-            d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2))
-            np.fill_diagonal(d, 1000.0)
-            rng = np.random.default_rng([seed, zlib.crc32("|".join(str(pdf[c].iloc[0]) for c in keys).encode())])
-            base = np.tile(np.arange(1, n_folds + 1), int(math.ceil(n / n_folds)))[:n]
-            cand = base.copy()
-            best, best_min = base.copy(), 0.0
-            for _ in range(n_trials):
-                mins = [d[np.ix_(cand == f, cand == f)].min() for f in range(1, n_folds + 1) if (cand == f).any()]
-                this_min = float(min(mins))
-                if this_min > best_min:
-                    best_min, best = this_min, cand.copy()
-                cand = rng.permutation(base)
-            folds = best
-        return pd.DataFrame(_run_columns(pdf, keys) | {"i": pdf["i"].astype("int32").to_numpy(),
-                             "fold": np.asarray(folds, dtype="int32"), "min_within_dist": best_min})
-
-    return search
-
-
-def lko_folds(points: DataFrame, cfg: CohortConfig, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
-    """M7: <= 3 points: one fold each; otherwise the best of 100 seeded balanced random
-    splits (the round-robin split first) maximising the smallest within-fold distance;
-    every candidate is tested (quirk X15)."""
-    return points.select(*keys, "i", "Time", "Age_i").groupBy(*keys).applyInPandas(
-        _fold_search(cfg.seed, keys), _schema(keys, ("i", "fold"), ("min_within_dist",))
-    )
-
-
 def lko_runs(folds: DataFrame, model: str | Column = "model1", dispersion: str = "variable",
              keys: tuple[str, ...] = ("Country",)) -> DataFrame:
     """M8 + D30: one refit run per (run, fold) with its indices joined by '_' in numeric order."""

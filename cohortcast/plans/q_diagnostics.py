@@ -125,7 +125,15 @@ def q_energy_flags(spark, sf_dir):
     return dg.energy_flags(fx.sampler_params(spark, sf_dir, C))
 
 
-@register("ess", "L2")
+def _ess_sql() -> str:
+    from .q_loo import ess_views
+
+    views = {"dl": DRAWS_LONG_SQL, **ess_views("pe", "Country, param", "dl", "value")}
+    deps = {"dl": ["draws"], "pe_x": ["dl"], **{f"pe_{b}": [f"pe_{a}"] for a, b in zip("xcarpq", "carpqe", strict=True)}}
+    return with_views(f"select Country, param, cast({C.n_draws} as bigint) as n_draws, ess from pe_e", ["pe_e"], extra=views, extra_deps=deps)
+
+
+@register("ess", "L2", _ess_sql, ["ess"])
 def q_ess(spark, sf_dir):
     return dg.effective_sample_size(long_draws(spark, sf_dir))
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import FIXTURE as C
 from ..operators import likelihood as lk
-from ..operators import loo
-from ..operators.small import stored_table
+from ..operators import folds, loo
+from ..operators.small import small_table, stored_table
 from .q_prep import small_obs
 from .q_scoring import _LL_DEPS, _LL_VIEWS, _LKO_VALUES, _ll_select, lko_fixture, loglik_df
 from .registry import register
@@ -70,7 +70,79 @@ def high_k_points(spark, sf_dir):
     return d.filter("refit").select(*RUN, "i")
 
 
-@register("psis_loo", "M1")
+#: The chain of PSIS in SQL: draws of a run's observation as lists, by chain and iteration.
+_N, _M = C.iters_per_chain, C.n_chains
+_S = _N * _M
+
+
+def ess_views(prefix: str, keys: str, series: str, value: str) -> dict[str, str]:
+    """Effective sample size ``ess`` by ``keys`` of ``value`` in the view ``series`` (with Sim)."""
+    part = lambda c: f"x[{c * _N + 1}:{(c + 1) * _N}]"
+    centred = ", ".join(f"list_transform({part(c)}, lambda v: v - list_avg({part(c)})) as c{c}, list_avg({part(c)}) as m{c}" for c in range(_M))
+    cov = " + ".join(f"list_dot_product(c{c}[1:{_N} - t], c{c}[t + 1:{_N}])" for c in range(_M))
+    return {
+        f"{prefix}_x": f"select {keys}, list({value} order by Sim) as x from {series} group by all",
+        f"{prefix}_c": f"select {keys}, {centred} from {prefix}_x",
+        f"{prefix}_a": f"""
+select {keys}, list_transform(range(0, {_N}), lambda t: ({cov})/{float(_M * _N)}) as a, list_var_samp([{', '.join(f'm{c}' for c in range(_M))}]) as vm
+from {prefix}_c""",
+        f"{prefix}_r": f"""
+select {keys}, total, list_transform(range(1, {_N + 1}), lambda t: case when t = 1 then 1.0 else 1.0 - (a[1]*{_N}/{_N - 1.0} - a[t])/total end) as r
+from (select *, a[1] + vm as total from {prefix}_a) q""",
+        f"{prefix}_p": f"""
+select {keys}, total, k, r[2*k + 1] + r[2*k + 2] as p from (select *, unnest(range(0, {_N // 2})) as k from {prefix}_r) q""",
+        f"{prefix}_q": f"""
+select {keys}, total, k, bool_and(p >= 0) over w as up, min(p) over w as low from {prefix}_p
+window w as (partition by {keys} order by k)""",
+        f"{prefix}_e": f"""
+select {keys}, case when not (isfinite(any_value(total)) and any_value(total) > 0) then null
+                    when not bool_or(up and k = 0) or 2*sum(case when up then low else 0 end) - 1 <= 0 then {float(_S)}
+                    else {float(_S)}/(2*sum(case when up then low else 0 end) - 1) end as ess
+from {prefix}_q group by {keys}""",
+    }
+
+
+_K = "Country, p1, p2, i"
+_LSE = "ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))) + list_max({x})"
+_PSIS = ess_views("pe", _K, "ll9", "ll") | {
+    "ps1": f"""
+select x.Country, x.p1, x.p2, x.i, list_reverse_sort(x.x) as x, list_min(x.x) as mn, coalesce(e.ess, {float(_S)})/{_S} as r_eff,
+       cast(ceil(least(0.2e0*{_S}, 3.0e0*sqrt({_S}/(coalesce(e.ess, {float(_S)})/{_S})))) as int) as t
+from pe_x x join pe_e e using ({_K})""",
+    "ps2": f"""
+select *, exp(mn - x[{_S} - t]) as cut, list_transform(x[{_S + 1} - t:{_S}], lambda v: exp(mn - v) - exp(mn - x[{_S} - t])) as tail,
+       30 + cast(floor(sqrt(t)) as int) as m from ps1""",
+    "ps3": """
+select *, list_transform(range(1, m + 1), lambda j: 1.0e0/tail[t] + (1.0e0 - sqrt(m/(j - 0.5e0)))/(3.0e0*tail[cast(floor(t/4.0e0 + 0.5e0) as int)])) as theta
+from ps2""",
+    "ps4": "select *, list_transform(theta, lambda th: list_avg(list_transform(tail, lambda v: ln(1.0e0 - th*v)))) as shape from ps3",
+    "ps5": "select *, list_transform(range(1, m + 1), lambda j: t*(ln(-theta[j]/shape[j]) - shape[j] - 1.0e0)) as fit from ps4",
+    "ps6": """
+select *, list_dot_product(theta, list_transform(fit, lambda a: 1.0e0/list_sum(list_transform(fit, lambda b: exp(b - a))))) as th from ps5""",
+    "ps7": "select *, list_avg(list_transform(tail, lambda v: ln(1.0e0 - th*v))) as k0 from ps6",
+    "ps8": "select *, -k0/th as sigma, (k0*t + 5.0e0)/(t + 10.0e0) as k from ps7",
+    "ps9": f"""
+select *, list_concat(list_transform(x[1:{_S} - t], lambda v: mn - v), list_transform(range(1, t + 1), lambda j:
+       least(0.0e0, ln(sigma*(pow(1.0e0 - (j - 0.5e0)/t, -k) - 1.0e0)/k + cut)))) as lw from ps8""",
+    "psis": f"""
+select Country, p1, p2, i, elpd_loo, lpd - elpd_loo as p_loo, -2.0e0*elpd_loo as looic, k as pareto_k, r_eff
+from (select *, {_LSE.format(x='y')} - ({_LSE.format(x='lw')}) as elpd_loo, {_LSE.format(x='x')} - ln({_S}) as lpd
+      from (select *, list_transform(range(1, {_S + 1}), lambda j: lw[j] + x[j]) as y from ps9) q) z""",
+    "points": f"""
+select p.Country, p.p1, p.p2, p.i, o.Age, o.Cohort, o.Time, o.Age_i, p.pareto_k, p.pareto_k > {C.pareto_k_threshold} as refit
+from psis p join obs o on o.Country = p.Country and o.i = p.i""",
+}
+_PSIS_DEPS = ({"pe_x": ["ll9"], "pe_c": ["pe_x"], "pe_a": ["pe_c"], "pe_r": ["pe_a"], "pe_p": ["pe_r"], "pe_q": ["pe_p"], "pe_e": ["pe_q"],
+               "ps1": ["pe_x", "pe_e"], "psis": ["ps9"], "points": ["psis", "obs"]} | {f"ps{n}": [f"ps{n - 1}"] for n in range(2, 10)})
+
+
+def _p(sql: str, views: list[str], extra=None, deps=None) -> str:
+    from .q_reports import _GRID_DEPS, _GRID_VIEWS
+
+    return with_views(sql, views, extra={**_GRID_VIEWS, **_PSIS, **(extra or {})}, extra_deps={**_GRID_DEPS, **_PSIS_DEPS, **(deps or {})})
+
+
+@register("psis_loo", "M1 M4 L2", lambda: _p("select * from psis", ["psis"]), ["elpd_loo", "p_loo", "looic", "pareto_k", "r_eff"])
 def q_psis_loo(spark, sf_dir):
     return psis_by_model(spark, sf_dir)
 
@@ -86,7 +158,7 @@ def q_psis_summary(spark, sf_dir):
     return loo.corrected_psis(psis_by_model(spark, sf_dir), refit, loo.loo_eligibility(flags), C, RUN)
 
 
-@register("loo_diagnostics", "M5 M6 D28")
+@register("loo_diagnostics", "M5 M6 D28", lambda: _p("select Country, p1, p2, i, Age, Cohort, pareto_k, refit from points", ["points"]), ["pareto_k"])
 def q_loo_diagnostics(spark, sf_dir):
     return loo.loo_diagnostics(psis_by_model(spark, sf_dir), small_obs(spark, sf_dir), C, RUN)
 
@@ -106,26 +178,63 @@ def dropped_obs(spark, sf_dir):
 
 @register("lko_distance", "C17", _v("", ["obs", "dropped"]) + _NN, ["nn_dist"])
 def q_lko_distance(spark, sf_dir):
-    return loo.dropped_distances(dropped_obs(spark, sf_dir))
+    return folds.nearest(dropped_obs(spark, sf_dir))
 
 
 def high_k_obs(spark, sf_dir):
     return high_k_points(spark, sf_dir).join(small_obs(spark, sf_dir), ["Country", "i"])
 
 
-@register("lko_folds", "M7 C17")
+_H = folds.PRIME
+_FOLDS = {
+    "high": "select * from points where refit",
+    "sized": "select *, count(*) over (partition by Country, p1, p2) as n from high",
+    "dealt": f"""
+select Country, p1, p2, i, Time, Age_i, split,
+       cast((row_number() over (partition by Country, p1, p2, split order by h, i) - 1) % {folds.N_FOLDS} + 1 as int) as fold
+from (select *, case when split = 0 then 0 else ((cast(i as bigint)*(((split*69621 + 48271)*40014) % {_H})) % {_H})*(i + split) % {_H} end as h
+      from (select *, unnest(range(0, {folds.N_SPLITS})) as split from sized where n > {folds.N_FOLDS}) a) b""",
+    "scored": """
+select a.Country, a.p1, a.p2, a.split, min((a.Time - b.Time)*(a.Time - b.Time) + (a.Age_i - b.Age_i)*(a.Age_i - b.Age_i)) as d2
+from dealt a join dealt b on b.Country = a.Country and b.p1 = a.p1 and b.p2 = a.p2 and b.split = a.split and b.fold = a.fold and a.i < b.i
+group by all""",
+    "chosen": "select Country, p1, p2, d2, split from scored qualify row_number() over (partition by Country, p1, p2 order by d2 desc, split) = 1",
+    "folded": f"""
+select d.Country, d.p1, d.p2, d.i, d.fold, sqrt(cast(c.d2 as double)) as min_within_dist
+from dealt d join chosen c on c.Country = d.Country and c.p1 = d.p1 and c.p2 = d.p2 and c.split = d.split
+union all
+select Country, p1, p2, i, cast(row_number() over (partition by Country, p1, p2 order by i) as int), null from sized where n <= {folds.N_FOLDS}""",
+    "near": """
+select a.Country, a.p1, a.p2, a.i, min(sqrt(cast((a.Time - b.Time)*(a.Time - b.Time) + (a.Age_i - b.Age_i)*(a.Age_i - b.Age_i) as double))) as nn_dist
+from high a left join high b on b.Country = a.Country and b.p1 = a.p1 and b.p2 = a.p2 and b.i <> a.i group by all""",
+}
+_FOLD_DEPS = {"high": ["points"], "sized": ["high"], "dealt": ["sized"], "scored": ["dealt"], "chosen": ["scored"], "folded": ["dealt", "chosen", "sized"],
+              "near": ["high"]}
+
+
+def folds_by_model(spark, sf_dir):
+    """M7 of every run, made once per session."""
+    return small_table(spark, ("folds", sf_dir), lambda: folds.best_folds(high_k_obs(spark, sf_dir), RUN), broadcast=False)
+
+
+@register("lko_folds", "M7 C17", lambda: _p(f"""select f.*, coalesce(f.min_within_dist < {folds.NEAR}, false) as too_near, n.nn_dist
+from folded f join near n on n.Country = f.Country and n.p1 = f.p1 and n.p2 = f.p2 and n.i = f.i""", ["folded", "near"], _FOLDS, _FOLD_DEPS),
+          ["min_within_dist", "nn_dist"])
 def q_lko_folds(spark, sf_dir):
-    obs = high_k_obs(spark, sf_dir)
-    return loo.lko_folds(obs, C, RUN).join(loo.dropped_distances(obs, RUN), [*RUN, "i"])
+    return folds_by_model(spark, sf_dir).join(folds.nearest(high_k_obs(spark, sf_dir), RUN), [*RUN, "i"])
 
 
-@register("lko_runs", "M8 D30 H13 I24")
-def q_lko_runs(spark, sf_dir):
+def _model_number() -> str:
     from .q_reports import PAIRS
 
-    number = F.create_map(*[F.lit(x) for k, (a, b) in enumerate(sorted(PAIRS), 1) for x in (f"{a}/{b}", f"model{k}")])
-    model = number[F.concat_ws("/", "p1", "p2")]
-    return loo.lko_runs(loo.lko_folds(high_k_obs(spark, sf_dir), C, RUN), model, keys=RUN)
+    return " ".join(f"when p1 = '{a}' and p2 = '{b}' then 'model{k}'" for k, (a, b) in enumerate(sorted(PAIRS), 1))
+
+
+@register("lko_runs", "M8 D30 H13 I24", lambda: _p(f"""
+select case {_model_number()} end as Model, Country, p1, p2, fold, string_agg(cast(i as varchar), '_' order by i) as inds,
+       cast(count(*) as int) as n_points, 'variable' as dispersion from folded group by Country, p1, p2, fold""", ["folded"], _FOLDS, _FOLD_DEPS))
+def q_lko_runs(spark, sf_dir):
+    return loo.lko_runs(folds_by_model(spark, sf_dir), F.expr(f"case {_model_number()} end"), keys=RUN)
 
 
 @register("refit_lpd", "M10 D10", _v(_RF, ["ll", "dropped"]), ["lpd"])

@@ -22,7 +22,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 class Query:
     name: str
     build: Builder
-    sql: str | None = None
+    sql: str | Callable[[], str] | None = None  # built when asked for, where views of other modules take part
     doubles: list[str] = field(default_factory=list)
     digits: int = DEFAULT_DIGITS
     overrides: dict[str, int] = field(default_factory=dict)
@@ -35,15 +35,16 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
+        sql = self.sql() if callable(self.sql) else self.sql
         if self.sql_rounded:
-            return self.sql
-        return sql_round(self.sql, self.doubles, self.digits, self.overrides)
+            return sql
+        return sql_round(sql, self.doubles, self.digits, self.overrides)
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, ops: str = "", sql: str | None = None, doubles: list[str] | None = None,
+def register(name: str, ops: str = "", sql: str | Callable[[], str] | None = None, doubles: list[str] | None = None,
              digits: int = DEFAULT_DIGITS, overrides: dict[str, int] | None = None, sql_rounded: bool = False):
     def deco(fn: Builder) -> Builder:
         REGISTRY[name] = Query(name, fn, sql, list(doubles or []), digits, dict(overrides or {}), ops, sql_rounded)
