@@ -22,6 +22,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .small import small_side
 from ..config import CohortConfig
 from ..functions.numeric import nb_lpmf, normal_lpdf, poisson_lpmf
 from .draws import rate_draws
@@ -103,17 +104,29 @@ def loglik(draws: DataFrame, expos_grid: DataFrame, obs: DataFrame, dispersion_d
     return pointwise_loglik(eb, obs, maps, dispersion, cfg, model_keys)
 
 
-def drop_sets(lko_runs: DataFrame) -> DataFrame:
-    """(Country, i) of every left-out observation from ``inds`` strings like '3_17_20'."""
+def drop_sets(lko_runs: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
+    """(keys, i) of every left-out observation from ``inds`` strings like '3_17_20'."""
     return lko_runs.filter(F.col("inds").isNotNull() & (F.col("inds") != "")).select(
-        "Country", F.explode(F.split("inds", "_")).alias("i")
-    ).select("Country", F.col("i").cast("int").alias("i"))
-
-
-def loglik_keep(ll: DataFrame, dropped: DataFrame) -> DataFrame:
-    """J15 + C12 + M9: per-draw log likelihood total over the kept observations."""
-    kept = ll.join(dropped, ["Country", "i"], "left_anti")
-    return kept.groupBy("Country", "Sim").agg(F.sum("ll").alias("ll_keep"), F.count(F.lit(1)).alias("n_keep"))
+        *keys, F.explode(F.split("inds", "_")).alias("i")
+    ).select(*keys, F.col("i").cast("int").alias("i"))
+
+
+def fold_bits(folds: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
+    """(keys, i, out): the folds that leave out an observation, as a bit set (fold f is bit f - 1)."""
+    return folds.groupBy(*keys, "i").agg(F.bit_or(F.expr("shiftleft(1L, fold - 1)")).alias("out"))
+
+
+def loglik_keep(ll: DataFrame, folds: DataFrame, keys: tuple[str, ...] = ("Country",), n_folds: int = 3) -> DataFrame:
+    """J15 + C12 + M9: per-draw log likelihood total over the observations that a refit keeps, for every run of ``folds``
+    (keys, i, fold), from one scan of ``ll``: each row is added to all folds whose bit it hasn't."""
+    k = list(keys)
+    j = ll.join(small_side(fold_bits(folds, keys)), [*k, "i"], "left")
+    kept = [(F.coalesce(F.col("out"), F.lit(0)).bitwiseAND(F.lit(1 << f)) == 0, f) for f in range(n_folds)]
+    sums = j.groupBy(*k, "Sim").agg(*[c for has, f in kept for c in (
+        F.sum(F.when(has, F.col("ll"))).alias(f"ll_{f}"), F.count(F.when(has, F.lit(1))).alias(f"n_{f}"))])
+    rows = F.explode(F.array(*[F.struct(F.lit(f + 1).alias("fold"), F.col(f"ll_{f}").alias("ll_keep"), F.col(f"n_{f}").alias("n_keep")) for f in range(n_folds)]))
+    long = sums.select(*k, "Sim", rows.alias("r")).select(*k, F.col("r.fold").alias("fold"), "Sim", "r.ll_keep", "r.n_keep")
+    return long.join(small_side(folds.select(*k, "fold").distinct()), [*k, "fold"])
 
 
 # --- prior (J16) -------------------------------------------------------------

@@ -86,13 +86,13 @@ def corrected_psis(pointwise: DataFrame, refit: DataFrame, eligible: DataFrame,
     """M4 + M11 (C19): PSIS summary of every run with its corrected LOOIC: NULL for an ineligible run (M3), the stored
     one without high-k points, else with the refit lpd of the run's points; the SE is that of PSIS (quirk X9)."""
     s = loo_summary(pointwise, "elpd_loo", keys, p_col="p_loo", k_col="pareto_k", k_threshold=cfg.pareto_k_threshold)
-    c = corrected_looic(pointwise, "elpd_loo", refit, keys).select(*keys, "n_refit", F.col("looic").alias("refitted"))
+    c = corrected_looic(pointwise, "elpd_loo", refit, keys).select(*keys, "n_refit", F.col("looic").alias("refitted"), "looic_se_recomputed")
     j = s.join(c, list(keys)).join(eligible, "Country")
     ok = F.col("loo_eligible")
     return j.select(*keys, "loo_eligible", "n_obs", "n_high_pareto_k", "n_refit",
                     *[F.when(ok, F.col(c)).alias(c) for c in ("elpd_loo", "elpd_se", "p_loo", "looic", "looic_se")],
                     F.when(ok, F.when(F.col("n_high_pareto_k") == 0, F.col("looic")).otherwise(F.col("refitted")))
-                    .alias("looic_corrected"))
+                    .alias("looic_corrected"), F.when(ok, F.col("looic_se_recomputed")).alias("looic_se_recomputed"))
 
 
 def corrected_looic(pointwise: DataFrame, elpd_col: str, refit: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:

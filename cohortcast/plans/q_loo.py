@@ -9,14 +9,12 @@ from ..operators import likelihood as lk
 from ..operators import folds, loo
 from ..operators.small import small_table, stored_table
 from .q_prep import small_obs
-from .q_scoring import _LL_DEPS, _LL_VIEWS, _LKO_VALUES, _ll_select, lko_fixture, loglik_df
+from .q_scoring import _LL_DEPS, _LL_VIEWS, _ll_select, loglik_df
 from .registry import register
 from .views_sql import with_views
 
-_LLV = {**_LL_VIEWS, "ll": _ll_select("variable"),
-        "dropped": f"""select Country, cast(unnest(string_split(inds, '_')) as int) as i
-                       from (values {_LKO_VALUES}) t(Country, inds) where inds <> ''"""}
-_LLD = {**_LL_DEPS, "ll": ["eb", "obs", "dispersion"], "dropped": []}
+_LLV = {**_LL_VIEWS, "ll": _ll_select("variable")}
+_LLD = {**_LL_DEPS, "ll": ["eb", "obs", "dispersion"]}
 
 _ISL = """
 select Country, i, ln(sum(exp(ll - m1))) + max(m1) - ln(count(*)) as lpd,
@@ -25,11 +23,6 @@ select Country, i, ln(sum(exp(ll - m1))) + max(m1) - ln(count(*)) as lpd,
        count(*) as n_draws
 from (select *, max(ll) over (partition by Country, i) as m1, max(-ll) over (partition by Country, i) as m2 from ll) x
 group by Country, i"""
-_RF = """
-select s.Country, s.i as ll_ind, ln(sum(exp(s.ll - s.m))) + max(s.m) - ln(count(*)) as lpd
-from (select l.*, max(l.ll) over (partition by l.Country, l.i) as m
-      from ll l join dropped d on l.Country = d.Country and l.i = d.i) s
-group by s.Country, s.i"""
 
 
 def _v(sql: str, views: list[str], extra=None, deps=None) -> str:
@@ -40,10 +33,6 @@ def ll_variable(spark, sf_dir):
     return loglik_df(spark, sf_dir, "variable")
 
 
-def dropped_points(spark):
-    return lk.drop_sets(lko_fixture(spark))
-
-
 @register("is_loo", "M2 D8", _v(_ISL, ["ll"]), ["lpd", "elpd_is", "p_is"])
 def q_is_loo(spark, sf_dir):
     return loo.is_loo(ll_variable(spark, sf_dir))
@@ -54,9 +43,10 @@ RUN = ("Country", "p1", "p2")
 
 
 def ll_by_model(spark, sf_dir):
+    """Pointwise log likelihood of every run, written once per session: PSIS, refits and kept sums read it."""
     from .q_reports import loglik_by_model
 
-    return loglik_by_model(spark, sf_dir)
+    return stored_table(spark, ("ll_by_model", sf_dir), lambda: loglik_by_model(spark, sf_dir), "Country")
 
 
 def psis_by_model(spark, sf_dir):
@@ -147,38 +137,49 @@ def q_psis_loo(spark, sf_dir):
     return psis_by_model(spark, sf_dir)
 
 
-@register("psis_summary", "M1 M3 M4 M11 C18 C19 D27 D28")
-def q_psis_summary(spark, sf_dir):
+_LOOIC = {
+    "eligible": "select Country, sum(divergent__) = 0 as ok from sampler_params group by Country",
+    "summed": f"""
+select p.Country, p.p1, p.p2, any_value(e.ok) as ok, count(*) as n_obs, count(*) filter (pareto_k > {C.pareto_k_threshold}) as n_high,
+       sum(elpd_loo) as elpd, sqrt(count(*)*var_samp(elpd_loo)) as se, sum(p_loo) as p_loo,
+       -2.0e0*sum(case when pareto_k > {C.pareto_k_threshold} then elpd_loo + p_loo else elpd_loo end) as refitted,
+       2.0e0*sqrt(count(*)*var_samp(case when pareto_k > {C.pareto_k_threshold} then elpd_loo + p_loo else elpd_loo end)) as se_refitted
+from psis p join eligible e on e.Country = p.Country group by p.Country, p.p1, p.p2""",
+    "corrected": """
+select Country, p1, p2, ok as loo_eligible, n_obs, n_high as n_high_pareto_k, n_high as n_refit, case when ok then elpd end as elpd_loo,
+       case when ok then se end as elpd_se, case when ok then p_loo end as p_loo, case when ok then -2.0e0*elpd end as looic,
+       case when ok then 2.0e0*se end as looic_se, case when ok and n_high = 0 then -2.0e0*elpd when ok then refitted end as looic_corrected,
+       case when ok then se_refitted end as looic_se_recomputed
+from summed""",
+}
+_LOOIC_DEPS = {"eligible": ["sampler_params"], "summed": ["psis", "eligible"], "corrected": ["summed"]}
+
+
+def corrected_by_model(spark, sf_dir):
+    """M11 of every run, made once per session: the reports print it."""
     from .q_diagnostics import long_draws
     from ..operators import diagnostics as dg
     from ..sources import fixtures as fx
 
-    refit = loo.lpd_points(ll_by_model(spark, sf_dir), high_k_points(spark, sf_dir), RUN)
-    flags = dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), dg.split_rhat(long_draws(spark, sf_dir), C), C)
-    return loo.corrected_psis(psis_by_model(spark, sf_dir), refit, loo.loo_eligibility(flags), C, RUN)
-
+    def build():
+        refit = loo.lpd_points(ll_by_model(spark, sf_dir), high_k_points(spark, sf_dir), RUN)
+        flags = dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), dg.split_rhat(long_draws(spark, sf_dir), C), C)
+        return loo.corrected_psis(psis_by_model(spark, sf_dir), refit, loo.loo_eligibility(flags), C, RUN)
 
-@register("loo_diagnostics", "M5 M6 D28", lambda: _p("select Country, p1, p2, i, Age, Cohort, pareto_k, refit from points", ["points"]), ["pareto_k"])
-def q_loo_diagnostics(spark, sf_dir):
-    return loo.loo_diagnostics(psis_by_model(spark, sf_dir), small_obs(spark, sf_dir), C, RUN)
+    return small_table(spark, ("corrected", sf_dir), build, broadcast=False)
 
 
-_NN = """
-, pts AS (select o.Country, o.i, o.Time, o.Age_i from obs o join dropped d on o.Country = d.Country and o.i = d.i)
-select a.Country, a.i, min(case when b.i is null then null
-                                else sqrt(cast((a.Time - b.Time)*(a.Time - b.Time) + (a.Age_i - b.Age_i)*(a.Age_i - b.Age_i) as double)) end) as nn_dist
-from pts a left join pts b on a.Country = b.Country and a.i <> b.i
-group by a.Country, a.i"""
+_SUMMARY = ["elpd_loo", "elpd_se", "p_loo", "looic", "looic_se", "looic_corrected", "looic_se_recomputed"]
 
 
-def dropped_obs(spark, sf_dir):
-    obs = small_obs(spark, sf_dir)
-    return obs.join(F.broadcast(dropped_points(spark)), ["Country", "i"])
+@register("psis_summary", "M1 M3 M4 M11 C18 C19 D27 D28", lambda: _p("select * from corrected", ["corrected"], _LOOIC, _LOOIC_DEPS), _SUMMARY)
+def q_psis_summary(spark, sf_dir):
+    return corrected_by_model(spark, sf_dir)
 
 
-@register("lko_distance", "C17", _v("", ["obs", "dropped"]) + _NN, ["nn_dist"])
-def q_lko_distance(spark, sf_dir):
-    return folds.nearest(dropped_obs(spark, sf_dir))
+@register("loo_diagnostics", "M5 M6 D28", lambda: _p("select Country, p1, p2, i, Age, Cohort, pareto_k, refit from points", ["points"]), ["pareto_k"])
+def q_loo_diagnostics(spark, sf_dir):
+    return loo.loo_diagnostics(psis_by_model(spark, sf_dir), small_obs(spark, sf_dir), C, RUN)
 
 
 def high_k_obs(spark, sf_dir):
@@ -237,29 +238,38 @@ def q_lko_runs(spark, sf_dir):
     return loo.lko_runs(folds_by_model(spark, sf_dir), F.expr(f"case {_model_number()} end"), keys=RUN)
 
 
-@register("refit_lpd", "M10 D10", _v(_RF, ["ll", "dropped"]), ["lpd"])
-def q_refit_lpd(spark, sf_dir):
-    return loo.lpd_points(ll_variable(spark, sf_dir), dropped_points(spark))
+@register("lko_distance", "C17", lambda: _p("select * from near", ["near"], _FOLDS, _FOLD_DEPS), ["nn_dist"])
+def q_lko_distance(spark, sf_dir):
+    return folds.nearest(high_k_obs(spark, sf_dir), RUN)
+
 
+@register("loglik_keep", "J15 C12 M9 H13", lambda: _p("""
+select l.Country, l.p1, l.p2, r.fold, l.Sim, sum(l.ll) as ll_keep, count(*) as n_keep
+from ll9 l join (select distinct Country, p1, p2, fold from folded) r on r.Country = l.Country and r.p1 = l.p1 and r.p2 = l.p2
+     left join folded d on d.Country = l.Country and d.p1 = l.p1 and d.p2 = l.p2 and d.i = l.i and d.fold = r.fold
+where d.i is null group by l.Country, l.p1, l.p2, r.fold, l.Sim""", ["ll9", "folded"], _FOLDS, _FOLD_DEPS), ["ll_keep"])
+def q_loglik_keep(spark, sf_dir):
+    runs = loo.lko_runs(folds_by_model(spark, sf_dir), keys=RUN)
+    left_out = lk.drop_sets(runs, (*RUN, "fold"))
+    return lk.loglik_keep(ll_by_model(spark, sf_dir), left_out, RUN, folds.N_FOLDS)
 
-_CL = f"""
-, isl AS ({_ISL})
-, rf AS ({_RF})
-select isl.Country, count(rf.lpd) as n_refit, -2.0*sum(coalesce(rf.lpd, isl.elpd_is)) as looic,
-       2.0*sqrt(count(isl.elpd_is)*var_samp(isl.elpd_is)) as looic_se,
-       2.0*sqrt(count(coalesce(rf.lpd, isl.elpd_is))*var_samp(coalesce(rf.lpd, isl.elpd_is))) as looic_se_recomputed,
-       -2.0*sum(isl.elpd_is) as looic_uncorrected
-from isl left join rf on isl.Country = rf.Country and isl.i = rf.ll_ind
-group by isl.Country"""
+
+@register("refit_lpd", "M10 D10", lambda: _p("""
+select f.Country, f.p1, f.p2, f.fold, f.i as ll_ind, p.elpd_loo + p.p_loo as lpd
+from folded f join psis p on p.Country = f.Country and p.p1 = f.p1 and p.p2 = f.p2 and p.i = f.i""", ["folded", "psis"], _FOLDS, _FOLD_DEPS), ["lpd"])
+def q_refit_lpd(spark, sf_dir):
+    runs = folds_by_model(spark, sf_dir).select(*RUN, "fold", "i")
+    return loo.lpd_points(ll_by_model(spark, sf_dir), runs, RUN).join(runs.withColumnRenamed("i", "ll_ind"), [*RUN, "ll_ind"]).select(
+        *RUN, "fold", "ll_ind", "lpd")
 
 
-@register("corrected_looic", "M11 M12 C18 D27 X9", _v("", ["ll", "dropped"]) + _CL,
+@register("corrected_looic", "M11 M12 C18 C19 D27 X9", lambda: _p("""
+select Country, p1, p2, n_refit, looic_corrected as looic, looic_se, looic_se_recomputed, looic as looic_uncorrected from corrected""",
+                                                              ["corrected"], _LOOIC, _LOOIC_DEPS),
           ["looic", "looic_se", "looic_se_recomputed", "looic_uncorrected"])
 def q_corrected_looic(spark, sf_dir):
-    ll = ll_variable(spark, sf_dir)
-    pw = loo.is_loo(ll)
-    rf = loo.lpd_points(ll, dropped_points(spark))
-    return loo.corrected_looic(pw, "elpd_is", rf)
+    return corrected_by_model(spark, sf_dir).select(*RUN, "n_refit", F.col("looic_corrected").alias("looic"), "looic_se", "looic_se_recomputed",
+                                                    F.col("looic").alias("looic_uncorrected"))
 
 
 _INNER_LO, _INNER_HI = 3, 33

@@ -152,15 +152,8 @@ select e.Country, e.p1, e.p2, e.Sim, o.i,
        {qs.nb_sql('o.births', 'e.E', '(case when o.Age_i = 1 or o.Age_i = o.n_ages_obs then d.Dispersion*e.E*e.E/e.E2 else d.Dispersion end)')} as ll
 from eb9 e join obs o on e.Country = o.Country and e.Cohort = o.Cohort and e.Age = o.Age
      join dispersion d on d.Country = e.Country and d.Sim = e.Sim and d.Age = e.Age""",
-    "isl9": """
-select Country, p1, p2, i, -(ln(sum(exp(-ll - m2))) + max(m2) - ln(count(*))) as elpd_is
-from (select *, max(-ll) over (partition by Country, p1, p2, i) as m2 from ll9) x group by Country, p1, p2, i""",
-    "lg9": """
-select Country, p1, p2, -2.0*sum(elpd_is) as looic, 2.0*sqrt(count(elpd_is)*var_samp(elpd_is)) as looic_se
-from isl9 group by Country, p1, p2""",
 }
-_GRID_DEPS = {"rd9": ["draws"], "eb9": ["rd9", "expo_grid"], "ll9": ["eb9", "obs", "dispersion"], "isl9": ["ll9"],
-              "lg9": ["isl9"]}
+_GRID_DEPS = {"rd9": ["draws"], "eb9": ["rd9", "expo_grid"], "ll9": ["eb9", "obs", "dispersion"]}
 
 
 def loglik_by_model(spark, sf_dir):
@@ -171,10 +164,17 @@ def loglik_by_model(spark, sf_dir):
 
 
 def looic_by_model(spark, sf_dir):
-    ll = loglik_by_model(spark, sf_dir)
-    keys = ("Country", "p1", "p2")
-    pw = loo.is_loo(ll, keys)
-    return loo.loo_summary(pw, "elpd_is", keys).select(*keys, "looic", "looic_se")
+    """LOOIC of every run as the reports print it: PSIS, corrected by refits (M11); NULL for a run with divergences."""
+    from .q_loo import corrected_by_model
+
+    return corrected_by_model(spark, sf_dir).select("Country", "p1", "p2", F.col("looic_corrected").alias("looic"), "looic_se")
+
+
+def _looic_sql(sql: str) -> str:
+    from .q_loo import _LOOIC, _LOOIC_DEPS, _p
+
+    lg9 = "select Country, p1, p2, looic_corrected as looic, looic_se from corrected"
+    return _p(sql, ["lg9"], {**_LOOIC, "lg9": lg9}, {**_LOOIC_DEPS, "lg9": ["corrected"]})
 
 
 _GRID_SQL = """
@@ -184,7 +184,7 @@ select Country, first, gamma, weibull, hadwiger from (
 
 
 @register("looic_grid", "P4 M12 I4 I16 I17",
-          with_views(_GRID_SQL, ["lg9"], extra=_GRID_VIEWS, extra_deps=_GRID_DEPS), ["gamma", "weibull", "hadwiger"])
+          lambda: _looic_sql(_GRID_SQL), ["gamma", "weibull", "hadwiger"])
 def q_looic_grid(spark, sf_dir):
     return rp.looic_grid(looic_by_model(spark, sf_dir))
 
@@ -367,7 +367,7 @@ from lg9"""
 
 
 @register("looic_report", "M12 I16 I17 I18 G1",
-          with_views(_REPORT_SQL, ["lg9"], extra=_GRID_VIEWS, extra_deps=_GRID_DEPS), ["looic", "looic_se"])
+          lambda: _looic_sql(_REPORT_SQL), ["looic", "looic_se"])
 def q_looic_report(spark, sf_dir):
     lb = looic_by_model(spark, sf_dir)
     s1, s2 = rp.short_density(F.col("p1")), rp.short_density(F.col("p2"))

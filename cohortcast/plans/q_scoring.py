@@ -19,11 +19,6 @@ from .views_sql import with_views
 PF = ("gamma_density", "weibull_density")
 _FDA, _LDA, _JO = C.first_data_age, C.last_data_age, C.jump_off
 
-# Fixture leave-k-out run list (T15 shape: country, inds); one, two, three, four and no
-# dropped observations.  A parameter table, like the reference's LKO run CSV.
-FIXTURE_LKO = [("AFRICA", "3_17_20"), ("AMERICA", "5"), ("ASIA", "1_2"), ("EUROPE", ""), ("MIDDLE EAST", "40_41_42_43")]
-_LKO_VALUES = ", ".join(f"('{c}', '{i}')" for c, i in FIXTURE_LKO)
-
 
 def nb_sql(y: str, mu: str, k: str) -> str:
     return (f"(lgamma(({y}) + ({k})) - lgamma({k}) - lgamma(({y}) + 1) + ({k})*ln(({k})/(({k}) + ({mu}))) "
@@ -93,27 +88,6 @@ def q_loglik_poisson(spark, sf_dir):
     return loglik_df(spark, sf_dir, "poisson")
 
 
-def lko_fixture(spark):
-    return spark.createDataFrame(FIXTURE_LKO, "Country string, inds string")
-
-
-_KEEP_SQL = f"""
-, dropped AS (select Country, cast(unnest(string_split(inds, '_')) as int) as i
-              from (values {_LKO_VALUES}) t(Country, inds) where inds <> '')
-, ll AS ({_ll_select('variable')})
-select l.Country, l.Sim, sum(l.ll) as ll_keep, count(*) as n_keep
-from ll l where not exists (select 1 from dropped d where d.Country = l.Country and d.i = l.i)
-group by l.Country, l.Sim"""
-
-
-@register("loglik_keep", "J15 C12 M9 H13",
-          with_views("", ["eb", "obs", "dispersion"], extra=_LL_VIEWS, extra_deps=_LL_DEPS) + _KEEP_SQL,
-          ["ll_keep"])
-def q_loglik_keep(spark, sf_dir):
-    ll = loglik_df(spark, sf_dir, "variable")
-    return lk.loglik_keep(ll, F.broadcast(lk.drop_sets(lko_fixture(spark))))
-
-
 # ------------------------------------------------------------------ J16 prior
 def _d(x: float) -> str:
     return f"cast('{x!r}' as double)"
