@@ -1,8 +1,8 @@
 """Folds of left-out points that keep near points apart (M7), and each point's nearest neighbour (C17).
 
-Left-out points lie on the integer lattice of (time, age).  Distances are looked up ring by ring: a point's lattice places
-between two radii are joined with the run's points there, so near pairs are found without comparing all points of a
-run, and a wider ring is asked only for what is still open.
+Left-out points lie on the integer lattice of (time, age).  Distances are looked up ring by ring: the lattice is cut into
+cells as wide as a ring's radius, and a point meets the run's points in its own cell and those around it.  So near pairs
+are found without comparing all points of a run, and a wider ring is asked only for what is still open.
 
 Splits are numbered.  Split 0 deals the points in turn; split k deals them in the order of an integer hash of point and k,
 which any engine can repeat.  A split is as good as its least distance within a fold, and of equally good ones the first
@@ -34,13 +34,14 @@ def split_hash(i: Column, split: Column) -> Column:
 def ring(points: DataFrame, others: DataFrame, keys: list[str], inner: int, outer: int) -> DataFrame:
     """(keys, i, j, d2) of each of ``points`` with each other one of ``others`` at a distance beyond ``inner`` (0: any) and
     up to ``outer``."""
-    dx, dy = F.col("dx"), F.col("dy")
-    at = points.select(*keys, "i", "Time", "Age_i", F.explode(F.sequence(F.lit(-outer), F.lit(outer))).alias("dx"))
-    at = at.select("*", F.explode(F.sequence(F.lit(-outer), F.lit(outer))).alias("dy")).withColumn("d2", dx * dx + dy * dy)
-    at = at.filter((F.col("d2") <= outer * outer) & (F.col("d2") > (inner * inner if inner else -1)))
-    at = at.select(*keys, "i", (F.col("Time") + dx).alias("x"), (F.col("Age_i") + dy).alias("y"), "d2")
-    there = others.select(*keys, F.col("i").alias("j"), F.col("Time").alias("x"), F.col("Age_i").alias("y"))
-    return at.join(there, [*keys, "x", "y"]).filter("i <> j").select(*keys, "i", "j", "d2")
+    around = [F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias(c) for c in ("dx", "dy")]
+    cell = lambda c: F.floor(F.col(c) / outer)
+    at = points.select(*keys, "i", "Time", "Age_i", around[0]).select("*", around[1])
+    at = at.select(*keys, "i", "Time", "Age_i", (cell("Time") + F.col("dx")).alias("x"), (cell("Age_i") + F.col("dy")).alias("y"))
+    there = others.select(*keys, F.col("i").alias("j"), F.col("Time").alias("t"), F.col("Age_i").alias("a"), cell("Time").alias("x"), cell("Age_i").alias("y"))
+    dt, da = F.col("Time") - F.col("t"), F.col("Age_i") - F.col("a")
+    near = at.join(there, [*keys, "x", "y"]).filter("i <> j").select(*keys, "i", "j", (dt * dt + da * da).alias("d2"))
+    return near.filter((F.col("d2") <= outer * outer) & (F.col("d2") > (inner * inner if inner else -1)))
 
 
 def rings(points: DataFrame, keys: list[str]) -> list[tuple[int, int]]:

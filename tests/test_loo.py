@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortcast.config import FIXTURE
-from cohortcast.operators import loo
+from cohortcast.operators import folds, loo, psis
+from cohortcast.operators import likelihood as lk
 from cohortcast.plans.registry import all_queries
 
 from .conftest import SF_SMALL
@@ -19,14 +20,14 @@ def test_psis_recovers_pareto_tail_shape():
     u = rng.uniform(size=s)
     ratios = ((1 - u) ** (-k_true) - 1) / k_true
     ll = -np.log(ratios + 1e-12)
-    _, k = loo.psis_point(ll, 1.0)
+    [k] = psis.psis_rows(ll[None], np.ones(1))[1]
     assert k == pytest.approx(k_true, abs=0.15)
 
 
 def test_psis_well_behaved_small_k():
     rng = np.random.default_rng(8)
     ll = rng.normal(-3.0, 0.1, size=2000)
-    elpd, k = loo.psis_point(ll, 1.0)
+    [elpd], [k] = psis.psis_rows(ll[None], np.ones(1))
     assert k < 0.5
     direct = -math.log(np.mean(np.exp(-ll)))
     assert elpd == pytest.approx(direct, abs=1e-3)
@@ -47,22 +48,91 @@ def _points(spark, pts):
 
 
 def test_folds_small_sets(spark):
-    got = loo.lko_folds(_points(spark, [(1, 1), (5, 5), (9, 9)]), FIXTURE).orderBy("i").collect()
-    assert [r["fold"] for r in got] == [1, 2, 3]
+    got = folds.best_folds(_points(spark, [(1, 1), (5, 5), (9, 9)])).orderBy("i").collect()
+    assert [r["fold"] for r in got] == [1, 2, 3] and {r.min_within_dist for r in got} == {None} and not any(r.too_near for r in got)
+    assert folds.best_folds(_points(spark, [(1, 1)]).limit(0)).count() == 0
 
 
-def test_folds_balanced_and_not_worse_than_round_robin(spark):
+def by_hand(pts, n_splits):
+    """Folds and least distance of the first of the best splits."""
+    best = None
+    for split in range(n_splits):
+        own = (split * 69621 + 48271) * 40014 % folds.PRIME
+        order = sorted(range(1, len(pts) + 1), key=lambda i: ((i * own % folds.PRIME) * (i + split) % folds.PRIME if split else 0, i))
+        fold = {i: k % 3 + 1 for k, i in enumerate(order)}
+        least = min(math.dist(pts[i - 1], pts[j - 1]) for i in fold for j in fold if i < j and fold[i] == fold[j])
+        if best is None or least > best[1]:
+            best = fold, least
+    return best
+
+
+def test_folds_equal_a_search_by_hand(spark):
     rng = np.random.default_rng(10)
-    pts = [(int(t), int(a)) for t, a in rng.integers(1, 40, size=(11, 2))]
-    got = loo.lko_folds(_points(spark, pts), FIXTURE).orderBy("i").toPandas()
-    counts = got["fold"].value_counts()
-    assert counts.max() - counts.min() <= 1
-    xy = np.array(pts, dtype=float)
-    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, 1000.0)
-    rr = np.tile([1, 2, 3], 4)[:11]
-    rr_min = min(d[np.ix_(rr == f, rr == f)].min() for f in (1, 2, 3))
-    assert got["min_within_dist"].iloc[0] >= rr_min
+    dense = [(int(t), int(a)) for t in range(1, 6) for a in range(1, 5)]
+    wide = [(int(t), int(a)) for t, a in rng.integers(1, 2000, size=(7, 2))]  # nothing within the first rings
+    some = list({(int(t), int(a)) for t, a in rng.integers(1, 40, size=(11, 2))})
+    for pts in (dense, wide, some):
+        got = {r.i: r for r in folds.best_folds(_points(spark, pts), n_splits=20).collect()}
+        fold, least = by_hand(pts, 20)
+        assert {i: r.fold for i, r in got.items()} == fold
+        assert all(r.min_within_dist == pytest.approx(least) and r.too_near == (least < 2) for r in got.values())
+        near = {r.i: r.nn_dist for r in folds.nearest(_points(spark, pts)).collect()}
+        for i, p in enumerate(pts, 1):
+            assert near[i] == pytest.approx(min(math.dist(p, q) for q in pts if q != p))
+    assert [r.nn_dist for r in folds.nearest(_points(spark, [(4, 4)])).collect()] == [None]
+
+
+def test_kept_sums_of_all_folds_in_one_scan(spark):
+    ll = spark.createDataFrame([("A", i, s, float(i * 10 + s)) for i in range(1, 6) for s in (0, 1)], "Country string, i int, Sim long, ll double")
+    runs = spark.createDataFrame([("A", 1, 1), ("A", 1, 4), ("A", 3, 4)], "Country string, fold int, i int")
+    got = {(r.fold, r.Sim): (r.ll_keep, r.n_keep) for r in lk.loglik_keep(ll, runs).collect()}
+    assert got == {(1, 0): (100.0, 3), (1, 1): (103.0, 3), (3, 0): (110.0, 4), (3, 1): (114.0, 4)}
+
+
+def one_point(ll, r_eff):
+    """PSIS of one series, draw by draw."""
+    s, lw = len(ll), -ll - max(-ll)
+    t = math.ceil(min(0.2 * s, 3 * math.sqrt(s / r_eff)))
+    order = np.argsort(lw)
+    cut = math.exp(lw[order[s - t - 1]])
+    x = [math.exp(lw[k]) - cut for k in order[s - t:]]
+    m = 30 + int(math.sqrt(t))
+    theta = [1 / x[-1] + (1 - math.sqrt(m / (j - 0.5))) / (3 * x[int(t / 4 + 0.5) - 1]) for j in range(1, m + 1)]
+    shape = [sum(math.log1p(-th * v) for v in x) / t for th in theta]
+    fit = [t * (math.log(-th / k) - k - 1) for th, k in zip(theta, shape)]
+    th = sum(a / sum(math.exp(g - f) for g in fit) for a, f in zip(theta, fit))
+    k = sum(math.log1p(-th * v) for v in x) / t
+    sigma, k = -k / th, (k * t + 5) / (t + 10)
+    lw = lw.copy()
+    for j, at in enumerate(order[s - t:], 1):
+        lw[at] = min(0.0, math.log(sigma * ((1 - (j - 0.5) / t) ** -k - 1) / k + cut))
+    return math.log(sum(np.exp(lw + ll)) / sum(np.exp(lw))), k
+
+
+def test_rows_of_a_matrix_equal_single_points():
+    rng = np.random.default_rng(3)
+    ll = -rng.gamma(2.0, rng.uniform(0.2, 3.0, size=(40, 1)), size=(40, 160))
+    r_eff = rng.uniform(0.2, 2.5, size=40)
+    elpd, k = psis.psis_rows(ll, r_eff)
+    for n in range(40):
+        assert (elpd[n], k[n]) == (pytest.approx(one_point(ll[n], r_eff[n])[0]), pytest.approx(one_point(ll[n], r_eff[n])[1]))
+    elpd, k = psis.psis_rows(np.full((2, 100), -3.0), np.ones(2))
+    assert np.allclose(elpd, -3.0) and np.isinf(k).all()
+
+
+def test_draws_of_uneven_chains(spark):
+    """Series of different lengths and chains in one table, small matrices; a chain's surplus draws don't count for the ESS."""
+    rng = np.random.default_rng(6)
+    rows = [(p, c, t, float(rng.normal())) for p, sizes in (("a", (30, 30)), ("b", (30, 25)), ("c", (40, 40)), ("d", (3, 3))) for c, n in enumerate(sizes, 1) for t in range(n)]
+    df = spark.createDataFrame(rows, "param string, Chain int, Iter int, value double").withColumn("Country", F.lit("A"))
+    from cohortcast.operators.diagnostics import effective_sample_size
+
+    got = {r.param: r for r in effective_sample_size(df.repartition(3)).collect()}
+    assert {p: r.n_draws for p, r in got.items()} == {"a": 60, "b": 55, "c": 80, "d": 6}
+    for p, n in (("a", 30), ("b", 25), ("c", 40)):
+        x = np.array([[v for q, c, t, v in rows if (q, c) == (p, k) and t < n] for k in (1, 2)])
+        assert got[p].ess == pytest.approx(psis.ess_rows(x[None])[0])
+    assert math.isnan(got["d"].ess)
 
 
 def test_lko_runs_numeric_order(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.config import FIXTURE as C
 from cohortcast.operators import comparators as cmp
-from cohortcast.operators import loo
+from cohortcast.operators import folds
 from cohortcast.operators import rates as rt
 
 
@@ -35,8 +35,8 @@ def test_cfs_additive_over_age_split(spark):
 def test_fold_search_deterministic_across_partitions(spark):
     pts = [("A", i + 1, (i * 7) % 23, (i * 5) % 17) for i in range(9)]
     df = spark.createDataFrame(pts, "Country string, i int, Time int, Age_i int")
-    a = sorted(tuple(r) for r in loo.lko_folds(df.repartition(1), C).collect())
-    b = sorted(tuple(r) for r in loo.lko_folds(df.repartition(8), C).collect())
+    a = sorted(tuple(r) for r in folds.best_folds(df.repartition(1)).collect())
+    b = sorted(tuple(r) for r in folds.best_folds(df.repartition(8)).collect())
     assert a == b
 
 
