@@ -30,6 +30,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unnamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names that no operator adds, and these by the own names: whatever columns are called, none clashes, and
+    none has to be carried twice."""
+    names = {c: f"own_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of :func:`unnamed` under their own names, and no others."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -80,5 +92,6 @@ def with_arrow_columns(df: DataFrame, needs: list[str], adds: list[T.StructField
             b = seen.pop(0)
             own = [b.column(b.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, *added], names=names)
+        pa.default_memory_pool().release_unused()  # the worker stays for the next stage, its buffers needn't
 
     return source.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow_columns
+from .common import renamed, texts, unnamed, with_arrow_columns
 
 WINDOW = 13
 SHARD = 1 << 20
@@ -300,6 +300,6 @@ def contaminated(share: int = 20) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, text: str = "text",
                   **names: str) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    row = F.struct(*docs.columns).alias("row")  # whatever the documents' other columns are called
-    judged = contamination(docs.select(F.col(text).alias("text"), row), benchmark, window, **names)
-    return judged.filter(~contaminated(share)).select("row.*")
+    rows, own = unnamed(docs)
+    judged = contamination(rows, benchmark, window, text=own[text], **names)
+    return renamed(judged.filter(~contaminated(share)), own)

@@ -7,7 +7,9 @@ whose seeds are the hosts with pages that the rules allow, by number of pages.
 is blocked if its distrust, of both together, reaches ``THRESHOLD``; without either it is allowed.
 
 Rank tables have a row per host; each round is a join and a sum in Spark, and every ``STRIDE`` rounds the ranks go to the
-shared checkpoint folder and the change is measured, until it is below ``TOLERANCE`` of the total.
+shared checkpoint folder and are compared with those before, host by host: the rounds end when trust and distrust have
+reached no further host and no host's share of distrust has changed by ``TOLERANCE``.  How many pages other hosts have
+doesn't matter for that.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  A null html has no links.
 Repeated pages count as often as they occur.  Input columns named like an output are replaced.
@@ -109,12 +111,30 @@ def spread(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, toleran
                 F.col("b").alias("host"), (damping * F.col("t") * F.col("by_t")).alias("t"), (damping * F.col("d") * F.col("by_d")).alias("d"))
             ranks = moved.unionByName(restart).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         ranks = staged(ranks, "ranks")
-        change = (ranks.unionByName(before.select("host", (-F.col("t")).alias("t"), (-F.col("d")).alias("d")))
-                  .groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).agg(F.sum(F.abs("t") + F.abs("d"))).first()[0])
-        if not change or change < tolerance:
-            break
+        if settled(scaled(before), scaled(ranks), tolerance):
+            return scaled(ranks).select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+
+
+def scaled(ranks: DataFrame) -> DataFrame:
+    """``ranks`` with sums of 1."""
     sums = ranks.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()
-    return ranks.select("host", (F.col("t") / (sums.t or 1.0)).alias("trust"), (F.col("d") / (sums.d or 1.0)).alias("distrust"))
+    return ranks.select("host", (F.col("t") / (sums.t or 1.0)).alias("t"), (F.col("d") / (sums.d or 1.0)).alias("d"))
+
+
+def share(t: Column, d: Column) -> Column:
+    """Of distrust; null where neither came."""
+    return F.when(t + d > 0, d / (t + d))
+
+
+def settled(before: DataFrame, now: DataFrame, tolerance: float) -> bool:
+    """No host was newly reached by either rank, and no share changed by ``tolerance`` or more."""
+    zero = F.lit(0.0)
+    both = before.select("host", F.col("t").alias("t0"), F.col("d").alias("d0"), zero.alias("t"), zero.alias("d")).unionByName(
+        now.select("host", zero.alias("t0"), zero.alias("d0"), "t", "d"))
+    both = both.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t0", "d0", "t", "d")])
+    reached = ((F.col("t") > 0) != (F.col("t0") > 0)) | ((F.col("d") > 0) != (F.col("d0") > 0))
+    moved = F.abs(share(F.col("t"), F.col("d")) - share(F.col("t0"), F.col("d0"))) >= tolerance
+    return both.filter(reached | moved).isEmpty()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, url: str = "url",
@@ -122,8 +142,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THR
     """``pages`` with host, path, rule and verdict (allow or block)."""
     ruled = with_rules(pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict", "verdict")]), rules, url)
     ranks = spread(*host_graph(ruled, html))
-    share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
-    blocked = ranks.filter((F.col("distrust") > 0) & (share >= threshold)).select("host", F.lit("block").alias("by_host"))
+    blocked = ranks.filter((F.col("distrust") > 0) & (share(F.col("trust"), F.col("distrust")) >= threshold)).select("host", F.lit("block").alias("by_host"))
     judged = ruled.join(blocked, "host", "left")
     verdict = F.coalesce("rule_verdict", "by_host", F.lit("allow")).alias("verdict")
     return judged.select(*[c for c in ruled.columns if c != "rule_verdict"], verdict)

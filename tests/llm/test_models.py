@@ -254,3 +254,36 @@ def test_url_odd_rows(spark):
         assert r.verdict in ("allow", "block")
     assert next(r.verdict for r in got if r.url is None) == "allow"
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_far_hosts_are_judged_whatever_else_there_is(spark):
+    """A chain of hosts that leads to a blocked page is blocked to its end, with or without thousands of other pages; and
+    every verdict is that of a dense solution."""
+    rules = [("block", "bad.test/"), ("allow", "good.test/")]
+    link = lambda a, b: (f"http://{a}/", f'<a href="http://{b}/x">x</a>')
+    hosts = [f"h{k}.test{k}" for k in range(16)]
+    rows = [link(a, b) for a, b in zip(hosts, [*hosts[1:], "bad.test"], strict=True)] + [("http://bad.test/p", "")]
+    rows += [link("good.test", "m0.mixed0"), link("m0.mixed0", "m1.mixed1"), link("m1.mixed1", "bad.test"), link("m1.mixed1", hosts[9])]
+    others = [(f"http://o{k}.bad.test/", "") for k in range(2000)] + [(f"http://q{k}.good.test/", "") for k in range(500)]
+    verdicts = []
+    for pages in (rows, rows + others):
+        df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+        judged = {r.host: r.verdict for r in urls.judge(df, rules).collect()}
+        verdicts.append({h: judged[h] for h in [*hosts, "m0.mixed0", "m1.mixed1"]})
+        edges, table = urls.host_graph(urls.with_rules(df, rules))
+        table = {r.host: (r.good, r.bad) for r in table.collect()}
+        place = {h: k for k, h in enumerate(table)}
+        w = np.zeros((len(place), len(place)))
+        for e in edges.collect():
+            w[place[e.src], place[e.dst]] += e.w
+        ranks = []
+        for seed, step in ((0, w), (1, w.T)):
+            v = np.array([table[h][seed] for h in place])
+            step = step / np.maximum(step.sum(axis=1, keepdims=True), 1e-300)
+            x = np.linalg.solve(np.eye(len(v)) - urls.DAMPING * step.T, v / v.sum())
+            ranks.append(x / x.sum())
+        for h, k in place.items():
+            t, d = ranks[0][k], ranks[1][k]
+            if h in judged and not h.endswith(("bad.test", "good.test")):
+                assert judged[h] == ("block" if d > 0 and d / (t + d) >= 0.5 else "allow"), (h, t, d)
+    assert all(v[h] == "block" for v in verdicts for h in hosts[:9])  # trust comes no earlier than to the tenth
