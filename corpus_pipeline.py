@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcast.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from cohortcast.llm.common import fold, read, staged
+from cohortcast.llm.common import fold, read, renamed, staged, unnamed
 from cohortcast.llm.queries import BYTE_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labels outside the held-out fold, doesn't reject."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return toxicity.score(rows, model).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    rows, own = unnamed(docs)
+    return renamed(toxicity.score(rows, model, text=own["text"]).filter(F.col("score") < toxicity.THRESHOLD), own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and the number of characters set anew where any were."""
-    found = staged(secrets.annotate(docs.select("text", F.struct(*docs.columns).alias("row"))), "annotated")
-    found = secrets.add_spans(found, secrets.fit(found)).withColumn("masked", secrets.redacted(F.col("text"), F.col("spans")))
-    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("masked")}
-    if "n_chars" in columns:
-        changed = F.length("masked").cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(F.size("spans") > 0, changed).otherwise(F.col("row.n_chars"))
-    return found.select(*(value.alias(name) for name, value in columns.items()))
+    rows, own = unnamed(docs)
+    found = staged(secrets.annotate(rows, own["text"]), "annotated")
+    found = secrets.add_spans(found, secrets.fit(found.select("base_spans", "runs")))
+    found = found.withColumn("masked", secrets.redacted(F.col(own["text"]), F.col("spans")))
+    changes = {own["text"]: F.col("masked")}
+    if "n_chars" in own:
+        n_chars = F.length("masked").cast(docs.schema["n_chars"].dataType)
+        changes[own["n_chars"]] = F.when(F.size("spans") > 0, n_chars).otherwise(F.col(own["n_chars"]))
+    return renamed(found.select(*(changes.get(n, F.col(n)).alias(n) for n in own.values())), own)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
