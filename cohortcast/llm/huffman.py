@@ -21,26 +21,28 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .common import staged, texts, with_arrow_columns
+from .common import staged, with_arrow_columns
 
 MAX_BITS = 20
 BLOCK = 256
 #: Ids after which a segment ends with the document at hand.
 SEGMENT = 1 << 18
-#: Distinct chunks and parts that a worker remembers before it starts afresh (memory bound, no effect on results).
-REMEMBERED, REMEMBERED_PARTS = 150_000, 500_000
+#: Distinct parts that a worker remembers before it starts afresh (memory bound, no effect on results).
+REMEMBERED = 700_000
 #: Parts that are encoded as one string.
 JOINED = 64
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---------------------------------------------------------------- ids
@@ -54,85 +56,113 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Chunks(dict):
-    """Numbers of the one or two parts of each distinct chunk between ASCII white space, and the ids of all parts, end
-    to end.
+class Parts(dict):
+    """Numbers of distinct parts of chunks between ASCII white space, and the ids of all parts, end to end.
 
     A chunk that ends in ASCII marks after an ASCII letter or digit is parted there: the tokenizer's pattern always is.
     ASCII letters are lower-cased first, as the tokenizer does.  Neither is done where ``<|`` may begin a special token.
+    A part of ASCII letters alone is one word to the tokenizer, so the tokenizer's model encodes it directly.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.parts, self.new, self.pairs = tokenizer, {b"": 0}, [], []
-        self.both = np.empty((0, 2), np.int64)
+        super().__init__({b"": 0})
+        self.tokenizer, self.new = tokenizer, []
         self.starts, self.flat = np.zeros(2, np.int64), np.empty(0, np.uint32)  # part 0 has no ids
         special = tokenizer.get_added_tokens_decoder()
         self.apart = next(((i, t.content) for i, t in special.items() if t.special and not t.normalized), None)
 
-    def _part(self, part: bytes) -> int:
-        number = self.parts.get(part)
-        if number is None:
-            self.parts[part] = number = len(self.parts)
-            self.new.append(part)
+    def __missing__(self, part: bytes) -> int:
+        self[part] = number = len(self)
+        self.new.append(part)
         return number
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = number = len(self)
-        head, tail = chunk, b""
-        if b"<|" not in chunk:
-            chunk = chunk.lower()
-            head = chunk.rstrip(MARKS)
-            if head[-1:].isalnum():  # of bytes: an ASCII letter or digit
-                tail = chunk[len(head):]
-            else:
-                head = chunk
-        self.pairs.append((self._part(head), self._part(tail)))
-        return number
+    def numbers(self, chunks: pa.StringArray) -> np.ndarray:
+        """The numbers of the two parts of each chunk (0: no such part)."""
+        open_ = pc.match_substring(chunks, "<|")
+        chunks = pc.if_else(open_, chunks, pc.ascii_lower(chunks))
+        heads = pc.ascii_rtrim(chunks, MARKS)
+        parted = pc.and_(pc.match_substring_regex(heads, "[A-Za-z0-9]$"), pc.invert(open_))
+        heads = pc.if_else(parted, heads, chunks)
+        out = np.zeros((len(chunks), 2), np.int64)
+        distinct = heads.dictionary_encode()
+        out[:, 0] = self._of(distinct.dictionary.cast(pa.binary()).to_pylist())[distinct.indices.to_numpy()]
+        size = (pc.binary_length(chunks).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
+        at = np.flatnonzero(size)
+        whole = chunks.take(pa.array(at)).cast(pa.binary()).to_pylist()
+        out[at, 1] = self._of([c[-n:] for c, n in zip(whole, size[at].tolist(), strict=True)])
+        return out
+
+    def _of(self, parts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
 
     def settle(self) -> None:
-        """Encode the parts that are new, many at a time with a special token between them."""
-        if self.pairs:
-            self.both = np.concatenate([self.both, np.array(self.pairs, np.int64)])
-            self.pairs = []
+        """Encode the parts that are new."""
         if not self.new:
             return
-        new, self.new = [p.decode() for p in self.new], []
-        step = JOINED if self.apart and not any("<|" in p for p in new) else 1
-        groups = [new[k : k + step] for k in range(0, len(new), step)]
-        mark, text = self.apart or (None, "")
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([text.join(g) for g in groups], add_special_tokens=False)]
-        if step > 1:
-            every = np.concatenate([x for i in ids for x in (i, np.array([mark], np.uint32))])
-            ends = np.flatnonzero(every == mark)
-            sizes, flat = np.diff(ends, prepend=-1) - 1, every[every != mark]
-        else:
-            sizes, flat = np.array([len(i) for i in ids]), np.concatenate(ids)
-        assert len(sizes) == len(new)
+        new, self.new = self.new, []
+        model, ids, others = self.tokenizer.model, [], []
+        for k, part in enumerate(new):
+            if part.isalpha() and part.islower():  # of bytes: ASCII letters alone
+                ids.append([t.id for t in model.tokenize(part.decode())])
+            else:
+                ids.append(None)
+                others.append(k)
+        for k, found in zip(others, self._whole([new[k].decode() for k in others]), strict=True):
+            ids[k] = found
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
-        parts = self.both[numbers].ravel()
+    def _whole(self, parts: list[str]) -> Iterator[list[int]]:
+        """The ids of each part by the whole tokenizer, many parts at a time with a special token between them."""
+        step = JOINED if self.apart and not any("<|" in p for p in parts) else 1
+        mark, text = self.apart or (None, "")
+        groups = [text.join(parts[k : k + step]) for k in range(0, len(parts), step)]
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)):
+            ids, number = found.ids, len(parts[k * step : (k + 1) * step])
+            for _ in range(number - 1):
+                at = ids.index(mark)
+                yield ids[:at]
+                ids = ids[at + 1 :]
+            yield ids
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, by the numbers of their parts, end to end, and how many each has."""
+        parts = numbers.ravel()
         start, size = self.starts[parts], self.starts[parts + 1] - self.starts[parts]
         ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+        return self.flat[at], size.reshape(-1, 2).sum(axis=1)
 
 
-_CHUNKS: dict[str, Chunks] = {}
+_PARTS: dict[str, Parts] = {}
 
 
-def _chunks(path: str) -> Chunks:
+def _parts(path: str) -> Parts:
     """What this worker remembers from its earlier batches, unless that is too much."""
-    known = _CHUNKS.get(path)
-    if known is None or len(known.parts) > REMEMBERED_PARTS:
-        known = _CHUNKS[path] = Chunks(_tokenizer(path))
-    elif len(known) > REMEMBERED:
-        known.clear()
-        known.both = np.empty((0, 2), np.int64)
+    known = _PARTS.get(path)
+    if known is None or len(known) > REMEMBERED:
+        known = _PARTS[path] = Parts(_tokenizer(path))
     return known
 
 
+def encoded(column: pa.Array, parts: Parts, end_id: int, dtype: str) -> pa.Array:
+    """The ids of each text and ``end_id``, as binary values."""
+    chunks = pc.ascii_split_whitespace(column.cast(pa.string()).fill_null(""))
+    distinct = chunks.flatten().dictionary_encode()
+    numbers = parts.numbers(distinct.dictionary)
+    parts.settle()
+    ids, sizes = parts.ids(numbers[distinct.indices.to_numpy()])
+    edges = chunks.offsets.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])[edges - edges[0]] + np.arange(len(edges))  # of the rows, from 0 on
+    out = np.full(int(ends[-1]), end_id, dtype)
+    own = np.ones(len(out), bool)
+    own[ends[1:] - 1] = False  # the end id stands behind the ids of each row
+    out[own] = ids
+    offsets = pa.array(ends * out.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, offsets.buffers()[1], pa.py_buffer(out)])
+
+
 def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", out: str = "ids", dtype: str = "<u4",
              keep: list[str] | None = None) -> DataFrame:
     """``df`` with the ids of each text by the tokenizers library, without added special tokens, and ``end_id``, as
@@ -145,16 +175,8 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "text"
 
     def columns(batches):
         path = tokenizer_path if "/" in tokenizer_path else SparkFiles.get(tokenizer_path)
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            chunks = _chunks(path)
-            rows = []
-            for t in texts(batch, text):
-                found = t.split()
-                rows.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)))
-            chunks.settle()
-            yield [pa.array((np.concatenate([chunks.ids(r), end]).astype(dtype).tobytes() for r in rows), pa.binary(),
-                            size=len(rows))]
+            yield [encoded(batch.column(batch.schema.get_field_index(text)), _parts(path), end_id, dtype)]
 
     return with_arrow_columns(df, [text], [T.StructField(out, T.BinaryType())], columns, keep)
 

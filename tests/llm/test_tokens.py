@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -134,12 +135,16 @@ def test_token_files_odd_rows(spark):
             assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-def test_chunks_equal_whole_texts():
+def test_parts_equal_whole_texts():
     tokenizer = huffman._tokenizer(P.path(WORD_BPE))
-    chunks, rng = huffman.Chunks(tokenizer), random.Random(3)
+    parts, rng = huffman.Parts(tokenizer), random.Random(3)
     alphabet = "abcXYZ012 \n\t.,!?'\"#*&<|>éÉ漢ß\u0338\u0301 \x1c\x85—'s't"
-    for _ in range(300):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 200)))
-        numbers = np.fromiter(map(chunks.__getitem__, text.encode().split()), np.int64)
-        chunks.settle()
-        assert chunks.ids(numbers).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 200))) for _ in range(300)]
+    texts += ["<|startoftext|>a <|ENDOFTEXT|>", "a<|b ... C!!", "İstanbul ẞ ǅ ſ's KK!", "a\x00b \u200d!!", "", "  ", None]
+    for k in range(0, len(texts), 50):
+        column = pa.array(["other", *texts[k : k + 50]]).slice(1)  # offsets that begin above 0
+        found = huffman.encoded(column, parts, 2, "<u2").to_pylist()
+        for text, ids in zip(texts[k : k + 50], found, strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    column = pa.array([], pa.string())
+    assert huffman.encoded(column, parts, 2, "<u2").to_pylist() == []
