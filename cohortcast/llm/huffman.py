@@ -264,19 +264,27 @@ class Code:
 # ---------------------------------------------------------------- files
 
 
+def values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all binary values of a column end to end, and where each value ends."""
+    column = column.cast(pa.binary()).fill_null(b"")
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2] or b""
+    width = np.dtype(dtype).itemsize
+    numbers = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(dtype) if len(column) else np.empty(0, dtype)
+    return numbers, (edges[1:] - edges[:1]) // width
+
+
 def _counts(tokens: DataFrame, ids: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and how often; as many rows as the vocabulary has ids at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, dtype))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+            found = np.bincount(values(batch.column(0), dtype)[0])
+            if len(found) < len(total):
+                found, total = total, found
+            found[: len(total)] += total
+            total = found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -315,9 +323,10 @@ def write_tokens(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs.append(d), rows.append(np.frombuffer(x, dtype))
-                size += len(rows[-1])
+            numbers, ends = values(batch.column(1), dtype)
+            for d, x in zip(batch.column(0).to_pylist(), np.split(numbers, ends[:-1]) if len(ends) else [], strict=True):
+                docs.append(d), rows.append(x)
+                size += len(x)
                 if size >= SEGMENT:
                     yield flush()
         if rows:
