@@ -3,16 +3,22 @@
 Words are runs of ASCII letters (lower-cased) and digits and of all characters beyond ASCII.  The documents of a
 partition form shards of about ``SHARD`` words; each shard gets a suffix array over its words, to the depth of the
 longest item, by prefix doubling.  Words that no item holds become one breaking symbol, so the array lists the suffixes
-that begin with a word of the benchmark.  Every window of every test item (a whole item, if shorter) is then binary-searched in every
-shard, which gives all its places in the training text.  Longest verbatim matches, of every suffix, are found only by
-``longest_matches``, which no query or stage calls.
+that begin with a word of the benchmark.  Every suffix of every test item is binary-searched in every shard.  A test
+suffix of a window (13 words, or a whole shorter item) or more gives the places of its window in the training text; and
+as a text's longest match at a place is with the test suffix next above or below it, the same search gives each document's
+longest verbatim match, where it starts, and in which item.  ``longest_matches`` lists the longest matches from the side of
+the test suffixes.
 
 The benchmark is a stated query set.  It is taken in blocks of about ``BLOCK_BYTES`` of text, and each block goes to all
-tasks; the blocks follow each other within the same pass over the documents, which are never shuffled.
+tasks with the function that searches it (Spark broadcasts large ones).  The driver collects one block after the other.  The
+blocks follow each other within the same pass over the documents, which are never shuffled.
 
+A shard is built of the documents that a task gets at a time and holds whole documents, so a very long text is a shard of
+its own, in memory.
 Null and empty texts have no words.  Items without words, and a null item text, match nothing; a null item id is listed
 as the empty string, and items that share an id count once.  Repeated documents are judged one by one.  With an empty
-benchmark nothing is hit.  Input columns named like an output are replaced.
+benchmark nothing is hit.  Of equally long matches the first in the document counts, and there that in the item with the
+smallest id, then at its earliest word.  Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from .common import renamed, texts, unnamed, with_arrow_columns
 WINDOW = 13
 SHARD = 1 << 20
 BLOCK_BYTES = 16 << 20
+#: What one block of items finds and the next adds to.
+FOUND = ("items", "hit_words", "longest", "longest_word", "longest_item", "longest_item_word")
 
 _BLANK = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -63,6 +71,21 @@ class Benchmark:
         self.left = left
         self.starts = np.flatnonzero((left >= window) | (first & (left > 0)))
         self.sizes = np.minimum(left[self.starts], window)
+        # all suffixes in order, and how many words each shares with the one before it
+        self.array = suffix_array(self.codes, self.keys, self.step, self.longest)
+        self.shared = np.zeros(len(self.array), np.int64)
+        self.shared[1:] = common(self.keys, self.array[:-1], self, self.array[1:])
+        self.item_first = np.searchsorted(self.owner, np.arange(len(self.names)))
+
+    def earliest(self, ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The smallest place whose suffix begins with the ``sizes`` words of the suffixes of these ranks."""
+        out = np.zeros(len(ranks), np.int64)
+        for size in np.unique(sizes):
+            heads = np.flatnonzero(np.r_[True, self.shared[1:] < size])  # runs of suffixes with the same first words
+            least = np.minimum.reduceat(self.array, heads)
+            on = sizes == size
+            out[on] = least[np.searchsorted(heads, ranks[on], side="right") - 1]
+        return out
 
 
 def pack(codes: np.ndarray, step: int, bits: int) -> np.ndarray:
@@ -125,6 +148,20 @@ def search(array: np.ndarray, keys: np.ndarray, bench: Benchmark, starts: np.nda
     return low
 
 
+def common(keys: np.ndarray, places: np.ndarray, bench: Benchmark, starts: np.ndarray) -> np.ndarray:
+    """How many words the text with ``keys`` has in common, from each place, with the test suffix from each start."""
+    out, on, k = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
+    left = bench.left[starts]
+    while len(on):
+        differ = keys[places[on] + k] ^ bench.keys[starts[on] + k]
+        high = differ >> 31  # in two halves, which are exact as doubles
+        width = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 31, np.frexp(differ.astype(np.float64))[1])
+        out[on] = k + (bench.step * bench.bits - width) // bench.bits
+        k += bench.step
+        on = on[(differ == 0) & (k < left[on])]  # so all words until here are words of the text as well
+    return np.minimum(out, left)
+
+
 class Shard:
     """Some documents with the suffix array of their words."""
 
@@ -153,6 +190,25 @@ class Shard:
             found.append((self.array[index], np.full(len(index), size), np.repeat(starts[hit], n)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
+    def longest_by_document(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each document the size of its longest match (0: none), its place, and its start in the benchmark."""
+        b, size, place = self.bench, np.zeros(len(self.sizes), np.int64), self.first.copy()
+        start = np.zeros(len(self.sizes), np.int64)
+        if not len(self.array) or not len(b.array):
+            return size, place, start
+        at = search(self.array, self.keys, b, b.array, b.longest, False)  # ascending, as the test suffixes are
+        upper = np.cumsum(np.bincount(at, minlength=len(self.array) + 1))[: len(self.array)]
+        below, above = np.maximum(upper - 1, 0), np.minimum(upper, len(b.array) - 1)
+        one, two = (common(self.keys, self.array, b, b.array[rank]) for rank in (below, above))
+        match, rank = np.zeros((2, len(self.codes)), np.int64)
+        match[self.array], rank[self.array] = np.maximum(one, two), np.where(two > one, above, below)
+        best = np.maximum.reduceat((match << 32) - np.arange(len(match)), self.first)  # the longest, then the first
+        size = (best + len(match)) >> 32
+        found = np.flatnonzero(size)
+        place[found] = (size[found] << 32) - best[found]
+        start[found] = b.earliest(rank[place[found]], size[found])
+        return size, place, start
+
     def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, size and place of the longest match of every test suffix (sizes above 0)."""
         b = self.bench
@@ -189,30 +245,32 @@ def _shards(rows: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield shard
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks there are, and the blocks, collected one by one."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"),
                              F.coalesce(F.col(text), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     number = max(1, -(-total // BLOCK_BYTES))
-    for k in range(number):
-        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(number)) == k).collect()
-        yield sorted((r.i, r.t.encode()) for r in block)
+    parts = (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(number)) == k).collect() for k in range(number))
+    return number, (sorted((r.i, r.t.encode()) for r in part) for part in parts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurrence of a window of ``window`` item words, or of a whole
-    shorter item), items (sorted ids, as strings, of the items with an occurrence) and hit_words (one bit per word, in
-    ``numpy.packbits`` order; null without a hit)."""
+    shorter item), items (sorted ids, as strings, of the items with an occurrence), hit_words (one bit per word, in
+    ``numpy.packbits`` order; null without a hit), and the longest verbatim match with any item: longest (words; 0: none),
+    longest_word (where in the document, from 0), longest_item (its id) and longest_item_word (where in the item)."""
     adds = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-            T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_words", T.BinaryType())]
+            T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_words", T.BinaryType()),
+            T.StructField("longest", T.LongType()), T.StructField("longest_word", T.LongType()),
+            T.StructField("longest_item", T.StringType()), T.StructField("longest_item_word", T.LongType())]
     kept = list(docs.columns if keep is None else keep)
     out = docs.select(*dict.fromkeys([c for c in [*kept, text] if c not in {f.name for f in adds}]))
-    out = out.withColumns({"items": F.lit(None).cast("array<string>"), "hit_words": F.lit(None).cast("binary")})
-    blocks = list(_blocks(benchmark, item_id, item_text))
-    for k, block in enumerate(blocks):
-        carried = kept if k == len(blocks) - 1 else list(dict.fromkeys([*kept, text]))
-        out = _search(out, block, window, text, adds, carried)
+    out = out.withColumns({f.name: F.lit(None).cast(f.dataType) for f in adds if f.name in FOUND})
+    number, blocks = _blocks(benchmark, item_id, item_text)
+    for k, block in enumerate(blocks, 1):
+        out = _search(out, block, window, text, adds, kept if k == number else list(dict.fromkeys([*kept, text])))
     return out
 
 
@@ -223,9 +281,9 @@ def _search(docs: DataFrame, block: list[tuple[str, bytes]], window: int, text:
     def columns(batches):
         bench = Benchmark(block, window)
         for batch in batches:
-            before_items = batch.column(batch.schema.get_field_index("items")).to_pylist()
-            before_bits = batch.column(batch.schema.get_field_index("hit_words")).to_pylist()
-            n_words, n_hit, items, bits, row = [], [], [], [], 0
+            before_items, before_bits, *before = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in FOUND)
+            before = list(zip(*before, strict=True))
+            n_words, n_hit, items, bits, matches, row = [], [], [], [], [], 0
             for documents in _shards(words(t) for t in texts(batch, text)):
                 shard = Shard(documents, bench)
                 place, size, start = shard.occurrences()
@@ -236,6 +294,13 @@ def _search(docs: DataFrame, block: list[tuple[str, bytes]], window: int, text:
                 for p in pairs.tolist():
                     d, i = divmod(p, len(bench.names))
                     named.setdefault(d, set()).add(bench.names[i])
+                longest, where, start = shard.longest_by_document()
+                owner = bench.owner[start] if len(bench.names) else start
+                word = (start - bench.item_first[owner] if len(bench.names) else start).tolist()
+                match = zip(longest.tolist(), (where - shard.first).tolist(), owner.tolist(), word, strict=True)
+                for (size, w, i, iw), old in zip(match, before[row : row + len(documents)], strict=True):
+                    own = (size, w, bench.names[i], iw) if size else (0, None, None, None)
+                    matches.append(min((own, old), key=_best) if old[0] else own)
                 for d, (a, n) in enumerate(zip(shard.first.tolist(), shard.sizes.tolist(), strict=True)):
                     old_items, old_bits = before_items[row], before_bits[row]
                     hit = covered[a : a + n] if d in named else None
@@ -248,9 +313,15 @@ def _search(docs: DataFrame, block: list[tuple[str, bytes]], window: int, text:
                     bits.append(None if hit is None else np.packbits(hit).tobytes())
                     row += 1
             yield [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
-                   pa.array(bits, pa.binary())]
+                   pa.array(bits, pa.binary()),
+                   *(pa.array([m[k] for m in matches], pa.string() if k == 2 else pa.int64()) for k in range(4))]
+
+    return with_arrow_columns(docs, [text, *FOUND], adds, columns, carried)
+
 
-    return with_arrow_columns(docs, [text, "items", "hit_words"], adds, columns, carried)
+def _best(match: tuple) -> tuple:
+    """Orders matches (size, word, item, word of the item): the longest first, none last."""
+    return (-match[0], *match[1:]) if match[0] else (0,)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, text: str = "text",
@@ -263,7 +334,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
                            T.StructField("n_words", T.LongType()), T.StructField("doc_id", kind),
                            T.StructField("doc_word", T.LongType())])
     found = None
-    for block in _blocks(benchmark, item_id, item_text):
+    for block in _blocks(benchmark, item_id, item_text)[1]:
 
         def run(batches, block=block):
             bench = Benchmark(block, least)

@@ -38,13 +38,13 @@ def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document that lie in a benchmark window, and the items these belong to."""
+    """Words of every document that lie in a benchmark window, the items these belong to, and the longest match."""
     judged = decontaminate.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"),
                                          read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return judged.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        decontaminate.contaminated().alias("contaminated"))
+        decontaminate.contaminated().alias("contaminated"), "longest", "longest_word", "longest_item", "longest_item_word")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,64 @@ def brute_hits(docs, items, window=13):
     return out
 
 
+def brute_longest(text, items):
+    """The longest match of a text with any item: the first in the text, then by the item's id and place in it."""
+    w, best, starts = WORD.findall(low(text)), (0, None, None, None), collections.defaultdict(list)
+    items = sorted((str(i), t) for i, t in items)
+    words = [WORD.findall(low(t)) for _, t in items]
+    for n, item in enumerate(words):
+        for k, x in enumerate(item):
+            starts[x].append((n, k))
+    for at in range(len(w)):
+        for n, k in starts[w[at]]:
+            size, item = 0, words[n]
+            while at + size < len(w) and k + size < len(item) and w[at + size] == item[k + size]:
+                size += 1
+            if size > best[0]:
+                best = (size, at, items[n][0], k)
+    return best
+
+
+def longest_of(row):
+    return row.longest, row.longest_word, row.longest_item, row.longest_item_word
+
+
+def test_op3_longest_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 4 = 0")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    want = {r.doc_id: brute_longest(r.text, items) for r in docs.collect()}
+    got = {r.doc_id: longest_of(r) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == want and max(m[0] for m in want.values()) >= decontaminate.WINDOW
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_in_few_words(spark, monkeypatch, seed):
+    """Texts of a few different words, so that matches tie, overlap and end at the ends of texts and items."""
+    rng = np.random.default_rng(seed)
+
+    def text():
+        return " ".join(rng.choice(list("abcdz"), rng.integers(0, 30), p=[0.35, 0.3, 0.2, 0.1, 0.05]))
+
+    docs = [(k, text()) for k in range(150)]
+    items = [(str(rng.integers(0, 12)), text().replace("z", "y")) for _ in range(20)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = {}
+    for size in (1 << 24, 200):  # in one block and in several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "SHARD", 100)
+        found[size] = {r.doc_id: longest_of(r) for r in decontaminate.contamination(rows, bench, window=4).collect()}
+    want = {k: brute_longest(t, items) for k, t in docs}
+    # items that share an id are told apart by their words, so of these any may be named
+    for got in found.values():
+        assert {k: m[:3] for k, m in got.items()} == {k: m[:3] for k, m in want.items()}
+        for k, (size, at, item, start) in got.items():
+            if size:
+                w = WORD.findall(low(docs[k][1]))[at : at + size]
+                assert any(i == item and WORD.findall(low(t))[start : start + size] == w for i, t in items)
+
+
 def test_op3_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
