@@ -280,11 +280,13 @@ def _counts(tokens: DataFrame, ids: str, dtype: str) -> tuple[np.ndarray, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(values(batch.column(0), dtype)[0])
-            if len(found) < len(total):
-                found, total = total, found
-            found[: len(total)] += total
-            total = found
+            numbers = values(batch.column(0), dtype)[0]
+            for at in range(0, len(numbers), SEGMENT):  # bincount copies what it counts to 8 bytes each
+                found = np.bincount(numbers[at : at + SEGMENT])
+                if len(found) < len(total):
+                    found, total = total, found
+                found[: len(total)] += total
+                total = found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
