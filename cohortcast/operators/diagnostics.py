@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import CohortConfig
 from . import psis
-from .logmean import log_mean_exp
+from .small import small_side
 
 # a subset is (subset_id, sorted chains kept, n_chains argument passed to the R-hat)
 Subset = tuple[str, tuple[int, ...], int]
@@ -188,14 +188,10 @@ def has_chain(bits, chain):
     return F.floor(bits / F.pow(F.lit(2), chain - 1)) % 2 == 1
 
 
-def chain_choice(verdicts: DataFrame, subset_elpd: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """L6 (L4, L5, L7): per run the chains to discard, from the R-hat verdicts of the subsets; ``subset_elpd`` has elpd by
-    (Country, bits).
-
-    Every chain whose removal alone converges goes (quirk X18).  Else the pairs {1, j} decide: all pairs whose removal
-    converges go, unless the first of these pairs converges itself, when the side with the better elpd stays (none can be
-    told where the pairs hold every chain); if only pairs converge but no remainder does, all chains outside of these
-    pairs go."""
+def chain_evidence(verdicts: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """Per run, from the R-hat verdicts of the subsets, bit sets of the chains whose removal alone converges
+    (``drop``), of the pairs {1, j} whose removal converges (``rest_ok``) and of those that converge (``pair_ok``), and the
+    ``decision`` that they lead to."""
     every, chains = chain_bits(cfg), range(1, cfg.n_chains + 1)
 
     def bits_where(prefix: str, members) -> list:
@@ -207,25 +203,43 @@ def chain_choice(verdicts: DataFrame, subset_elpd: DataFrame, cfg: CohortConfig)
             out = out.bitwiseOR(c)
         return out
 
+    def number_of(prefix):
+        return F.when(F.col("subset").startswith(prefix) & F.col("converged"), F.regexp_extract("subset", "([0-9]+)$", 1).cast("int"))
+
     pair = lambda j: 1 | 1 << (j - 1)
     v = verdicts.groupBy("Country").agg(
         union(bits_where("drop_", lambda c: 1 << (c - 1))).alias("drop"),
         union(bits_where("without_1_", pair)).alias("rest_ok"),
         union(bits_where("pair_1_", pair)).alias("pair_ok"),
-        F.min(F.when(F.col("subset").startswith("without_1_") & F.col("converged"),
-                     F.regexp_extract("subset", "([0-9]+)$", 1).cast("int"))).alias("first"),
-        F.collect_set(F.when(F.col("subset").startswith("pair_1_") & F.col("converged"),
-                             F.regexp_extract("subset", "([0-9]+)$", 1).cast("int"))).alias("pairs"),
+        F.min(number_of("without_1_")).alias("first"), F.collect_set(number_of("pair_1_")).alias("pairs"),
     )
     rest = F.col("rest_ok")
-    v = v.join(subset_elpd.select("Country", F.col("bits").alias("rest_ok"), F.col("elpd").alias("in_elpd")), ["Country", "rest_ok"], "left")
-    v = v.withColumn("other", F.lit(every) - rest).join(
-        subset_elpd.select("Country", F.col("bits").alias("other"), F.col("elpd").alias("out_elpd")), ["Country", "other"], "left")
     both = F.array_contains("pairs", F.col("first"))
     decision = (F.when(F.col("drop") > 0, "drop_one").when((rest == 0) & (F.col("pair_ok") == 0), "none")
                 .when(rest == 0, "keep_converged_pairs").when(both & (rest == every), "none")
                 .when(both, "compare_loo").otherwise("drop_pair"))
-    v = v.withColumn("decision", decision)
+    return v.select("Country", "drop", "rest_ok", "pair_ok", decision.alias("decision"))
+
+
+def sets_to_compare(evidence: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """(Country, one, other): the chain sets between which the LOO of a run decides."""
+    return evidence.filter(F.col("decision") == "compare_loo").select(
+        "Country", F.col("rest_ok").alias("one"), (F.lit(chain_bits(cfg)) - F.col("rest_ok")).alias("other"))
+
+
+def chain_choice(verdicts: DataFrame, subset_elpd: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """L6 (L4, L5, L7): per run the chains to discard, from the R-hat verdicts of the subsets; ``subset_elpd`` has elpd by
+    (Country, bits).
+
+    Every chain whose removal alone converges goes (quirk X18).  Else the pairs {1, j} decide: all pairs whose removal
+    converges go, unless the first of these pairs converges itself, when the side with the better elpd stays (none can be
+    told where the pairs hold every chain); if only pairs converge but no remainder does, all chains outside of these
+    pairs go."""
+    every = chain_bits(cfg)
+    v, rest = chain_evidence(verdicts, cfg), F.col("rest_ok")
+    v = v.join(subset_elpd.select("Country", F.col("bits").alias("rest_ok"), F.col("elpd").alias("in_elpd")), ["Country", "rest_ok"], "left")
+    v = v.withColumn("other", F.lit(every) - rest).join(
+        subset_elpd.select("Country", F.col("bits").alias("other"), F.col("elpd").alias("out_elpd")), ["Country", "other"], "left")
     discard = (F.when(F.col("decision") == "drop_one", F.col("drop"))
                .when(F.col("decision") == "keep_converged_pairs", F.lit(every) - F.col("pair_ok"))
                .when(F.col("decision") == "drop_pair", rest)
@@ -236,21 +250,37 @@ def chain_choice(verdicts: DataFrame, subset_elpd: DataFrame, cfg: CohortConfig)
                     bits_text(F.lit(every) - F.col("discard"), cfg).alias("keep_chains"))
 
 
-def subset_elpds(ll: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """Importance-sampling elpd of every proper subset of the chains, by (Country, bits): the pointwise figures are
-    taken per chain once, and a subset adds those of its chains."""
-    by_chain = log_mean_exp(ll, ["Country", "i", "Chain"], {"neg": -F.col("ll")})
-    sets = F.filter(F.sequence(F.lit(1), F.lit(chain_bits(cfg) - 1)), lambda b: has_chain(b, F.col("Chain")))
-    rows = by_chain.select("Country", "i", "neg", "n_draws", F.explode(sets).alias("bits"))
-    # the few chains of a subset, in units of the largest
-    g = rows.groupBy("Country", "bits", "i").agg(F.collect_list(F.struct("neg", "n_draws")).alias("c"), F.max("neg").alias("top"),
-                                                 F.sum("n_draws").alias("n"))
-    total = F.aggregate("c", F.lit(0.0), lambda t, x: t + x["n_draws"] * F.exp(x["neg"] - F.col("top")))
-    point = -(F.col("top") + F.log(total) - F.log(F.col("n").cast("double")))
-    return g.groupBy("Country", "bits").agg(F.sum(point).alias("elpd"))
+def loo_of_sets(ll: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pointwise PSIS by (Country, bits, i) of the chain sets in ``pairs`` (Country, one, other), from their own draws."""
+    sets = pairs.select("Country", F.explode(F.array("one", "other")).alias("bits")).distinct()
+    rows = ll.join(small_side(sets), "Country").filter(has_chain(F.col("bits"), F.col("Chain")))
+    return psis.over_draws(rows, ["Country", "bits", "i"], "ll", ["elpd_loo", "p_loo", "looic", "pareto_k", "r_eff"], psis.loo_rows)
 
 
-def subset_membership(df: DataFrame, subsets: list[Subset]) -> DataFrame:
-    """Rows of ``df`` (with a Chain column) repeated once per chain subset containing them."""
-    s = F.explode(F.filter(_subset_array(subsets), lambda x: F.array_contains(x["chains"], F.col("Chain"))))
-    return df.select("*", s.alias("_s")).withColumn("subset", F.col("_s.sid")).drop("_s")
+def set_elpds(pointwise: DataFrame) -> DataFrame:
+    return pointwise.groupBy("Country", "bits").agg(F.sum("elpd_loo").alias("elpd"))
+
+
+def loo_compare(pointwise: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both sets' elpd, the other's gain over the one, and its standard error from the paired pointwise differences."""
+    side = lambda c: pairs.join(pointwise.select("Country", F.col("bits").alias(c), "i", F.col("elpd_loo").alias(f"elpd_{c}")), ["Country", c])
+    j = side("one").join(side("other"), ["Country", "one", "other", "i"])
+    gain = F.col("elpd_other") - F.col("elpd_one")
+    return j.groupBy("Country", "one", "other").agg(
+        F.count(F.lit(1)).alias("n_obs"), F.sum("elpd_one").alias("elpd_one"), F.sum("elpd_other").alias("elpd_other"),
+        F.sum(gain).alias("elpd_diff"), F.sqrt(F.count(gain) * F.var_samp(gain)).alias("se_diff"))
+
+
+def chains_in_use(verdicts: DataFrame, flags: DataFrame, choice: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """M3: (Country, loo_eligible, discard).  A run with divergences has no LOO.  One whose R-hat fails gives up the chains
+    that the chain decision names, and has no LOO where it names none or all; any other keeps all chains."""
+    all_ok = verdicts.filter(F.col("subset") == "all").select("Country", F.col("converged").alias("ok"))
+    j = all_ok.join(flags.select("Country", "n_div"), "Country").join(choice.select("Country", "discard"), "Country", "left")
+    told = F.col("discard").isNotNull() & (F.col("discard") != chain_bits(cfg))
+    return j.select("Country", ((F.col("n_div") == 0) & (F.col("ok") | told)).alias("loo_eligible"),
+                    F.when(~F.col("ok") & told, F.col("discard")).otherwise(0).cast("int").alias("discard"))
+
+
+def without_discarded(ll: DataFrame, use: DataFrame) -> DataFrame:
+    """Draws of the chains that a run keeps (``use`` has a row per run: broadcast behind its size check)."""
+    return ll.join(small_side(use.select("Country", "discard")), "Country").filter(~has_chain(F.col("discard"), F.col("Chain"))).drop("discard")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..config import FIXTURE as C
 from ..operators import diagnostics as dg
 from ..operators import draws as dr
+from ..operators.small import small_table
 from ..sources import fixtures as fx
+from .psis_sql import ess_views, psis_views
 from .q_draws import DRAWS_LONG_SQL
 from .registry import register
 from .views_sql import with_views
@@ -126,11 +128,9 @@ def q_energy_flags(spark, sf_dir):
 
 
 def _ess_sql() -> str:
-    from .q_loo import ess_views
-
-    views = {"dl": DRAWS_LONG_SQL, **ess_views("pe", "Country, param", "dl", "value")}
-    deps = {"dl": ["draws"], "pe_x": ["dl"], **{f"pe_{b}": [f"pe_{a}"] for a, b in zip("xcarpq", "carpqe", strict=True)}}
-    return with_views(f"select Country, param, cast({C.n_draws} as bigint) as n_draws, ess from pe_e", ["pe_e"], extra=views, extra_deps=deps)
+    views, deps = ess_views("pe", "Country, param", "dl", "value")
+    return with_views("select Country, param, s as n_draws, ess from pe_e", ["pe_e"], extra={"dl": DRAWS_LONG_SQL, **views},
+                      extra_deps={"dl": ["draws"], **deps})
 
 
 @register("ess", "L2", _ess_sql, ["ess"])
@@ -138,57 +138,114 @@ def q_ess(spark, sf_dir):
     return dg.effective_sample_size(long_draws(spark, sf_dir))
 
 
-def choice_ctes() -> str:
-    """v0: verdicts (needs rh of the subsets); cc: the decision per country (needs ll)."""
+CHOICE_SUBSETS = dg.drop_one_chain(C) + dg.chain_pairs(C)
+
+
+def has_chain_sql(bits: str, chain: str) -> str:
+    return f"({bits} // (1 << ({chain} - 1)::int)) % 2 = 1"
+
+
+def chains_text_sql(bits: str) -> str:
+    return f"array_to_string(list_filter(range(1, {C.n_chains + 1}), lambda x: {has_chain_sql(bits, 'x')}), '_')"
+
+
+def choice_views() -> tuple[dict[str, str], dict[str, list[str]]]:
+    """cc: the chain decision by country (needs rh of the subsets, and ll), cct: the same with the chains as text."""
     n, every = C.n_chains, dg.chain_bits(C)
     js = range(2, n + 1)
     ok = lambda name: f"coalesce(bool_or(c) filter (where subset = '{name}'), false)"
     drop = " + ".join(f"(case when {ok(f'drop_{c}')} then {1 << (c - 1)} else 0 end)" for c in range(1, n + 1))
     union = lambda p: " | ".join(f"(case when {ok(f'{p}{j}')} then {1 | 1 << (j - 1)} else 0 end)" for j in js)
     first = "case " + " ".join(f"when {ok(f'without_1_{j}')} then {ok(f'pair_1_{j}')}" for j in js) + " else false end"
-    text = lambda b: f"array_to_string(list_filter(range(1, {n + 1}), lambda x: ({b} // (1 << (x - 1)::int)) % 2 = 1), '_')"
-    return f"""
-, v0 AS (select Country, subset, count(*) filter (where rhat > {C.rhat_threshold}) = 0 as c from rh group by Country, subset)
-, v1 AS (select Country, {drop} as dropped, {union('without_1_')} as rest_ok, {union('pair_1_')} as pair_ok, {first} as first_ok
-         from v0 group by Country)
-, le AS (select Country, bits, sum(elpd) as elpd from (
-           select Country, bits, i, -(ln(sum(exp(-ll - m))) + max(m) - ln(count(*))) as elpd
-           from (select l.*, b.bits, max(-ll) over (partition by Country, bits, i) as m
-                 from ll l join (select range as bits from range(1, {every})) b on (b.bits // (1 << (l.Chain - 1)::int)) % 2 = 1) x
-           group by Country, bits, i) y group by Country, bits)
-, v2 AS (select v1.*, a.elpd as in_elpd, b.elpd as out_elpd,
-                case when dropped > 0 then 'drop_one' when rest_ok = 0 and pair_ok = 0 then 'none'
-                     when rest_ok = 0 then 'keep_converged_pairs' when first_ok and rest_ok = {every} then 'none'
-                     when first_ok then 'compare_loo' else 'drop_pair' end as decision
-         from v1 left join le a on a.Country = v1.Country and a.bits = rest_ok
-              left join le b on b.Country = v1.Country and b.bits = {every} - rest_ok)
-, cc AS (select Country, decision,
-                cast(case decision when 'drop_one' then dropped when 'keep_converged_pairs' then {every} - pair_ok
-                     when 'drop_pair' then rest_ok
-                     when 'compare_loo' then (case when in_elpd > out_elpd then {every} - rest_ok else rest_ok end) end as int) as discard
-         from v2)
-, cct AS (select Country, decision, discard, case when discard is null then null else coalesce({text('discard')}, '') end as discard_chains,
-                 case when discard is null then null else coalesce({text(f'({every} - discard)')}, '') end as keep_chains from cc)"""
+    found, deps = psis_views("ce", "Country, bits, i", "lls")
+    views = {
+        "v0": f"select Country, subset, count(*) filter (where rhat > {C.rhat_threshold}) = 0 as c from rh group by Country, subset",
+        "v1": f"""
+select Country, {drop} as dropped, {union('without_1_')} as rest_ok, {union('pair_1_')} as pair_ok, {first} as first_ok
+from v0 group by Country""",
+        "v2": f"""
+select *, case when dropped > 0 then 'drop_one' when rest_ok = 0 and pair_ok = 0 then 'none'
+               when rest_ok = 0 then 'keep_converged_pairs' when first_ok and rest_ok = {every} then 'none'
+               when first_ok then 'compare_loo' else 'drop_pair' end as decision
+from v1""",
+        "lls": f"""
+select l.Country, s.bits, l.i, l.Chain, l.Sim, l.ll
+from ll l join (select Country, unnest([rest_ok, {every} - rest_ok]) as bits from v2 where decision = 'compare_loo') s
+  on s.Country = l.Country and {has_chain_sql('s.bits', 'l.Chain')}""",
+        **found,
+        "le": "select Country, bits, sum(elpd_loo) as elpd from ce group by Country, bits",
+        "cc": f"""
+select v2.Country, decision,
+       cast(case decision when 'drop_one' then dropped when 'keep_converged_pairs' then {every} - pair_ok
+            when 'drop_pair' then rest_ok
+            when 'compare_loo' then (case when a.elpd > b.elpd then {every} - rest_ok else rest_ok end) end as int) as discard
+from v2 left join le a on a.Country = v2.Country and a.bits = rest_ok
+        left join le b on b.Country = v2.Country and b.bits = {every} - rest_ok""",
+        "cct": f"""
+select Country, decision, discard, case when discard is null then null else coalesce({chains_text_sql('discard')}, '') end as discard_chains,
+       case when discard is null then null else coalesce({chains_text_sql(f'({every} - discard)')}, '') end as keep_chains from cc""",
+    }
+    return views, {"v0": ["rh"], "v1": ["v0"], "v2": ["v1"], "lls": ["ll", "v2"], **deps, "le": ["ce"], "cc": ["v2", "le"], "cct": ["cc"]}
 
 
-CHOICE_SUBSETS = dg.drop_one_chain(C) + dg.chain_pairs(C)
+def choice_ctes() -> str:
+    return "".join(f"\n, {k} AS ({v})" for k, v in choice_views()[0].items())
 
 
-def _choice_sql() -> str:
+def _with_choice(sql: str, wanted: list[str], extra=None, extra_deps=None) -> str:
     from . import q_scoring as qs
 
-    head = _rh("", CHOICE_SUBSETS, views=("rh", "ll"), extra={**qs._LL_VIEWS, "ll": qs._ll_select("variable")},
-               extra_deps={**qs._LL_DEPS, "ll": ["eb", "obs", "dispersion"]})
-    return head + choice_ctes() + "\nselect Country, decision, discard_chains, keep_chains from cct"
+    views, deps = choice_views()
+    return _rh(sql, CHOICE_SUBSETS, views=wanted, extra={**qs._LL_VIEWS, "ll": qs._ll_select("variable"), **views, **(extra or {})},
+               extra_deps={**qs._LL_DEPS, "ll": ["eb", "obs", "dispersion"], **deps, **(extra_deps or {})})
+
+
+def verdicts_once(spark, sf_dir):
+    """R-hat verdicts of all chains and of the subsets that the chain decision looks at, made once per session."""
+    return small_table(spark, ("verdicts", sf_dir), lambda: dg.rhat_verdicts(
+        dg.split_rhat(long_draws(spark, sf_dir), C, dg.all_chains(C) + CHOICE_SUBSETS), C), broadcast=False)
 
 
 def choices(spark, sf_dir):
+    """The chain decision, made once per session; only the sets that it has to compare get a LOO."""
     from .q_scoring import loglik_df
 
-    verdicts = dg.rhat_verdicts(dg.split_rhat(long_draws(spark, sf_dir), C, CHOICE_SUBSETS), C)
-    return dg.chain_choice(verdicts, dg.subset_elpds(loglik_df(spark, sf_dir, "variable"), C), C)
+    def build():
+        verdicts = verdicts_once(spark, sf_dir)
+        pairs = dg.sets_to_compare(dg.chain_evidence(verdicts, C), C)
+        return dg.chain_choice(verdicts, dg.set_elpds(dg.loo_of_sets(loglik_df(spark, sf_dir, "variable"), pairs)), C)
+
+    return small_table(spark, ("choices", sf_dir), build, broadcast=False)
 
 
-@register("chain_choice", "L6 L7 L8 L4 L5", _choice_sql())
+@register("chain_choice", "L6 L7 L8 L4 L5", lambda: _with_choice("select Country, decision, discard_chains, keep_chains from cct", ["cct"]))
 def q_chain_choice(spark, sf_dir):
     return choices(spark, sf_dir).drop("discard")
+
+
+def _compare_sql() -> str:
+    found, deps = psis_views("pc", "Country, bits, i", "llp")
+    pairs = ", ".join(f"({1 | 1 << (j - 1)}, {dg.chain_bits(C) - (1 | 1 << (j - 1))})" for j in range(2, C.n_chains + 1))
+    views = {"pairs": f"select * from (values {pairs}) t(one, other)",
+             "llp": f"""
+select l.Country, s.bits, l.i, l.Chain, l.Sim, l.ll
+from ll l join (select distinct unnest([one, other]) as bits from pairs) s on {has_chain_sql('s.bits', 'l.Chain')}""", **found}
+    return _with_choice(f"""
+select a.Country, {chains_text_sql('one')} as chains_one, {chains_text_sql('other')} as chains_other, count(*) as n_obs,
+       sum(a.elpd_loo) as elpd_one, sum(b.elpd_loo) as elpd_other, sum(b.elpd_loo - a.elpd_loo) as elpd_diff,
+       sqrt(count(*)*var_samp(b.elpd_loo - a.elpd_loo)) as se_diff
+from pairs join pc a on a.bits = one join pc b on b.bits = other and b.Country = a.Country and b.i = a.i
+group by a.Country, one, other""", ["pairs", "pc"], views, {"pairs": [], "llp": ["ll", "pairs"], **deps})
+
+
+@register("loo_compare", "L7 L5 L8", _compare_sql, ["elpd_one", "elpd_other", "elpd_diff", "se_diff"])
+def q_loo_compare(spark, sf_dir):
+    """Every pair of chains {1, j} against the others, in every country."""
+    from .q_scoring import loglik_df
+
+    sides = F.explode(F.array(*[F.struct(F.lit(1 | 1 << (j - 1)).alias("one"), F.lit(dg.chain_bits(C) - (1 | 1 << (j - 1))).alias("other"))
+                                for j in range(2, C.n_chains + 1)]))
+    pairs = fx.countries(spark, sf_dir).select("Country", sides.alias("s")).select("Country", "s.one", "s.other")
+    out = dg.loo_compare(dg.loo_of_sets(loglik_df(spark, sf_dir, "variable"), pairs), pairs)
+    return out.select("Country", dg.bits_text(F.col("one"), C).alias("chains_one"), dg.bits_text(F.col("other"), C).alias("chains_other"),
+                      "n_obs", "elpd_one", "elpd_other", "elpd_diff", "se_diff")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE as C
-from ..operators import likelihood as lk
+from ..operators import diagnostics as dg
 from ..operators import folds, loo
+from ..operators import likelihood as lk
 from ..operators.small import small_table, stored_table
+from ..sources import fixtures as fx
+from . import q_diagnostics as qd
+from .psis_sql import psis_views
 from .q_prep import small_obs
 from .q_scoring import _LL_DEPS, _LL_VIEWS, _ll_select, loglik_df
 from .registry import register
@@ -42,11 +46,23 @@ def q_is_loo(spark, sf_dir):
 RUN = ("Country", "p1", "p2")
 
 
+def chains_in_use(spark, sf_dir):
+    """M3 of every country, made once per session."""
+    def build():
+        verdicts = qd.verdicts_once(spark, sf_dir)
+        flags = fx.sampler_params(spark, sf_dir, C).groupBy("Country").agg(F.sum("divergent__").alias("n_div"))
+        return dg.chains_in_use(verdicts, flags, qd.choices(spark, sf_dir), C)
+
+    return small_table(spark, ("chains_in_use", sf_dir), build, broadcast=False)
+
+
 def ll_by_model(spark, sf_dir):
-    """Pointwise log likelihood of every run, written once per session: PSIS, refits and kept sums read it."""
+    """Pointwise log likelihood of every run under the chains in use, written once per session: PSIS, refits and kept sums
+    read it."""
     from .q_reports import loglik_by_model
 
-    return stored_table(spark, ("ll_by_model", sf_dir), lambda: loglik_by_model(spark, sf_dir), "Country")
+    return stored_table(spark, ("ll_by_model", sf_dir), lambda: dg.without_discarded(loglik_by_model(spark, sf_dir), chains_in_use(spark, sf_dir)),
+                        "Country")
 
 
 def psis_by_model(spark, sf_dir):
@@ -60,76 +76,37 @@ def high_k_points(spark, sf_dir):
     return d.filter("refit").select(*RUN, "i")
 
 
-#: The chain of PSIS in SQL: draws of a run's observation as lists, by chain and iteration.
-_N, _M = C.iters_per_chain, C.n_chains
-_S = _N * _M
-
-
-def ess_views(prefix: str, keys: str, series: str, value: str) -> dict[str, str]:
-    """Effective sample size ``ess`` by ``keys`` of ``value`` in the view ``series`` (with Sim)."""
-    part = lambda c: f"x[{c * _N + 1}:{(c + 1) * _N}]"
-    centred = ", ".join(f"list_transform({part(c)}, lambda v: v - list_avg({part(c)})) as c{c}, list_avg({part(c)}) as m{c}" for c in range(_M))
-    cov = " + ".join(f"list_dot_product(c{c}[1:{_N} - t], c{c}[t + 1:{_N}])" for c in range(_M))
-    return {
-        f"{prefix}_x": f"select {keys}, list({value} order by Sim) as x from {series} group by all",
-        f"{prefix}_c": f"select {keys}, {centred} from {prefix}_x",
-        f"{prefix}_a": f"""
-select {keys}, list_transform(range(0, {_N}), lambda t: ({cov})/{float(_M * _N)}) as a, list_var_samp([{', '.join(f'm{c}' for c in range(_M))}]) as vm
-from {prefix}_c""",
-        f"{prefix}_r": f"""
-select {keys}, total, list_transform(range(1, {_N + 1}), lambda t: case when t = 1 then 1.0 else 1.0 - (a[1]*{_N}/{_N - 1.0} - a[t])/total end) as r
-from (select *, a[1] + vm as total from {prefix}_a) q""",
-        f"{prefix}_p": f"""
-select {keys}, total, k, r[2*k + 1] + r[2*k + 2] as p from (select *, unnest(range(0, {_N // 2})) as k from {prefix}_r) q""",
-        f"{prefix}_q": f"""
-select {keys}, total, k, bool_and(p >= 0) over w as up, min(p) over w as low from {prefix}_p
-window w as (partition by {keys} order by k)""",
-        f"{prefix}_e": f"""
-select {keys}, case when not (isfinite(any_value(total)) and any_value(total) > 0) then null
-                    when not bool_or(up and k = 0) or 2*sum(case when up then low else 0 end) - 1 <= 0 then {float(_S)}
-                    else {float(_S)}/(2*sum(case when up then low else 0 end) - 1) end as ess
-from {prefix}_q group by {keys}""",
-    }
+_KEPT = f"l.Chain is not null and (u.discard = 0 or not ({qd.has_chain_sql('u.discard', 'l.Chain')}))"
 
 
-_K = "Country, p1, p2, i"
-_LSE = "ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))) + list_max({x})"
-_PSIS = ess_views("pe", _K, "ll9", "ll") | {
-    "ps1": f"""
-select x.Country, x.p1, x.p2, x.i, list_reverse_sort(x.x) as x, list_min(x.x) as mn, coalesce(e.ess, {float(_S)})/{_S} as r_eff,
-       cast(ceil(least(0.2e0*{_S}, 3.0e0*sqrt({_S}/(coalesce(e.ess, {float(_S)})/{_S})))) as int) as t
-from pe_x x join pe_e e using ({_K})""",
-    "ps2": f"""
-select *, exp(mn - x[{_S} - t]) as cut, list_transform(x[{_S + 1} - t:{_S}], lambda v: exp(mn - v) - exp(mn - x[{_S} - t])) as tail,
-       30 + cast(floor(sqrt(t)) as int) as m from ps1""",
-    "ps3": """
-select *, list_transform(range(1, m + 1), lambda j: 1.0e0/tail[t] + (1.0e0 - sqrt(m/(j - 0.5e0)))/(3.0e0*tail[cast(floor(t/4.0e0 + 0.5e0) as int)])) as theta
-from ps2""",
-    "ps4": "select *, list_transform(theta, lambda th: list_avg(list_transform(tail, lambda v: ln(1.0e0 - th*v)))) as shape from ps3",
-    "ps5": "select *, list_transform(range(1, m + 1), lambda j: t*(ln(-theta[j]/shape[j]) - shape[j] - 1.0e0)) as fit from ps4",
-    "ps6": """
-select *, list_dot_product(theta, list_transform(fit, lambda a: 1.0e0/list_sum(list_transform(fit, lambda b: exp(b - a))))) as th from ps5""",
-    "ps7": "select *, list_avg(list_transform(tail, lambda v: ln(1.0e0 - th*v))) as k0 from ps6",
-    "ps8": "select *, -k0/th as sigma, (k0*t + 5.0e0)/(t + 10.0e0) as k from ps7",
-    "ps9": f"""
-select *, list_concat(list_transform(x[1:{_S} - t], lambda v: mn - v), list_transform(range(1, t + 1), lambda j:
-       least(0.0e0, ln(sigma*(pow(1.0e0 - (j - 0.5e0)/t, -k) - 1.0e0)/k + cut)))) as lw from ps8""",
-    "psis": f"""
-select Country, p1, p2, i, elpd_loo, lpd - elpd_loo as p_loo, -2.0e0*elpd_loo as looic, k as pareto_k, r_eff
-from (select *, {_LSE.format(x='y')} - ({_LSE.format(x='lw')}) as elpd_loo, {_LSE.format(x='x')} - ln({_S}) as lpd
-      from (select *, list_transform(range(1, {_S + 1}), lambda j: lw[j] + x[j]) as y from ps9) q) z""",
-    "points": f"""
+def _psis_views():
+    """psis: pointwise PSIS of every run from the chains in use; points: with each observation's place."""
+    from .q_reports import _GRID_DEPS, _GRID_VIEWS
+
+    every = dg.chain_bits(C)
+    found, deps = psis_views("psis", "Country, p1, p2, i", "ll9k")
+    choice, choice_deps = qd.choice_views()
+    rhat = qd.rhat_sql(dg.all_chains(C) + qd.CHOICE_SUBSETS)
+    views = {
+        **_GRID_VIEWS, **_LLV, "dl": qd.DRAWS_LONG_SQL, **rhat, **choice,
+        "used": f"""
+select Country, n_div = 0 and (ok or told) as loo_eligible, case when not ok and told then discard else 0 end as discard
+from (select v.Country, v.c as ok, d.n_div, cc.discard, cc.discard is not null and cc.discard <> {every} as told
+      from v0 v join (select Country, sum(divergent__) as n_div from sampler_params group by Country) d on d.Country = v.Country
+           left join cc on cc.Country = v.Country where v.subset = 'all') q""",
+        "ll9k": f"select l.* from ll9 l join used u on u.Country = l.Country where {_KEPT}",
+        **found,
+        "points": f"""
 select p.Country, p.p1, p.p2, p.i, o.Age, o.Cohort, o.Time, o.Age_i, p.pareto_k, p.pareto_k > {C.pareto_k_threshold} as refit
 from psis p join obs o on o.Country = p.Country and o.i = p.i""",
-}
-_PSIS_DEPS = ({"pe_x": ["ll9"], "pe_c": ["pe_x"], "pe_a": ["pe_c"], "pe_r": ["pe_a"], "pe_p": ["pe_r"], "pe_q": ["pe_p"], "pe_e": ["pe_q"],
-               "ps1": ["pe_x", "pe_e"], "psis": ["ps9"], "points": ["psis", "obs"]} | {f"ps{n}": [f"ps{n - 1}"] for n in range(2, 10)})
+    }
+    return views, {**_GRID_DEPS, **_LLD, **qd._RH_DEPS, **choice_deps, "used": ["v0", "cc", "sampler_params"], "ll9k": ["ll9", "used"], **deps,
+                   "points": ["psis", "obs"]}
 
 
 def _p(sql: str, views: list[str], extra=None, deps=None) -> str:
-    from .q_reports import _GRID_DEPS, _GRID_VIEWS
-
-    return with_views(sql, views, extra={**_GRID_VIEWS, **_PSIS, **(extra or {})}, extra_deps={**_GRID_DEPS, **_PSIS_DEPS, **(deps or {})})
+    own, own_deps = _psis_views()
+    return with_views(sql, views, extra={**own, **(extra or {})}, extra_deps={**own_deps, **(deps or {})})
 
 
 @register("psis_loo", "M1 M4 L2", lambda: _p("select * from psis", ["psis"]), ["elpd_loo", "p_loo", "looic", "pareto_k", "r_eff"])
@@ -138,13 +115,12 @@ def q_psis_loo(spark, sf_dir):
 
 
 _LOOIC = {
-    "eligible": "select Country, sum(divergent__) = 0 as ok from sampler_params group by Country",
     "summed": f"""
-select p.Country, p.p1, p.p2, any_value(e.ok) as ok, count(*) as n_obs, count(*) filter (pareto_k > {C.pareto_k_threshold}) as n_high,
+select p.Country, p.p1, p.p2, any_value(e.loo_eligible) as ok, count(*) as n_obs, count(*) filter (pareto_k > {C.pareto_k_threshold}) as n_high,
        sum(elpd_loo) as elpd, sqrt(count(*)*var_samp(elpd_loo)) as se, sum(p_loo) as p_loo,
        -2.0e0*sum(case when pareto_k > {C.pareto_k_threshold} then elpd_loo + p_loo else elpd_loo end) as refitted,
        2.0e0*sqrt(count(*)*var_samp(case when pareto_k > {C.pareto_k_threshold} then elpd_loo + p_loo else elpd_loo end)) as se_refitted
-from psis p join eligible e on e.Country = p.Country group by p.Country, p.p1, p.p2""",
+from psis p join used e on e.Country = p.Country group by p.Country, p.p1, p.p2""",
     "corrected": """
 select Country, p1, p2, ok as loo_eligible, n_obs, n_high as n_high_pareto_k, n_high as n_refit, case when ok then elpd end as elpd_loo,
        case when ok then se end as elpd_se, case when ok then p_loo end as p_loo, case when ok then -2.0e0*elpd end as looic,
@@ -152,19 +128,14 @@ select Country, p1, p2, ok as loo_eligible, n_obs, n_high as n_high_pareto_k, n_
        case when ok then se_refitted end as looic_se_recomputed
 from summed""",
 }
-_LOOIC_DEPS = {"eligible": ["sampler_params"], "summed": ["psis", "eligible"], "corrected": ["summed"]}
+_LOOIC_DEPS = {"summed": ["psis", "used"], "corrected": ["summed"]}
 
 
 def corrected_by_model(spark, sf_dir):
     """M11 of every run, made once per session: the reports print it."""
-    from .q_diagnostics import long_draws
-    from ..operators import diagnostics as dg
-    from ..sources import fixtures as fx
-
     def build():
         refit = loo.lpd_points(ll_by_model(spark, sf_dir), high_k_points(spark, sf_dir), RUN)
-        flags = dg.sampler_flags(fx.sampler_params(spark, sf_dir, C), dg.split_rhat(long_draws(spark, sf_dir), C), C)
-        return loo.corrected_psis(psis_by_model(spark, sf_dir), refit, loo.loo_eligibility(flags), C, RUN)
+        return loo.corrected_psis(psis_by_model(spark, sf_dir), refit, chains_in_use(spark, sf_dir).drop("discard"), C, RUN)
 
     return small_table(spark, ("corrected", sf_dir), build, broadcast=False)
 
@@ -245,9 +216,9 @@ def q_lko_distance(spark, sf_dir):
 
 @register("loglik_keep", "J15 C12 M9 H13", lambda: _p("""
 select l.Country, l.p1, l.p2, r.fold, l.Sim, sum(l.ll) as ll_keep, count(*) as n_keep
-from ll9 l join (select distinct Country, p1, p2, fold from folded) r on r.Country = l.Country and r.p1 = l.p1 and r.p2 = l.p2
+from ll9k l join (select distinct Country, p1, p2, fold from folded) r on r.Country = l.Country and r.p1 = l.p1 and r.p2 = l.p2
      left join folded d on d.Country = l.Country and d.p1 = l.p1 and d.p2 = l.p2 and d.i = l.i and d.fold = r.fold
-where d.i is null group by l.Country, l.p1, l.p2, r.fold, l.Sim""", ["ll9", "folded"], _FOLDS, _FOLD_DEPS), ["ll_keep"])
+where d.i is null group by l.Country, l.p1, l.p2, r.fold, l.Sim""", ["ll9k", "folded"], _FOLDS, _FOLD_DEPS), ["ll_keep"])
 def q_loglik_keep(spark, sf_dir):
     runs = loo.lko_runs(folds_by_model(spark, sf_dir), keys=RUN)
     left_out = lk.drop_sets(runs, (*RUN, "fold"))

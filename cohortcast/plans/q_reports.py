@@ -148,7 +148,7 @@ from rd9 r join expo_grid g on r.Country = g.Country and r.Cohort = g.Cohort and
 where r.Cohort + greatest(least(r.Age, {_LDA}), {_FDA}) <= {_JO}
 group by r.Country, r.p1, r.p2, r.Sim, r.Cohort, greatest(least(r.Age, {_LDA}), {_FDA})""",
     "ll9": f"""
-select e.Country, e.p1, e.p2, e.Sim, o.i,
+select e.Country, e.p1, e.p2, e.Sim, 1 + cast(floor(e.Sim/{C.iters_per_chain}) as int) as Chain, o.i,
        {qs.nb_sql('o.births', 'e.E', '(case when o.Age_i = 1 or o.Age_i = o.n_ages_obs then d.Dispersion*e.E*e.E/e.E2 else d.Dispersion end)')} as ll
 from eb9 e join obs o on e.Country = o.Country and e.Cohort = o.Cohort and e.Age = o.Age
      join dispersion d on d.Country = e.Country and d.Sim = e.Sim and d.Age = e.Age""",
