@@ -142,5 +142,13 @@ def r_weighted_mean(x, w) -> Column:
     return F.when(has_na, F.lit(None).cast("double")).otherwise(ieee_div(num, F.sum(w)))
 
 
-def round_half_even(x, digits: int = 0) -> Column:
-    return F.bround(_c(x), digits)
+def hash_uniform(part: int, seed: int, *keys) -> Column:
+    """Number in (0, 1) from a digest of the keys, the same under any partitioning, task retry or engine; ``part`` (0 or 1)
+    chooses one of two independent numbers of the same keys."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(k).cast("string") for k in keys]))
+    return (F.conv(F.substring(digest, 1 + 13 * part, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def hash_normal(seed: int, *keys) -> Column:
+    """Standard normal from the two uniform numbers of the keys (Box-Muller)."""
+    return F.sqrt(F.lit(-2.0) * F.log(hash_uniform(0, seed, *keys))) * F.cos(F.lit(2.0 * math.pi) * hash_uniform(1, seed, *keys))

@@ -118,6 +118,28 @@ def betainc(a, b, x) -> np.ndarray:
     return out
 
 
+def nb_quantile(u, mu, k) -> np.ndarray:
+    """Smallest y with P(Y <= y) >= u of a negative binomial with mean mu and size k, for 0 < u < 1; NaN without a finite mu >= 0
+    and k > 0.  Doubling brackets it and bisection finds it, so that the work grows with log(mu)."""
+    u, mu, k = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(u, mu, k))
+    out = np.full(u.shape, np.nan)
+    valid = np.isfinite(u) & np.isfinite(mu) & np.isfinite(k) & (k > 0) & (mu >= 0)
+    u, mu, k = u[valid], mu[valid], k[valid]
+    low, high = np.full(u.shape, -1.0), np.ceil(mu)
+    short = np.flatnonzero(nb_cdf(high, mu, k) < u)
+    while len(short):
+        low[short], high[short] = high[short], 2.0 * high[short] + 1.0
+        short = short[nb_cdf(high[short], mu[short], k[short]) < u[short]]
+    wide = np.flatnonzero(high - low > 1.0)
+    while len(wide):
+        middle = np.floor((low[wide] + high[wide]) / 2.0)
+        reached = nb_cdf(middle, mu[wide], k[wide]) >= u[wide]
+        high[wide[reached]], low[wide[~reached]] = middle[reached], middle[~reached]
+        wide = wide[high[wide] - low[wide] > 1.0]
+    out[valid] = high
+    return out
+
+
 def nb_cdf(y, mu, k) -> np.ndarray:
     """P(Y <= y) for a negative binomial with mean mu and size k: I_{k/(k+mu)}(k, y + 1)."""
     y, mu, k = (np.asarray(v, dtype=float) for v in (y, mu, k))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CohortConfig
-from ..functions.numeric import nb_lpmf, normal_lpdf, poisson_lpmf
+from ..functions.numeric import hash_normal, nb_lpmf, normal_lpdf, poisson_lpmf
 from .draws import rate_draws
 from .rates import clamp_age
 from .small import small_side
@@ -143,6 +143,68 @@ SIGMA_PRIOR_SD = 4.0
 RW_SCALE = 0.1
 
 
+#: Standard deviations of the dispersion priors by variant: first coefficient, step in units of sigma, sigma.
+DISPERSION_PRIORS = {"variable": (5.0, 0.1, 5.0), "var_unsmooth": (4.0, 1.0, 1.0)}
+
+
+def log_prior_given_sigmas(draws: DataFrame, sigmas: DataFrame, axis: str = "Cohort", initial: dict | None = None) -> DataFrame:
+    """J16 with the sigmas of each draw (Country, Sim, sigma_<parameter>): the random walks' increments scale with them, and
+    each has its half-normal prior.  ``initial`` replaces priors of the first time point (parameter: mean, sd, lower bound)."""
+    w = Window.partitionBy("Country", "Sim").orderBy(axis)
+    first = F.row_number().over(w) == 1
+    priors = {**INITIAL_PRIORS, **(initial or {})}
+    names = [f"sigma_{p}" for p in priors]
+    lp, own = F.lit(0.0), F.lit(0.0)
+    for p, (mu0, sd0, lower) in priors.items():
+        start = normal_lpdf(F.col(p), F.lit(mu0), F.lit(sd0))
+        if lower is not None:
+            start = start - F.lit(math.log(1.0 - NormalDist(mu0, sd0).cdf(lower)))
+        step = normal_lpdf(F.col(p) - F.lag(p).over(w), F.lit(0.0), F.lit(RW_SCALE) * F.col(f"sigma_{p}"))
+        lp = lp + F.when(first, start).otherwise(step)
+        own = own + normal_lpdf(F.col(f"sigma_{p}"), F.lit(0.0), F.lit(SIGMA_PRIOR_SD))
+    # both sides are partitioned by draw; the sigmas are the smaller one
+    j = draws.join(sigmas.select("Country", "Sim", *names).hint("shuffle_hash"), ["Country", "Sim"])
+    per_t = j.select("Country", "Sim", lp.alias("lp"), F.when(first, own).otherwise(0.0).alias("own"))
+    return per_t.groupBy("Country", "Sim").agg((F.sum("lp") + F.sum("own")).alias("log_prior"))
+
+
+def log_prior_dispersion(coefs: DataFrame, sigma: DataFrame, variant: str) -> DataFrame:
+    """J16 of the dispersion: a random walk over the coefficients ``k`` and the prior of its sigma, by draw."""
+    start_sd, scale, sigma_sd = DISPERSION_PRIORS[variant]
+    w = Window.partitionBy("Country", "Sim").orderBy("k")
+    j = coefs.join(sigma.select("Country", "Sim", "sigma_disp").hint("shuffle_hash"), ["Country", "Sim"])
+    first = F.row_number().over(w) == 1
+    start = normal_lpdf(F.col("beta"), F.lit(0.0), F.lit(start_sd)) + normal_lpdf(F.col("sigma_disp"), F.lit(0.0), F.lit(sigma_sd))
+    step = normal_lpdf(F.col("beta") - F.lag("beta").over(w), F.lit(0.0), F.lit(scale) * F.col("sigma_disp"))
+    return j.select("Country", "Sim", F.when(first, start).otherwise(step).alias("lp")).groupBy("Country", "Sim").agg(
+        F.sum("lp").alias("log_prior"))
+
+
+def reweighting(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Normalised importance weights of a run's draws under another prior: (Country, Sim, weight) from both log priors.  The
+    window holds the draws of one run."""
+    run = Window.partitionBy("Country")
+    j = old.join(new.withColumnRenamed("log_prior", "log_new"), ["Country", "Sim"])
+    j = j.select("Country", "Sim", (F.col("log_new") - F.col("log_prior")).alias("lw"))
+    j = j.select("Country", "Sim", F.exp(F.col("lw") - F.max("lw").over(run)).alias("w"))
+    return j.select("Country", "Sim", (F.col("w") / F.sum("w").over(run)).alias("weight"))
+
+
+def reweighted_summary(long: DataFrame, weights: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """Weighted mean, sd and quantiles (the least value whose cumulated weight reaches p) of every parameter, and the effective
+    number of draws 1 / sum(weight^2).  A window holds the draws of one parameter of a run."""
+    j = long.select("Country", "Sim", "param", "value").join(weights.hint("shuffle_hash"), ["Country", "Sim"])
+    up = Window.partitionBy("Country", "param").orderBy("value", "Sim").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy("Country", "param")
+    j = j.select("*", (F.sum("weight").over(up) / F.sum("weight").over(every)).alias("reached"),
+                 F.sum(F.col("weight") * F.col("value")).over(every).alias("m"))
+    d = F.col("value") - F.col("m")
+    return j.groupBy("Country", "param").agg(
+        F.max("m").alias("mean"), F.sqrt(F.sum(F.col("weight") * d * d)).alias("sd"),
+        *[F.min(F.when(F.col("reached") >= p, F.col("value"))).alias(n) for n, p in probs.items()],
+        (F.lit(1.0) / F.sum(F.col("weight") * F.col("weight"))).alias("n_eff_weights"))
+
+
 def log_prior(draws: DataFrame, sigmas: dict[str, float] | None = None, axis: str = "Cohort") -> DataFrame:
     """J16 (E5, I11): log prior density of each stored draw: random-walk increments
     N(0, 0.1 sigma), initial-value priors (truncated where the parameter is bounded)
@@ -169,22 +231,10 @@ def log_prior(draws: DataFrame, sigmas: dict[str, float] | None = None, axis: st
 
 
 # --- J17: random-walk extension of stored draws ------------------------------------
-_TWO53 = float(2 ** 53)
 # Lower bounds of the bounded random walks (model parameter constraints).
 RW_LOWER = {"CEB": 0.0, "sd_1": 1.0, "sd_2": 1.0, "mode_age_gap": 2.0, "mode_age_sum": 36.0}
 
 
-def hash_normal(seed: int, *keys):
-    """Standard normal from a counter-based hash of the keys (Box-Muller on two
-    xxhash64 uniforms): the same value for the same keys under any partitioning or
-    task retry, computed in the JVM."""
-    h1 = F.xxhash64(F.lit(seed), *keys, F.lit(1))
-    h2 = F.xxhash64(F.lit(seed), *keys, F.lit(2))
-    u1 = (F.shiftrightunsigned(h1, 11).cast("double") + F.lit(0.5)) / F.lit(_TWO53)
-    u2 = F.shiftrightunsigned(h2, 11).cast("double") / F.lit(_TWO53)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
 def rw_extension(draws: DataFrame, cfg: CohortConfig, steps: int | None = None,
                  sigmas: dict[str, float] | None = None, axis: str = "Cohort") -> DataFrame:
     """Extend every stored draw ``steps`` time points past its last one with the
@@ -212,6 +262,29 @@ def rw_extension(draws: DataFrame, cfg: CohortConfig, steps: int | None = None,
     return out.filter(F.col("_ok") == 1).drop("_ok")
 
 
+# The link from a variant's stored coefficients to its dispersion.
+DISPERSION_LINKS = {
+    "constant": lambda b: F.exp(b),
+    "variable": lambda b: F.lit(1.0) + F.exp(b),
+    "var_unsmooth": lambda b: F.lit(1.0) + F.exp(b),
+}
+
+
+def linked_dispersion(coefs: DataFrame, cfg: CohortConfig, variant: str, basis: DataFrame | None = None) -> DataFrame:
+    """Dispersion draws (Country, Sim, Age, Dispersion) of a variant from draws of its raw coefficients (Country, Sim, k,
+    beta): one of the draw (constant, Age NULL), one per basis function (variable: the predictor is basis x beta; ``basis`` has
+    (Country, Age_i, k, value)), or one per age (var_unsmooth: k is the age's number).  Poisson has none."""
+    if variant not in DISPERSION_LINKS:
+        raise ValueError(f"no dispersion in variant {variant!r}")
+    link, age = DISPERSION_LINKS[variant], lambda k: (F.col(k) + F.lit(cfg.first_data_age - 1)).cast("int")
+    if variant == "constant":
+        return coefs.select("Country", "Sim", F.lit(None).cast("int").alias("Age"), link(F.col("beta")).alias("Dispersion"))
+    if variant == "var_unsmooth":
+        return coefs.select("Country", "Sim", age("k").alias("Age"), link(F.col("beta")).alias("Dispersion"))
+    rows = coefs.join(basis, ["Country", "k"]).groupBy("Country", "Sim", "Age_i").agg(F.sum(F.col("value") * F.col("beta")).alias("eta"))
+    return rows.select("Country", "Sim", age("Age_i").alias("Age"), link(F.col("eta")).alias("Dispersion"))
+
+
 def dispersion_from_basis(basis: DataFrame, beta: DataFrame) -> DataFrame:
     """Dispersion at each observed age from spline coefficients,
     1 + exp(sum_k basis[age, k] * beta[k]); ``basis`` (Country, Age_i, k, value) is small

@@ -8,9 +8,6 @@ aggregations: only cell-level partial states cross the network.
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..config import CohortConfig
 from ..functions import special
-from ..functions.numeric import ieee_div, lit_d, ln, nb_lpmf, r_mean
+from ..functions.numeric import hash_uniform, ieee_div, lit_d, ln, nb_lpmf, r_mean
 from .draws import rate_draws
 from .likelihood import dispersion_at, dispersion_maps
 from .logmean import log_mean_exp
@@ -142,50 +139,18 @@ def error_summary(errors: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 
 # --- K3: sampled predictive draws ------------------------------------------------
-SAMPLED_SCHEMA = T.StructType([
-    T.StructField("Country", T.StringType()),
-    T.StructField("Sim", T.LongType()),
-    T.StructField("Cohort", T.LongType()),
-    T.StructField("Age", T.IntegerType()),
-    T.StructField("E_births", T.DoubleType()),
-    T.StructField("Dispersion", T.DoubleType()),
-    T.StructField("PP_births", T.LongType()),
-    T.StructField("PP_rate", T.DoubleType()),
-])
-
-
-def _sampler(seed: int):
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["Cohort", "Age"], kind="mergesort").reset_index(drop=True)
-        country = str(pdf["Country"].iloc[0])
-        sim = int(pdf["Sim"].iloc[0])
-        rng = np.random.default_rng([seed, zlib.crc32(country.encode()), sim])
-        mu = pdf["E_births"].to_numpy(dtype=float)
-        k = pdf["Dispersion"].to_numpy(dtype=float)
-        ok = np.isfinite(mu) & np.isfinite(k) & (k > 0) & (mu >= 0)
-        lam = np.zeros(len(pdf))
-        # gamma-Poisson mixture: NB(mean mu, size k)
-        lam[ok] = rng.gamma(shape=k[ok], scale=mu[ok] / k[ok])
-        pp = rng.poisson(lam)
-        pp_births = pd.array(np.where(ok, pp, 0), dtype="Int64")
-        pp_births[~ok] = pd.NA
-        expo = pdf["Exposure"].to_numpy(dtype=float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pp_rate = np.where(ok, pp / expo, np.nan)
-        return pd.DataFrame({
-            "Country": pdf["Country"], "Sim": pdf["Sim"].astype("int64"), "Cohort": pdf["Cohort"].astype("int64"),
-            "Age": pdf["Age"].astype("int32"), "E_births": mu, "Dispersion": k,
-            "PP_births": pp_births, "PP_rate": pp_rate,
-        })
-
-    return sample
+@F.pandas_udf(T.LongType())
+def _nb_draws(u: pd.Series, mu: pd.Series, k: pd.Series) -> pd.Series:
+    y = pd.Series(special.nb_quantile(u, mu, k))
+    return y.astype("Int64")
 
 
 def predictive_sampled(pred: DataFrame, cfg: CohortConfig) -> DataFrame:
-    """K3: one negative-binomial predictive draw per (draw, cell), gamma-Poisson in numpy.
-
-    Grouped by (Country, Sim) - the partitioning the draw table already has, so no
-    exchange - and seeded from (seed, Country, Sim) with rows sorted inside the
-    group: the same numbers after a task retry or with any partitioning."""
-    cols = pred.select("Country", "Sim", "Cohort", "Age", "E_births", "Dispersion", "Exposure")
-    return cols.groupBy("Country", "Sim").applyInPandas(_sampler(cfg.seed), SAMPLED_SCHEMA)
+    """K3 + I9: one negative-binomial draw per (draw, cell): the quantile of its distribution at a number that a digest of
+    (seed, Country, Sim, Cohort, Age) gives, so that nothing is grouped or sorted and any partitioning, retry or engine draws
+    the same.  Cells without exposure have none."""
+    u = hash_uniform(0, cfg.seed, F.col("Country"), F.col("Sim"), F.col("Cohort"), F.col("Age"))
+    cols = pred.select("Country", "Sim", "Cohort", F.col("Age").cast("int").alias("Age"), "E_births", "Dispersion", "Exposure", u.alias("u"))
+    out = cols.withColumn("PP_births", _nb_draws("u", "E_births", "Dispersion"))
+    return out.select("Country", "Sim", "Cohort", "Age", "E_births", "Dispersion", "PP_births",
+                      ieee_div(F.col("PP_births"), F.col("Exposure")).alias("PP_rate"))

@@ -263,6 +263,170 @@ def q_error_summary(spark, sf_dir):
     return sc.error_summary(sc.central_errors(predictive(spark, sf_dir, forecast_only=True), C))
 
 
-@register("predictive_sampled", "K3 I9")
+def hash_uniform_sql(part: int, seed: int, *keys: str) -> str:
+    digest = f"md5('{seed}' || " + " || ".join(f"'|' || {k}" for k in keys) + ")"
+    return f"((cast('0x' || substr({digest}, {1 + 13 * part}, 13) as bigint) + 0.5e0)/{float(1 << 52)!r}e0)"
+
+
+def hash_normal_sql(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2.0e0*ln({hash_uniform_sql(0, seed, *keys)}))*cos(2.0e0*pi()*{hash_uniform_sql(1, seed, *keys)}))"
+
+
+_SAMPLED_SQL = f"""
+, cells_u AS (select Country, Sim, Cohort, Age, E_births as mu, Dispersion as k, {hash_uniform_sql(0, C.seed, 'Country', 'Sim', 'Cohort', 'Age')} as u
+              from pt where E_births is not null)
+, walk AS (select Country, Sim, Cohort, Age, mu, k, u, cast(0 as bigint) as y, exp(k*ln(k/(k + mu))) as p, exp(k*ln(k/(k + mu))) as cum from cells_u
+           union all
+           select Country, Sim, Cohort, Age, mu, k, u, y + 1, p*(y + k)/(y + 1)*(mu/(k + mu)), cum + p*(y + k)/(y + 1)*(mu/(k + mu))
+           from walk where cum < u)
+, drawn AS (select Country, Sim, Cohort, Age, max(y) as PP_births from walk group by all)
+select pt.Country, pt.Sim, pt.Cohort, pt.Age, E_births, Dispersion, PP_births, PP_births/Exposure as PP_rate
+from pt left join drawn d on d.Country = pt.Country and d.Sim = pt.Sim and d.Cohort = pt.Cohort and d.Age = pt.Age"""
+
+
+@register("predictive_sampled", "K3 I9", _pt("", ["pt"]).replace("WITH ", "WITH RECURSIVE ", 1) + _SAMPLED_SQL, ["E_births", "Dispersion", "PP_rate"])
 def q_predictive_sampled(spark, sf_dir):
     return sc.predictive_sampled(predictive(spark, sf_dir), C)
+
+
+# ------------------------------------------------------------------ I14, U5: from the raw coefficients
+_LINKED = {
+    "disp_u": "select Country, Sim, k + {0} as Age, 1.0e0 + exp(beta) as Dispersion from log_dispersion".format(_FDA - 1),
+    "bas": SPLINE_SQL,
+    "disp_s": f"""
+select d.Country, d.Sim, b.Age_i + {_FDA - 1} as Age, 1.0e0 + exp(sum(b.value*d.beta)) as Dispersion
+from bas b join log_dispersion d on d.Country = b.Country and d.k = b.k group by d.Country, d.Sim, b.Age_i""",
+    "disp_c": "select Country, Sim, exp(beta) as Dispersion from log_dispersion where k = 1",
+}
+_LINKED_DEPS = {"disp_u": ["log_dispersion"], "bas": ["obs"], "disp_s": ["bas", "log_dispersion"], "disp_c": ["log_dispersion"]}
+
+
+def _linked_ll_sql(view: str, variant: str = "variable") -> str:
+    sql = _ll_select(variant).replace("join dispersion d", f"join {view} d")
+    if variant == "constant":
+        sql = sql.replace(f" and d.Age = {_FDA}", "")
+    return with_views(sql, ["eb", "obs", view], extra={**_LL_VIEWS, **_LINKED}, extra_deps={**_LL_DEPS, **_LINKED_DEPS})
+
+
+def linked(spark, sf_dir, variant: str):
+    if variant == "variable":
+        return lk.linked_dispersion(fx.dispersion_coefficients(spark, sf_dir, C), C, variant, small_basis(spark, sf_dir))
+    coefs = fx.log_dispersion(spark, sf_dir, C)
+    return lk.linked_dispersion(coefs.filter("k = 1") if variant == "constant" else coefs, C, variant)
+
+
+def linked_loglik(spark, sf_dir, variant: str):
+    return lk.loglik(fx.draws(spark, sf_dir, C), small_grid(spark, sf_dir), small_obs(spark, sf_dir), linked(spark, sf_dir, variant), C,
+                     dispersion=variant, param_func=PF)
+
+
+@register("loglik_var_unsmooth", "I14 U5 J14", _linked_ll_sql("disp_u"), ["ll"])
+def q_loglik_var_unsmooth(spark, sf_dir):
+    return linked_loglik(spark, sf_dir, "var_unsmooth")
+
+
+@register("loglik_spline", "I14 U5 J14 D26", _linked_ll_sql("disp_s"), ["ll"])
+def q_loglik_spline(spark, sf_dir):
+    return linked_loglik(spark, sf_dir, "variable")
+
+
+@register("loglik_log_constant", "I14 U5 J14", _linked_ll_sql("disp_c", "constant"), ["ll"])
+def q_loglik_log_constant(spark, sf_dir):
+    return linked_loglik(spark, sf_dir, "constant")
+
+
+@register("predictive_spline", "I14 U5 K1 D26", with_views(
+    f"select * from pts where Year > {_JO} and Year <= {C.last_year}", ["pts"],
+    extra={**_PT_VIEWS, **_LINKED, "pts": _PT_VIEWS["pt"].replace("join dispersion d", "join disp_s d")},
+    extra_deps={**_PT_DEPS, **_LINKED_DEPS, "pts": ["rdall", "disp_s", "rates"]}), _PT_DOUBLES,
+    overrides={"Comp_1": 7, "Comp_2": 7, "Rate": 7, "Obs_rate": 9})
+def q_predictive_spline(spark, sf_dir):
+    """The cells that are scored, by the variable variant's coefficients."""
+    return sc.predictive_table(fx.draws(spark, sf_dir, C), linked(spark, sf_dir, "variable"), small_rates(spark, sf_dir), C, PF,
+                               age_filter=sc.forecast_filter(C), draw_filter=sc.forecast_draws(C))
+
+
+# ------------------------------------------------------------------ J16 with sigmas, and re-weighting
+def _normal_by(x: str, mu: float, sd: str) -> str:
+    z = f"((({x}) - {_d(mu)})/({sd}))"
+    return f"(-0.5e0*{z}*{z} - ln({sd}) - 0.5e0*ln(2.0e0*pi()))"
+
+
+def _prior_view(initial: dict | None = None) -> str:
+    terms, own = [], []
+    for p, (mu0, sd0, lower) in {**lk.INITIAL_PRIORS, **(initial or {})}.items():
+        cut = 0.0 if lower is None else math.log(1.0 - NormalDist(mu0, sd0).cdf(lower))
+        step = _normal_by(f"{p} - lag({p}) over w", 0.0, f"{_d(lk.RW_SCALE)}*sigma_{p}")
+        terms.append(f"(case when row_number() over w = 1 then {_normal_sql(p, mu0, sd0)} - {_d(cut)} else {step} end)")
+        own.append(_normal_sql(f"sigma_{p}", 0.0, lk.SIGMA_PRIOR_SD))
+    return f"""
+select Country, Sim, sum(lp) + max(own) as log_prior
+from (select d.Country, d.Sim, {' + '.join(terms)} as lp, {' + '.join(own)} as own
+      from draws d join sigmas s on s.Country = d.Country and s.Sim = d.Sim window w as (partition by d.Country, d.Sim order by d.Cohort)) q
+group by Country, Sim"""
+
+
+def _disp_prior_view(variant: str, last: int | None) -> str:
+    start_sd, scale, sigma_sd = lk.DISPERSION_PRIORS[variant]
+    start = f"{_normal_sql('beta', 0.0, start_sd)} + {_normal_sql('sigma_disp', 0.0, sigma_sd)}"
+    step = _normal_by("beta - lag(beta) over w", 0.0, f"{_d(scale)}*sigma_disp")
+    return f"""
+select Country, Sim, sum(lp) as log_prior
+from (select d.Country, d.Sim, case when row_number() over w = 1 then {start} else {step} end as lp
+      from log_dispersion d join sigmas s on s.Country = d.Country and s.Sim = d.Sim {'' if last is None else f'where k <= {last}'}
+      window w as (partition by d.Country, d.Sim order by d.k)) q group by Country, Sim"""
+
+
+#: Another prior of the first cohort's level, under which stored draws are weighted.
+OTHER_PRIOR = {"CEB": (1.8, 0.2, 0.0)}
+_PRIOR_VIEWS = {"lp0": _prior_view(), "lp1": _prior_view(OTHER_PRIOR), "lpv": _disp_prior_view("variable", C.n_dispersion_basis),
+                "lpu": _disp_prior_view("var_unsmooth", None)}
+_PRIOR_DEPS = {"lp0": ["draws", "sigmas"], "lp1": ["draws", "sigmas"], "lpv": ["log_dispersion", "sigmas"], "lpu": ["log_dispersion", "sigmas"]}
+
+
+@register("log_prior_sigmas", "J16 E5 I11 U5", with_views("""
+select 'constant' as variant, Country, Sim, log_prior from lp0
+union all select 'variable', a.Country, a.Sim, a.log_prior + b.log_prior from lp0 a join lpv b on b.Country = a.Country and b.Sim = a.Sim
+union all select 'var_unsmooth', a.Country, a.Sim, a.log_prior + b.log_prior from lp0 a join lpu b on b.Country = a.Country and b.Sim = a.Sim""",
+                                                          ["lp0", "lpv", "lpu"], extra=_PRIOR_VIEWS, extra_deps=_PRIOR_DEPS), ["log_prior"])
+def q_log_prior_sigmas(spark, sf_dir):
+    """Log prior of every draw under each dispersion variant, with the draw's own sigmas."""
+    sigmas = fx.sigmas(spark, sf_dir, C)
+    base = lk.log_prior_given_sigmas(fx.draws(spark, sf_dir, C), sigmas)
+    out = base.select(F.lit("constant").alias("variant"), "Country", "Sim", "log_prior")
+    for variant, coefs in (("variable", fx.dispersion_coefficients(spark, sf_dir, C)), ("var_unsmooth", fx.log_dispersion(spark, sf_dir, C))):
+        more = lk.log_prior_dispersion(coefs, sigmas, variant).withColumnRenamed("log_prior", "more")
+        out = out.unionByName(base.join(more, ["Country", "Sim"]).select(
+            F.lit(variant).alias("variant"), "Country", "Sim", (F.col("log_prior") + F.col("more")).alias("log_prior")))
+    return out
+
+
+_WEIGHT_PROBS = {"q2_5": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q97_5": 0.975}
+
+
+@register("reweighted_summary", "J16 D15", lambda: with_views(f"""
+, lw AS (select a.Country, a.Sim, b.log_prior - a.log_prior as lw from lp0 a join lp1 b on b.Country = a.Country and b.Sim = a.Sim)
+, ws AS (select Country, Sim, w/sum(w) over (partition by Country) as weight
+         from (select *, exp(lw - max(lw) over (partition by Country)) as w from lw) q)
+, rw AS (select d.Country, d.param, d.value, weight, sum(weight) over (partition by d.Country, d.param) as total,
+                sum(weight) over (partition by d.Country, d.param order by d.value, d.Sim rows between unbounded preceding and current row) as upto,
+                sum(weight*value) over (partition by d.Country, d.param) as m
+         from dl d join ws on ws.Country = d.Country and ws.Sim = d.Sim)
+select Country, param, max(m) as mean, sqrt(sum(weight*(value - m)*(value - m))) as sd,
+       {', '.join(f"min(value) filter (where upto/total >= {p!r}e0) as {n}" for n, p in _WEIGHT_PROBS.items())},
+       1.0e0/sum(weight*weight) as n_eff_weights
+from rw group by Country, param""", ["lp0", "lp1", "dl"], extra={**_PRIOR_VIEWS, "dl": _draws_long_sql()}, extra_deps={**_PRIOR_DEPS, "dl": ["draws"]}),
+          ["mean", "sd", *_WEIGHT_PROBS, "n_eff_weights"])
+def q_reweighted_summary(spark, sf_dir):
+    """Parameters as they would be under another prior of the level."""
+    from ..operators.draws import draws_long
+
+    draws, sigmas = fx.draws(spark, sf_dir, C), fx.sigmas(spark, sf_dir, C)
+    weights = lk.reweighting(lk.log_prior_given_sigmas(draws, sigmas), lk.log_prior_given_sigmas(draws, sigmas, initial=OTHER_PRIOR))
+    return lk.reweighted_summary(draws_long(draws, C), weights, _WEIGHT_PROBS)
+
+
+def _draws_long_sql() -> str:
+    from .q_draws import DRAWS_LONG_SQL
+
+    return DRAWS_LONG_SQL

@@ -15,6 +15,7 @@ from ..sources import files as fl
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import q_comparators as qc
+from . import q_scoring as qs
 from .q_prep import _RUNSPEC_SQL
 from .registry import register
 from .views_sql import with_views
@@ -93,7 +94,18 @@ def q_latest_run(spark, sf_dir):
     return fl.latest_run(spark, base).select("run", "Country", "RMSE_rate", "n_cells")
 
 
-@register("rw_extension", "J17 E5")
+def _extension_sql() -> str:
+    last = C.start_time + C.T_total - 1
+    steps = ", ".join(f"{p} + {lk.RW_SCALE}e0*list_sum(list_transform(range(1, h + 1), lambda j: "
+                      f"{qs.hash_normal_sql(C.seed, 'Country', 'Sim', repr(str(pid)), 'j')})) as {p}" for pid, p in enumerate(lk.INITIAL_PRIORS))
+    inside = " and ".join(f"{p} > {lo}e0" for p, lo in lk.RW_LOWER.items())
+    return with_views(f"""
+select * from (select Country, Sim, cast({last} + h as bigint) as Cohort, {steps}
+               from draws, (select unnest(range(1, {C.T_forecast + 1})) as h) s where Cohort = {last}) x
+qualify bool_and({inside}) over (partition by Country, Sim)""", ["draws"])
+
+
+@register("rw_extension", "J17 E5", _extension_sql(), list(lk.INITIAL_PRIORS))
 def q_rw_extension(spark, sf_dir):
     return lk.rw_extension(fx.draws(spark, sf_dir, C), C)
 

@@ -7,6 +7,7 @@ The constants come from the same ``CohortConfig`` the Spark side uses.
 from __future__ import annotations
 
 from ..config import FIXTURE, CohortConfig
+from ..sources.fixtures import SIGMA_OF
 
 
 def _u(j: int, at: str) -> str:
@@ -56,6 +57,9 @@ select Country, Chain, Iter,
   cast(6 + floor(7e0*{_u(9, '1')}) as int) as treedepth__,
   50e0 + 10e0*{_u(10, '1')} as energy__
 from draw_keys"""
+    v["sigmas"] = "select Country, Sim, " + ", ".join(
+        f"0.5e0 + 2e0*{_u(11 + j, '1')} as sigma_{p}" for j, p in enumerate(SIGMA_OF)) + " from draw_keys"
+    v["log_dispersion"] = f"select Country, Sim, cast(Age - {c.first_data_age - 1} as int) as k, Dispersion/22.0e0 as beta from dispersion"
     v["posterior_quantiles"] = f"""
 select Country, Cohort, Age as ARDY, Year, Births/Exposure as ASFR,
   (Births/Exposure)*(0.9e0 + 0.2e0*((Age*31+Cohort*17) % 11)/10e0) as ASFR_prediction,
@@ -105,6 +109,8 @@ VIEW_DEPS = {
     "draws": ["draw_keys"],
     "dispersion": ["draw_keys"],
     "sampler_params": ["draw_keys"],
+    "sigmas": ["draw_keys"],
+    "log_dispersion": ["dispersion"],
     "posterior_quantiles": ["cells"],
     "births_c": ["cells"],
     "fitwin": ["births_c"],

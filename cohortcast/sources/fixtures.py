@@ -25,6 +25,10 @@ from ..config import FIXTURE, CohortConfig
 from .tables import read_table
 
 
+#: What the random walks of a model run over.
+SIGMA_OF = ("CEB", "mode_age_sum", "mode_age_gap", "sd_1", "sd_2", "logit_mixture", "disp")
+
+
 def _u(j: int, at: Column) -> Column:
     """Number in [0, 1) for value ``j`` at time or age ``at`` of a draw: equally spread over a chain's iterations, and
     moved a little by the draw's ``mass`` in lineitem."""
@@ -197,6 +201,22 @@ def dispersion_coefficients(spark: SparkSession, sf_dir: str, cfg: CohortConfig
     return d.filter(k <= cfg.n_dispersion_basis).select("Country", "Sim", k.alias("k"), (F.col("Dispersion") / F.lit(22.0)).alias("beta"))
 
 
+def log_dispersion(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
+    """Draws of the log dispersion of each age's number: (Country, Sim, k, beta)."""
+    k = (F.col("Age") - cfg.first_data_age + 1).cast("int")
+    return dispersion(spark, sf_dir, cfg).select("Country", "Sim", k.alias("k"), (F.col("Dispersion") / F.lit(22.0)).alias("beta"))
+
+
+def sigmas(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
+    """Draws of the random walks' sigmas: one row per (Country, Sim), a column per parameter and one for the dispersion."""
+
+    def build():
+        return _draw_keys(spark, sf_dir, cfg).select("Country", "Sim", *[
+            (F.lit(0.5) + F.lit(2.0) * _u(11 + j, F.lit(1))).alias(f"sigma_{p}") for j, p in enumerate(SIGMA_OF)])
+
+    return _stored(spark, sf_dir, cfg, "sigmas", build)
+
+
 def sampler_params(spark: SparkSession, sf_dir: str, cfg: CohortConfig = FIXTURE) -> DataFrame:
     """Stored sampler diagnostics of each iteration (divergences, tree depth, energy)."""
 
