@@ -107,18 +107,34 @@ def family(param):
 SUMMARY_PROBS = (0.025, 0.25, 0.5, 0.75, 0.975)
 
 
-def parameter_summary(long: DataFrame, cfg: CohortConfig, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
-    """Posterior summary per parameter (mean, sd, type-7 quantiles) with split R-hat."""
-    k = list(keys)
-    s = long.groupBy(*k, "param").agg(
+_SUMMARY_NAMES = ["q2_5", "q25", "q50", "q75", "q97_5"]
+
+
+def _moments(long: DataFrame, keys: list[str]) -> DataFrame:
+    s = long.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.percentile(F.col("value"), F.array(*[F.lit(p) for p in SUMMARY_PROBS])).alias("q"),
     )
-    names = ["q2_5", "q25", "q50", "q75", "q97_5"]
-    s = s.select(*k, "param", family(F.col("param")).alias("Family"), "mean", "sd",
-                 *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-    r = split_rhat(long, cfg, keys=keys).drop("subset")
-    return s.join(r, k + ["param"])
+    return s.select(*keys, family(F.col("param")).alias("Family"), "mean", "sd", *[F.col("q")[i].alias(n) for i, n in enumerate(_SUMMARY_NAMES)])
+
+
+def parameter_summary(long: DataFrame, cfg: CohortConfig, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
+    """Posterior summary per parameter over all chains: mean, its standard error sd / sqrt(n_eff), sd, type-7 quantiles,
+    effective sample size and split R-hat."""
+    k = [*keys, "param"]
+    s = _moments(long, k).join(split_rhat(long, cfg, keys=keys).drop("subset"), k)
+    ess = psis.over_draws(long, k, "value", ["n_eff"], lambda x, chains: [psis.ess_rows(psis.chain_cube(x, chains))])
+    return s.join(ess, k).withColumn("se_mean", F.col("sd") / F.sqrt("n_eff"))
+
+
+def parameter_summary_by_chain(long: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
+    """D15 of each chain: moments and quantiles of its draws."""
+    return _moments(long, [*keys, "Chain", "param"])
+
+
+def run_time(elapsed: DataFrame, keys: tuple[str, ...] = ("Country",)) -> DataFrame:
+    """Minutes of a run, those of its slowest chain (warm-up and sampling)."""
+    return elapsed.groupBy(*keys).agg((F.max(F.col("warmup") + F.col("sampling")) / F.lit(60.0)).alias("runtime_min"))
 
 
 def sampler_flags(sampler: DataFrame, rhat: DataFrame, cfg: CohortConfig, keys: tuple[str, ...] = ("Country",)) -> DataFrame:

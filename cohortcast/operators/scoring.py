@@ -8,6 +8,7 @@ aggregations: only cell-level partial states cross the network.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

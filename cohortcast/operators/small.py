@@ -61,6 +61,25 @@ def stored_table(spark, key: tuple, build, partition_by: str) -> DataFrame:
     return _MEMO[k]
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, .. in ``order`` over the whole table, without a task that sees it all.
+
+    The rows are sorted by ranges and stored, so that both passes see the same partitions; a partition's numbers start after
+    the counts of those before it (one number per partition passes the driver)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order) if order else df
+    stored = ranged.sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    stored = stored.checkpoint(eager=True)
+    counts = {r["_part"]: r["n"] for r in stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, seen = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        offsets.append(seen)
+        seen += counts.get(part, 0)
+    start = F.element_at(F.array(*[F.lit(n).cast("long") for n in offsets or [0]]), F.col("_part") + 1)
+    place = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))  # the partition's number is in the bits above
+    return stored.select(*df.columns, (start + place + F.lit(1)).alias(name))
+
+
 def release() -> None:
     """Forget all tables kept so far (after the data behind them were rewritten, or to begin afresh)."""
     _MEMO.clear()

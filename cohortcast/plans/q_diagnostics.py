@@ -82,21 +82,42 @@ def q_rhat_chain_pairs(spark, sf_dir):
 
 
 _PROBS = ", ".join(f"{p!r}e0" for p in dg.SUMMARY_PROBS)
+_MOMENTS = "q[1] as q2_5, q[2] as q25, q[3] as q50, q[4] as q75, q[5] as q97_5"
+_FAMILY = "regexp_replace(st.param, '\\[[0-9]{1,},*[0-9]*\\]', '') as Family"
 _SUMMARY_SQL = f"""
 , st AS (select Country, param, avg(value) as mean, stddev_samp(value) as sd, quantile_cont(value, [{_PROBS}]) as q
          from dl group by Country, param)
-select st.Country, st.param, regexp_replace(st.param, '\\[[0-9]{{1,}},*[0-9]*\\]', '') as Family, mean, sd,
-       q[1] as q2_5, q[2] as q25, q[3] as q50, q[4] as q75, q[5] as q97_5, rh.rhat
-from st join rh on st.Country = rh.Country and st.param = rh.param"""
+select st.Country, st.param, {_FAMILY}, mean, sd, {_MOMENTS}, rh.rhat, e.ess as n_eff, sd/sqrt(e.ess) as se_mean
+from st join rh on st.Country = rh.Country and st.param = rh.param join pe_e e on e.Country = st.Country and e.param = st.param"""
+_ESS, _ESS_DEPS = ess_views("pe", "Country, param", "dl", "value")
+_SUMMARY_COLS = ["mean", "sd", "q2_5", "q25", "q50", "q75", "q97_5"]
 
 
-@register("parameter_summary", "D15 D16 L1", _rh("", dg.all_chains(C), views=("dl", "rh")) + _SUMMARY_SQL,
-          ["mean", "sd", "q2_5", "q25", "q50", "q75", "q97_5", "rhat"],
-          overrides={k: 9 for k in ["mean", "sd", "q2_5", "q25", "q50", "q75", "q97_5", "rhat"]})
+@register("parameter_summary", "D15 D16 L1 L2", _rh("", dg.all_chains(C), views=("dl", "rh", "pe_e"), extra=_ESS, extra_deps=_ESS_DEPS) + _SUMMARY_SQL,
+          [*_SUMMARY_COLS, "rhat", "n_eff", "se_mean"], overrides={**{k: 9 for k in [*_SUMMARY_COLS, "rhat", "se_mean"]}, "n_eff": 6})
 def q_parameter_summary(spark, sf_dir):
     return dg.parameter_summary(long_draws(spark, sf_dir), C)
 
 
+@register("parameter_summary_by_chain", "D15", with_views(f"""
+select st.Country, st.Chain, st.param, {_FAMILY}, mean, sd, {_MOMENTS}
+from (select Country, Chain, param, avg(value) as mean, stddev_samp(value) as sd, quantile_cont(value, [{_PROBS}]) as q
+      from dl group by Country, Chain, param) st""", ["dl"], extra={"dl": DRAWS_LONG_SQL}, extra_deps={"dl": ["draws"]}),
+          _SUMMARY_COLS, overrides={k: 9 for k in _SUMMARY_COLS})
+def q_parameter_summary_by_chain(spark, sf_dir):
+    return dg.parameter_summary_by_chain(long_draws(spark, sf_dir))
+
+
+@register("divergent_chains", "L8 D17", with_views(f"""
+select distinct Country, cast(floor((ind - 1)/{C.iters_per_chain}) as int) + 1 as Chain
+from (select Country, (Chain - 1)*{C.iters_per_chain} + Iter as ind from sampler_params where divergent__ = 1) d""", ["sampler_params"]))
+def q_divergent_chains(spark, sf_dir):
+    """The chains that hold a run's divergent draws, from the draws' numbers."""
+    at = (F.col("Chain") - 1) * F.lit(C.iters_per_chain) + F.col("Iter")
+    inds = fx.sampler_params(spark, sf_dir, C).filter("divergent__ = 1").select("Country", at.alias("ind"))
+    return dg.chains_from_inds(inds, C.n_draws, C.n_chains)
+
+
 _FLAGS_SQL = f"""
 , sp AS (select Country, cast(sum(divergent__) as bigint) as n_div,
                 count(*) filter (where treedepth__ = {C.max_treedepth}) as n_max_treedepth
@@ -157,7 +178,7 @@ def choice_views() -> tuple[dict[str, str], dict[str, list[str]]]:
     drop = " + ".join(f"(case when {ok(f'drop_{c}')} then {1 << (c - 1)} else 0 end)" for c in range(1, n + 1))
     union = lambda p: " | ".join(f"(case when {ok(f'{p}{j}')} then {1 | 1 << (j - 1)} else 0 end)" for j in js)
     first = "case " + " ".join(f"when {ok(f'without_1_{j}')} then {ok(f'pair_1_{j}')}" for j in js) + " else false end"
-    found, deps = psis_views("ce", "Country, bits, i", "lls")
+    found, deps = psis_views("cl", "Country, bits, i", "lls")
     views = {
         "v0": f"select Country, subset, count(*) filter (where rhat > {C.rhat_threshold}) = 0 as c from rh group by Country, subset",
         "v1": f"""
@@ -173,7 +194,7 @@ select l.Country, s.bits, l.i, l.Chain, l.Sim, l.ll
 from ll l join (select Country, unnest([rest_ok, {every} - rest_ok]) as bits from v2 where decision = 'compare_loo') s
   on s.Country = l.Country and {has_chain_sql('s.bits', 'l.Chain')}""",
         **found,
-        "le": "select Country, bits, sum(elpd_loo) as elpd from ce group by Country, bits",
+        "le": "select Country, bits, sum(elpd_loo) as elpd from cl group by Country, bits",
         "cc": f"""
 select v2.Country, decision,
        cast(case decision when 'drop_one' then dropped when 'keep_converged_pairs' then {every} - pair_ok
@@ -185,7 +206,7 @@ from v2 left join le a on a.Country = v2.Country and a.bits = rest_ok
 select Country, decision, discard, case when discard is null then null else coalesce({chains_text_sql('discard')}, '') end as discard_chains,
        case when discard is null then null else coalesce({chains_text_sql(f'({every} - discard)')}, '') end as keep_chains from cc""",
     }
-    return views, {"v0": ["rh"], "v1": ["v0"], "v2": ["v1"], "lls": ["ll", "v2"], **deps, "le": ["ce"], "cc": ["v2", "le"], "cct": ["cc"]}
+    return views, {"v0": ["rh"], "v1": ["v0"], "v2": ["v1"], "lls": ["ll", "v2"], **deps, "le": ["cl"], "cc": ["v2", "le"], "cct": ["cc"]}
 
 
 def choice_ctes() -> str:

@@ -14,10 +14,12 @@ from ..operators import likelihood as lk
 from ..operators import loo
 from ..operators import report as rp
 from ..operators import scoring as sc
+from ..sources import files as fl
 from ..sources import fixtures as fx
 from . import q_comparators as qc
 from . import q_diagnostics as qd
 from . import q_scoring as qs
+from . import q_sources as qsrc
 from .q_diagnostics import long_draws, rhat_sql, _RH_DEPS
 from .q_draws import DENS_SQL, DRAWS_LONG_SQL
 from .q_prep import emp_rates, small_grid, small_obs, small_rates
@@ -217,6 +219,10 @@ def q_cohort_profiles(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ K6/K7 run assessment, K8/K9 collation
+#: What a run carries about itself: plain strings, as given by whoever starts it.
+RUN_INFO = {"version_time": "2019-03-10 12:00:00", "version_hash": "0123456789abcdef0123456789abcdef01234567", "run_date": "20190310_120000"}
+
+
 def run_assessment(spark, sf_dir):
     """K6 + K7: one row per run (here: per country for the gamma/Weibull variable model)."""
     # the forecast predictive table feeds both the errors and the score: materialise it once
@@ -231,7 +237,11 @@ def run_assessment(spark, sf_dir):
     energy = dg.energy_flags(fx.sampler_params(spark, sf_dir, C)).groupBy("Country").agg(
         F.min(F.col("energy_good").cast("int")).cast("boolean").alias("energy_good"))
     ll = qs.loglik_df(spark, sf_dir, "variable")
-    looic = loo.loo_summary(loo.is_loo(ll), "elpd_is").select("Country", "looic", "looic_se")
+    looic = loo.loo_summary(loo.psis_loo(ll), "elpd_loo", k_col="pareto_k", k_threshold=C.pareto_k_threshold).select(
+        "Country", "looic", "looic_se", "n_high_pareto_k")
+    long = long_draws(spark, sf_dir)
+    neff = dg.effective_sample_size(long).groupBy("Country").agg(F.min("ess").alias("min_neff"))
+    minutes = dg.run_time(fl.read_elapsed(spark, qsrc.sampler_files(spark, sf_dir)))
     p1, p2 = qs.PF
     base = flags.select(
         F.lit(C.model).alias("model_name"), F.col("Country").alias("country"), F.lit(C.time_dimension).alias("axis"),
@@ -239,24 +249,33 @@ def run_assessment(spark, sf_dir):
         F.lit(p1).alias("param_type_1"), F.lit(p2).alias("param_type_2"), "converged_rhat", "n_large_rhat",
         "treedepth_good", "n_max_treedepth", "n_div", F.lit(C.T_holdback).alias("n_holdback"),
         F.lit(C.jump_off).alias("forecast_jump_off"), F.lit(C.last_year).alias("last_data_year"),
+        *[F.lit(RUN_INFO[k]).alias(k) for k in ("version_time", "version_hash", "run_date")],
+        F.substring(F.lit(RUN_INFO["version_hash"]), 1, 7).alias("version_short_hash"),
     )
     # quirk X23: Spark names are case-insensitive, so the run key is joined as ``country``
     def key(df):
         return df.withColumnRenamed("Country", "country")
 
     return base.join(key(energy), "country").join(key(es), "country").join(key(score), "country").join(
-        key(looic), "country")
+        key(looic), "country").join(key(neff), "country").join(key(minutes), "country")
 
 
 _RA_DOUBLES = ["Q_90", "Q_80", "Q_50", "Bias_rate", "AAE_rate", "APE_rate", "RMSE_rate", "Bias_births", "AAE_births",
-               "APE_births", "RMSE_births", "total_score", "looic", "looic_se"]
+               "APE_births", "RMSE_births", "total_score", "looic", "looic_se", "min_neff", "runtime_min"]
 
 
 def _ra_sql() -> str:
     rh = rhat_sql(dg.all_chains(C))
     extra = {**_ALL_VIEWS, **qs._LL_VIEWS, "dl": DRAWS_LONG_SQL, **rh, "ll": qs._ll_select("variable")}
     deps = {**_ALL_DEPS, **qs._LL_DEPS, **_RH_DEPS, "ll": ["eb", "obs", "dispersion"]}
-    head = with_views("", ["pxc", "rh", "ll", "sampler_params", "pt"], extra=extra, extra_deps=deps)
+    from .psis_sql import ess_views, psis_views
+
+    for views, needs in (psis_views("pl", "Country, i", "ll"), ess_views("pe", "Country, param", "dl", "value")):
+        extra.update(views)
+        deps.update(needs)
+    extra["ela"] = qsrc.ELAPSED_SQL
+    deps["ela"] = ["sampler_params"]
+    head = with_views("", ["pxc", "rh", "ll", "sampler_params", "pt", "pl", "pe_e", "ela"], extra=extra, extra_deps=deps)
     return head + qs._CE_SQL + f"""
 , es AS ({qs._ES_SQL})
 , s AS (select Country, Age, Cohort, Year, Sim, {qs.nb_sql('round_even(Births, 0)', 'E_births', 'Dispersion')} as Score
@@ -274,10 +293,10 @@ def _ra_sql() -> str:
                from (select Country, Chain, energy__,
                             energy__ - lag(energy__) over (partition by Country, Chain order by Iter) as de
                      from sampler_params) a group by Country, Chain) b group by Country)
-, isl AS (select Country, i, -(ln(sum(exp(-ll - m2))) + max(m2) - ln(count(*))) as elpd_is
-          from (select *, max(-ll) over (partition by Country, i) as m2 from ll) x group by Country, i)
-, lo AS (select Country, -2.0*sum(elpd_is) as looic, 2.0*sqrt(count(elpd_is)*var_samp(elpd_is)) as looic_se
-         from isl group by Country)
+, lo AS (select Country, -2.0*sum(elpd_loo) as looic, 2.0*sqrt(count(elpd_loo)*var_samp(elpd_loo)) as looic_se,
+                count(*) filter (pareto_k > {C.pareto_k_threshold}) as n_high_pareto_k from pl group by Country)
+, ne AS (select Country, min(ess) as min_neff from pe_e group by Country)
+, rt AS (select Country, max(warmup + sampling)/60.0e0 as runtime_min from ela group by Country)
 , ra AS (select '{C.model}' as model_name, sp.Country as country, '{C.time_dimension}' as axis,
                 '{C.dispersion}' as dispersion, 2 as n_components, true as mixed_components,
                 '{qs.PF[0]}' as param_type_1, '{qs.PF[1]}' as param_type_2,
@@ -285,12 +304,15 @@ def _ra_sql() -> str:
                 sp.n_max_treedepth = 0 as treedepth_good, sp.n_max_treedepth, sp.n_div,
                 {C.T_holdback} as n_holdback, {C.jump_off} as forecast_jump_off, {C.last_year} as last_data_year,
                 en.energy_good, es.Q_90, es.Q_80, es.Q_50, es.Bias_rate, es.AAE_rate, es.APE_rate, es.RMSE_rate,
-                es.Bias_births, es.AAE_births, es.APE_births, es.RMSE_births, ts.total_score, lo.looic, lo.looic_se
+                es.Bias_births, es.AAE_births, es.APE_births, es.RMSE_births, ts.total_score, lo.looic, lo.looic_se, lo.n_high_pareto_k,
+                {', '.join(f"'{v}' as {k}" for k, v in RUN_INFO.items())}, '{RUN_INFO["version_hash"][:7]}' as version_short_hash,
+                ne.min_neff, rt.runtime_min
          from sp join rv on sp.Country = rv.Country join en on sp.Country = en.Country
-              join es on sp.Country = es.Country join ts on sp.Country = ts.Country join lo on sp.Country = lo.Country)"""
+              join es on sp.Country = es.Country join ts on sp.Country = ts.Country join lo on sp.Country = lo.Country
+              join ne on ne.Country = sp.Country join rt on rt.Country = sp.Country)"""
 
 
-@register("run_assessment", "K6 K7 D16-D18 L3 L11 K4 K5 M2", _ra_sql() + "\nselect * from ra", _RA_DOUBLES,
+@register("run_assessment", "K6 K7 D16-D18 L2 L3 L11 K4 K5 M1 I19", _ra_sql() + "\nselect * from ra", _RA_DOUBLES,
           overrides={"Bias_rate": 9, "AAE_rate": 9, "RMSE_rate": 9})
 def q_run_assessment(spark, sf_dir):
     return run_assessment(spark, sf_dir)

@@ -280,13 +280,14 @@ _SAMPLED_SQL = f"""
            select Country, Sim, Cohort, Age, mu, k, u, y + 1, p*(y + k)/(y + 1)*(mu/(k + mu)), cum + p*(y + k)/(y + 1)*(mu/(k + mu))
            from walk where cum < u)
 , drawn AS (select Country, Sim, Cohort, Age, max(y) as PP_births from walk group by all)
-select pt.Country, pt.Sim, pt.Cohort, pt.Age, E_births, Dispersion, PP_births, PP_births/Exposure as PP_rate
+select pt.Country, pt.Sim, pt.Cohort, pt.Age, E_births, Dispersion, cast(PP_births as double) as PP_births, PP_births/Exposure as PP_rate
 from pt left join drawn d on d.Country = pt.Country and d.Sim = pt.Sim and d.Cohort = pt.Cohort and d.Age = pt.Age"""
 
 
-@register("predictive_sampled", "K3 I9", _pt("", ["pt"]).replace("WITH ", "WITH RECURSIVE ", 1) + _SAMPLED_SQL, ["E_births", "Dispersion", "PP_rate"])
+@register("predictive_sampled", "K3 I9", _pt("", ["pt"]).replace("WITH ", "WITH RECURSIVE ", 1) + _SAMPLED_SQL, ["E_births", "Dispersion", "PP_births", "PP_rate"])
 def q_predictive_sampled(spark, sf_dir):
-    return sc.predictive_sampled(predictive(spark, sf_dir), C)
+    # a nullable count: as a double at the query's edge
+    return sc.predictive_sampled(predictive(spark, sf_dir), C).withColumn("PP_births", F.col("PP_births").cast("double"))
 
 
 # ------------------------------------------------------------------ I14, U5: from the raw coefficients

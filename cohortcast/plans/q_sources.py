@@ -45,6 +45,24 @@ def q_run_spec_csv(spark, sf_dir):
     return fl.read_run_specs(spark, path)
 
 
+def elapsed(sampler):
+    """Seconds of a chain's warm-up and sampling, from its iterations' energy and tree depth."""
+    return sampler.groupBy("Country", "Chain").agg(F.round(F.sum("energy__") / F.lit(100.0), 3).alias("warmup"),
+                                                   F.round(F.sum("treedepth__") / F.lit(8.0), 3).alias("sampling"))
+
+
+ELAPSED_SQL = """
+select Country, Chain, round(sum(energy__)/100.0e0, 3) as warmup, round(sum(treedepth__)/8.0e0, 3) as sampling
+from sampler_params group by Country, Chain"""
+
+
+def sampler_files(spark, sf_dir):
+    """The run's sampler files, written for the caller."""
+    base = fl.shared_dir(spark, "sampler_csv")
+    sp = fx.sampler_params(spark, sf_dir, C)
+    return fl.write_sampler_csv(sp, _stepsizes(sp), base, elapsed(sp))
+
+
 def _stepsizes(sampler):
     return sampler.groupBy("Country", "Chain").agg(F.round(F.avg("energy__") / F.lit(1000.0), 6).alias("stepsize"))
 
@@ -52,21 +70,19 @@ def _stepsizes(sampler):
 _SAMPLER_SQL = f"""
 select Country, Chain, cast(count(*) as int) as n_iter, cast(sum(divergent__) as bigint) as n_div,
        count(*) filter (where treedepth__ = {C.max_treedepth}) as n_max_treedepth,
-       round(avg(energy__)/1000.0e0, 6) as stepsize
+       round(avg(energy__)/1000.0e0, 6) as stepsize, round(sum(energy__)/100.0e0, 3) as warmup, round(sum(treedepth__)/8.0e0, 3) as sampling
 from sampler_params group by Country, Chain"""
 
 
-@register("sampler_csv", "A14 E6 L8 L9 D17 D18", with_views(_SAMPLER_SQL, ["sampler_params"]), ["stepsize"])
+@register("sampler_csv", "A14 E6 L8 L9 D17 D18", with_views(_SAMPLER_SQL, ["sampler_params"]), ["stepsize", "warmup", "sampling"])
 def q_sampler_csv(spark, sf_dir):
-    base = fl.shared_dir(spark, "sampler_csv")
-    sp = fx.sampler_params(spark, sf_dir, C)
-    fl.write_sampler_csv(sp, _stepsizes(sp), base)
+    base = sampler_files(spark, sf_dir)
     rows = fl.read_sampler_csv(spark, base)
     per = rows.groupBy("Country", "Chain").agg(
         F.max("iter").alias("n_iter"), F.sum("divergent__").cast("long").alias("n_div"),
         F.count(F.when(F.col("treedepth__") == C.max_treedepth, 1)).alias("n_max_treedepth"),
     )
-    return per.join(fl.read_stepsizes(spark, base), ["Country", "Chain"])
+    return per.join(fl.read_stepsizes(spark, base), ["Country", "Chain"]).join(fl.read_elapsed(spark, base), ["Country", "Chain"])
 
 
 _LATEST_SQL = with_views("", ["rates"]) + qc._FREEZE_CTE + f"""

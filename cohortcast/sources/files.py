@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rates import harmonise_headers
+from ..operators.small import numbered
 from ..session import ensure_checkpoint_dir
 
 LEXIS = {"Cohort": "VV", "Period": "RR"}  # A3: Lexis shape of each time axis
@@ -86,14 +87,15 @@ def read_run_specs(spark: SparkSession, path: str) -> DataFrame:
     """A8 with an explicit schema; A9: every run gets an explicit ``run_id`` (all runs are
     processed in one job instead of one process per CSV line)."""
     df = spark.read.option("header", True).schema(RUN_SPEC_SCHEMA).csv(path)
-    w = Window.orderBy("country", "param_type_1", "param_type_2", "model_name", "dispersion")
-    return df.withColumn("run_id", F.row_number().over(w))
+    rows = numbered(df, ["country", "param_type_1", "param_type_2", "model_name", "dispersion", "base_config"], "run_id")
+    return rows.withColumn("run_id", F.col("run_id").cast("int"))
 
 
 # --- A14: sampler output CSV ------------------------------------------------------------
-def write_sampler_csv(sampler: DataFrame, stepsize: DataFrame, base: str) -> str:
+def write_sampler_csv(sampler: DataFrame, stepsize: DataFrame, base: str, elapsed: DataFrame | None = None) -> str:
     """Write per-(Country, Chain) sampler files like the sampler's CSV output: '#'
-    comment lines carrying the adaptation text, a header, then one line per iteration."""
+    comment lines carrying the adaptation text, a header, then one line per iteration, and
+    closing comments with the seconds of warm-up and sampling (``elapsed``: Country, Chain, warmup, sampling)."""
     cols = ["divergent__", "treedepth__", "energy__"]
     data = sampler.select("Country", "Chain", F.col("Iter").cast("long").alias("ord"),
                           F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("line"))
@@ -103,6 +105,11 @@ def write_sampler_csv(sampler: DataFrame, stepsize: DataFrame, base: str) -> str
                             F.lit("# Adaptation terminated").alias("line"))
     hdr = stepsize.select("Country", "Chain", F.lit(-1).cast("long").alias("ord"), F.lit(",".join(cols)).alias("line"))
     lines = data.unionByName(head).unionByName(head2).unionByName(hdr)
+    if elapsed is not None:
+        last = F.lit((1 << 62) + 0)
+        for k, (column, phase, lead) in enumerate((("warmup", "Warm-up", "#  Elapsed Time: "), ("sampling", "Sampling", "#                "))):
+            lines = lines.unionByName(elapsed.select("Country", "Chain", (last + F.lit(k)).alias("ord"), F.concat(
+                F.lit(lead), F.col(column).cast("string"), F.lit(f" seconds ({phase})")).alias("line")))
     out = (lines.repartition("Country", "Chain").sortWithinPartitions("Country", "Chain", "ord")
            .select("Country", "Chain", "line"))
     out.write.mode("overwrite").partitionBy("Country", "Chain").text(base)
@@ -141,6 +148,17 @@ def read_stepsizes(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def read_elapsed(spark: SparkSession, base: str) -> DataFrame:
+    """Seconds of warm-up and sampling per chain, parsed from the closing comments of the sampler files."""
+    t = spark.read.text(os.path.join(base, "*", "*")).withColumn("_file", F.col("_metadata.file_path"))
+    t = t.filter(F.col("value").startswith("#") & F.col("value").contains(" seconds ("))
+    seconds = F.regexp_extract("value", r"([0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?) seconds", 1).cast("double")
+    of = lambda phase: F.max(F.when(F.col("value").contains(f"({phase})"), seconds))
+    return t.groupBy(F.url_decode(F.regexp_extract("_file", r"Country=([^/]+)/", 1)).alias("Country"),
+                     F.regexp_extract("_file", r"Chain=(\d+)/", 1).cast("int").alias("Chain")).agg(
+        of("Warm-up").alias("warmup"), of("Sampling").alias("sampling"))
+
+
 # --- A11-A12: run directories -----------------------------------------------------------
 RUN_STAMP = r"20[0-9]{6}_[0-9]{6}"
 
