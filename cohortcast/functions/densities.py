@@ -100,7 +100,8 @@ def prepare(name: str, loc, scale, prefix: str) -> list:
         h = F.exp(log_h)
         return [(part1 + F.lit(1.5) * F.log(loc)).alias(f"{prefix}_a"), (h * h).alias(f"{prefix}_b"),
                 loc.alias(f"{prefix}_loc")]
-    raise ValueError(f"unknown density {name!r}")
+    density(name)  # registered by the user: nothing to hoist but its arguments
+    return [lit_d(0.0).alias(f"{prefix}_a"), scale.alias(f"{prefix}_b"), loc.alias(f"{prefix}_loc")]
 
 
 def finish(name: str, prefix: str):
@@ -112,7 +113,8 @@ def finish(name: str, prefix: str):
         return (a / b).alias(f"{prefix}_c")
     if name == "hadwiger_density":
         return F.lit(0.0).alias(f"{prefix}_c")
-    raise ValueError(f"unknown density {name!r}")
+    density(name)
+    return F.lit(0.0).alias(f"{prefix}_c")
 
 
 def evaluate(name: str, x, prefix: str):
@@ -127,7 +129,7 @@ def evaluate(name: str, x, prefix: str):
         return F.when(loc <= 0, lit_d(NAN)).otherwise(
             F.exp(a - F.lit(1.5) * F.log(x) - b * (loc / x + x / loc - F.lit(2.0)))
         )
-    raise ValueError(f"unknown density {name!r}")
+    return density(name)(x, loc, b)
 
 
 # --- dispatch on a column (I4 for several models in one job) -------------------

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE as C
+from ..functions import densities as dens
 from ..operators import draws as dr
 from ..sources import fixtures as fx
 from .registry import register
@@ -171,3 +174,32 @@ select Country, param, Cohort, unnest([{_FANS}]) as Quantile, unnest(qs) as valu
 @register("parameter_fans", "J13", with_views("", ["draws"]) + _FAN_SQL, ["Quantile", "value"], overrides={"value": 9})
 def q_parameter_fans(spark, sf_dir):
     return dr.parameter_fans(draws(spark, sf_dir), C)
+
+
+def normal_density(x, loc, scale):
+    """A density of the user's own: normal in age."""
+    z = (x - loc) / scale
+    return F.exp(F.lit(-0.5) * z * z) / (scale * F.lit(math.sqrt(2.0 * math.pi)))
+
+
+_LEVELS = "CEB*(1.0e0/(1.0e0 + exp(-logit_mixture)))", "CEB*(1.0e0 - 1.0e0/(1.0e0 + exp(-logit_mixture)))"
+_NORMAL = "exp(-0.5e0*((x - {m})/{s})*((x - {m})/{s}))/({s}*sqrt(2.0e0*pi()))"
+_REGISTERED_SQL = f"""
+select Country, Sim, cast(Cohort as bigint) as Cohort, Age, avg_1 as Comp_1, avg_2 as Comp_2, avg_1 + avg_2 as Rate
+from (select Country, Sim, Cohort, cast(a.range + {_AMIN - 1} as int) as Age, w1*{_NORMAL.format(m='l1', s='sd_1')} as avg_1,
+             w2*{_NORMAL.format(m='l2', s='sd_2')} as avg_2
+      from (select *, {_LEVELS[0]} as w1, {_LEVELS[1]} as w2, 0.5e0*(mode_age_sum - mode_age_gap) - {_AMIN}.0e0 as l1,
+                   0.5e0*(mode_age_sum + mode_age_gap) - {_AMIN}.0e0 as l2 from draws where Cohort > {C.jump_off - C.first_data_age}) d,
+           range(1, {C.n_ages + 1}) a, (select 0.5e0 as half) h, lateral (select cast(a.range as double) - half as x) xx) q"""
+
+
+@register("rate_draws_registered", "U1 J9 J10", with_views(_REGISTERED_SQL, ["draws"]), ["Comp_1", "Comp_2", "Rate"],
+          overrides={"Comp_1": 7, "Comp_2": 7, "Rate": 7})
+def q_rate_draws_registered(spark, sf_dir):
+    """Schedules of the cohorts without observations by a density that the user registers."""
+    dens.register_density("normal_density", normal_density)
+    try:
+        rates = dr.rate_draws(draws(spark, sf_dir).filter(F.col("Cohort") > C.jump_off - C.first_data_age), C, ("normal_density", "normal_density"))
+    finally:
+        dens.DENSITIES.pop("normal_density")
+    return rates.select("Country", "Sim", F.col("Cohort").cast("long").alias("Cohort"), F.col("Age").cast("int").alias("Age"), "Comp_1", "Comp_2", "Rate")
