@@ -48,8 +48,3 @@ def looic_grid(looic: DataFrame) -> DataFrame:
     g = looic.select("Country", short_density(F.col("p1")).alias("first"), short_density(F.col("p2")).alias("second"),
                      "looic")
     return g.groupBy("Country", "first").pivot("second", ["gamma", "weibull", "hadwiger"]).agg(F.first("looic"))
-
-
-def interval_label(q_col):
-    """I15 / I22: '50%' / '90%' labels for coverage rows."""
-    return F.concat((F.col(q_col)).cast("string"), F.lit("%"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..config import FIXTURE as C
-from ..functions import spline as _spline  # noqa: F401  (documentation link)
 from ..operators import prep, rates
 from ..sources import fixtures as fx
 from .registry import register
