@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -90,15 +90,35 @@ def lgamma(x) -> Column:
     )
 
 
-def nb_lpmf(y, mu, size) -> Column:
+def with_lgamma(df: DataFrame, args: dict[str, Column]) -> DataFrame:
+    """``df`` with ``lgamma`` of each of ``args`` as a column, in projections that refer to columns: the code of one log gamma
+    over a longer argument, for many rows, grows beyond the 8,000 bytes up to which the JVM compiles a method."""
+    x, z = {n: f"_x_{n}" for n in args}, {n: f"_z_{n}" for n in args}
+    out = df.select("*", *[a.cast("double").alias(x[n]) for n, a in args.items()])
+    out = out.select("*", *[(F.col(x[n]) + F.when(F.col(x[n]) >= 1.0e7, F.lit(0.0)).otherwise(F.lit(7.0))).alias(z[n]) for n in args])
+
+    def of(n: str) -> Column:
+        v = F.col(x[n])
+        prod = v
+        for k in range(1, 7):
+            prod = prod * (v + F.lit(float(k)))
+        near = F.when(v >= 1.0e7, F.lit(0.0)).otherwise(F.log(prod))
+        return F.when(v.isNull(), F.lit(None).cast("double")).when(v <= 0, lit_d(NAN)).otherwise(_stirling(F.col(z[n])) - near)
+
+    return out.select(*df.columns, *[of(n).alias(n) for n in args])
+
+
+def nb_lpmf(y, mu, size, logs: tuple[Column, Column, Column] | None = None) -> Column:
     """Negative binomial (mean mu, size k) log pmf, R ``dnbinom(y, mu=, size=, log=TRUE)``.
 
     lg(y+k) - lg(k) - lg(y+1) + k ln(k/(k+mu)) + y ln(mu/(k+mu)); mu = 0 gives
     0 when y = 0 and -inf otherwise.  Pass column references (or cheap expressions):
-    the log-gamma expansion repeats its argument."""
+    the log-gamma expansion repeats its argument.  ``logs`` has the log gammas of y + k, k and y + 1, where they are
+    columns already."""
     y, mu, k = _c(y).cast("double"), _c(mu).cast("double"), _c(size).cast("double")
+    of_sum, of_size, of_count = logs or (lgamma(y + k), lgamma(k), lgamma(y + F.lit(1.0)))
     core = (
-        lgamma(y + k) - lgamma(k) - lgamma(y + F.lit(1.0))
+        of_sum - of_size - of_count
         + k * F.log(k / (k + mu))
         + F.when(y == 0, F.lit(0.0)).otherwise(y * F.log(mu / (k + mu)))
     )

@@ -114,9 +114,14 @@ def mixture_weight(draws: DataFrame, cfg: CohortConfig, axis: str = "Cohort") ->
 
 
 def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str] | None = None,
-               axis: str = "Cohort", keep: list[str] | None = None, age_filter=None) -> DataFrame:
+               axis: str = "Cohort", keep: list[str] | None = None, age_filter=None, cells: DataFrame | None = None,
+               pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rate schedule of every draw on the model age grid.
 
+    ``cells`` (Country, the axis, Age and other columns, which are kept) takes the schedule at these cells alone: a small
+    side, joined before the densities.  ``pairs`` takes every draw under each of these pairs of density names (columns
+    ``p1``, ``p2``): a density is evaluated once per component, whatever the number of pairs that hold it.
+
     Per draw (before the explode): locations, mixture weight and the density
     constants.  Per (draw, age): x = a - 0.5 (B18), Comp_1 = CEB psi f1, Comp_2 =
     CEB (1 - psi) f2, Rate = Comp_1 + Comp_2, Age = a + minimum_age - 1."""
@@ -133,7 +138,13 @@ def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str]
         (F.lit(0.5) * (F.col("mode_age_sum") + F.col("mode_age_gap")) - F.lit(float(amin))).alias("l2"),
         "sd_1", "sd_2",
     )
-    if by_column:  # density names are columns p1/p2 (several models in one job)
+    if pairs is not None:
+        names = [[*dict.fromkeys(p[k] for p in pairs)] for k in (0, 1)]
+        each = [(k, n, f"g{k}_{n}") for k in (1, 2) for n in names[k - 1]]
+        stage1 = base.select("Country", "Sim", axis, *keep, "w1", "w2",
+                             *[c for k, n, g in each for c in dens.prepare(n, F.col(f"l{k}"), F.col(f"sd_{k}"), g)])
+        per_draw = stage1.select("*", *[dens.finish(n, g) for _, n, g in each])
+    elif by_column:  # density names are columns p1/p2 (several models in one job)
         n1, n2 = F.col("p1"), F.col("p2")
         stage1 = base.select(
             "Country", "Sim", axis, *keep, "w1", "w2",
@@ -148,10 +159,22 @@ def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str]
             *dens.prepare(f2, F.col("l2"), F.col("sd_2"), "g2"),
         )
         per_draw = stage1.select("*", dens.finish(f1, "g1"), dens.finish(f2, "g2"))
-    ages = per_draw.select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_ages))).alias("a"))
+    beside = [c for c in cells.columns if c not in ("Country", axis, "Age")] if cells is not None else []
+    if cells is None:
+        ages = per_draw.select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_ages))).alias("a"))
+    else:
+        at = cells.filter(F.col("Age").between(amin, cfg.maximum_age))
+        ages = per_draw.join(at.select("Country", axis, *beside, (F.col("Age") - F.lit(amin - 1)).alias("a")), ["Country", axis])
     if age_filter is not None:
         ages = ages.filter(age_filter(F.col("a") + F.lit(amin - 1)))
     x = F.col("a").cast("double") - F.lit(0.5)
+    if pairs is not None:
+        key = ["Country", "Sim", axis, *keep, *beside, "Age"]
+        comps = ages.select(*key[:-1], (F.col("a") + F.lit(amin - 1)).alias("Age"),
+                            *[(F.col(f"w{k}") * dens.evaluate(n, x, g)).alias(f"c{g}") for k, n, g in each])
+        rows = [F.struct(F.lit(a).alias("p1"), F.lit(b).alias("p2"), F.col(f"cg1_{a}").alias("Comp_1"), F.col(f"cg2_{b}").alias("Comp_2")) for a, b in pairs]
+        out = comps.select(*key, F.explode(F.array(*rows)).alias("m")).select(*key, "m.*")
+        return out.withColumn("Rate", F.col("Comp_1") + F.col("Comp_2"))
     if by_column:
         comp_1 = F.col("w1") * dens.evaluate_by(F.col("p1"), x, "g1")
         comp_2 = F.col("w2") * dens.evaluate_by(F.col("p2"), x, "g2")
@@ -159,7 +182,7 @@ def rate_draws(draws: DataFrame, cfg: CohortConfig, param_func: tuple[str, str]
         comp_1 = F.col("w1") * dens.evaluate(f1, x, "g1")
         comp_2 = F.col("w2") * dens.evaluate(f2, x, "g2")
     out = ages.select(
-        "Country", "Sim", axis, *keep,
+        "Country", "Sim", axis, *keep, *beside,
         (F.col("a") + F.lit(amin - 1)).alias("Age"),
         comp_1.alias("Comp_1"),
         comp_2.alias("Comp_2"),

@@ -3,8 +3,8 @@
 Physical plan (per model run, all countries at once):
 
     draws (hash-partitioned by Country, Sim)
-      -> rate schedule (narrow explode + projection)
-      -> E = 1e-6 + rate * exposure      broadcast join, exposure grid is size-checked
+      -> cells with their exposure       broadcast join, exposure grid is size-checked
+      -> rate at these cells (projection), E = 1e-6 + rate * exposure
       -> tail bins: groupBy(Country, Sim, Cohort, clamped Age)   <- reuses (Country, Sim)
       -> observations                    broadcast join, size-checked
       -> dispersion per draw             join on (Country, Sim): co-partitioned
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CohortConfig
-from ..functions.numeric import hash_normal, nb_lpmf, normal_lpdf, poisson_lpmf
+from ..functions.numeric import hash_normal, lgamma, nb_lpmf, normal_lpdf, poisson_lpmf, with_lgamma
 from .draws import rate_draws
 from .rates import clamp_age
 from .small import small_side
@@ -42,8 +42,16 @@ def dispersion_at(age: Column) -> Column:
     return F.coalesce(F.element_at("dmap", age.cast("int")), F.col("disp_const"))
 
 
-def expected_births(draws: DataFrame, expos_grid: DataFrame, cfg: CohortConfig,
-                    param_func: tuple[str, str] | None = None, model_keys: tuple[str, ...] = ()) -> DataFrame:
+def observed_grid(expos_grid: DataFrame, obs: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """The cells of the exposure grid that an observation takes up, edge bins with all the ages folded into them: the likelihood
+    needs no draw's rate elsewhere."""
+    bins = obs.select("Country", "Cohort", F.col("Age").alias("_bin")).distinct()
+    cells = expos_grid.withColumn("_bin", clamp_age(F.col("Age"), cfg.first_data_age, cfg.last_data_age))
+    return cells.join(bins, ["Country", "Cohort", "_bin"], "left_semi").drop("_bin")
+
+
+def expected_births(draws: DataFrame, expos_grid: DataFrame, cfg: CohortConfig, param_func: tuple[str, str] | None = None,
+                    model_keys: tuple[str, ...] = (), pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """J14 first half + D23/D24: expected births per (draw, cohort, observed age) with the
     ages outside the observed range folded into the edge bins; also sum(E^2) for the
     effective dispersion of the folded bins."""
@@ -51,9 +59,9 @@ def expected_births(draws: DataFrame, expos_grid: DataFrame, cfg: CohortConfig,
     fda, lda = cfg.first_data_age, cfg.last_data_age
     d = draws.filter(F.col("Cohort") <= cfg.last_insample_cohort)  # only in-sample cohorts have exposure
     # derived filter before the densities: keep cells that can be observed (Year <= jump-off)
-    r = rate_draws(d, cfg, param_func, keep=["Chain", "Iter", *model_keys],
+    keep = ["Chain", "Iter", *(model_keys if pairs is None else ())]
+    j = rate_draws(d, cfg, param_func, keep=keep, cells=expos_grid.select("Country", "Cohort", "Age", "Exposure"), pairs=pairs,
                    age_filter=lambda age: F.col("Cohort") + clamp_age(age, fda, lda) <= F.lit(jo))
-    j = r.join(expos_grid.select("Country", "Cohort", "Age", "Exposure"), ["Country", "Cohort", "Age"])
     e = F.lit(1e-06) + F.col("Rate") * F.col("Exposure")
     return j.groupBy("Country", *model_keys, "Sim", "Chain", "Iter", "Cohort",
                      clamp_age(F.col("Age"), fda, lda).alias("Age")).agg(
@@ -68,8 +76,8 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
     dispersion: ``variable`` / ``var_unsmooth`` (per-age dispersion, folded bins use
     disp * (sum E)^2 / sum(E^2)), ``constant`` (one value per draw; in the fixture the
     draw's unindexed dispersion, or that at the first observed age where it has none), ``poisson`` (no dispersion)."""
-    o = eb.join(obs.select("Country", "Cohort", "Age", "i", "Age_i", "births", "n_ages_obs"),
-                ["Country", "Cohort", "Age"])
+    of_count = lgamma(F.col("births") + F.lit(1.0)).alias("lg_count")  # once per observation, not per draw
+    o = eb.join(obs.select("Country", "Cohort", "Age", "i", "Age_i", "births", "n_ages_obs", of_count), ["Country", "Cohort", "Age"])
     y, mu = F.col("births"), F.col("E")
     if dispersion == "poisson":
         ll = poisson_lpmf(y, mu)
@@ -85,21 +93,24 @@ def pointwise_loglik(eb: DataFrame, obs: DataFrame, disp_maps: DataFrame | None,
             disp = F.when(folded, base * F.col("E") * F.col("E") / F.col("E2")).otherwise(base)
         else:
             raise ValueError(f"unknown dispersion variant {dispersion!r}")
-        o = o.withColumn("disp", disp)  # a column: the log-gamma expansion repeats its argument
-        ll = nb_lpmf(y, mu, F.col("disp"))
+        o = o.select("Country", *model_keys, "Sim", "Chain", "Iter", "i", "births", "E", "lg_count", disp.alias("disp"))
+        o = with_lgamma(o, {"lg_sum": y.cast("double") + F.col("disp"), "lg_size": F.col("disp")})
+        ll = nb_lpmf(y, mu, F.col("disp"), (F.col("lg_sum"), F.col("lg_size"), F.col("lg_count")))
     return o.select("Country", *model_keys, "Sim", "Chain", "Iter", "i", ll.alias("ll"))
 
 
 def loglik(draws: DataFrame, expos_grid: DataFrame, obs: DataFrame, dispersion_draws: DataFrame | None,
            cfg: CohortConfig, dispersion: str = "variable", param_func: tuple[str, str] | None = None,
-           model_keys: tuple[str, ...] = ()) -> DataFrame:
+           model_keys: tuple[str, ...] = (), pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pointwise log likelihood.  With ``model_keys`` (e.g. ("p1", "p2")) the draws carry
-    the model's density names as columns and all models are evaluated in one job.
-
-    ``expos_grid`` and ``obs`` are the small sides: pass them through
-    ``operators.small.small_side`` (size-checked broadcast); the exploded draw side must
-    never be chosen as a build side on (under-estimated) statistics."""
-    eb = expected_births(draws, expos_grid, cfg, param_func, model_keys)
+    the model's density names as columns and all models are evaluated in one job; with
+    ``pairs`` of density names, the same draws are taken under each of them (columns p1, p2).
+
+    ``expos_grid`` (whole, or its ``observed_grid``) and ``obs`` are the small sides: pass
+    them through ``operators.small.small_side`` (size-checked broadcast); the exploded draw
+    side must never be chosen as a build side on (under-estimated) statistics."""
+    model_keys = model_keys if pairs is None else ("p1", "p2")
+    eb = expected_births(draws, expos_grid, cfg, param_func, model_keys, pairs)
     maps = None if dispersion == "poisson" else dispersion_maps(dispersion_draws)
     return pointwise_loglik(eb, obs, maps, dispersion, cfg, model_keys)
 

@@ -159,6 +159,13 @@ def small_grid(spark, sf_dir):
     return small_table(spark, ("expo_grid", sf_dir), lambda: expo_grid(spark, sf_dir, True))
 
 
+def small_observed(spark, sf_dir):
+    from ..operators.likelihood import observed_grid
+    from ..operators.small import small_table
+
+    return small_table(spark, ("observed_grid", sf_dir), lambda: observed_grid(small_grid(spark, sf_dir), small_obs(spark, sf_dir), C))
+
+
 def small_rates(spark, sf_dir):
     from ..operators.small import small_table
 

@@ -22,7 +22,7 @@ from . import q_scoring as qs
 from . import q_sources as qsrc
 from .q_diagnostics import long_draws, rhat_sql, _RH_DEPS
 from .q_draws import DENS_SQL, DRAWS_LONG_SQL
-from .q_prep import emp_rates, small_grid, small_obs, small_rates
+from .q_prep import emp_rates, small_observed, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 
@@ -159,10 +159,8 @@ _GRID_DEPS = {"rd9": ["draws"], "eb9": ["rd9", "expo_grid"], "ll9": ["eb9", "obs
 
 
 def loglik_by_model(spark, sf_dir):
-    pairs = F.array(*[F.struct(F.lit(a).alias("p1"), F.lit(b).alias("p2")) for a, b in PAIRS])
-    d = fx.draws(spark, sf_dir, C).select("*", F.explode(pairs).alias("m")).select("*", "m.p1", "m.p2").drop("m")
-    return lk.loglik(d, small_grid(spark, sf_dir), small_obs(spark, sf_dir),
-                     fx.dispersion(spark, sf_dir, C), C, "variable", None, model_keys=("p1", "p2"))
+    return lk.loglik(fx.draws(spark, sf_dir, C), small_observed(spark, sf_dir), small_obs(spark, sf_dir),
+                     fx.dispersion(spark, sf_dir, C), C, "variable", pairs=PAIRS)
 
 
 def looic_by_model(spark, sf_dir):

@@ -12,7 +12,7 @@ from ..operators import likelihood as lk
 from ..operators import scoring as sc
 from ..sources import fixtures as fx
 from .q_draws import rate_draws_sql
-from .q_prep import SPLINE_SQL, small_basis, small_grid, small_obs, small_rates
+from .q_prep import SPLINE_SQL, small_basis, small_observed, small_obs, small_rates
 from .registry import register
 from .views_sql import with_views
 
@@ -69,7 +69,7 @@ def ll_sql(variant: str) -> str:
 def loglik_df(spark, sf_dir, variant: str):
     draws = fx.draws(spark, sf_dir, C)
     disp = None if variant == "poisson" else fx.dispersion(spark, sf_dir, C)
-    return lk.loglik(draws, small_grid(spark, sf_dir), small_obs(spark, sf_dir), disp, C,
+    return lk.loglik(draws, small_observed(spark, sf_dir), small_obs(spark, sf_dir), disp, C,
                      dispersion=variant, param_func=PF)
 
 
@@ -317,7 +317,7 @@ def linked(spark, sf_dir, variant: str):
 
 
 def linked_loglik(spark, sf_dir, variant: str):
-    return lk.loglik(fx.draws(spark, sf_dir, C), small_grid(spark, sf_dir), small_obs(spark, sf_dir), linked(spark, sf_dir, variant), C,
+    return lk.loglik(fx.draws(spark, sf_dir, C), small_observed(spark, sf_dir), small_obs(spark, sf_dir), linked(spark, sf_dir, variant), C,
                      dispersion=variant, param_func=PF)
 
 

@@ -68,19 +68,18 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Births (line count) and exposure (price mass) by Country, Year, Age, Cohort."""
     age = F.col("l_quantity").cast("int") + F.lit(5)
-    return (
+    return _as_cells(
         _lines(spark, sf_dir).groupBy("Country", "Year", age.alias("Age"))
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("Births"),
-            (
-                F.sum(F.round(F.col("l_extendedprice") * F.lit(100)).cast("bigint")).cast("double")
-                / F.lit(500000.0)
-            ).alias("Exposure"),
-        )
-        .select("Country", "Year", "Age", (F.col("Year") - F.col("Age")).alias("Cohort"), "Births", "Exposure")
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum(F.round(F.col("l_extendedprice") * F.lit(100)).cast("bigint")).alias("cents"))
     )
 
 
+def _as_cells(sums: DataFrame) -> DataFrame:
+    """``cells`` from the lines and the price in cents of each Country, Year and Age."""
+    return sums.select("Country", "Year", "Age", (F.col("Year") - F.col("Age")).alias("Cohort"), F.col("lines").cast("double").alias("Births"),
+                       (F.col("cents").cast("double") / F.lit(500000.0)).alias("Exposure"))
+
+
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cells`` split into Lexis triangles: (Country, Year, Age reached in the year, Cohort, ``after`` the birthday, Births,
     Exposure).  A line is after its mother's birthday if its order is of the second half of the year."""
@@ -118,9 +117,43 @@ def draw_partitions(spark: SparkSession) -> int:
 
 def draw_mass(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
     """Lines and quantity of the orders that fall to each draw (l_orderkey modulo the number of draws), by Country: one
-    row per draw, whatever the size of lineitem."""
-    return _lines(spark, sf_dir).groupBy("Country", (F.col("l_orderkey") % F.lit(cfg.n_draws)).cast("bigint").alias("Sim")).agg(
-        (F.count(F.lit(1)) + F.sum(F.col("l_quantity").cast("int"))).alias("mass"))
+    row per draw, whatever the size of lineitem.
+
+    Made once per application, data and number of draws, as all draw-level tables take it; the same pass over the fact
+    tables makes ``cells_checkpointed``, which the likelihood of those draws takes, unless it is there already."""
+    from ..operators.small import small_table
+    from ..session import app_id, ensure_checkpoint_dir
+
+    def build():
+        key = (app_id(spark), sf_dir)
+        if key in _CELLS_MEMO:
+            return _as_mass(_lines(spark, sf_dir).groupBy("Country", _sim(cfg).alias("Sim")).agg(
+                F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("int")).alias("quantity")))
+        ensure_checkpoint_dir(spark)
+        of_cells, of_draws = _cell_and_draw_sums(spark, sf_dir, cfg)
+        _CELLS_MEMO[key] = _as_cells(of_cells)
+        return _as_mass(of_draws)
+
+    return small_table(spark, ("draw_mass", sf_dir, cfg.n_draws), build, broadcast=False)
+
+
+def _sim(cfg: CohortConfig) -> Column:
+    return (F.col("l_orderkey") % F.lit(cfg.n_draws)).cast("bigint")
+
+
+def _as_mass(sums: DataFrame) -> DataFrame:
+    return sums.select("Country", "Sim", (F.col("lines") + F.col("quantity")).alias("mass"))
+
+
+def _cell_and_draw_sums(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> tuple[DataFrame, DataFrame]:
+    """Sums of the lines by (Country, Year, Age) and by (Country, Sim): two grouping sets of one pass, stored."""
+    quantity = F.col("l_quantity").cast("int")
+    lines = _lines(spark, sf_dir).select("Country", "Year", (quantity + F.lit(5)).alias("Age"), _sim(cfg).alias("Sim"), quantity.alias("quantity"),
+                                         F.round(F.col("l_extendedprice") * F.lit(100)).cast("bigint").alias("cents"))
+    sets = lines.groupingSets([["Country", "Year", "Age"], ["Country", "Sim"]], "Country", "Year", "Age", "Sim").agg(
+        F.grouping("Sim").alias("of_cell"), F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents"))
+    sets = sets.checkpoint(eager=True)
+    return sets.filter("of_cell = 1"), sets.filter("of_cell = 0")
 
 
 def _draw_keys(spark: SparkSession, sf_dir: str, cfg: CohortConfig) -> DataFrame:
